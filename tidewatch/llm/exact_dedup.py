@@ -23,12 +23,14 @@ def chunks_of(text: Column, least: int = MIN, most: int = MAX) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{{least - 1}}}.{{0,{most - least}}}?[{MARKS}]|.{{1,{most}}}"), F.lit(0))
 
 
-def clashes(chunks: DataFrame) -> DataFrame:
-    """Of rows (key, chunk), a row for each distinct chunk whose key also stands for another: key, chunk, place."""
+def clashes(chunks: DataFrame) -> DataFrame | None:
+    """Of rows (key, chunk), a row for each distinct chunk whose key also stands for another: key, chunk, place. None if there is no such key, as nearly always."""
     distinct = chunks.groupBy("key", "chunk").agg(F.lit(1).alias("one"))
-    shared = distinct.groupBy("key").agg(F.count("one").alias("n")).filter("n > 1").select("key")
+    shared = stored(distinct.groupBy("key").agg(F.count("one").alias("n")).filter("n > 1").select("key"))
+    if shared.isEmpty():
+        return None
     # a key's distinct contents are few even where its copies are many
-    return distinct.join(shared, "key", "left_semi").select("key", "chunk", F.row_number().over(Window.partitionBy("key").orderBy("chunk")).alias("place"))
+    return stored(distinct.join(shared, "key", "left_semi").select("key", "chunk", F.row_number().over(Window.partitionBy("key").orderBy("chunk")).alias("place")))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key=F.xxhash64) -> DataFrame:
@@ -42,12 +44,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
     norm = F.regexp_replace(text_of(text), SPACE, "")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.length(text_of(text)).alias("n_code"), norm.alias("norm"))
     cut = rows.select(F.explode(chunks_of(F.col("norm"))).alias("chunk")).select(key("chunk").cast("long").alias("key"), "chunk")
-    clash = stored(clashes(cut))
+    clash = clashes(cut)
     digest = stored(
         rows.select(
             "doc_id", "n_code", F.monotonically_increasing_id().alias("row"), F.sha2("norm", 256).alias("text_sha256"),
             let(chunks_of(F.col("norm")), lambda c: F.concat(F.array(F.size(c).cast("long")), F.transform(c, lambda x: key(x)).cast("array<long>"))).alias("recipe"),
-            *([] if clash.isEmpty() else [chunks_of(F.col("norm")).alias("chunks")]),
+            *([] if clash is None else [chunks_of(F.col("norm")).alias("chunks")]),
         )
     )
     if "chunks" in digest.columns:
