@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.shared import documents, stored, text_of, words_of
+from tidewatch.llm.shared import documents, near, stored, text_of, words_of
 
 WEIGHTS, SHARE, CAP, BLOCK, ROWS, SEED = (3, 1, 2), 1.5, 2.0, 64, 1000, 17
 
@@ -59,11 +59,6 @@ def apportioned(units: DataFrame, by: list[str], order: list[str], seats: Column
     return u.join(gained, same, "left").select(*units.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def near(plan: DataFrame) -> DataFrame:
-    """The row per source, broadcast only while there are few sources."""
-    return F.broadcast(plan) if plan.limit(10_001).count() <= 10_000 else plan
-
-
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, rows_per_shard: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, in_mix (whether any word is taken) and row.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import exact_dedup, mixing, sharding
+from tidewatch.llm import chat, exact_dedup, mixing, quality, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_formatting": chat.ORACLE}

@@ -61,5 +61,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def near(rows: DataFrame) -> DataFrame:
+    """For joins: rows, broadcast only if they are 10,000 at most."""
+    return F.broadcast(rows) if rows.limit(10_001).count() <= 10_000 else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
