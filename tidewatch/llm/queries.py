@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import chat, exact_dedup, mixing, quality, sharding
+from tidewatch.llm import bpe, chat, exact_dedup, mixing, quality, sharding, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_bpe": bpe.op3_bpe,
+    "op5_token_files": token_files.op5_token_files,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
     "op10_sharding": sharding.op10_sharding,

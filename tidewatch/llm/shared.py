@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's code, once for each context; for operators that run Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewatch_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="tidewatch-code-")) / "tidewatch.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))  # the driver serves it to executors
+    sc._tidewatch_shipped = True
+
+
 def text_of(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
