@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, token_files
+from tidewatch.llm import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_bpe": bpe.op3_bpe,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
