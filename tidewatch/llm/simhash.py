@@ -1,10 +1,11 @@
 """SimHash near-dedup by deletion-variant signatures.
 
 A 64-bit fingerprint is cut into two segments of 32 bits: of two fingerprints at distance 2 or less, one segment
-differs by at most one bit. Each segment is indexed with one bit as a wildcard, 32 variants, and as it stands;
-fingerprints meet by equality of a variant, and what meets is verified. A bucket of more than ROOM distinct
-fingerprints is not paired: its members are indexed once more by variants of the other segment, until a bucket can
-hold at most four fingerprints, so the work grows with the number of fingerprints and never with its square.
+differs by at most one bit. The lower segment is indexed with each of its bits as a wildcard; where it differs by two
+bits the upper one is equal and is indexed as it stands. Fingerprints meet by equality of a variant, and what meets is
+verified. A bucket of more than ROOM distinct fingerprints is not paired: its members are indexed once more by
+variants of the bits that are still open, until a group holds at most four fingerprints, so the work grows with the
+number of fingerprints and never with its square.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import documents, ship, stored, text_of
 
-WORDS, NEAR, ROOM, SEED = 3, 2, 16, 42
+WORDS, NEAR, ROOM, SEED, SEGMENT = 3, 2, 128, 42, 32
+LOW = (1 << SEGMENT) - 1
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # of each byte value, highest first
 
@@ -51,37 +53,54 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def without(fp: Column, *places: Column) -> Column:
+    for p in places:
+        fp = fp.bitwiseAND(F.bitwise_not(bit(p)))
+    return fp
+
+
 def segment_variants(fps: DataFrame) -> DataFrame:
-    """fp with (place, key) for each of 64 bits as a wildcard: the rest of its segment of 32 bits."""
-    bit = F.col("place")
-    segment = F.when(bit < 32, F.lit(0xFFFFFFFF)).otherwise(F.lit(-0x100000000))
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place")).withColumn("key", F.col("fp").bitwiseAND(segment).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit))))
+    """fp with (place, key): the lower segment with each of its 32 bits as a wildcard, and under place 32 the upper one as it stands. If the lower segments of a near pair differ by two bits, the upper ones are equal."""
+    place = F.col("place")
+    key = F.when(place < SEGMENT, without(F.col("fp").bitwiseAND(F.lit(LOW)), place)).otherwise(F.col("fp").bitwiseAND(F.lit(~LOW)))
+    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT))).alias("place")).withColumn("key", key)
 
 
-def pair_variants(fps: DataFrame) -> DataFrame:
-    """fp with (place, key) for each two of 64 bits as wildcards: all the other bits."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c))
-    two = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
-    return two.select("fp", (F.col("i") * 64 + F.col("j")).alias("place"), F.col("fp").bitwiseAND(F.bitwise_not(bit("i").bitwiseOR(bit("j")))).alias("key"))
+def pairs_out(first: int) -> Column:
+    """Two different places of the 32 from first on."""
+    return F.flatten(F.transform(F.sequence(F.lit(first), F.lit(first + 30)), lambda i: F.transform(F.sequence(i + 1, F.lit(first + 31)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
 def links(fps: DataFrame, near: int = NEAR, room: int = ROOM) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column fp) at distance 1 or 2, and enough of them in large buckets to join the same components.
 
-    No bucket gives more than room * its members; within larger ones the exact two-wildcard variants link every pair.
+    A pair is taken in one bucket only: under its own differing bit of the lower segment, under place 0 if that segment
+    is equal, under place 32 if it differs by two. Buckets of up to room members are paired; a larger one is indexed
+    once more by variants of the bits it leaves open, and what then meets is linked to the smallest.
     """
     if near != 2:
         raise ValueError("two segments with one wildcard serve a distance of 2")
     index = segment_variants(fps)
-    sized = index.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"))
-    small = sized.filter(F.col("n").between(2, room)).select("place", "key")
-    met = index.join(small, ["place", "key"])
-    other = met.select("place", "key", F.col("fp").alias("b"))
-    pairs = met.select("place", "key", F.col("fp").alias("a")).join(other, ["place", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= near)).select("a", "b")
-    # members of large buckets: every pair within distance 2 agrees on all bits but two, so it meets under those two wildcards
-    crowded = index.join(sized.filter(F.col("n") > room).select("place", "key"), ["place", "key"], "left_semi").select("fp").distinct()
-    exact = pair_variants(crowded).groupBy("place", "key").agg(F.collect_set("fp").alias("all"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    star = exact.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a < b")
+    sized = index.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stored(index.join(sized, ["place", "key"]))
+    a, b = F.col("a"), F.col("b")
+    differ = a.bitwiseXOR(b)
+    low = differ.bitwiseAND(F.lit(LOW))
+    own = F.when(low == 0, 0).when(F.bit_count(low) == 1, F.bit_count(low - 1)).otherwise(SEGMENT)
+    few = met.filter(F.col("n") <= room)
+    pairs = few.select("place", "key", F.col("fp").alias("a")).join(few.select("place", "key", F.col("fp").alias("b")), ["place", "key"]).filter((a < b) & (F.bit_count(differ) <= near) & (F.col("place") == own)).select("a", "b")
+    many = met.filter(F.col("n") > room)
+    # one bit of each segment open: a group has four members at most
+    one = many.filter(F.col("place") < SEGMENT).select("fp", "place", F.explode(F.sequence(F.lit(SEGMENT), F.lit(63))).alias("q")).select("fp", "place", "q", without(F.col("fp"), F.col("place"), F.col("q")).alias("key"))
+    # lower segments equal, or upper ones: two bits of the other are open
+    two = many.filter(F.col("place").isin(0, SEGMENT)).select("fp", F.explode(F.when(F.col("place") == 0, pairs_out(SEGMENT)).otherwise(pairs_out(0))).alias("o"))
+    two = two.select("fp", F.col("o.i").alias("place"), F.col("o.j").alias("q"), without(F.col("fp"), F.col("o.i"), F.col("o.j")).alias("key"))
+    groups = one.unionByName(two).groupBy("place", "q", "key").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
+    star = groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a < b")
     return pairs.unionByName(star).distinct()
 
 
