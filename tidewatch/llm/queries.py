@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_files
+from tidewatch.llm import bpe, chat, exact_dedup, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_sharding": sharding.op10_sharding,
