@@ -219,14 +219,16 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
             for part in pieces(batch):
                 ids = [c.encode(t.as_py()) for t in part.column(1)]
                 n = [len(i) for i in ids]
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(n, pa.int64())], ["doc_id", "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), listed(ids, n), pa.array(n, pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text")).mapInArrow(run, ENCODED)
 
 
+def listed(ids: list[np.ndarray], n: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for k in range(0, batch.num_rows, rows):
         yield batch.slice(k, rows)
@@ -246,24 +248,26 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens and digests of its ids and of the text decoded from them. Cases as in encoded()."""
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, ids: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens and digests of its ids and of the text decoded from them, and ids if asked for. Cases as in encoded()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         number = [str(i) for i in range(c.size)]
         for batch in batches:
             for part in pieces(batch):
-                n, first, second = [], [], []
-                for t in part.column(1):
-                    ids = c.encode(t.as_py())
-                    n.append(len(ids))
-                    first.append(hashlib.sha256(" ".join(map(number.__getitem__, ids.tolist())).encode()).hexdigest())
-                    second.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                found = [c.encode(t.as_py()) for t in part.column(1)]
+                n = [len(i) for i in found]
+                first = [hashlib.sha256(" ".join(map(number.__getitem__, i.tolist())).encode()).hexdigest() for i in found]
+                second = [hashlib.sha256(c.decode(i).encode("utf-8")).hexdigest() for i in found]
+                columns, names = [part.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids:
+                    columns.append(listed(found, n))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     ship(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text")).mapInArrow(run, DIGESTS)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text")).mapInArrow(run, DIGESTS + ", ids array<int>" * ids)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

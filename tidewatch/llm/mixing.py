@@ -92,13 +92,13 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return known.join(taken, F.col("row") == F.col("row_taken"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), (F.coalesce("taken", F.lit(0)) > 0).alias("in_mix"), "draw")
 
 
-def kept_in_mix(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs from which the mix takes any word; rows that are the same in doc_id and text stay together."""
-    how.setdefault("seed", SEED)
-    text = how.get("text", "text")
-    some = mixed(docs, doc_id, **how).filter("in_mix").select("draw").distinct()
-    mark = F.xxhash64(F.lit(how["seed"]), F.col(doc_id), text_of(text))
-    return docs.withColumn("_tidewatch_draw", mark).join(some.withColumnRenamed("draw", "_tidewatch_draw"), "_tidewatch_draw", "left_semi").select(*docs.columns)
+def in_proportion(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, **how) -> DataFrame:
+    """Each row of docs as often as the mix takes it: taken / size times, rounded up or down by a seeded draw. Rows that are the same in doc_id and text share what is taken of them; rows without words are not in the mix."""
+    rate = mixed(docs, doc_id, text, seed=seed, **how).groupBy("draw").agg((F.sum("taken") / F.sum("size")).alias("_rate")).withColumnRenamed("draw", "_draw")
+    rows = docs.withColumn("_mark", F.xxhash64(F.lit(seed), F.col(doc_id), text_of(text))).join(rate, F.col("_mark") == F.col("_draw"))
+    chance = F.pmod(F.xxhash64(F.lit(seed + 3), "_mark"), F.lit(1 << 30)) / (1 << 30)
+    times = F.floor(F.coalesce("_rate", F.lit(0.0)) + chance).cast("int")
+    return rows.withColumn("_times", times).filter("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.llm.shared import documents, ship, stored, text_of
 
@@ -42,15 +43,15 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number, of each row of docs. Null texts count as empty, fingerprint zero."""
+    """doc_id, tie (a hash of the text) and fp, the fingerprint as a signed 64-bit number, of each row of docs. Null texts count as empty, fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "tie", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("tie"), text_of(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def bit(place: Column) -> Column:
@@ -122,18 +123,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links of distance 2 or less) and fp, the fingerprint as a number.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links of distance 2 or less), tie (a hash of the text) and stays, whether the row is its component's first.
 
     Texts without words have fingerprint zero and link like any other. A null doc_id names no component unless all in
     it are null. Repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, doc_id, text, words))
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least")))
     roots = components(links(classes.select("fp")))
     joined = stored(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("best")), "root").select(F.col("fp").alias("_fp"), "best")
+    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.tie") == F.col("tie"))
+    return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "tie", stays.alias("stays"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Of each component the row of docs with the smallest doc_id, then the smallest hash of its text; of rows that are the same in both, one."""
+    best = near_dedup(docs, doc_id, text, words).filter("stays").select(F.col("doc_id").alias("_best"), F.col("tie").alias("_best_tie")).distinct()
+    rows = docs.withColumn("_own", F.col(doc_id).cast("long")).withColumn("_tie", F.xxhash64(text_of(text)))
+    kept = rows.join(best, F.col("_own").eqNullSafe(F.col("_best")) & (F.col("_tie") == F.col("_best_tie")), "left_semi")
+    return kept.withColumn("_place", F.row_number().over(Window.partitionBy("_own", "_tie").orderBy(F.lit(0)))).filter("_place = 1").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir)).drop("fp")
+    return near_dedup(documents(spark, sf_dir)).drop("tie", "stays")
