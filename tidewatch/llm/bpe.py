@@ -145,6 +145,13 @@ class Automaton:
         return ids[::-1]
 
 
+def lowered(text: str) -> str:
+    """The text as the vocabulary file normalises it, but for white space."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one, without a final sigma
+    return text.lower()
+
+
 class Codec:
     """Encodes and decodes whole texts with the vocabulary file at path."""
 
@@ -172,10 +179,8 @@ class Codec:
         return ids
 
     def _plain(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one, without a final sigma
         out: list[int] = []
-        for word in self.pattern.findall(text.lower()):
+        for word in self.pattern.findall(lowered(text)):
             out += self._word(word)
         return out
 

@@ -19,22 +19,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.bpe import Table, vocabulary_path
+from tidewatch.llm.bpe import END, PATTERN, Table, lowered, vocabulary_path
 from tidewatch.llm.shared import documents, scratch, ship, text_of
 
 #: Ids of a block; pairs replaced in a round; how often a pair must occur; rounds at most; rows a shard is dealt.
-BLOCK, PAIRS, LEAST, ROUNDS, SHARD_ROWS, CHUNKS, END_ID = 1 << 20, 2048, 16, 7, 8000, 400_000, 1
+BLOCK, PAIRS, LEAST, ROUNDS, SHARD_ROWS, END_ID = 1 << 20, 2048, 16, 7, 8000, 1
+#: Entries of a worker's tables of chunks and of words; they bound memory and change no result.
+CHUNKS, WORDS = 700_000, 400_000
 
 
 class Encoder:
-    """The ids of texts by the tokenizers library. What stands between ASCII white space is encoded once and looked up after that; new pieces are encoded together, with a mark between."""
-
-    MARK = "\x01"
+    """The ids of texts by the tokenizers library. What stands between ASCII white space is looked up; what is new is cut into words as the vocabulary file says, and words that are new are encoded by the library, many at once, and told apart by their end marks."""
 
     def __init__(self, path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,35 +44,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary_path(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size()
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.known = Table(CHUNKS)
+        vocab = self.tokenizer.get_vocab()
+        self.size = 1 + max(vocab.values())
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.pattern = regex.compile(PATTERN)
+        self.known, self.words = Table(CHUNKS), Table(WORDS)
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def spelled(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return {w: self.alone(w) for w in words}
+        flat, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
+        return {w: flat[a:b] for w, a, b in zip(words, [0, *stops], stops)}
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new chunks, as 32-bit bytes. A chunk that holds the mark itself is encoded alone."""
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        plain = [k for k, t in enumerate(texts) if self.MARK not in t]
-        found = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(texts[k] for k in plain), add_special_tokens=False).ids, np.uint32)
-            for k, own in zip(plain, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                found[chunks[k]] = own[int(k != plain[0]) :].tobytes()
-        for k, t in enumerate(texts):
-            if self.MARK in t:
-                found[chunks[k]] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
+        """The ids of new chunks."""
+        found, cut, known, recent = {}, [], self.words, self.words.recent
+        for c in chunks:
+            text = c.decode("utf-8", "replace")
+            if "<|" in text:  # may hold a special token
+                found[c] = self.alone(text)
+            else:
+                cut.append((c, self.pattern.findall(lowered(text))))
+        new = list({w for _, row in cut for w in row if w not in known and w not in recent})
+        fresh = self.spelled(new) if new else {}
+        for c, row in cut:
+            found[c] = b"".join([known.get(w) or recent.get(w) or fresh[w] for w in row])
+        for w, ids in fresh.items():
+            known.put(w, ids)
         return found
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         known, recent = self.known, self.known.recent
         cut = [t.split() for t in texts]
-        new = list({c for row in cut for c in row if c not in known and c not in recent})
-        fresh: dict[bytes, bytes] = {}
-        for k in range(0, len(new), 4096):
-            fresh |= self.learn(new[k : k + 4096])
-        rows = [np.frombuffer(b"".join([known[c] if c in known else recent[c] if c in recent else fresh[c] for c in row]), np.uint32) for row in cut]
+        got = [list(map(known.get, row)) for row in cut]
+        open_ = [k for k, row in enumerate(got) if None in row]
+        new = list({c for k in open_ for c, ids in zip(cut[k], got[k], strict=True) if ids is None and c not in recent})
+        fresh = self.learn(new) if new else {}
+        for k in open_:
+            got[k] = [ids if ids is not None else recent[c] if c in recent else fresh[c] for c, ids in zip(cut[k], got[k], strict=True)]
         for c, ids in fresh.items():
             known.put(c, ids)
-        return rows
+        return [np.frombuffer(b"".join(row), self.kind).astype(np.uint32) for row in got]
 
 
 @lru_cache(maxsize=2)
