@@ -49,7 +49,7 @@ def tokens(line: Column, levels: bytes) -> Column:
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
         at = h.bitwiseAND(F.lit(len(levels) - 1)).cast("int") + 1
-        level = F.ascii(F.substr(table, at, F.lit(1)).cast("string")).cast("long")
+        level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so that sorting is one of plain numbers
         return h.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(level * (1 << 56))
 
     return F.array_distinct(F.sort_array(F.transform(words_of(line), code)))
@@ -77,7 +77,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
         )
     )
     place = F.struct("doc_id", "tie", "at")
-    sets = lines.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")])
+    sets = stored(lines.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
     posted = sets.select("k1", "n", "m1", "m2", F.posexplode("prefix").alias("i", "token"))
     posted = posted.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
     # a group holds the lines of a token if they are few, else one line

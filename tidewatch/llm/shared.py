@@ -42,10 +42,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read again: lineage ends here and survives lost executors."""
+    """The rows of df, written once to the shared folder and read again: lineage ends here and survives lost executors.
+
+    What its job shuffled is of no more use, and Spark's cleaner drops it once the driver has collected its garbage.
+    """
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
