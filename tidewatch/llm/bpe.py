@@ -199,6 +199,8 @@ class Codec:
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a text in UTF-8. No word spans ASCII white space, so what stands between it is looked up whole."""
         known, chunk = self.chunks, self._chunk
+        if b"<|" not in text:  # ASCII letters are lowered here already, which spares chunks; not where there may be special tokens
+            text = text.lower()
         return np.frombuffer(b"".join([known.get(c) or chunk(c) for c in text.split()]), dtype=self.kind)
 
     def decode(self, ids: np.ndarray) -> str:

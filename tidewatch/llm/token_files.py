@@ -16,6 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = regex.compile(rf"\n|{PATTERN}")
         self.known, self.words = Table(CHUNKS), Table(WORDS)
 
     def alone(self, text: str) -> bytes:
@@ -65,34 +66,44 @@ class Encoder:
         return {w: flat[a:b] for w, a, b in zip(words, [0, *stops], stops)}
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new chunks."""
-        found, cut, known, recent = {}, [], self.words, self.words.recent
-        for c in chunks:
-            text = c.decode("utf-8", "replace")
-            if "<|" in text:  # may hold a special token
-                found[c] = self.alone(text)
-            else:
-                cut.append((c, self.pattern.findall(lowered(text))))
-        new = list({w for _, row in cut for w in row if w not in known and w not in recent})
+        """The ids of new chunks; none holds a line end, so one stands between them while they are cut into words."""
+        found = {c: self.alone(c.decode("utf-8", "replace")) for c in chunks if b"<|" in c}  # may hold a special token
+        plain = [c for c in chunks if c not in found]
+        words = self.pattern.findall(lowered(b"\n".join(plain).decode("utf-8", "replace")))
+        known, recent = self.words, self.words.recent
+        new = [w for w in set(words) if w not in known and w not in recent and w != "\n"]
         fresh = self.spelled(new) if new else {}
-        for c, row in cut:
-            found[c] = b"".join([known.get(w) or recent.get(w) or fresh[w] for w in row])
-        for w, ids in fresh.items():
-            known.put(w, ids)
+        ids = list(map(known.get, words))
+        for i in [i for i, own in enumerate(ids) if own is None]:
+            w = words[i]
+            ids[i] = fresh[w] if w in fresh else recent.get(w)  # None for a line end
+        at = 0
+        for c, end in zip(plain, [*[i for i, own in enumerate(ids) if own is None], len(ids)], strict=bool(plain)):
+            found[c] = b"".join(ids[at:end])
+            at = end + 1
+        for w, own in fresh.items():
+            known.put(w, own)
         return found
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         known, recent = self.known, self.known.recent
-        cut = [t.split() for t in texts]
-        got = [list(map(known.get, row)) for row in cut]
-        open_ = [k for k, row in enumerate(got) if None in row]
-        new = list({c for k in open_ for c, ids in zip(cut[k], got[k], strict=True) if ids is None and c not in recent})
+        # ASCII letters are lowered here already, which spares chunks; not where there may be special tokens
+        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        flat = list(chain.from_iterable(cut))
+        got = list(map(known.get, flat))
+        open_ = [i for i, ids in enumerate(got) if ids is None]
+        new = list({flat[i] for i in open_}.difference(recent))
         fresh = self.learn(new) if new else {}
-        for k in open_:
-            got[k] = [ids if ids is not None else recent[c] if c in recent else fresh[c] for c, ids in zip(cut[k], got[k], strict=True)]
+        for i in open_:
+            c = flat[i]
+            got[i] = fresh[c] if c in fresh else recent[c]
         for c, ids in fresh.items():
             known.put(c, ids)
-        return [np.frombuffer(b"".join(row), self.kind).astype(np.uint32) for row in got]
+        out, at = [], 0
+        for row in cut:
+            out.append(np.frombuffer(b"".join(got[at : at + len(row)]), self.kind).astype(np.uint32))
+            at += len(row)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -124,13 +135,15 @@ def compress(ids: np.ndarray, vocab: int, least: int = LEAST, pairs: int = PAIRS
             break
         left, right = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         new = len(span) + np.arange(keys.size, dtype=np.uint32)
-        starts, ends = np.zeros(len(span), bool), np.zeros(len(span), bool)
-        starts[left], ends[right] = True, True
-        at = np.flatnonzero(starts[body[:-1]] & ends[body[1:]])
-        own = body[at].astype(np.uint64) << np.uint64(32) | body[at + 1]
-        k = np.minimum(np.searchsorted(keys, own), keys.size - 1)
-        hit = keys[k] == own
-        at, k = at[hit], k[hit]
+        # the pair that starts at a place, by the numbers of its two symbols among those that start and end pairs
+        l_, r_ = np.zeros(len(span), np.int32), np.zeros(len(span), np.int32)
+        starts, ends = np.unique(left), np.unique(right)
+        l_[starts], r_[ends] = np.arange(1, starts.size + 1), np.arange(1, ends.size + 1)
+        which = np.zeros((starts.size + 1, ends.size + 1), np.int32)
+        which[l_[left], r_[right]] = np.arange(1, keys.size + 1)
+        own = which[l_[body[:-1]], r_[body[1:]]]
+        at = np.flatnonzero(own)
+        k = own[at] - 1
         # of matches that overlap in a row, every second one goes
         first = np.concatenate([[True], np.diff(at) != 1])
         run = np.flatnonzero(first)
