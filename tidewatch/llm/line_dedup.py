@@ -12,13 +12,15 @@ stops at the first. A line goes if an earlier one, by doc_id and place, is simil
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.llm.shared import documents, let, stored, text_of, words_of
 
-CLASSES, ROOM, MIN_WORDS, FEW = 1 << 20, 64, 5, 1_000_000
+CLASSES, ROOM, MIN_WORDS, FEW, PARTS = 1 << 20, 64, 5, 1_000_000, 3
 
 
 def shift(bits: Column) -> Column:
@@ -60,25 +62,9 @@ def need(n: Column, m: Column) -> Column:
     return F.floor((4 * (n + m) + 8) / 9)
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, room: int = ROOM, few: int = FEW) -> DataFrame:
-    """Of each document that loses lines: doc_id, tie, removed (places of lines from 0, sorted).
-
-    Order is by doc_id (null first), then a hash of the text, then place, so equal rows lose the same lines. Lines of
-    fewer than min_words distinct words are no one's copy and stay. Null texts count as empty; other columns are ignored.
-    """
-    levels = rarity(docs.select(F.explode(words_of(text_of(text))).alias("word")))
-    lines = placed(docs, doc_id, text).select("doc_id", "tie", "at", tokens(F.col("line"), levels).alias("t")).filter(F.size("t") >= min_words)
-    bits = lambda by: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(shift(F.shiftright(x, by).bitwiseAND(F.lit(63)))))
-    n = F.size("t")
-    lines = stored(
-        lines.select(
-            "doc_id", "tie", "at", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), bits(0).alias("m1"), bits(6).alias("m2"),
-            F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"),
-        )
-    )
-    place = F.struct("doc_id", "tie", "at")
-    sets = stored(lines.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
-    posted = sets.select("k1", "n", "m1", "m2", F.posexplode("prefix").alias("i", "token"))
+def meetings(sets: DataFrame, room: int, part: int, parts: int) -> DataFrame:
+    """Of sets (k1, n, m1, m2, prefix), for the tokens of a part: a row (null, a, b) for each two that pass the filters at a token of few sets, and (token, a, null) for each set at another."""
+    posted = sets.select("k1", "n", "m1", "m2", F.posexplode("prefix").alias("i", "token")).filter(F.pmod(F.col("token"), F.lit(parts)) == part)
     posted = posted.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
     # a group holds the lines of a token if they are few, else one line
     group = posted.groupBy("token", F.when(F.col("c") > room, F.col("k1")).alias("alone")).agg(F.collect_list(F.struct("k1", "n", "i", "m1", "m2")).alias("g"))
@@ -89,7 +75,25 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
         (F.least(a["n"], b["n"]) * 5 >= F.greatest(a["n"], b["n"]) * 4) & (F.least(a["n"] - a["i"], b["n"] - b["i"]) >= least)
         & (F.bit_count(a["m1"].bitwiseXOR(b["m1"])) <= a["n"] + b["n"] - 2 * least) & (F.bit_count(a["m2"].bitwiseXOR(b["m2"])) <= a["n"] + b["n"] - 2 * least)
     )
-    met = stored(both.filter(F.col("alone").isNotNull() | near).select(F.when(F.col("alone").isNotNull(), F.col("token")).alias("token"), a["k1"].alias("a"), b["k1"].alias("b")).distinct())
+    return both.filter(F.col("alone").isNotNull() | near).select(F.when(F.col("alone").isNotNull(), F.col("token")).alias("token"), a["k1"].alias("a"), b["k1"].alias("b")).distinct()
+
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, room: int = ROOM, few: int = FEW, parts: int = PARTS) -> DataFrame:
+    """Of each document that loses lines: doc_id, tie, removed (places of lines from 0, sorted).
+
+    Order is by doc_id (null first), then a hash of the text, then place, so equal rows lose the same lines. Lines of
+    fewer than min_words distinct words are no one's copy and stay. Null texts count as empty; other columns are ignored.
+    """
+    levels = rarity(docs.select(F.explode(words_of(text_of(text))).alias("word")))
+    lines = placed(docs, doc_id, text).select("doc_id", "tie", "at", tokens(F.col("line"), levels).alias("t"))
+    bits = lambda by: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(shift(F.shiftright(x, by).bitwiseAND(F.lit(63)))))
+    n = F.size("t")
+    known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), bits(0).alias("m1"), bits(6).alias("m2"), F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"))
+    lines = stored(lines.select("doc_id", "tie", "at", F.inline(F.when(n >= min_words, F.array(known)))))  # no filter, as that would work the tokens out twice
+    place = F.struct("doc_id", "tie", "at")
+    sets = stored(lines.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
+    # the prefixes go through in parts by token, so that only one part's shuffle is on disk at a time
+    met = reduce(DataFrame.unionByName, [stored(meetings(sets, room, part, parts)) for part in range(parts)])
     # the words of every line that has met another
     classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     own = stored(met.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 IS NOT NULL").distinct().join(classes, "k1").select("k1", "k2", "first", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "tie", "at")]))
