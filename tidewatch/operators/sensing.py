@@ -30,12 +30,13 @@ def near_airport(lat: Column, lon: Column, degrees: float = 0.83) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [(F.abs(lat - a) < degrees) & (F.abs(lon - b) < degrees) for a, b in dims.AIRPORTS]), F.lit(False))
 
 
-NO_SQUAWK = (F.coalesce("squawk", F.lit("")) == "") & (F.coalesce("callsign", F.lit("")) != "")
+def no_squawk() -> Column:
+    return (F.coalesce("squawk", F.lit("")) == "") & (F.coalesce("callsign", F.lit("")) != "")
 
 
 def adsb_rules(rows: DataFrame) -> DataFrame:
     low = (F.col("alt_ft") > 0) & (F.col("alt_ft") < 500) & ~near_airport(F.col("lat"), F.col("lon"))
-    rules = [(low, "low_altitude", F.lit(0.80)), (military(F.col("icao")), "military_pattern", F.lit(0.75)), (NO_SQUAWK, "no_transponder", F.lit(0.60))]
+    rules = [(low, "low_altitude", F.lit(0.80)), (military(F.col("icao")), "military_pattern", F.lit(0.75)), (no_squawk(), "no_transponder", F.lit(0.60))]
     return emitted(rows.filter(F.coalesce("icao", F.lit("")) != ""), ["rec_id"], rules)
 
 
@@ -76,7 +77,7 @@ def traffic_rules(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     r = rows.join(n, "rec_id", "left").join(pairs, "rec_id", "left")
     low = (F.col("alt_ft") > 0) & (F.col("alt_ft") < 500)
     sure = 0.75 + F.least(F.lit(0.15), 0.03 * F.coalesce("n", F.lit(0)))
-    rules = [(low, "low_altitude", geo.rounded(sure, 4)), (military(F.col("icao"), dims.MILITARY[:2]), "military_pattern", F.lit(0.75)), (NO_SQUAWK & (F.col("alt_ft") < 5000), "no_transponder", F.lit(0.60)), (F.coalesce("paired", F.lit(False)), "formation", F.lit(0.70))]
+    rules = [(low, "low_altitude", geo.rounded(sure, 4)), (military(F.col("icao"), dims.MILITARY[:2]), "military_pattern", F.lit(0.75)), (no_squawk() & (F.col("alt_ft") < 5000), "no_transponder", F.lit(0.60)), (F.coalesce("paired", F.lit(False)), "formation", F.lit(0.70))]
     return emitted(r, ["rec_id"], rules)
 
 

@@ -11,11 +11,15 @@ from tidewatch.operators.ranges import near_join
 from tidewatch.sources import dims
 from tidewatch.sources.fixtures import ctes, fixture
 
-TRACK = Window.partitionBy("mmsi").orderBy("ts", "event_id")
 R = lambda x, n: f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"  # noqa: E731  the oracle's rounding
 GAP = "date_diff('microsecond', lag(ts) OVER w, ts) / 1e6"
 
 
+def track():  # noqa: ANN201
+    """The rows of a vessel in order of time."""
+    return Window.partitionBy("mmsi").orderBy("ts", "event_id")
+
+
 def seconds(a: Column, b: Column) -> Column:
     """From a to b."""
     return F.timestamp_diff("MICROSECOND", a, b) / F.lit(1e6)
@@ -23,7 +27,7 @@ def seconds(a: Column, b: Column) -> Column:
 
 def with_previous(rows: DataFrame, *columns: str) -> DataFrame:
     """rows with prev_<column> of the row before in the track."""
-    return rows.withColumns({f"prev_{c}": F.lag(c).over(TRACK) for c in columns})
+    return rows.withColumns({f"prev_{c}": F.lag(c).over(track()) for c in columns})
 
 
 def stepped(rows: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def gaps(rows: DataFrame, reading: str = "as_coded") -> DataFrame:
 
 def dark_entries(rows: DataFrame, reading: str = "as_coded") -> DataFrame:
     zoned = rows.withColumn("dark", in_dark_zone(F.col("lat"), F.col("lon"), reading))
-    return zoned.withColumn("was", F.lag("dark").over(TRACK)).filter(F.col("dark") & ~F.coalesce("was", F.lit(False))).select("event_id", "mmsi", F.lit(0.65).alias("confidence"))
+    return zoned.withColumn("was", F.lag("dark").over(track())).filter(F.col("dark") & ~F.coalesce("was", F.lit(False))).select("event_id", "mmsi", F.lit(0.65).alias("confidence"))
 
 
 def sanctioned(rows: DataFrame, listed: DataFrame) -> DataFrame:
@@ -108,8 +112,8 @@ SELECT p.mmsi, p.event_id FROM ais_positions p JOIN k USING (mmsi, ts)"""
 
 def tracks(rows: DataFrame, gap_s: float = 180.0) -> DataFrame:
     """Sessions of a vessel: a gap of gap_s or more starts another."""
-    new = F.coalesce(seconds(F.lag("ts").over(TRACK), F.col("ts")) >= gap_s, F.lit(True))
-    numbered = rows.withColumn("new", new.cast("int")).withColumn("track", F.sum("new").over(TRACK))
+    new = F.coalesce(seconds(F.lag("ts").over(track()), F.col("ts")) >= gap_s, F.lit(True))
+    numbered = rows.withColumn("new", new.cast("int")).withColumn("track", F.sum("new").over(track()))
     return numbered.groupBy("mmsi", "track").agg(F.count(F.lit(1)).alias("positions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
