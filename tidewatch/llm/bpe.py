@@ -65,6 +65,14 @@ class Table(dict):
             self.recent[key] = value
         return value
 
+    def put_all(self, fresh: dict) -> None:
+        if len(self) + len(fresh) <= self.room:
+            self.update(fresh)
+        else:
+            if len(self.recent) + len(fresh) > self.room // 3:
+                self.recent.clear()
+            self.recent.update(fresh)
+
 
 class Automaton:
     """The automaton of vocab (token to id) and merges (pairs of tokens, first merged first)."""

@@ -32,7 +32,7 @@ from tidewatch.llm.shared import documents, scratch, ship, text_of
 #: Ids of a block; pairs replaced in a round; how often a pair must occur; rounds at most; rows a shard is dealt.
 BLOCK, PAIRS, LEAST, ROUNDS, SHARD_ROWS, END_ID = 1 << 20, 2048, 16, 7, 8000, 1
 #: Entries of a worker's tables of chunks and of words; they bound memory and change no result.
-CHUNKS, WORDS = 700_000, 400_000
+CHUNKS, WORDS = 1_000_000, 600_000
 
 
 class Encoder:
@@ -81,8 +81,7 @@ class Encoder:
         for c, end in zip(plain, [*[i for i, own in enumerate(ids) if own is None], len(ids)], strict=bool(plain)):
             found[c] = b"".join(ids[at:end])
             at = end + 1
-        for w, own in fresh.items():
-            known.put(w, own)
+        known.put_all(fresh)
         return found
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -92,13 +91,14 @@ class Encoder:
         flat = list(chain.from_iterable(cut))
         got = list(map(known.get, flat))
         open_ = [i for i, ids in enumerate(got) if ids is None]
-        new = list({flat[i] for i in open_}.difference(recent))
-        fresh = self.learn(new) if new else {}
-        for i in open_:
-            c = flat[i]
-            got[i] = fresh[c] if c in fresh else recent[c]
-        for c, ids in fresh.items():
-            known.put(c, ids)
+        if open_:
+            left = list(map(flat.__getitem__, open_))
+            new = set(left).difference(recent)
+            fresh = self.learn(list(new)) if new else {}
+            fresh.update({c: recent[c] for c in set(left).intersection(recent)})
+            for i, ids in zip(open_, map(fresh.__getitem__, left), strict=True):
+                got[i] = ids
+            known.put_all({c: fresh[c] for c in new} if len(new) < len(fresh) else fresh)
         out, at = [], 0
         for row in cut:
             out.append(np.frombuffer(b"".join(got[at : at + len(row)]), self.kind).astype(np.uint32))
