@@ -91,11 +91,11 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), bits(0).alias("m1"), bits(6).alias("m2"), F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"))
     lines = stored(lines.select("doc_id", "tie", "at", F.inline(F.when(n >= min_words, F.array(known)))))  # no filter, as that would work the tokens out twice
     place = F.struct("doc_id", "tie", "at")
-    sets = stored(lines.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
+    sets = stored(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
     # the prefixes go through in parts by token, so that only one part's shuffle is on disk at a time
     met = reduce(DataFrame.unionByName, [stored(meetings(sets, room, part, parts)) for part in range(parts)])
     # the words of every line that has met another
-    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = sets.select("k1", "k2", "first", "copies")
     own = stored(met.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 IS NOT NULL").distinct().join(classes, "k1").select("k1", "k2", "first", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "tie", "at")]))
     asked = own.drop("first") if own.count() > few else F.broadcast(own.drop("first"))
     where = placed(docs, doc_id, text).alias("l").join(asked.alias("o"), F.col("l.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("l.tie") == F.col("o.tie")) & (F.col("l.at") == F.col("o.at")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -48,7 +49,9 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
+    spark._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
+    time.sleep(0.2)  # until the job's last events, which hold its plan, are through
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
