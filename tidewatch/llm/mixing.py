@@ -35,9 +35,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     rest_w = F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = total - F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     w = w.withColumn("level", rest / rest_w).withColumn("stops", F.col("at") < F.col("level"))
-    # the level that holds for the rest is the one at the first source that does not stop
-    first = F.min(F.struct(F.col("stops"), F.col("at"), F.col("level"))).over(Window.partitionBy())
-    return w.withColumn("target", F.when(first["stops"], F.col("most")).otherwise(F.least("most", F.col("weight") * first["level"]))).select("source", "source_size", "target")
+    # the level that holds for the rest is the one at the first source that does not stop, the highest of those that tie
+    first = F.min(F.struct(F.col("stops"), F.col("at"), (-F.col("level")).alias("below"))).over(Window.partitionBy())
+    return w.withColumn("target", F.when(first["stops"], F.col("most")).otherwise(F.least("most", F.col("weight") * -first["below"]))).select("source", "source_size", "target")
 
 
 def apportioned(units: DataFrame, by: list[str], order: list[str], seats: Column) -> DataFrame:
