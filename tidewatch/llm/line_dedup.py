@@ -73,7 +73,7 @@ def meetings(sets: DataFrame, room: int, part: int, parts: int) -> DataFrame:
     least = need(a["n"], b["n"])
     near = (
         (F.least(a["n"], b["n"]) * 5 >= F.greatest(a["n"], b["n"]) * 4) & (F.least(a["n"] - a["i"], b["n"] - b["i"]) >= least)
-        & (F.bit_count(a["m1"].bitwiseXOR(b["m1"])) <= a["n"] + b["n"] - 2 * least) & (F.bit_count(a["m2"].bitwiseXOR(b["m2"])) <= a["n"] + b["n"] - 2 * least)
+        & (F.bit_count(a["m1"].bitwiseXOR(b["m1"])) + F.bit_count(a["m2"].bitwiseXOR(b["m2"])) <= a["n"] + b["n"] - 2 * least)
     )
     return both.filter(F.col("alone").isNotNull() | near).select(F.when(F.col("alone").isNotNull(), F.col("token")).alias("token"), a["k1"].alias("a"), b["k1"].alias("b")).distinct()
 
@@ -86,9 +86,10 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     """
     levels = rarity(docs.select(F.explode(words_of(text_of(text))).alias("word")))
     lines = placed(docs, doc_id, text).select("doc_id", "tie", "at", tokens(F.col("line"), levels).alias("t"))
-    bits = lambda by: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(shift(F.shiftright(x, by).bitwiseAND(F.lit(63)))))
+    # each token has one of 128 bits: of m1 or of m2
+    bits = lambda half: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseOR(shift(x.bitwiseAND(F.lit(63))))).otherwise(a))
     n = F.size("t")
-    known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), bits(0).alias("m1"), bits(6).alias("m2"), F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"))
+    known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), bits(0).alias("m1"), bits(1).alias("m2"), F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"))
     lines = stored(lines.select("doc_id", "tie", "at", F.inline(F.when(n >= min_words, F.array(known)))))  # no filter, as that would work the tokens out twice
     place = F.struct("doc_id", "tie", "at")
     sets = stored(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
