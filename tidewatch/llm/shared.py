@@ -42,17 +42,22 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs, which it does once the driver has collected its garbage."""
+    time.sleep(0.2)  # until the last events, which hold the job's plan, are through
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read again: lineage ends here and survives lost executors.
 
-    What its job shuffled is of no more use, and Spark's cleaner drops it once the driver has collected its garbage.
+    What its job shuffled is of no more use and may go.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    spark._jvm.System.gc()
+    settle(spark)
     df.write.option("compression", "zstd").parquet(path)
-    time.sleep(0.2)  # until the job's last events, which hold its plan, are through
-    spark._jvm.System.gc()
+    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import documents, scratch, ship, text_of
+from tidewatch.llm.shared import documents, scratch, settle, ship, text_of
 
 DEPTH, GRAM = 50, 16
 #: Bytes of a batch of documents and of a bucket of the table; window starts that are hashed at a time.
@@ -302,6 +302,7 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     name = f"tidewatch_{uuid.uuid4().hex}"
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
     rows.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", scratch(spark)).saveAsTable(name)
+    settle(spark)
     held = spark.table(name)
     asked = held.groupBy("batch").applyInArrow(lambda t: ask(t, parts), ASKED)
     shared = asked.groupBy("part").applyInArrow(answer, SHARED)
