@@ -58,7 +58,8 @@ class Encoder:
 
     def spelled(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        parts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        ids = np.array([i for part in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False) for i in part.ids], self.kind)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             return {w: self.alone(w) for w in words}
@@ -139,15 +140,16 @@ def compress(ids: np.ndarray, vocab: int, least: int = LEAST, pairs: int = PAIRS
         l_, r_ = np.zeros(len(span), np.int32), np.zeros(len(span), np.int32)
         starts, ends = np.unique(left), np.unique(right)
         l_[starts], r_[ends] = np.arange(1, starts.size + 1), np.arange(1, ends.size + 1)
-        which = np.zeros((starts.size + 1, ends.size + 1), np.int32)
-        which[l_[left], r_[right]] = np.arange(1, keys.size + 1)
-        own = which[l_[body[:-1]], r_[body[1:]]]
+        width = ends.size + 1
+        which = np.zeros((starts.size + 1) * width, np.int32)
+        which[l_[left] * width + r_[right]] = np.arange(1, keys.size + 1)
+        own = np.take(which, np.take(l_ * width, body[:-1]) + np.take(r_, body[1:]))
         at = np.flatnonzero(own)
         k = own[at] - 1
         # of matches that overlap in a row, every second one goes
-        first = np.concatenate([[True], np.diff(at) != 1])
-        run = np.flatnonzero(first)
-        take = (np.arange(at.size) - np.repeat(run, np.diff(np.append(run, at.size)))) % 2 == 0
+        number = np.arange(at.size, dtype=np.int32)
+        run = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) != 1]), number, 0)) if at.size else number
+        take = (number - run) % 2 == 0
         at, k = at[take], k[take]
         body[at] = new[k]
         keep = np.ones(body.size, bool)
