@@ -11,14 +11,15 @@ from tidewatch.llm import chat, line_dedup
 def split(t):
     for c in "\t\x0b\x0c\r\n":
         t = t.replace(c, " ")
-    return {w for w in t.split(" ") if w}
+    w = [x for x in t.split(" ") if x]
+    return set(zip(*[w[k:] for k in range(5)]))
 
 
-def late_lines(texts, tie, least=5):
+def late_lines(texts, tie):
     """By brute force over all pairs: (doc_id, tie) and places of the lines that go."""
     rows = sorted({(i is not None, i or 0, tie[t or ""], t or "") for i, t in texts})
     lines = [(r[:3], k, split(x)) for r in rows for k, x in enumerate(r[3].split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2]]
     gone = defaultdict(list)
     for n, (row, k, s) in enumerate(lines):
         if any(9 * len(s & t) >= 4 * (len(s) + len(t)) for _, _, t in lines[:n]):
@@ -43,14 +44,14 @@ def test_lines_are_brute_force(spark, docs, texts, how):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_similar_lines(spark, seed):
     r = random.Random(seed)
-    vocabulary = [f"w{k}" for k in range(60)]
-    base = [r.sample(vocabulary, r.randrange(4, 25)) for _ in range(12)]
+    vocabulary = [f"w{k}" for k in range(80)]
+    base = [r.sample(vocabulary, r.randrange(4, 60)) for _ in range(12)]
     rows = []
     for i in range(60):
         lines = []
         for _ in range(r.randrange(1, 6)):
             line = list(r.choice(base))
-            for _ in range(r.randrange(0, 4)):
+            for _ in range(r.randrange(0, 3)):
                 line[r.randrange(len(line))] = r.choice(vocabulary)
             lines.append(" ".join(line + line[: r.randrange(3)]))
         rows.append((i, "\n".join(lines)))
