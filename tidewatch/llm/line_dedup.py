@@ -4,7 +4,8 @@ A line's tokens are its distinct shingles of five words, ordered by rarity: how
 all lines, in CLASSES classes, so that the table every task reads has one size whatever the corpus. Lines are similar at
 a Jaccard similarity of 4/5 or more; similar lines share a token among the first n - ceil(4n/5) + 1 of each (prefix
 filter), and at the first one they share enough tokens must be left (positional filter), sizes must be near (length
-filter), and 128 bits that stand for the tokens may not differ too often. What is left is verified on the words.
+filter), and 128 bits that stand for the tokens may not differ too often. What is left is verified on all
+shingles, by 64-bit hashes.
 
 A token with more than ROOM different lines gives no pairs: its lines look for one earlier similar line in a semi-join,
 which stops at the first. A line goes if an earlier one, by doc_id and place, is similar to it.
@@ -27,14 +28,14 @@ def shift(bits: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
 
 
-def shingled(line: Column, make, words: int = WORDS) -> Column:
-    """make(word, word, ...) of each run of so many neighbouring words; lines of fewer have none."""
-    return let(words_of(line), lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(0))), lambda x, i: make(x, *[F.get(w, i + k) for k in range(1, words)])))
+def shingled(line: Column, words: int = WORDS) -> Column:
+    """A 64-bit hash of each run of so many neighbouring words; lines of fewer have none."""
+    return let(F.transform(words_of(line), lambda w: F.xxhash64(w)), lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (words - 1), F.lit(0))), lambda x, i: F.xxhash64(F.slice(h, i + 1, F.lit(words)))))
 
 
 def rarity(lines: DataFrame, classes: int = CLASSES) -> bytes:
     """A byte for each hash class of the shingles of lines: 1 + 3 log2(1 + times), so the driver gets as many bytes as there are classes."""
-    each = lines.select(F.explode(shingled(F.col("line"), F.xxhash64)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    each = lines.select(F.explode(shingled(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     dense = lines.sparkSession.range(classes).select(F.col("id").alias("c")).join(each, "c", "left")
     level = F.least(F.lit(127), 1 + F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int")
     run = dense.groupBy(F.shiftright("c", 10).alias("run")).agg(F.sort_array(F.collect_list(F.struct("c", level.alias("level")))).alias("l"))
@@ -53,13 +54,12 @@ def tokens(line: Column, levels: bytes) -> Column:
     """The line's distinct shingles as sorted numbers, rarest first: the class's byte, then 56 bits of the shingle's hash."""
     table = F.lit(bytearray(levels))
 
-    def code(*words: Column) -> Column:
-        h = F.xxhash64(*words)
+    def code(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(len(levels) - 1)).cast("int") + 1
         level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so that sorting is one of plain numbers
         return h.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(level * (1 << 56))
 
-    return F.array_distinct(F.sort_array(shingled(line, code)))
+    return F.array_distinct(F.sort_array(F.transform(shingled(line), code)))
 
 
 def need(n: Column, m: Column) -> Column:
@@ -100,18 +100,18 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room:
     sets = stored(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
     # the prefixes go through in parts by token, so that only one part's shuffle is on disk at a time
     met = reduce(DataFrame.unionByName, [stored(meetings(sets, room, part, parts)) for part in range(parts)])
-    # the words of every line that has met another
+    # the shingles of every line that has met another
     classes = sets.select("k1", "k2", "first", "copies")
     own = stored(met.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 IS NOT NULL").distinct().join(classes, "k1").select("k1", "k2", "first", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "tie", "at")]))
     asked = own.drop("first") if own.count() > few else F.broadcast(own.drop("first"))
     where = placed(docs, doc_id, text).alias("l").join(asked.alias("o"), F.col("l.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("l.tie") == F.col("o.tie")) & (F.col("l.at") == F.col("o.at")))
     told = where.groupBy("k1", "k2", "o.doc_id", "o.tie", "o.at").agg(F.first("line").alias("line"))  # equal rows give a line twice
-    told = stored(told.select("k1", "k2", F.struct("doc_id", "tie", "at").alias("first"), F.array_distinct(shingled(F.col("line"), lambda *w: F.concat_ws(" ", *w))).alias("words")))
+    told = stored(told.select("k1", "k2", F.struct("doc_id", "tie", "at").alias("first"), F.array_distinct(shingled(F.col("line"))).alias("all")))
     x, y = told.alias("x"), told.alias("y")
-    similar = F.size(F.array_intersect("x.words", "y.words")) >= need(F.size("x.words"), F.size("y.words"))
+    similar = F.size(F.array_intersect("x.all", "y.all")) >= need(F.size("x.all"), F.size("y.all"))
     pairs = met.filter("token IS NULL").join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1")).filter(similar)
     late = pairs.select(F.when(F.col("x.first") < F.col("y.first"), F.struct("y.k1", "y.k2")).otherwise(F.struct("x.k1", "x.k2")).alias("late")).select("late.*")
-    crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", "words", F.size("words").alias("n"))
+    crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", "all", F.size("all").alias("n"))
     x, y = crowd.alias("x"), crowd.alias("y")
     found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & similar, "left_semi").select("k1", "k2")
     late = late.unionByName(found).distinct().withColumn("late", F.lit(True))
