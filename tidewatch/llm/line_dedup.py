@@ -1,11 +1,10 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words, ordered by rarity: how often the shingle's hash class occurs in
-all lines, in CLASSES classes, so that the table every task reads has one size whatever the corpus. Lines are similar at
-a Jaccard similarity of 4/5 or more; similar lines share a token among the first n - ceil(4n/5) + 1 of each (prefix
-filter), and at the first one they share enough tokens must be left (positional filter), sizes must be near (length
-filter), and 128 bits that stand for the tokens may not differ too often. What is left is verified on all
-shingles, by 64-bit hashes.
+A line's tokens are its distinct words, ordered by rarity: how often the word's hash class occurs in all texts, in
+CLASSES classes, so that the table every task reads has one size whatever the corpus. Lines are similar at a Jaccard
+similarity of 4/5 or more; similar lines share a token among the first n - ceil(4n/5) + 1 of each (prefix filter), and
+at the first one they share enough tokens must be left (positional filter), sizes must be near (length filter), and
+128 bits that stand for the tokens may not differ too often. What is left is verified on the words themselves.
 
 A token with more than ROOM different lines gives no pairs: its lines look for one earlier similar line in a semi-join,
 which stops at the first. A line goes if an earlier one, by doc_id and place, is similar to it.
@@ -19,24 +18,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.shared import documents, let, stored, text_of, words_of
+from tidewatch.llm.shared import documents, drop, let, stored, text_of, words_of
 
-WORDS, CLASSES, ROOM, FEW, PARTS = 5, 1 << 20, 64, 1_000_000, 3
+CLASSES, ROOM, MIN_WORDS, FEW, PARTS = 1 << 20, 64, 5, 1_000_000, 3
 
 
 def shift(bits: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
 
 
-def shingled(line: Column, words: int = WORDS) -> Column:
-    """A 64-bit hash of each run of so many neighbouring words; lines of fewer have none."""
-    return let(F.transform(words_of(line), lambda w: F.xxhash64(w)), lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (words - 1), F.lit(0))), lambda x, i: F.xxhash64(F.slice(h, i + 1, F.lit(words)))))
+def hashed(line: Column) -> Column:
+    """A 64-bit hash of each word."""
+    return F.transform(words_of(line), lambda w: F.xxhash64(w))
 
 
-def rarity(lines: DataFrame, classes: int = CLASSES) -> bytes:
-    """A byte for each hash class of the shingles of lines: 1 + 3 log2(1 + times), so the driver gets as many bytes as there are classes."""
-    each = lines.select(F.explode(shingled(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    dense = lines.sparkSession.range(classes).select(F.col("id").alias("c")).join(each, "c", "left")
+def rarity(docs: DataFrame, text: str, classes: int = CLASSES) -> bytes:
+    """A byte for each hash class of the words of all texts: 1 + 3 log2(1 + times), so the driver gets as many bytes as there are classes."""
+    each = docs.select(F.explode(hashed(text_of(text))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    dense = docs.sparkSession.range(classes).select(F.col("id").alias("c")).join(each, "c", "left")
     level = F.least(F.lit(127), 1 + F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int")
     run = dense.groupBy(F.shiftright("c", 10).alias("run")).agg(F.sort_array(F.collect_list(F.struct("c", level.alias("level")))).alias("l"))
     rows = run.select("run", F.array_join(F.transform("l", lambda x: F.char(x["level"])), "").alias("levels")).collect()
@@ -51,7 +50,7 @@ def placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def tokens(line: Column, levels: bytes) -> Column:
-    """The line's distinct shingles as sorted numbers, rarest first: the class's byte, then 56 bits of the shingle's hash."""
+    """The line's distinct words as sorted numbers, rarest first: the class's byte, then 56 bits of the word's hash."""
     table = F.lit(bytearray(levels))
 
     def code(h: Column) -> Column:
@@ -59,7 +58,7 @@ def tokens(line: Column, levels: bytes) -> Column:
         level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so that sorting is one of plain numbers
         return h.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(level * (1 << 56))
 
-    return F.array_distinct(F.sort_array(F.transform(shingled(line), code)))
+    return F.array_distinct(F.sort_array(F.transform(hashed(line), code)))
 
 
 def need(n: Column, m: Column) -> Column:
@@ -83,30 +82,34 @@ def meetings(sets: DataFrame, room: int, part: int, parts: int) -> DataFrame:
     return both.filter(F.col("alone").isNotNull() | near).select(F.when(F.col("alone").isNotNull(), F.col("token")).alias("token"), a["k1"].alias("a"), b["k1"].alias("b")).distinct()
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, few: int = FEW, parts: int = PARTS) -> DataFrame:
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, room: int = ROOM, few: int = FEW, parts: int = PARTS) -> DataFrame:
     """Of each document that loses lines: doc_id, tie, removed (places of lines from 0, sorted).
 
     Order is by doc_id (null first), then a hash of the text, then place, so equal rows lose the same lines. Lines of
-    fewer than five words are no one's copy and stay. Null texts count as empty; other columns are ignored.
+    fewer than min_words distinct words are no one's copy and stay. Null texts count as empty; other columns are ignored.
     """
-    levels = rarity(placed(docs, doc_id, text))
+    levels = rarity(docs, text)
     lines = placed(docs, doc_id, text).select("doc_id", "tie", "at", tokens(F.col("line"), levels).alias("t"))
     # each token has one of 128 bits: of m1 or of m2
     bits = lambda half: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseOR(shift(x.bitwiseAND(F.lit(63))))).otherwise(a))
     n = F.size("t")
     known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), bits(0).alias("m1"), bits(1).alias("m2"), F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"))
-    lines = stored(lines.select("doc_id", "tie", "at", F.inline(F.when(n > 0, F.array(known)))))  # no filter, as that would work the tokens out twice
+    whole = stored(lines.select("doc_id", "tie", "at", F.inline(F.when(n >= min_words, F.array(known)))))  # no filter, as that would work the tokens out twice
     place = F.struct("doc_id", "tie", "at")
-    sets = stored(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
+    sets = stored(whole.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
+    lines = stored(whole.select("doc_id", "tie", "at", "k1", "k2"))
+    drop(whole)
     # the prefixes go through in parts by token, so that only one part's shuffle is on disk at a time
     met = reduce(DataFrame.unionByName, [stored(meetings(sets, room, part, parts)) for part in range(parts)])
-    # the shingles of every line that has met another
-    classes = sets.select("k1", "k2", "first", "copies")
+    # the text of every line that has met another, as it takes less room than hashes of its words
+    classes = stored(sets.select("k1", "k2", "first", "copies"))
+    drop(sets)
     own = stored(met.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 IS NOT NULL").distinct().join(classes, "k1").select("k1", "k2", "first", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "tie", "at")]))
     asked = own.drop("first") if own.count() > few else F.broadcast(own.drop("first"))
     where = placed(docs, doc_id, text).alias("l").join(asked.alias("o"), F.col("l.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("l.tie") == F.col("o.tie")) & (F.col("l.at") == F.col("o.at")))
     told = where.groupBy("k1", "k2", "o.doc_id", "o.tie", "o.at").agg(F.first("line").alias("line"))  # equal rows give a line twice
-    told = stored(told.select("k1", "k2", F.struct("doc_id", "tie", "at").alias("first"), F.array_distinct(shingled(F.col("line"))).alias("all")))
+    told = stored(told.select("k1", "k2", F.struct("doc_id", "tie", "at").alias("first"), "line"))
+    told = told.withColumn("all", F.array_distinct(words_of(F.col("line")))).drop("line")
     x, y = told.alias("x"), told.alias("y")
     similar = F.size(F.array_intersect("x.all", "y.all")) >= need(F.size("x.all"), F.size("y.all"))
     pairs = met.filter("token IS NULL").join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1")).filter(similar)

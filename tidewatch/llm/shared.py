@@ -61,6 +61,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a stored() table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package's code, once for each context; for operators that run Python there."""
     sc = spark.sparkContext
