@@ -113,10 +113,10 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     x, y = told.alias("x"), told.alias("y")
     similar = F.size(F.array_intersect("x.all", "y.all")) >= need(F.size("x.all"), F.size("y.all"))
     pairs = met.filter("token IS NULL").join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1")).filter(similar)
-    late = pairs.select(F.when(F.col("x.first") < F.col("y.first"), F.struct("y.k1", "y.k2")).otherwise(F.struct("x.k1", "x.k2")).alias("late")).select("late.*")
+    late = stored(pairs.select(F.when(F.col("x.first") < F.col("y.first"), F.struct("y.k1", "y.k2")).otherwise(F.struct("x.k1", "x.k2")).alias("late")).select("late.*").distinct())  # stored, so that no two of these joins have shuffles on disk at once
     crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", "all", F.size("all").alias("n"))
     x, y = crowd.alias("x"), crowd.alias("y")
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & similar, "left_semi").select("k1", "k2")
+    found = stored(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & similar, "left_semi").select("k1", "k2").distinct())
     late = late.unionByName(found).distinct().withColumn("late", F.lit(True))
     dirty = classes.join(late, ["k1", "k2"], "left").filter((F.col("copies") > 1) | F.col("late"))
     gone = lines.select("k1", "k2", place.alias("own")).join(dirty, ["k1", "k2"]).filter(F.coalesce("late", F.lit(False)) | (F.col("own") != F.col("first")))
