@@ -82,6 +82,19 @@ def meetings(sets: DataFrame, room: int, part: int, parts: int) -> DataFrame:
     return both.filter(F.col("alone").isNotNull() | near).select(F.when(F.col("alone").isNotNull(), F.col("token")).alias("token"), a["k1"].alias("a"), b["k1"].alias("b")).distinct()
 
 
+def similar(x: Column, y: Column) -> Column:
+    """Whether two arrays of distinct words have a similarity of 4/5 or more."""
+    return F.size(F.array_intersect(x, y)) >= need(F.size(x), F.size(y))
+
+
+def later_of_pairs(met: DataFrame, told: DataFrame) -> DataFrame:
+    """The later line (k1, k2) of each similar pair that met. Lines go to their pairs as text, which takes a third of the room that arrays of their words take."""
+    x, y = told.alias("x"), told.alias("y")
+    words = F.struct(*[F.array_distinct(words_of(F.col(f"{c}.line"))).alias(c) for c in ("x", "y")])
+    pairs = met.filter("token IS NULL").join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1")).filter(let(words, lambda w: similar(w["x"], w["y"])))
+    return pairs.select(F.when(F.col("x.first") < F.col("y.first"), F.struct("y.k1", "y.k2")).otherwise(F.struct("x.k1", "x.k2")).alias("late")).select("late.*").distinct()
+
+
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, room: int = ROOM, few: int = FEW, parts: int = PARTS) -> DataFrame:
     """Of each document that loses lines: doc_id, tie, removed (places of lines from 0, sorted).
 
@@ -100,7 +113,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     lines = stored(whole.select("doc_id", "tie", "at", "k1", "k2"))
     drop(whole)
     # the prefixes go through in parts by token, so that only one part's shuffle is on disk at a time
-    met = reduce(DataFrame.unionByName, [stored(meetings(sets, room, part, parts)) for part in range(parts)])
+    each = [stored(meetings(sets, room, part, parts)) for part in range(parts)]
+    met = reduce(DataFrame.unionByName, each)
     # the text of every line that has met another, as it takes less room than hashes of its words
     classes = stored(sets.select("k1", "k2", "first", "copies"))
     drop(sets)
@@ -109,14 +123,10 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     where = placed(docs, doc_id, text).alias("l").join(asked.alias("o"), F.col("l.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("l.tie") == F.col("o.tie")) & (F.col("l.at") == F.col("o.at")))
     told = where.groupBy("k1", "k2", "o.doc_id", "o.tie", "o.at").agg(F.first("line").alias("line"))  # equal rows give a line twice
     told = stored(told.select("k1", "k2", F.struct("doc_id", "tie", "at").alias("first"), "line"))
-    told = told.withColumn("all", F.array_distinct(words_of(F.col("line")))).drop("line")
-    x, y = told.alias("x"), told.alias("y")
-    similar = F.size(F.array_intersect("x.all", "y.all")) >= need(F.size("x.all"), F.size("y.all"))
-    pairs = met.filter("token IS NULL").join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1")).filter(similar)
-    late = stored(pairs.select(F.when(F.col("x.first") < F.col("y.first"), F.struct("y.k1", "y.k2")).otherwise(F.struct("x.k1", "x.k2")).alias("late")).select("late.*").distinct())  # stored, so that no two of these joins have shuffles on disk at once
-    crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", "all", F.size("all").alias("n"))
+    late = reduce(DataFrame.unionByName, [stored(later_of_pairs(part, told)) for part in each])
+    crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", F.array_distinct(words_of(F.col("line"))).alias("all")).withColumn("n", F.size("all"))
     x, y = crowd.alias("x"), crowd.alias("y")
-    found = stored(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & similar, "left_semi").select("k1", "k2").distinct())
+    found = stored(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & similar(F.col("x.all"), F.col("y.all")), "left_semi").select("k1", "k2").distinct())
     late = late.unionByName(found).distinct().withColumn("late", F.lit(True))
     dirty = classes.join(late, ["k1", "k2"], "left").filter((F.col("copies") > 1) | F.col("late"))
     gone = lines.select("k1", "k2", place.alias("own")).join(dirty, ["k1", "k2"]).filter(F.coalesce("late", F.lit(False)) | (F.col("own") != F.col("first")))
