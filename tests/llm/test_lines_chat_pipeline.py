@@ -124,3 +124,43 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids[3]) <= set(ids[2]) and max(ids[3].count(i) for i in ids[3]) <= 2
     assert ids[4] == ids[3] and all(len(x.ids) == x.n_tokens > 0 for x in seen[4])
     assert corpus_pipeline.run(spark, root).count() == len(seen[4])
+
+
+def shingles(t):
+    w = split_all(t)
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def split_all(t):
+    for c in "\t\x0b\x0c\r\n":
+        t = t.replace(c, " ")
+    return [w for w in t.translate({c: c + 32 for c in range(65, 91)}).split(" ") if w]
+
+
+def planted(seed, bases, of=150):
+    """(doc_id, text) of base texts and, for each, near copies with a few words changed; a hot text has many."""
+    r = random.Random(seed)
+    rows = []
+    for b in range(bases):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randrange(of // 2, of * 2))]
+        for copy in range(100 if b == 0 else 4):
+            w = list(base)
+            for _ in range(r.randrange(0, 1 + len(w) // 40) if copy else 0):
+                w[r.randrange(len(w))] = f"x{r.randrange(3000)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows + [(9000, ""), (9001, None), (9002, "Four Words Are Few"), (9003, "four words are few"), (9004, "four words are"), (9005, "a b c d e f g h i"), (5, rows[5][1])]
+
+
+def kept_by_force(rows):
+    order = sorted(((i, shingles(t or "")) for i, t in rows), key=lambda x: x[0])
+    return [i for n, (i, s) in enumerate(order) if not any(5 * len(s & t) >= 4 * len(s | t) for _, t in order[:n])]
+
+
+@pytest.mark.parametrize("how", [{}, {"room": 3, "few": 0, "parts": 2}], ids=["plain", "crowded"])
+def test_near_copies_at_four_fifths(spark, how):
+    rows = planted(4, 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in line_dedup.one_of_each(df, **how).collect())
+    assert got == kept_by_force(rows)
+    again = corpus_pipeline.near_copies(spark, df, "").collect()
+    assert sorted(r.doc_id for r in again) == got

@@ -8,6 +8,8 @@ at the first one they share enough tokens must be left (positional filter), size
 
 A token with more than ROOM different lines gives no pairs: its lines look for one earlier similar line in a semi-join,
 which stops at the first. A line goes if an earlier one, by doc_id and place, is similar to it.
+
+Whole documents go the same way through one_of_each(): a document is one line, and its tokens are its shingles.
 """
 
 from __future__ import annotations
@@ -21,20 +23,33 @@ from pyspark.sql.window import Window
 from tidewatch.llm.shared import documents, drop, let, stored, text_of, words_of
 
 CLASSES, ROOM, MIN_WORDS, FEW, PARTS = 1 << 20, 64, 5, 1_000_000, 3
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shift(bits: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
 
 
-def hashed(line: Column) -> Column:
-    """A 64-bit hash of each word."""
-    return F.transform(words_of(line), lambda w: F.xxhash64(w))
+def shingled(words: Column, shingle: int, made) -> Column:
+    """made(w, i) for each i at which a shingle of so many words starts; a text of fewer is one shingle, and so is an empty one."""
+    return let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: made(w, i)))
+
+
+def units(line: Column, shingle: int = 0) -> Column:
+    """What a line's tokens stand for: its words, or its shingles of so many words, in which A to Z count as a to z."""
+    if not shingle:
+        return words_of(line)
+    return shingled(words_of(F.translate(line, UPPER, UPPER.lower())), shingle, lambda w, i: F.array_join(F.slice(w, i + 1, F.lit(shingle)), " "))
+
 
+def hashed(line: Column, shingle: int = 0) -> Column:
+    """A 64-bit hash of each word or shingle."""
+    return F.transform(units(line, shingle), lambda w: F.xxhash64(w))
 
-def rarity(docs: DataFrame, text: str, classes: int = CLASSES) -> bytes:
-    """A byte for each hash class of the words of all texts: 1 + 3 log2(1 + times), so the driver gets as many bytes as there are classes."""
-    each = docs.select(F.explode(hashed(text_of(text))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+def rarity(docs: DataFrame, text: str, classes: int = CLASSES, shingle: int = 0) -> bytes:
+    """A byte for each hash class of the words (or shingles) of all texts: 1 + 3 log2(1 + times), so the driver gets as many bytes as there are classes."""
+    each = docs.select(F.explode(hashed(text_of(text), shingle)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     dense = docs.sparkSession.range(classes).select(F.col("id").alias("c")).join(each, "c", "left")
     level = F.least(F.lit(127), 1 + F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int")
     run = dense.groupBy(F.shiftright("c", 10).alias("run")).agg(F.sort_array(F.collect_list(F.struct("c", level.alias("level")))).alias("l"))
@@ -42,15 +57,15 @@ def rarity(docs: DataFrame, text: str, classes: int = CLASSES) -> bytes:
     return "".join(r["levels"] for r in sorted(rows, key=lambda r: r["run"])).encode("ascii")
 
 
-def placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A row per line: doc_id, tie (a hash of the whole text), at (place from 0), line."""
+def placed(docs: DataFrame, doc_id: str, text: str, whole: bool = False) -> DataFrame:
+    """A row per line, or per text if whole: doc_id, tie (a hash of the whole text), at (place from 0), line."""
     t = text_of(text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tie"), F.split(t, "\n", -1).alias("lines"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tie"), (F.array(t) if whole else F.split(t, "\n", -1)).alias("lines"))
     return rows.select("doc_id", "tie", F.posexplode("lines").alias("at", "line"))
 
 
-def tokens(line: Column, levels: bytes) -> Column:
-    """The line's distinct words as sorted numbers, rarest first: the class's byte, then 56 bits of the word's hash."""
+def tokens(line: Column, levels: bytes, shingle: int = 0) -> Column:
+    """The line's distinct words or shingles as sorted numbers, rarest first: the class's byte, then 56 bits of the word's hash."""
     table = F.lit(bytearray(levels))
 
     def code(h: Column) -> Column:
@@ -58,7 +73,7 @@ def tokens(line: Column, levels: bytes) -> Column:
         level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so that sorting is one of plain numbers
         return h.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(level * (1 << 56))
 
-    return F.array_distinct(F.sort_array(F.transform(hashed(line), code)))
+    return F.array_distinct(F.sort_array(F.transform(hashed(line, shingle), code)))
 
 
 def need(n: Column, m: Column) -> Column:
@@ -87,26 +102,29 @@ def similar(x: Column, y: Column) -> Column:
     return F.size(F.array_intersect(x, y)) >= need(F.size(x), F.size(y))
 
 
-def later_of_pairs(met: DataFrame, told: DataFrame) -> DataFrame:
+def later_of_pairs(met: DataFrame, told: DataFrame, shingle: int = 0) -> DataFrame:
     """The later line (k1, k2) of each similar pair that met. Lines go to their pairs as text, which takes a third of the room that arrays of their words take."""
     x, y = told.alias("x"), told.alias("y")
-    words = F.struct(*[F.array_distinct(words_of(F.col(f"{c}.line"))).alias(c) for c in ("x", "y")])
+    words = F.struct(*[F.array_distinct(units(F.col(f"{c}.line"), shingle)).alias(c) for c in ("x", "y")])
     pairs = met.filter("token IS NULL").join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1")).filter(let(words, lambda w: similar(w["x"], w["y"])))
     return pairs.select(F.when(F.col("x.first") < F.col("y.first"), F.struct("y.k1", "y.k2")).otherwise(F.struct("x.k1", "x.k2")).alias("late")).select("late.*").distinct()
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, room: int = ROOM, few: int = FEW, parts: int = PARTS) -> DataFrame:
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, room: int = ROOM, few: int = FEW, parts: int = PARTS, shingle: int = 0) -> DataFrame:
     """Of each document that loses lines: doc_id, tie, removed (places of lines from 0, sorted).
 
     Order is by doc_id (null first), then a hash of the text, then place, so equal rows lose the same lines. Lines of
-    fewer than min_words distinct words are no one's copy and stay. Null texts count as empty; other columns are ignored.
+    fewer than min_words distinct words are no one's copy and stay. With shingle, each text is one line and its tokens
+    are shingles of so many words. Null texts count as empty; other columns are ignored.
     """
-    levels = rarity(docs, text)
-    lines = placed(docs, doc_id, text).select("doc_id", "tie", "at", tokens(F.col("line"), levels).alias("t"))
+    levels = rarity(docs, text, shingle=shingle)
+    lines = placed(docs, doc_id, text, shingle > 0).select("doc_id", "tie", "at", tokens(F.col("line"), levels, shingle).alias("t"))
     # each token has one of 128 bits: of m1 or of m2
     bits = lambda half: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseOR(shift(x.bitwiseAND(F.lit(63))))).otherwise(a))
+    m1, m2 = (F.lit(0).cast("long"),) * 2 if shingle else (bits(0), bits(1))  # a text's many shingles would fill them all
     n = F.size("t")
-    known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), bits(0).alias("m1"), bits(1).alias("m2"), F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"))
+    first = F.when(n < 4, 0).otherwise(n - F.floor((4 * n + 4) / 5).cast("int") + 1)  # what differs from fewer than four tokens is not similar to them
+    known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), m1.alias("m1"), m2.alias("m2"), F.slice("t", F.lit(1), first).alias("prefix"))
     whole = stored(lines.select("doc_id", "tie", "at", F.inline(F.when(n >= min_words, F.array(known)))))  # no filter, as that would work the tokens out twice
     place = F.struct("doc_id", "tie", "at")
     sets = stored(whole.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
@@ -120,11 +138,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     drop(sets)
     own = stored(met.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 IS NOT NULL").distinct().join(classes, "k1").select("k1", "k2", "first", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "tie", "at")]))
     asked = own.drop("first") if own.count() > few else F.broadcast(own.drop("first"))
-    where = placed(docs, doc_id, text).alias("l").join(asked.alias("o"), F.col("l.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("l.tie") == F.col("o.tie")) & (F.col("l.at") == F.col("o.at")))
+    where = placed(docs, doc_id, text, shingle > 0).alias("l").join(asked.alias("o"), F.col("l.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("l.tie") == F.col("o.tie")) & (F.col("l.at") == F.col("o.at")))
     told = where.groupBy("k1", "k2", "o.doc_id", "o.tie", "o.at").agg(F.first("line").alias("line"))  # equal rows give a line twice
     told = stored(told.select("k1", "k2", F.struct("doc_id", "tie", "at").alias("first"), "line"))
-    late = reduce(DataFrame.unionByName, [stored(later_of_pairs(part, told)) for part in each])
-    crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", F.array_distinct(words_of(F.col("line"))).alias("all")).withColumn("n", F.size("all"))
+    late = reduce(DataFrame.unionByName, [stored(later_of_pairs(part, told, shingle)) for part in each])
+    sets_of = F.array_distinct(hashed(F.col("line"), shingle) if shingle else words_of(F.col("line")))  # hashes of shingles, a fifth of their size
+    crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", sets_of.alias("all")).withColumn("n", F.size("all"))
     x, y = crowd.alias("x"), crowd.alias("y")
     found = stored(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & similar(F.col("x.all"), F.col("y.all")), "left_semi").select("k1", "k2").distinct())
     late = late.unionByName(found).distinct().withColumn("late", F.lit(True))
@@ -141,6 +160,14 @@ def marked(docs: DataFrame, columns: list, doc_id: str, text: str, how: dict) ->
     return out.withColumn("_removed", F.coalesce("_gone", F.array().cast("array<int>"))).drop("_own", "_mark", "_id", "_tie", "_gone")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, **how) -> DataFrame:
+    """docs without those whose shingles of so many words are similar, at 4/5 or more, to those of an earlier one; of rows that are the same in id and text, one."""
+    gone = removals(docs, doc_id, text, **{"min_words": 1, "shingle": words} | how).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    rows = docs.withColumn("_own", F.col(doc_id).cast("long")).withColumn("_mark", F.xxhash64(text_of(text)))
+    kept = rows.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_tie")), "left_anti")
+    return kept.withColumn("_place", F.row_number().over(Window.partitionBy("_own", "_mark").orderBy(F.lit(0)))).filter("_place = 1").select(*docs.columns)
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without the lines that removals() names; rows that lose none stay as they are, null texts too."""
     names = docs.columns
