@@ -164,3 +164,15 @@ def test_near_copies_at_four_fifths(spark, how):
     assert got == kept_by_force(rows)
     again = corpus_pipeline.near_copies(spark, df, "").collect()
     assert sorted(r.doc_id for r in again) == got
+
+
+def test_short_lines_go_too(spark):
+    short = ["Read more", "read more", "all rights are reserved", "reserved are rights all", "all rights are reserved here", "こんにちは世界。", "", " ", "x", "x x", "a b c", "a b c d"]
+    r = random.Random(6)
+    rows = [(i, "\n".join(r.choice(short) for _ in range(r.randrange(1, 6)))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mark = ties(spark, rows)
+    want = late_lines(rows, mark, least=1)
+    got = line_dedup.marked(df, ["doc_id"], "doc_id", "text", {"room": 2}).collect()
+    assert {r.doc_id: r._removed for r in got} == {i: want.get((i, mark[t]), []) for i, t in rows}
+    assert sum("x" in r.text.split("\n") for r in line_dedup.deduplicated(df).collect()) == 1

@@ -153,8 +153,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
 
 
 def marked(docs: DataFrame, columns: list, doc_id: str, text: str, how: dict) -> DataFrame:
-    """columns of docs, with _removed (places, empty if none)."""
-    gone = removals(docs, doc_id, text, **how).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_gone"))
+    """columns of docs, with _removed (places, empty if none). Only lines without a word are exempt, unless how says otherwise."""
+    gone = removals(docs, doc_id, text, **{"min_words": 1} | how).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_gone"))
     held = docs.select(*columns, F.col(doc_id).cast("long").alias("_own"), F.xxhash64(text_of(text)).alias("_mark"))
     out = held.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_tie")), "left")
     return out.withColumn("_removed", F.coalesce("_gone", F.array().cast("array<int>"))).drop("_own", "_mark", "_id", "_tie", "_gone")
