@@ -158,3 +158,27 @@ def test_spaced_is_greedy(spark, gap):
         if not want or x - want[-1] >= gap:
             want.append(x)
     assert got == want
+
+
+def test_gate_is_an_as_of_join(spark):
+    import random
+
+    import duckdb
+
+    r = random.Random(2)
+    kinds = ["sensors:ionospheric", "ionosphere:anomalies", "seismic:events", "unknown"]
+    events = [(i, r.choice(kinds), r.randrange(200_000), r.choice([0.2, 0.5, 0.9])) for i in range(400)]
+    events += [(900, kinds[0], 11_100, 0.9), (901, kinds[2], 11_100, 0.1), (902, kinds[0], 10_200 + 10_800, 0.9)]
+    reports = [(10_200, 5.0), *[(t, r.choice([1.0, 4.0, 4.5, 8.0])) for t in r.sample(range(22_000, 200_000), 15)]]
+    got = sensing.gated(spark.createDataFrame(events, "event_id long, channel string, t_s long, confidence double"), spark.createDataFrame(reports, "t_s long, kp double"))
+    assert got.columns == ["event_id", "channel", "t_s", "confidence"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (event_id BIGINT, channel VARCHAR, t_s BIGINT, confidence DOUBLE)")
+    con.execute("CREATE TABLE k (t_s BIGINT, kp DOUBLE)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", events)
+    con.executemany("INSERT INTO k VALUES (?, ?)", reports)
+    want = con.execute("""SELECT event_id FROM e ASOF LEFT JOIN k ON e.t_s >= k.t_s WHERE channel NOT IN ('sensors:ionospheric', 'ionosphere:anomalies')
+      OR (confidence >= 0.5 AND NOT coalesce(kp > 4 AND e.t_s - k.t_s < 10800, false))""").fetchall()
+    ids = sorted(x.event_id for x in got.collect())
+    assert ids == sorted(x[0] for x in want)
+    assert 900 not in ids and {901, 902} <= set(ids)

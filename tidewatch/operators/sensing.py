@@ -231,15 +231,23 @@ x AS (SELECT event_id, [{", ".join(f"'{b[2]}'" for b in dims.RF_BANDS)}][band_no
 SELECT event_id, band, CASE WHEN band LIKE '%drone_control%' OR band LIKE '%wifi_drone%' THEN 'drone_control' WHEN excess > 20 THEN 'jamming' ELSE 'unknown_burst' END AS kind, {R("excess", 4)} AS excess_db, {R("least(0.95e0, 0.5e0 + excess / 30)", 4)} AS confidence FROM x WHERE excess >= 10"""
 
 
+STORM_S = 10_800  # how long a storm report holds
+
+
 def gated(rows: DataFrame, kp: DataFrame | None = None, least: float = 0.50) -> DataFrame:
-    """Events that count: confident ones, and ionospheric ones only where no storm (kp over 4 at the last report within three hours) is on. kp: t_s, kp."""
-    rows = rows.filter(F.col("confidence") >= least)
+    """Events that count: all but ionospheric ones that are not confident or come while a storm (kp over 4 at the last report, less than three hours old) is on. kp: t_s, kp."""
+    ionospheric = F.col("channel").isin("sensors:ionospheric", "ionosphere:anomalies")
+    rows = rows.filter(~F.coalesce(ionospheric, F.lit(False)) | (F.coalesce("confidence", F.lit(0.0)) >= least))
     if kp is None:
         return rows
-    both = rows.withColumn("kp", F.lit(None).cast("double")).unionByName(kp.select("t_s", "kp"), allowMissingColumns=True)
-    hour = Window.partitionBy(F.floor(F.col("t_s") / 10_800)).orderBy("t_s", F.col("kp").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("kp", True).over(hour)
-    return both.withColumn("last_kp", last).filter(F.col("channel").isNotNull() & ~(F.col("channel").isin("sensors:ionospheric", "ionosphere:anomalies") & F.coalesce(F.col("last_kp") > 4, F.lit(False)))).drop("kp", "last_kp")
+    # a report counts in its own block of three hours and in the next
+    block = F.floor(F.col("t_s") / STORM_S)
+    reports = kp.filter("kp IS NOT NULL").select("t_s", F.struct(F.col("t_s").alias("t"), F.col("kp").cast("double").alias("kp")).alias("_kp"), F.explode(F.array(block, block + 1)).alias("_block"))
+    both = rows.withColumn("_block", block).withColumn("_event", F.lit(True)).unionByName(reports, allowMissingColumns=True)
+    so_far = Window.partitionBy("_block").orderBy("t_s", F.col("_event").isNotNull(), "_kp.kp").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_kp", True).over(so_far)
+    storm = F.coalesce((F.col("_last.kp") > 4) & (F.col("t_s") - F.col("_last.t") < STORM_S), F.lit(False))
+    return both.withColumn("_last", last).filter(F.col("_event") & ~(F.coalesce(ionospheric, F.lit(False)) & storm)).select(*rows.columns)
 
 
 def scores(rows: DataFrame, window_s: int = 120) -> DataFrame:
