@@ -62,6 +62,14 @@ def test_rules_reject_what_good_texts_never_show(spark):
     assert kept == set(range(3000))
 
 
+def test_all_good_labels_count(spark):
+    # 1,000 good texts suffice at one stratum, half of them would not: 0.02 / 3 and 0.05 / 3 ask for 613
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(1000)] + [(1000 + i, " ".join(f"w{i}y{j} $$$$" for j in range(60)), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert {r.doc_id for r in quality.judged(docs, labels).filter("_kept").collect()} == set(range(1000))
+
+
 def test_quality_of_nothing(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judged(empty, labels).collect() == []

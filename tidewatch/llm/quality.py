@@ -1,7 +1,7 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects texts whose measure exceeds a cutoff. For each stratum (a language) and rule, cutoffs are tested
-from the loosest to the strictest on held-out texts labelled good: the exact binomial probability of at most the
+from the loosest to the strictest on all texts labelled good, as nothing else is fitted: the exact binomial probability of at most the
 seen number of false rejections, were the true rate ALPHA / rules, must not exceed DELTA / (strata * rules). The first
 cutoff that fails ends the sequence, so no correction is needed within it, and Bonferroni's covers the rest: with
 probability 1 - DELTA, no stratum loses more than ALPHA of its good texts to all rules together. A stratum without
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.shared import documents, let, near, stored, text_of, words_of
 
-ALPHA, DELTA, HELD_OUT, HOLDOUT = 0.02, 0.05, 2, 100_000
+ALPHA, DELTA = 0.02, 0.05
 POSITIONS = 24  # bits of a packed word position
 #: Measures in parts per 1000 and their cutoffs, loosest first; fixed before any label is seen.
 RULES = {
@@ -96,7 +96,7 @@ def at_most(k: Column, n: Column, rate: float) -> Column:
 def certified(good: DataFrame, strata: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The strictest certified cutoff of each rule and stratum: stratum, rule, cutoff.
 
-    good: held-out good texts, a row each: stratum, passes (whether it passes the base rule; the others do not count) and a column for each rule. strata: all strata that are tested.
+    good: good texts, a row each: stratum, passes (whether it passes the base rule; the others do not count) and a column for each rule. strata: all strata that are tested.
     """
     tests = len(rules)
     hits = [F.count_if(F.col("passes") & (F.col(rule) > cut)).alias(f"{rule}_{i}") for rule, (_, cuts) in rules.items() for i, cut in enumerate(cuts)]
@@ -109,21 +109,23 @@ def certified(good: DataFrame, strata: DataFrame, rules: dict = RULES, alpha: fl
     return held.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, held_out: int = HELD_OUT, holdout: int = HOLDOUT) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """docs with the struct column _m of measures, and columns _base_failed and _kept.
 
-    labels: doc_id, quality (1 good). Labels whose hash is 0 modulo held_out are the holdout, at most holdout of them
-    in seeded order (which bounds the fit, not what is judged); null labels and ids
-    count for nothing, a repeated label once per row of docs. A null stratum is one stratum. Without labels nothing is
+    labels: doc_id, quality (1 good). All good labels count; null labels and ids count for nothing, a repeated label once per row of docs. A null stratum is one stratum. Without labels nothing is
     certified and only the base rule rejects. Every row of docs gives one row, repeated rows each; tables may be empty.
     """
     m = measured(docs, text)
+    return ruled(m, stored(m.select(doc_id, stratum, "_m")), labels, doc_id, stratum, rules, alpha, delta)
+
+
+def ruled(m: DataFrame, small: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """judged() of measured rows m. small: their doc_id, stratum and _m, stored, so that only numbers meet the labels."""
     measures = {rule: measure(F.col("_m")) for rule, (measure, _) in rules.items()}
-    chosen = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_good")).filter(F.pmod(F.xxhash64(F.lit(23), "_good"), F.lit(held_out)) == 0).distinct()
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64(F.lit(29), "_good"), "_good").limit(holdout))  # of a stated size, so texts need not move
-    tried = docs.select(F.col(doc_id).alias("_id"), F.col(stratum).alias("_stratum"), F.col(text).alias("_text")).join(chosen, F.col("_id") == F.col("_good"), "left_semi")
-    good = measured(tried, "_text").select(F.col("_stratum").alias("stratum"), (~base_failed()).alias("passes"), *[v.alias(k) for k, v in measures.items()])
-    cutoffs = certified(good, docs.select(F.col(stratum).alias("stratum")).distinct(), rules, alpha, delta)
+    chosen = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_good")).distinct()
+    tried = small.join(chosen, F.col(doc_id) == F.col("_good"), "left_semi")
+    good = tried.select(F.col(stratum).alias("stratum"), (~base_failed()).alias("passes"), *[v.alias(k) for k, v in measures.items()])
+    cutoffs = certified(good, small.select(F.col(stratum).alias("stratum")).distinct(), rules, alpha, delta)
     wide = cutoffs.groupBy("stratum").pivot("rule", list(rules)).agg(F.min("cutoff")).select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_cut_{r}") for r in rules])
     out = m.join(near(stored(wide)), F.col(stratum).eqNullSafe(F.col("_s")), "left")
     rejected = F.lit(False)
@@ -133,5 +135,6 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    d = judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    m = stored(measured(documents(spark, sf_dir)).select("doc_id", "lang", "_m"))
+    d = ruled(m, m, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return d.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
