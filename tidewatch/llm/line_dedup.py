@@ -2,187 +2,272 @@
 
 A line's tokens are its distinct words, ordered by rarity: how often the word's hash class occurs in all texts, in
 CLASSES classes, so that the table every task reads has one size whatever the corpus. Lines are similar at a Jaccard
-similarity of 4/5 or more; similar lines share a token among the first n - ceil(4n/5) + 1 of each (prefix filter), and
-at the first one they share enough tokens must be left (positional filter), sizes must be near (length filter), and
-128 bits that stand for the tokens may not differ too often. What is left is verified on the words themselves.
+similarity of 4/5 or more. Similar lines share a token among the first n - ceil(4n/5) + 1 of each (prefix filter); at
+the first one they share, enough tokens must be left (positional filter), and their sizes must be near (length
+filter). What is left is verified on the words themselves. A line goes if an earlier one, by doc_id and place, is
+similar to it.
 
-A token with more than ROOM different lines gives no pairs: its lines look for one earlier similar line in a semi-join,
-which stops at the first. A line goes if an earlier one, by doc_id and place, is similar to it.
+Equal lines are one row from the start. A key with up to ROOM lines gives its pairs; one with more is handled so that
+the work never grows with the square of its lines:
+
+1. each of its lines is compared with the earliest line of about its own length, so a group of near copies goes at once;
+2. if at most ROOM of its lines are left, these are compared with its earlier lines;
+3. else each line goes on under the key and one more of its next tokens: similar lines share l tokens among the first
+   n - ceil(4n/5) + l. After DEEP tokens step 2 is taken whatever the number.
 
 Whole documents go the same way through one_of_each(): a document is one line, and its tokens are its shingles.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.shared import documents, drop, let, stored, text_of, words_of
+from tidewatch.llm.shared import documents, drop, free, let, near, stored, text_of, words_of
 
-CLASSES, ROOM, MIN_WORDS, FEW, PARTS = 1 << 20, 64, 5, 1_000_000, 3
+CLASSES, ROOM, DEEP = 1 << 20, 64, 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLANK = " \t\n\x0b\x0c\r"
+LEVEL = 1 << 56  # a token is its class's level times this, plus 56 bits of its hash
 
 
-def shift(bits: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
+def units(line: Column, shingle: int = 0) -> Column:
+    """What a line's tokens stand for: its words, or its shingles of so many words, in which A to Z count as a to z.
 
+    A text of fewer words is one shingle, and so is an empty one.
+    """
+    if not shingle:
+        return words_of(line)
+    words = words_of(F.translate(line, UPPER, UPPER.lower()))
 
-def shingled(words: Column, shingle: int, made) -> Column:
-    """made(w, i) for each i at which a shingle of so many words starts; a text of fewer is one shingle, and so is an empty one."""
-    return let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: made(w, i)))
+    def joined(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(shingle)), " "))
 
+    return let(words, joined)
 
-def units(line: Column, shingle: int = 0) -> Column:
-    """What a line's tokens stand for: its words, or its shingles of so many words, in which A to Z count as a to z."""
+
+def hashed(line: Column, shingle: int = 0) -> Column:
+    """A 64-bit hash of each word, or of each shingle's hashes of words."""
     if not shingle:
-        return words_of(line)
-    return shingled(words_of(F.translate(line, UPPER, UPPER.lower())), shingle, lambda w, i: F.array_join(F.slice(w, i + 1, F.lit(shingle)), " "))
+        return F.transform(words_of(line), lambda w: F.xxhash64(w))
+    words = words_of(F.translate(line, UPPER, UPPER.lower()))
 
+    def runs(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - shingle, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(shingle))))
 
-def hashed(line: Column, shingle: int = 0) -> Column:
-    """A 64-bit hash of each word or shingle."""
-    return F.transform(units(line, shingle), lambda w: F.xxhash64(w))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
-def rarity(docs: DataFrame, text: str, classes: int = CLASSES, shingle: int = 0) -> bytes:
-    """A byte for each hash class of the words (or shingles) of all texts: 1 + 3 log2(1 + times), so the driver gets as many bytes as there are classes."""
-    each = docs.select(F.explode(hashed(text_of(text), shingle)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    dense = docs.sparkSession.range(classes).select(F.col("id").alias("c")).join(each, "c", "left")
-    level = F.least(F.lit(127), 1 + F.floor(3 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int")
-    run = dense.groupBy(F.shiftright("c", 10).alias("run")).agg(F.sort_array(F.collect_list(F.struct("c", level.alias("level")))).alias("l"))
-    rows = run.select("run", F.array_join(F.transform("l", lambda x: F.char(x["level"])), "").alias("levels")).collect()
-    return "".join(r["levels"] for r in sorted(rows, key=lambda r: r["run"])).encode("ascii")
+def level_of(times: Column) -> Column:
+    return F.least(F.lit(127), 1 + F.floor(3 * F.log2(1 + times))).cast("int")
 
 
-def placed(docs: DataFrame, doc_id: str, text: str, whole: bool = False) -> DataFrame:
-    """A row per line, or per text if whole: doc_id, tie (a hash of the whole text), at (place from 0), line."""
-    t = text_of(text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tie"), (F.array(t) if whole else F.split(t, "\n", -1)).alias("lines"))
-    return rows.select("doc_id", "tie", F.posexplode("lines").alias("at", "line"))
+def rarity(lines: DataFrame, classes: int = CLASSES, shingle: int = 0) -> bytes:
+    """A byte for each hash class of the words (or shingles) of all lines: 1 + 3 log2(1 + times), so the driver gets as many bytes as there are classes."""
+    units_of = hashed(F.col("line"), shingle) if shingle else words_of(F.col("line"))
+    each = lines.select(F.explode(units_of).alias("u"))
+    code = F.col("u") if shingle else F.xxhash64("u")
+    times = each.groupBy(code.bitwiseAND(F.lit(classes - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    dense = lines.sparkSession.range(classes).select(F.col("id").alias("c")).join(times, "c", "left")
+    pair = F.struct("c", level_of(F.coalesce("n", F.lit(0))).alias("level"))
+    runs = dense.groupBy(F.shiftright("c", 10).alias("run")).agg(F.sort_array(F.collect_list(pair)).alias("l"))
+    rows = runs.select("run", F.array_join(F.transform("l", lambda x: F.char(x["level"])), "").alias("levels")).collect()
+    return "".join(r["levels"] for r in sorted(rows, key=lambda r: r["run"])).encode("ascii")
 
 
 def tokens(line: Column, levels: bytes, shingle: int = 0) -> Column:
-    """The line's distinct words or shingles as sorted numbers, rarest first: the class's byte, then 56 bits of the word's hash."""
+    """The line's distinct words or shingles as sorted numbers, rarest first: the class's level, then 56 bits of the hash."""
     table = F.lit(bytearray(levels))
 
     def code(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(len(levels) - 1)).cast("int") + 1
-        level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so that sorting is one of plain numbers
-        return h.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(level * (1 << 56))
+        level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so plain numbers are sorted
+        return h.bitwiseAND(F.lit(LEVEL - 1)).bitwiseOR(level * LEVEL)
 
     return F.array_distinct(F.sort_array(F.transform(hashed(line, shingle), code)))
 
 
+def placed(docs: DataFrame, doc_id: str, text: str, whole: bool = False) -> DataFrame:
+    """A row per line with a word, or per text if whole: place (doc_id, tie (a hash of the whole text), at (from 0)) and line."""
+    t = text_of(text)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("tie"), (F.array(t) if whole else F.split(t, "\n", -1)).alias("lines"))
+    lines = rows.select("doc_id", "tie", F.posexplode("lines").alias("at", "line"))
+    if not whole:
+        lines = lines.filter(F.length(F.btrim("line", F.lit(BLANK))) > 0)
+    return lines.select(F.struct("doc_id", "tie", "at").alias("place"), "line")
+
+
 def need(n: Column, m: Column) -> Column:
     """Tokens that sets of n and m share at least at a similarity of 4/5: 9 * shared >= 4 * (n + m)."""
     return F.floor((4 * (n + m) + 8) / 9)
 
 
-def meetings(sets: DataFrame, room: int, part: int, parts: int) -> DataFrame:
-    """Of sets (k1, n, m1, m2, prefix), for the tokens of a part: a row (null, a, b) for each two that pass the filters at a token of few sets, and (token, a, null) for each set at another."""
-    posted = sets.select("k1", "n", "m1", "m2", F.posexplode("prefix").alias("i", "token")).filter(F.pmod(F.col("token"), F.lit(parts)) == part)
-    posted = posted.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
-    # a group holds the lines of a token if they are few, else one line
-    group = posted.groupBy("token", F.when(F.col("c") > room, F.col("k1")).alias("alone")).agg(F.collect_list(F.struct("k1", "n", "i", "m1", "m2")).alias("g"))
-    a, b = F.col("a"), F.col("b")
-    both = group.select("token", "alone", "g", F.posexplode("g").alias("p", "a")).select("token", "alone", "a", F.explode_outer(F.slice("g", F.col("p") + 2, room)).alias("b"))
-    least = need(a["n"], b["n"])
-    near = (
-        (F.least(a["n"], b["n"]) * 5 >= F.greatest(a["n"], b["n"]) * 4) & (F.least(a["n"] - a["i"], b["n"] - b["i"]) >= least)
-        & (F.bit_count(a["m1"].bitwiseXOR(b["m1"])) + F.bit_count(a["m2"].bitwiseXOR(b["m2"])) <= a["n"] + b["n"] - 2 * least)
-    )
-    return both.filter(F.col("alone").isNotNull() | near).select(F.when(F.col("alone").isNotNull(), F.col("token")).alias("token"), a["k1"].alias("a"), b["k1"].alias("b")).distinct()
-
-
 def similar(x: Column, y: Column) -> Column:
     """Whether two arrays of distinct words have a similarity of 4/5 or more."""
     return F.size(F.array_intersect(x, y)) >= need(F.size(x), F.size(y))
 
 
-def later_of_pairs(met: DataFrame, told: DataFrame, shingle: int = 0) -> DataFrame:
-    """The later line (k1, k2) of each similar pair that met. Lines go to their pairs as text, which takes a third of the room that arrays of their words take."""
-    x, y = told.alias("x"), told.alias("y")
-    words = F.struct(*[F.array_distinct(units(F.col(f"{c}.line"), shingle)).alias(c) for c in ("x", "y")])
-    pairs = met.filter("token IS NULL").join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1")).filter(let(words, lambda w: similar(w["x"], w["y"])))
-    return pairs.select(F.when(F.col("x.first") < F.col("y.first"), F.struct("y.k1", "y.k2")).otherwise(F.struct("x.k1", "x.k2")).alias("late")).select("late.*").distinct()
+def reach(n: Column) -> Column:
+    """How many of n tokens the prefix filter looks at: n - ceil(4n/5) + 1."""
+    return F.floor(n / 5).cast("int") + 1
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, room: int = ROOM, few: int = FEW, parts: int = PARTS, shingle: int = 0) -> DataFrame:
-    """Of each document that loses lines: doc_id, tie, removed (places of lines from 0, sorted).
+def may_be(n: Column, i: Column, m: Column, j: Column, level: int) -> Column:
+    """Length and positional filter of sets of n and m tokens whose level-th common token stands at i and j."""
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.least(n - i, m - j) + (level - 1) >= need(n, m))
 
-    Order is by doc_id (null first), then a hash of the text, then place, so equal rows lose the same lines. Lines of
-    fewer than min_words distinct words are no one's copy and stay. With shingle, each text is one line and its tokens
-    are shingles of so many words. Null texts count as empty; other columns are ignored.
-    """
-    levels = rarity(docs, text, shingle=shingle)
-    lines = placed(docs, doc_id, text, shingle > 0).select("doc_id", "tie", "at", tokens(F.col("line"), levels, shingle).alias("t"))
-    # each token has one of 128 bits: of m1 or of m2
-    bits = lambda half: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseOR(shift(x.bitwiseAND(F.lit(63))))).otherwise(a))
-    m1, m2 = (F.lit(0).cast("long"),) * 2 if shingle else (bits(0), bits(1))  # a text's many shingles would fill them all
+
+def calm_pairs(posts: DataFrame, level: int) -> DataFrame:
+    """Pairs (a, b) of the sets that meet at keys of few sets and pass the filters; posts is (key, id, n, i)."""
+    x = posts.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    y = posts.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    fit = may_be(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), level)
+    return x.join(y, "key").filter(once & fit).select("a", "b")
+
+
+def span(n: Column) -> Column:
+    """Sizes that differ by a tenth or so have the same span."""
+    return F.floor(F.log(n) * 10).cast("int")
+
+
+def head_pairs(busy: DataFrame, level: int) -> DataFrame:
+    """Of crowded keys, each set with the earliest one of its span; busy is (key, id, n, i, first)."""
+    own = busy.withColumn("span", span(F.col("n")))
+    heads = own.groupBy("key", "span").agg(F.min(F.struct("first", "id", "n", "i")).alias("head"))
+    head = F.col("head")
+    met = own.join(near(heads), ["key", "span"]).filter((F.col("id") != head["id"]) & may_be(F.col("n"), F.col("i"), head["n"], head["i"], level))
+    return met.select(head["id"].alias("a"), F.col("id").alias("b"))
+
+
+def open_pairs(rows: DataFrame, level: int) -> DataFrame:
+    """Each set that no earlier one is known to be similar to (open), with the earlier ones of its key."""
+    x, y = rows.filter("open").alias("x"), rows.alias("y")
+    fit = (F.col("y.first") < F.col("x.first")) & may_be(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), level)
+    return x.join(y, F.col("x.key") == F.col("y.key")).filter(fit).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+
+
+def verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
+    """id of the later line of each pair that is similar by its words (or shingles)."""
+    x = lines.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("first").alias("fx"))
+    y = lines.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("first").alias("fy"))
+    both = F.struct(*[F.array_distinct(units(F.col(c), shingle)).alias(c) for c in ("x", "y")])
+    met = pairs.distinct().join(x, "a").join(y, "b").filter(let(both, lambda w: similar(w["x"], w["y"])))
+    return met.select(F.when(F.col("fx") < F.col("fy"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+
+
+def crowded(posts: DataFrame, room: int) -> DataFrame:
+    """The keys with more than room sets, counted before they move."""
+    return near(stored(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > room).select("key")))
+
+
+def extended(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """The sets of crowded keys under their key and each of the tokens that may come next, at the given level."""
+    own = rows.select("key", "id", "n", "i", "first").join(sets.select("id", "prefix"), "id")
+    rest = F.slice("prefix", F.col("i") + 2, F.greatest(reach(F.col("n")) + (level - 2) - F.col("i"), F.lit(0)))
+    each = own.select("id", "n", "first", "key", F.col("i").alias("last"), F.posexplode(rest).alias("j", "token"))
+    return each.select(F.xxhash64("key", "token").alias("key"), "id", "n", (F.col("last") + 1 + F.col("j")).alias("i"), "first")
+
+
+def late_lines(lines: DataFrame, levels: bytes, room: int, shingle: int) -> DataFrame:
+    """id of each of the distinct lines (id, line, first) that is similar to an earlier one."""
     n = F.size("t")
-    first = F.when(n < 4, 0).otherwise(n - F.floor((4 * n + 4) / 5).cast("int") + 1)  # what differs from fewer than four tokens is not similar to them
-    known = F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"), m1.alias("m1"), m2.alias("m2"), F.slice("t", F.lit(1), first).alias("prefix"))
-    whole = stored(lines.select("doc_id", "tie", "at", F.inline(F.when(n >= min_words, F.array(known)))))  # no filter, as that would work the tokens out twice
-    place = F.struct("doc_id", "tie", "at")
-    sets = stored(whole.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "prefix")]))
-    lines = stored(whole.select("doc_id", "tie", "at", "k1", "k2"))
-    drop(whole)
-    # the prefixes go through in parts by token, so that only one part's shuffle is on disk at a time
-    each = [stored(meetings(sets, room, part, parts)) for part in range(parts)]
-    met = reduce(DataFrame.unionByName, each)
-    # the text of every line that has met another, as it takes less room than hashes of its words
-    classes = stored(sets.select("k1", "k2", "first", "copies"))
+    with_tokens = lines.select("id", "first", tokens(F.col("line"), levels, shingle).alias("t"))
+    sets = stored(with_tokens.select("id", "first", n.alias("n"), F.slice("t", F.lit(1), reach(n) + DEEP - 1).alias("prefix")))
+    posts = sets.select("id", "n", F.posexplode(F.slice("prefix", F.lit(1), reach(F.col("n")))).alias("i", "key")).select("key", "id", "n", "i")
+    # a key is in no more lines than its class in all texts, so rarer classes need no count
+    enough = min(127, 1 + int(3 * math.log2(1 + room)))
+    hot = crowded(posts.filter(F.col("key") >= enough * LEVEL), room)
+    busy = stored(posts.join(hot, "key", "left_semi").join(sets.select("id", "first"), "id").select("key", "id", "n", "i", "first"))
+    pairs = stored(calm_pairs(posts.join(hot, "key", "left_anti"), 1).unionByName(head_pairs(busy, 1)).distinct())
+    late = stored(verified(pairs, lines, shingle))
+    drop(pairs)
+    for level in range(1, DEEP + 1):
+        if busy.isEmpty():
+            break
+        rows = busy.join(late.withColumn("open", F.lit(False)), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        rows = stored(rows.select("key", "id", "n", "i", "first", "open"))
+        left = stored(rows.groupBy("key").agg(F.count_if("open").alias("left")).filter("left > 0"))
+        few = left if level == DEEP else left.filter(F.col("left") <= room)
+        pairs = open_pairs(rows.join(near(few.select("key")), "key", "left_semi"), level)
+        if level < DEEP:
+            posts = stored(extended(rows.join(near(left.filter(F.col("left") > room).select("key")), "key", "left_semi"), sets, level + 1))
+            hot = crowded(posts, room)
+            busy = stored(posts.join(hot, "key", "left_semi"))
+            calm = posts.join(hot, "key", "left_anti").select("key", "id", "n", "i")
+            pairs = pairs.unionByName(calm_pairs(calm, level + 1)).unionByName(head_pairs(busy, level + 1))
+        pairs = stored(pairs.distinct())
+        if not pairs.isEmpty():
+            late = stored(late.unionByName(verified(pairs, lines, shingle)).distinct())
+        if level == DEEP:
+            break
     drop(sets)
-    own = stored(met.select(F.explode(F.array("a", "b")).alias("k1")).filter("k1 IS NOT NULL").distinct().join(classes, "k1").select("k1", "k2", "first", *[F.col(f"first.{c}").alias(c) for c in ("doc_id", "tie", "at")]))
-    asked = own.drop("first") if own.count() > few else F.broadcast(own.drop("first"))
-    where = placed(docs, doc_id, text, shingle > 0).alias("l").join(asked.alias("o"), F.col("l.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("l.tie") == F.col("o.tie")) & (F.col("l.at") == F.col("o.at")))
-    told = where.groupBy("k1", "k2", "o.doc_id", "o.tie", "o.at").agg(F.first("line").alias("line"))  # equal rows give a line twice
-    told = stored(told.select("k1", "k2", F.struct("doc_id", "tie", "at").alias("first"), "line"))
-    late = reduce(DataFrame.unionByName, [stored(later_of_pairs(part, told, shingle)) for part in each])
-    sets_of = F.array_distinct(hashed(F.col("line"), shingle) if shingle else words_of(F.col("line")))  # hashes of shingles, a fifth of their size
-    crowd = met.filter("token IS NOT NULL").select("token", F.col("a").alias("k")).join(told, F.col("k") == F.col("k1")).select("token", "k1", "k2", "first", sets_of.alias("all")).withColumn("n", F.size("all"))
-    x, y = crowd.alias("x"), crowd.alias("y")
-    found = stored(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4) & similar(F.col("x.all"), F.col("y.all")), "left_semi").select("k1", "k2").distinct())
-    late = late.unionByName(found).distinct().withColumn("late", F.lit(True))
-    dirty = classes.join(late, ["k1", "k2"], "left").filter((F.col("copies") > 1) | F.col("late"))
-    gone = lines.select("k1", "k2", place.alias("own")).join(dirty, ["k1", "k2"]).filter(F.coalesce("late", F.lit(False)) | (F.col("own") != F.col("first")))
-    return gone.groupBy(F.col("own.doc_id").alias("doc_id"), F.col("own.tie").alias("tie")).agg(F.array_sort(F.collect_set("own.at")).alias("removed"))
-
-
-def marked(docs: DataFrame, columns: list, doc_id: str, text: str, how: dict) -> DataFrame:
-    """columns of docs, with _removed (places, empty if none). Only lines without a word are exempt, unless how says otherwise."""
-    gone = removals(docs, doc_id, text, **{"min_words": 1} | how).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_gone"))
-    held = docs.select(*columns, F.col(doc_id).cast("long").alias("_own"), F.xxhash64(text_of(text)).alias("_mark"))
-    out = held.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_tie")), "left")
-    return out.withColumn("_removed", F.coalesce("_gone", F.array().cast("array<int>"))).drop("_own", "_mark", "_id", "_tie", "_gone")
+    return late
+
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, shingle: int = 0) -> DataFrame:
+    """Of each document that loses lines: doc_id, tie (a hash of its text), removed (places of lines from 0, sorted).
+
+    Order is by doc_id (null first), then the hash of the text, then place, so equal rows lose the same lines. Lines
+    without a word are no one's copy and stay. With shingle, each text is one line and its tokens are shingles of so
+    many words; empty texts are then equal to each other. Null texts count as empty, an empty table gives no rows,
+    other columns are ignored whatever their names. Equal lines are found by their texts and similar ones verified on
+    their words; a line's own copies are found again by 128 bits of hash.
+    """
+    marks = lambda line: (F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"))
+    all_lines = placed(docs, doc_id, text, shingle > 0)
+    grouped = all_lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"))
+    lines = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "first", "copies", "line"))
+    levels = rarity(lines, shingle=shingle)
+    late = late_lines(lines, levels, room, shingle).withColumn("late", F.lit(True))
+    verdict = lines.select("id", "first", "copies", *marks(F.col("line"))).join(late, "id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    dirty = stored(verdict.filter("late OR copies > 1").select("k1", "k2", "first", "late"))
+    drop(lines)
+    gone = all_lines.select("place", *marks(F.col("line"))).join(dirty, ["k1", "k2"]).filter(F.col("late") | (F.col("place") != F.col("first")))
+    return gone.groupBy("place.doc_id", "place.tie").agg(F.array_sort(F.collect_set("place.at")).alias("removed"))
+
+
+def marked(docs: DataFrame, columns: list, doc_id: str, text: str, how: dict, name: str) -> DataFrame:
+    """columns of docs, with the places of the lines that go (empty if none) under the given name. No column of docs may have it."""
+    gone = removals(docs, doc_id, text, **how).select(F.struct("doc_id", "tie").alias("whose"), "removed")
+    held = docs.select(F.struct(*columns).alias("row"), F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("tie")).alias("own"))
+    same = F.col("own.doc_id").eqNullSafe(F.col("whose.doc_id")) & (F.col("own.tie") == F.col("whose.tie"))
+    return held.join(gone, same, "left").select("row.*", F.coalesce("removed", F.array().cast("array<int>")).alias(name))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, **how) -> DataFrame:
-    """docs without those whose shingles of so many words are similar, at 4/5 or more, to those of an earlier one; of rows that are the same in id and text, one."""
-    gone = removals(docs, doc_id, text, **{"min_words": 1, "shingle": words} | how).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
-    rows = docs.withColumn("_own", F.col(doc_id).cast("long")).withColumn("_mark", F.xxhash64(text_of(text)))
-    kept = rows.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_tie")), "left_anti")
-    return kept.withColumn("_place", F.row_number().over(Window.partitionBy("_own", "_mark").orderBy(F.lit(0)))).filter("_place = 1").select(*docs.columns)
+    """docs without those whose shingles of so many words are similar, at 4/5 or more, to those of an earlier one.
+
+    Of rows that are the same in id and text, one stays. Empty and null texts are equal to each other; a null doc_id
+    comes first, then ties go by a hash of the text. Very long texts are compared whole. Columns stay as they are.
+    """
+    gone = free(docs, "gone")
+    kept = marked(docs, [F.col(f"`{c}`") for c in docs.columns], doc_id, text, {"shingle": words} | how, gone).filter(F.size(gone) == 0)
+    place = free(docs, "place")
+    same = Window.partitionBy(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(text_of(text))).orderBy(F.lit(0))
+    return kept.withColumn(place, F.row_number().over(same)).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the lines that removals() names; rows that lose none stay as they are, null texts too."""
-    names = docs.columns
-    out = marked(docs, [F.col(f"`{c}`") for c in names], doc_id, text, how)
+    """docs without the lines that removals() names; rows that lose none stay as they are, null texts too. Columns keep their names and order."""
+    gone = free(docs, "gone")
+    out = marked(docs, [F.col(f"`{c}`") for c in docs.columns], doc_id, text, how, gone)
 
     def rest(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    kept = F.when(F.size("_removed") == 0, F.col(text)).otherwise(let(F.split(text_of(text), "\n", -1), rest))
-    return out.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    kept = F.when(F.size(gone) == 0, F.col(f"`{text}`")).otherwise(let(F.split(text_of(text), "\n", -1), rest))
+    return out.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (places of the removed lines from 0)."""
     lines = F.size(F.split(text_of("text"), "\n", -1)).cast("long").alias("n_lines")
-    out = marked(documents(spark, sf_dir), [F.col("doc_id"), lines], "doc_id", "text", {})
-    return out.select("doc_id", "n_lines", F.size("_removed").cast("long").alias("n_removed"), F.col("_removed").alias("removed"))
+    out = marked(documents(spark, sf_dir), [F.col("doc_id"), lines], "doc_id", "text", {}, "removed")
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -18,9 +17,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, on a single machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -42,22 +43,23 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs, which it does once the driver has collected its garbage."""
-    time.sleep(0.2)  # until the last events, which hold the job's plan, are through
-    spark._jvm.System.gc()
+#: Spark's own switch by which a finished query's shuffle files are removed with it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read again: lineage ends here and survives lost executors.
 
-    What its job shuffled is of no more use and may go.
+    What its job shuffled is of no more use and goes with the job.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    settle(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    settle(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +85,7 @@ def ship(spark: SparkSession) -> None:
 
 def text_of(column: str = "text") -> Column:
     """The text with null as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
 def words_of(text: Column) -> Column:
@@ -95,6 +97,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of docs has (Spark's names do not tell upper and lower case apart)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def near(rows: DataFrame) -> DataFrame:
     """For joins: rows, broadcast only if they are 10,000 at most."""
     return F.broadcast(rows) if rows.limit(10_001).count() <= 10_000 else rows
