@@ -14,6 +14,7 @@ Documents stay in place: they are written once to a table bucketed by batch, and
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import documents, scratch, settle, ship, text_of
+from tidewatch.llm.shared import documents, released, scratch, ship, stored, text_of
 
 DEPTH, GRAM = 50, 16
 #: Bytes of a batch of documents and of a bucket of the table; window starts that are hashed at a time.
@@ -285,6 +286,22 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, columns, strict=True)})
 
 
+def stored_by_batch(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows in a table bucketed by batch, in the shared folder; table and files go when the driver ends."""
+    spark = rows.sparkSession
+    name, path = f"tidewatch_{uuid.uuid4().hex}", scratch(spark)
+    with released(spark):
+        rows.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", path).saveAsTable(name)
+    atexit.register(forget, spark, name)
+    return spark.table(name)
+
+
+def forget(spark, name: str) -> None:
+    """Takes a table out of the catalog, unless its session is gone."""
+    if spark.getActiveSession() is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if kept_text.
 
@@ -298,16 +315,13 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     batches = max(1, -(-total // BATCH))
     parts = max(64, batches // 2)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    name = f"tidewatch_{uuid.uuid4().hex}"
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
-    rows.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", scratch(spark)).saveAsTable(name)
-    settle(spark)
-    held = spark.table(name)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    held = stored_by_batch(rows, buckets)
     asked = held.groupBy("batch").applyInArrow(lambda t: ask(t, parts), ASKED)
-    shared = asked.groupBy("part").applyInArrow(answer, SHARED)
+    shared = stored(asked.groupBy("part").applyInArrow(answer, SHARED))
     sent = held.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda a, b: spans(a, b, parts), SPANS)
-    marks = sent.groupBy("part").applyInArrow(match, MARKS)
+    marks = stored(sent.groupBy("part").applyInArrow(match, MARKS))
     out = held.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(lambda a, b: strip(a, b, kept_text), RESULT)
     return out if kept_text else out.drop("kept")
 
