@@ -30,7 +30,7 @@ def ties(spark, texts):
     return {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
 
 
-@pytest.mark.parametrize("how", [{}, {"room": 2}], ids=["plain", "crowded"])
+@pytest.mark.parametrize("how", [{}, {"room": 2, "wide": 2, "heads": 1}], ids=["plain", "crowded"])
 def test_lines_are_brute_force(spark, docs, texts, how):
     rows = [(i, t) for i, t, *_ in texts if t is None or len(t) < 50_000]
     df = docs.filter("text IS NULL OR length(text) < 50000")
@@ -56,8 +56,8 @@ def test_similar_lines(spark, seed):
         rows.append((i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = late_lines(rows, ties(spark, rows))
-    for room in (64, 2):
-        assert {(x.doc_id, x.tie): x.removed for x in line_dedup.removals(df, room=room).collect()} == want
+    for how in ({}, {"room": 2, "wide": 1, "heads": 1}):
+        assert {(x.doc_id, x.tie): x.removed for x in line_dedup.removals(df, **how).collect()} == want
 
 
 def test_lines_of_nothing(empty):
@@ -156,7 +156,7 @@ def kept_by_force(rows):
     return [i for n, (i, s) in enumerate(order) if not any(5 * len(s & t) >= 4 * len(s | t) for _, t in order[:n])]
 
 
-@pytest.mark.parametrize("how", [{}, {"room": 3}], ids=["plain", "crowded"])
+@pytest.mark.parametrize("how", [{}, {"room": 3, "wide": 2, "heads": 1}], ids=["plain", "crowded"])
 def test_near_copies_at_four_fifths(spark, how):
     rows = planted(4, 25)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -173,6 +173,6 @@ def test_short_lines_go_too(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     mark = ties(spark, rows)
     want = late_lines(rows, mark, least=1)
-    got = line_dedup.marked(df, ["doc_id"], "doc_id", "text", {"room": 2}, "removed").collect()
+    got = line_dedup.marked(df, ["doc_id"], "doc_id", "text", {"room": 2, "wide": 1, "heads": 1}, "removed").collect()
     assert {r.doc_id: r.removed for r in got} == {i: want.get((i, mark[t]), []) for i, t in rows}
     assert sum(set(x.split()) == {"x"} for r in line_dedup.deduplicated(df).collect() for x in r.text.split("\n")) == 1

@@ -10,11 +10,14 @@ similar to it.
 Equal lines are one row from the start. A key with up to ROOM lines gives its pairs; one with more is handled so that
 the work never grows with the square of its lines:
 
-1. each of its lines is compared with the earliest line of about its own length, so a group of near copies goes at once;
-2. if at most ROOM of its lines are left, these are compared with its earlier lines;
+1. each of its lines is compared with the HEADS earliest and the HEADS most central lines of about its own length
+   (central: few rarer tokens before the key), so a group of near copies goes at once;
+2. if at most WIDE of its lines are left, these are compared with its earlier lines;
 3. else each line goes on under the key and one more of its next tokens: similar lines share l tokens among the first
    n - ceil(4n/5) + l. After DEEP tokens step 2 is taken whatever the number.
 
+Comparing is done in the join: sizes, places and 64 bits that stand for the tokens; only what passes is a pair.
+
 Whole documents go the same way through one_of_each(): a document is one line, and its tokens are its shingles.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.shared import documents, drop, free, let, near, stored, text_of, words_of
 
-CLASSES, ROOM, DEEP = 1 << 20, 64, 4
+CLASSES, ROOM, WIDE, HEADS, DEEP = 1 << 20, 256, 1024, 8, 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = " \t\n\x0b\x0c\r"
 LEVEL = 1 << 56  # a token is its class's level times this, plus 56 bits of its hash
@@ -92,6 +95,12 @@ def tokens(line: Column, levels: bytes, shingle: int = 0) -> Column:
     return F.array_distinct(F.sort_array(F.transform(hashed(line, shingle), code)))
 
 
+def signature(tokens: Column) -> Column:
+    """64 bits, each set if an odd number of tokens falls on it: sets that differ in d tokens differ in d bits at most."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def placed(docs: DataFrame, doc_id: str, text: str, whole: bool = False) -> DataFrame:
     """A row per line with a word, or per text if whole: place (doc_id, tie (a hash of the whole text), at (from 0)) and line."""
     t = text_of(text)
@@ -117,18 +126,24 @@ def reach(n: Column) -> Column:
     return F.floor(n / 5).cast("int") + 1
 
 
-def may_be(n: Column, i: Column, m: Column, j: Column, level: int) -> Column:
-    """Length and positional filter of sets of n and m tokens whose level-th common token stands at i and j."""
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.least(n - i, m - j) + (level - 1) >= need(n, m))
+def may_be(x: str, y: str, level: int) -> Column:
+    """Length and positional filter, and that of the 64 bits, for sets x and y (n, i, bits) whose level-th common token stands at i."""
+    n, i, m, j = (F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{y}.n"), F.col(f"{y}.i"))
+    least = need(n, m)
+    near_size = F.least(n, m) * 5 >= F.greatest(n, m) * 4
+    enough_left = F.least(n - i, m - j) + (level - 1) >= least
+    return near_size & enough_left & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m - 2 * least)
+
+
+POST = ("key", "id", "n", "i", "bits")
 
 
 def calm_pairs(posts: DataFrame, level: int) -> DataFrame:
-    """Pairs (a, b) of the sets that meet at keys of few sets and pass the filters; posts is (key, id, n, i)."""
-    x = posts.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    y = posts.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    fit = may_be(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), level)
-    return x.join(y, "key").filter(once & fit).select("a", "b")
+    """Pairs (a, b) of the sets that meet at keys of few sets and pass the filters."""
+    x, y = posts.select(*POST).alias("x"), posts.select(*POST).alias("y")
+    once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & once & may_be("x", "y", level))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def span(n: Column) -> Column:
@@ -136,20 +151,26 @@ def span(n: Column) -> Column:
     return F.floor(F.log(n) * 10).cast("int")
 
 
-def head_pairs(busy: DataFrame, level: int) -> DataFrame:
-    """Of crowded keys, each set with the earliest one of its span; busy is (key, id, n, i, first)."""
-    own = busy.withColumn("span", span(F.col("n")))
-    heads = own.groupBy("key", "span").agg(F.min(F.struct("first", "id", "n", "i")).alias("head"))
-    head = F.col("head")
-    met = own.join(near(heads), ["key", "span"]).filter((F.col("id") != head["id"]) & may_be(F.col("n"), F.col("i"), head["n"], head["i"], level))
-    return met.select(head["id"].alias("a"), F.col("id").alias("b"))
+def top(rows: DataFrame, count: int, *order: str) -> DataFrame:
+    """The first rows of each key and span, at most so many; Spark drops the others before it shuffles."""
+    place = F.row_number().over(Window.partitionBy("key", "span").orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= count).drop("place")
+
+
+def head_pairs(busy: DataFrame, level: int, heads: int) -> DataFrame:
+    """Of crowded keys, each set with the earliest and the most central ones of its span; busy has POST and first."""
+    own = busy.select(*POST, "first", span(F.col("n")).alias("span"))
+    head = top(own, heads, "first", "id").unionByName(top(own, heads, "i", "first", "id"))
+    x, h = own.alias("x"), near(head).alias("h")
+    same = (F.col("x.key") == F.col("h.key")) & (F.col("x.span") == F.col("h.span")) & (F.col("x.id") != F.col("h.id"))
+    return x.join(h, same & may_be("x", "h", level)).select(F.col("h.id").alias("a"), F.col("x.id").alias("b"))
 
 
 def open_pairs(rows: DataFrame, level: int) -> DataFrame:
     """Each set that no earlier one is known to be similar to (open), with the earlier ones of its key."""
     x, y = rows.filter("open").alias("x"), rows.alias("y")
-    fit = (F.col("y.first") < F.col("x.first")) & may_be(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), level)
-    return x.join(y, F.col("x.key") == F.col("y.key")).filter(fit).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.first") < F.col("x.first")) & may_be("x", "y", level))
+    return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
@@ -168,49 +189,51 @@ def crowded(posts: DataFrame, room: int) -> DataFrame:
 
 def extended(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """The sets of crowded keys under their key and each of the tokens that may come next, at the given level."""
-    own = rows.select("key", "id", "n", "i", "first").join(sets.select("id", "prefix"), "id")
+    own = rows.select(*POST, "first").join(sets.select("id", "prefix"), "id")
     rest = F.slice("prefix", F.col("i") + 2, F.greatest(reach(F.col("n")) + (level - 2) - F.col("i"), F.lit(0)))
-    each = own.select("id", "n", "first", "key", F.col("i").alias("last"), F.posexplode(rest).alias("j", "token"))
-    return each.select(F.xxhash64("key", "token").alias("key"), "id", "n", (F.col("last") + 1 + F.col("j")).alias("i"), "first")
+    each = own.select("id", "n", "bits", "first", "key", F.col("i").alias("last"), F.posexplode(rest).alias("j", "token"))
+    return each.select(F.xxhash64("key", "token").alias("key"), "id", "n", (F.col("last") + 1 + F.col("j")).alias("i"), "bits", "first")
 
 
-def late_lines(lines: DataFrame, levels: bytes, room: int, shingle: int) -> DataFrame:
+def late_lines(lines: DataFrame, levels: bytes, room: int, wide: int, heads: int, shingle: int) -> DataFrame:
     """id of each of the distinct lines (id, line, first) that is similar to an earlier one."""
     n = F.size("t")
+    bits = F.lit(0).cast("long") if shingle else signature(F.col("t"))  # a text has so many shingles that 64 bits tell nothing
     with_tokens = lines.select("id", "first", tokens(F.col("line"), levels, shingle).alias("t"))
-    sets = stored(with_tokens.select("id", "first", n.alias("n"), F.slice("t", F.lit(1), reach(n) + DEEP - 1).alias("prefix")))
-    posts = sets.select("id", "n", F.posexplode(F.slice("prefix", F.lit(1), reach(F.col("n")))).alias("i", "key")).select("key", "id", "n", "i")
+    prefix = F.slice("t", F.lit(1), reach(n) + DEEP - 1)
+    # made from an array of one, as the optimizer would work the tokens out for each column
+    sets = stored(with_tokens.select("id", "first", F.inline(F.array(F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))))))
+    posts = sets.select("id", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), reach(F.col("n")))).alias("i", "key")).select(*POST)
     # a key is in no more lines than its class in all texts, so rarer classes need no count
     enough = min(127, 1 + int(3 * math.log2(1 + room)))
     hot = crowded(posts.filter(F.col("key") >= enough * LEVEL), room)
-    busy = stored(posts.join(hot, "key", "left_semi").join(sets.select("id", "first"), "id").select("key", "id", "n", "i", "first"))
-    pairs = stored(calm_pairs(posts.join(hot, "key", "left_anti"), 1).unionByName(head_pairs(busy, 1)).distinct())
+    busy = stored(posts.join(hot, "key", "left_semi").join(sets.select("id", "first"), "id").select(*POST, "first"))
+    pairs = stored(calm_pairs(posts.join(hot, "key", "left_anti"), 1).unionByName(head_pairs(busy, 1, heads)).distinct())
     late = stored(verified(pairs, lines, shingle))
-    drop(pairs)
-    for level in range(1, DEEP + 1):
-        if busy.isEmpty():
-            break
-        rows = busy.join(late.withColumn("open", F.lit(False)), "id", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-        rows = stored(rows.select("key", "id", "n", "i", "first", "open"))
+    level = 1
+    while not busy.isEmpty():
+        known = late.select("id", F.lit(False).alias("open"))
+        rows = stored(busy.join(known, "id", "left").select(*POST, "first", F.coalesce("open", F.lit(True)).alias("open")))
         left = stored(rows.groupBy("key").agg(F.count_if("open").alias("left")).filter("left > 0"))
-        few = left if level == DEEP else left.filter(F.col("left") <= room)
+        few = left if level == DEEP else left.filter(F.col("left") <= wide)
         pairs = open_pairs(rows.join(near(few.select("key")), "key", "left_semi"), level)
-        if level < DEEP:
-            posts = stored(extended(rows.join(near(left.filter(F.col("left") > room).select("key")), "key", "left_semi"), sets, level + 1))
+        busy = rows.join(near(left.join(few, "key", "left_anti").select("key")), "key", "left_semi")
+        if level < DEEP and not busy.isEmpty():
+            posts = stored(extended(busy, sets, level + 1))
             hot = crowded(posts, room)
             busy = stored(posts.join(hot, "key", "left_semi"))
-            calm = posts.join(hot, "key", "left_anti").select("key", "id", "n", "i")
-            pairs = pairs.unionByName(calm_pairs(calm, level + 1)).unionByName(head_pairs(busy, level + 1))
+            pairs = pairs.unionByName(calm_pairs(posts.join(hot, "key", "left_anti"), level + 1)).unionByName(head_pairs(busy, level + 1, heads))
+        else:
+            busy = busy.filter("false")
         pairs = stored(pairs.distinct())
         if not pairs.isEmpty():
             late = stored(late.unionByName(verified(pairs, lines, shingle)).distinct())
-        if level == DEEP:
-            break
+        level += 1
     drop(sets)
     return late
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, shingle: int = 0) -> DataFrame:
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room: int = ROOM, wide: int = WIDE, heads: int = HEADS, shingle: int = 0) -> DataFrame:
     """Of each document that loses lines: doc_id, tie (a hash of its text), removed (places of lines from 0, sorted).
 
     Order is by doc_id (null first), then the hash of the text, then place, so equal rows lose the same lines. Lines
@@ -224,7 +247,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room:
     grouped = all_lines.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"))
     lines = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "first", "copies", "line"))
     levels = rarity(lines, shingle=shingle)
-    late = late_lines(lines, levels, room, shingle).withColumn("late", F.lit(True))
+    late = late_lines(lines, levels, room, wide, heads, shingle).withColumn("late", F.lit(True))
     verdict = lines.select("id", "first", "copies", *marks(F.col("line"))).join(late, "id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     dirty = stored(verdict.filter("late OR copies > 1").select("k1", "k2", "first", "late"))
     drop(lines)

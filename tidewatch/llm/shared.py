@@ -96,7 +96,10 @@ def text_of(column: str = "text") -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE, -1), "")
+    """The words of a text. Texts whose only white space is spaces and line ends, as nearly all, are split without a pattern."""
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1)
+    return F.array_remove(F.when(odd, F.split(text, SPACE, -1)).otherwise(plain), "")
 
 
 def let(value: Column, body) -> Column:
