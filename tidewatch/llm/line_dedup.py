@@ -53,10 +53,8 @@ def units(line: Column, shingle: int = 0) -> Column:
     return let(words, joined)
 
 
-def hashed(line: Column, shingle: int = 0) -> Column:
-    """A 64-bit hash of each word, or of each shingle's hashes of words."""
-    if not shingle:
-        return F.transform(words_of(line), lambda w: F.xxhash64(w))
+def hashed(line: Column, shingle: int) -> Column:
+    """A 64-bit hash of each shingle's hashes of words."""
     words = words_of(F.translate(line, UPPER, UPPER.lower()))
 
     def runs(h: Column) -> Column:
@@ -87,12 +85,13 @@ def tokens(line: Column, levels: bytes, shingle: int = 0) -> Column:
     """The line's distinct words or shingles as sorted numbers, rarest first: the class's level, then 56 bits of the hash."""
     table = F.lit(bytearray(levels))
 
-    def code(h: Column) -> Column:
+    def code(u: Column) -> Column:
+        h = u if shingle else F.xxhash64(u)  # of words, in the same pass
         at = h.bitwiseAND(F.lit(len(levels) - 1)).cast("int") + 1
         level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so plain numbers are sorted
-        return h.bitwiseAND(F.lit(LEVEL - 1)).bitwiseOR(level * LEVEL)
+        return h.bitwiseAND(F.lit(LEVEL - 1)).bitwiseOR(F.call_function("shiftleft", level, F.lit(56)))
 
-    return F.array_distinct(F.sort_array(F.transform(hashed(line, shingle), code)))
+    return F.array_distinct(F.sort_array(F.transform(hashed(line, shingle) if shingle else words_of(line), code)))
 
 
 def signature(tokens: Column) -> Column:
@@ -101,14 +100,22 @@ def signature(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+#: Ids count from one below the smallest for null, which so comes first; a number of 38 digits holds id, 31 bits of tie and place.
+NO_ID, ID_UNIT, TIE_UNIT = -(1 << 63) - 1, 1 << 62, 1 << 31
+
+
 def placed(docs: DataFrame, doc_id: str, text: str, whole: bool = False) -> DataFrame:
-    """A row per line with a word, or per text if whole: place (doc_id, tie (a hash of the whole text), at (from 0)) and line."""
-    t = text_of(text)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("tie"), (F.array(t) if whole else F.split(t, "\n", -1)).alias("lines"))
-    lines = rows.select("doc_id", "tie", F.posexplode("lines").alias("at", "line"))
+    """A row per line with a word, or per text if whole: doc_id, tie (a hash of the whole text), at (from 0), line, and place, a number that orders lines by these three."""
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    t, own = text_of(text), F.col(f"`{doc_id}`").cast("long")
+    tie = F.xxhash64(t)
+    begin = F.coalesce(own.cast("decimal(20,0)"), number(NO_ID)) * number(ID_UNIT) + tie.bitwiseAND(F.lit(TIE_UNIT - 1)) * F.lit(TIE_UNIT)
+    lines = F.array(t) if whole else F.split(t, "\n", -1)
+    rows = docs.select(own.alias("doc_id"), tie.alias("tie"), begin.cast("decimal(38,0)").alias("begin"), lines.alias("lines"))
+    each = rows.select("doc_id", "tie", "begin", F.posexplode("lines").alias("at", "line"))
     if not whole:
-        lines = lines.filter(F.length(F.btrim("line", F.lit(BLANK))) > 0)
-    return lines.select(F.struct("doc_id", "tie", "at").alias("place"), "line")
+        each = each.filter(F.length(F.btrim("line", F.lit(BLANK))) > 0)
+    return each.select("doc_id", "tie", "at", "line", (F.col("begin") + F.col("at")).cast("decimal(38,0)").alias("place"))
 
 
 def need(n: Column, m: Column) -> Column:
@@ -116,11 +123,6 @@ def need(n: Column, m: Column) -> Column:
     return F.floor((4 * (n + m) + 8) / 9)
 
 
-def similar(x: Column, y: Column) -> Column:
-    """Whether two arrays of distinct words have a similarity of 4/5 or more."""
-    return F.size(F.array_intersect(x, y)) >= need(F.size(x), F.size(y))
-
-
 def reach(n: Column) -> Column:
     """How many of n tokens the prefix filter looks at: n - ceil(4n/5) + 1."""
     return F.floor(n / 5).cast("int") + 1
@@ -139,11 +141,11 @@ POST = ("key", "id", "n", "i", "bits")
 
 
 def calm_pairs(posts: DataFrame, level: int) -> DataFrame:
-    """Pairs (a, b) of the sets that meet at keys of few sets and pass the filters."""
+    """Pairs (a, b, and how many tokens they share at least if they are similar) of the sets that meet at keys of few sets and pass the filters."""
     x, y = posts.select(*POST).alias("x"), posts.select(*POST).alias("y")
     once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & once & may_be("x", "y", level))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("least"))
 
 
 def span(n: Column) -> Column:
@@ -163,22 +165,22 @@ def head_pairs(busy: DataFrame, level: int, heads: int) -> DataFrame:
     head = top(own, heads, "first", "id").unionByName(top(own, heads, "i", "first", "id"))
     x, h = own.alias("x"), near(head).alias("h")
     same = (F.col("x.key") == F.col("h.key")) & (F.col("x.span") == F.col("h.span")) & (F.col("x.id") != F.col("h.id"))
-    return x.join(h, same & may_be("x", "h", level)).select(F.col("h.id").alias("a"), F.col("x.id").alias("b"))
+    return x.join(h, same & may_be("x", "h", level)).select(F.col("h.id").alias("a"), F.col("x.id").alias("b"), need(F.col("x.n"), F.col("h.n")).alias("least"))
 
 
 def open_pairs(rows: DataFrame, level: int) -> DataFrame:
     """Each set that no earlier one is known to be similar to (open), with the earlier ones of its key."""
     x, y = rows.filter("open").alias("x"), rows.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.first") < F.col("x.first")) & may_be("x", "y", level))
-    return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+    return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("least"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
-    """id of the later line of each pair that is similar by its words (or shingles)."""
+    """id of the later line of each pair that shares enough words (or shingles)."""
     x = lines.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("first").alias("fx"))
     y = lines.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("first").alias("fy"))
-    both = F.struct(*[F.array_distinct(units(F.col(c), shingle)).alias(c) for c in ("x", "y")])
-    met = pairs.distinct().join(x, "a").join(y, "b").filter(let(both, lambda w: similar(w["x"], w["y"])))
+    shared = F.size(F.array_intersect(units(F.col("x"), shingle), units(F.col("y"), shingle)))
+    met = pairs.join(x, "a").join(y, "b").filter(shared >= F.col("least"))
     return met.select(F.when(F.col("fx") < F.col("fy"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
@@ -251,8 +253,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", room:
     verdict = lines.select("id", "first", "copies", *marks(F.col("line"))).join(late, "id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     dirty = stored(verdict.filter("late OR copies > 1").select("k1", "k2", "first", "late"))
     drop(lines)
-    gone = all_lines.select("place", *marks(F.col("line"))).join(dirty, ["k1", "k2"]).filter(F.col("late") | (F.col("place") != F.col("first")))
-    return gone.groupBy("place.doc_id", "place.tie").agg(F.array_sort(F.collect_set("place.at")).alias("removed"))
+    gone = all_lines.select("doc_id", "tie", "at", "place", *marks(F.col("line"))).join(dirty, ["k1", "k2"]).filter(F.col("late") | (F.col("place") != F.col("first")))
+    return gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
 def marked(docs: DataFrame, columns: list, doc_id: str, text: str, how: dict, name: str) -> DataFrame:
