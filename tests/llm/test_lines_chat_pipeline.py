@@ -176,3 +176,32 @@ def test_short_lines_go_too(spark):
     got = line_dedup.marked(df, ["doc_id"], "doc_id", "text", {"room": 2, "wide": 1, "heads": 1}, "removed").collect()
     assert {r.doc_id: r.removed for r in got} == {i: want.get((i, mark[t]), []) for i, t in rows}
     assert sum(set(x.split()) == {"x"} for r in line_dedup.deduplicated(df).collect() for x in r.text.split("\n")) == 1
+
+
+OWN = "_m string, _w string, _kept string, _base_failed string, _mark string, _rate string, _times string, _own string, _tie string, row string, place string, gone string, draw string, removed string, `a.b` string"
+
+
+def test_stages_leave_other_columns_alone(spark, tmp_path):
+    r = random.Random(2)
+    words = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    names = [x.split(" ")[0].strip("`") for x in OWN.split(", ")]
+    texts = [words() for _ in range(6)] + [None, ""]
+    rows = [(i, t, "en", "s", 0, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0]], f"doc_id long, text string, lang string, source string, n_chars long, {OWN}")
+    root = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, root)
+        assert out.columns == df.columns, name
+        kept = out.collect()
+        assert {x.doc_id for x in kept} >= set(range(6)), name
+        assert all(x[n] == f"{n}{x.doc_id}" for x in kept for n in names), name
+        assert stage(spark, df.filter("false"), root).collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, df.filter("false"), root).collect() == []
+
+
+def test_formatting_with_nulls(spark):
+    df = spark.createDataFrame([(1, 0, "user", None), (1, 1, None, "x"), (2, None, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.formatted(df).select("conv_id", chat.parsed(F.col("formatted")).alias("turns")).collect()}
+    assert got == {1: [("user", ""), ("", "x")], 2: [("assistant", "y")]}
+    assert chat.formatted(df.filter("false")).collect() == []

@@ -115,3 +115,21 @@ def test_tokens_of_nothing(spark, empty, tmp_path):
     assert bpe.round_trip(empty).collect() == [] == bpe.encoded(empty).collect()
     token_files.write_tokens(empty, f"file://{tmp_path}/none")
     assert token_files.read_tokens(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_very_long_words_take_little_memory():
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    c = bpe.codec()
+    tracemalloc.start()
+    got = c.encode(word.encode()).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    assert got == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(word, add_special_tokens=False).ids

@@ -29,6 +29,8 @@ from tidewatch.llm.shared import documents, ship, text_of
 
 #: Entries of each table that a worker keeps. This bounds memory and changes no result.
 WORDS, CHUNKS, PREFIXES, STEPS = 200_000, 400_000, 300_000, 500_000
+#: Longer words and chunks are in no table: a word's path is then held by position, in memory in proportion to its length.
+LONG = 64
 # Fixed values of the public vocabulary file: its word pattern and end-of-word mark.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
@@ -122,6 +124,26 @@ class Automaton:
             found = self.table[key] = self._arc(self.target[before], token)
         return found
 
+    def _long(self, word: str) -> list[int]:
+        """encode() of a long word: the last token of each prefix stands in a list, by the prefix's length."""
+        vocab, target, n = self.vocab, self.target, len(word)
+        last = [-1] * (n + 1)
+        for size in range(1, n + 1):
+            end = END if size == n else ""
+            for k in range(max(0, size - self.longest), size):
+                token = vocab.get(word[k:size] + end)
+                if token is not None and token in target and (k == 0 or self.follows(last[k], token)):
+                    last[size] = token
+                    break
+            else:
+                raise ValueError(f"no path for the first {size} letters")
+        ids = [last[n]]
+        n -= len(self.label[ids[0]]) - len(END)
+        while n > 0:
+            ids.append(last[n])
+            n -= len(self.label[last[n]])
+        return ids[::-1]
+
     def _last(self, prefix: str, size: int, end: str) -> int:
         """The last token on the path of prefix, whose shorter prefixes are known."""
         vocab, known, target = self.vocab, self.last, self.target
@@ -135,6 +157,8 @@ class Automaton:
         """The ids of a word of byte letters, its last one marked as the end."""
         known = self.last
         n = len(word)
+        if n > LONG:
+            return self._long(word)
         if len(known) + n >= PREFIXES:
             known.clear()
         k = n - 1
@@ -183,7 +207,9 @@ class Codec:
         ids = self.words.get(word) or self.words.recent.get(word)
         if ids is None:
             plain = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            ids = self.words.put(word, self.automaton.encode(plain))
+            ids = self.automaton.encode(plain)
+            if len(word) <= LONG:
+                self.words.put(word, ids)
         return ids
 
     def _plain(self, text: str) -> list[int]:
@@ -202,7 +228,8 @@ class Codec:
                 out.append(self.special[m[0]])
                 at = m.end()
         out += self._plain(text[at:])
-        return self.chunks.put(chunk, np.array(out, dtype=self.kind).tobytes())
+        ids = np.array(out, dtype=self.kind).tobytes()
+        return self.chunks.put(chunk, ids) if len(chunk) <= LONG else ids
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a text in UTF-8. No word spans ASCII white space, so what stands between it is looked up whole."""

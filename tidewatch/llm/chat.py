@@ -46,11 +46,16 @@ def reconstructed(events: DataFrame) -> DataFrame:
 
 
 def formatted(messages: DataFrame, learn: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans (start from 0 and length, in code points, of each text of role learn)."""
+    """One row per conversation: conv_id, formatted, loss_spans (start from 0 and length, in code points, of each text of role learn).
+
+    Null roles and texts count as empty, a null conv_id is a conversation, and a null turn comes first. Turns of one
+    number go by their rendering, repeated rows each count, other columns are ignored; an empty table gives no rows.
+    """
+    messages = messages.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
     piece = messages.select(
         "conv_id", "turn", (F.col("role") == learn).alias("learn"), F.concat(F.lit(START), escaped(F.col("role")), F.lit(MIDDLE)).alias("head"), escaped(F.col("text")).alias("body")
     ).withColumn("piece", F.concat("head", "body", F.lit(END)))
-    before = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece")
+    before = F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("turn", "piece", "learn").rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece")
     piece = piece.select("conv_id", F.struct("turn", "piece", "learn", (before + F.length("head")).alias("start"), F.length("body").cast("long").alias("length")).alias("t"))
     whole = piece.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     spans = F.transform(F.filter("t", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
@@ -58,7 +63,7 @@ def formatted(messages: DataFrame, learn: str = "assistant") -> DataFrame:
 
 
 def parsed(text: Column) -> Column:
-    """The messages (role, text) of a formatted conversation."""
+    """The messages (role, text) of a formatted conversation; an empty one has none, a null one gives null."""
     pieces = F.split(text, END, -1)
     part = lambda p: F.split(F.substr(p, F.lit(len(START) + 1)), r"<\|m\|>", 2)
     return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(unescaped(part(p)[0]).alias("role"), unescaped(part(p)[1]).alias("text")))

@@ -59,6 +59,11 @@ def apportioned(units: DataFrame, by: list[str], order: list[str], seats: Column
     return u.join(gained, same, "left").select(*units.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
+def drawn(doc_id: str, text: str, seed: int) -> Column:
+    """A row's place in seeded order: by its id and its whole text."""
+    return F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), text_of(text))
+
+
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, rows_per_shard: int = ROWS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, in_mix (whether any word is taken) and row.
 
@@ -67,7 +72,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     No document is taken above cap * size, as no block is taken more than cap times. Blocks of a shard are equal but
     for the last. Other columns are ignored whatever their names.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(text_of(text))).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), text_of(text)).alias("draw"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.size(words_of(text_of(text))).cast("long").alias("size"), drawn(doc_id, text, seed).alias("draw"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(sizes, weights, share, cap).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -82,7 +87,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     shards = shards.groupBy(F.col("r.source").alias("source"), F.pmod(F.col("draw"), F.ceil(F.col("n") / rows_per_shard)).cast("long").alias("shard")).agg(F.sum("size").alias("votes"), F.first("blocks").alias("blocks"))
     shards = apportioned(shards.withColumn("votes", F.col("votes").cast("double")), ["source"], ["shard"], F.col("blocks")).withColumn("n_blocks", F.ceil(F.col("votes") / block))
     shards = shards.withColumn("quota", F.least("quota", (F.col("n_blocks") * F.lit(float(cap))).cast("long")))
-    blocks = shards.filter("n_blocks > 0").select("source", "shard", "quota", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    # a few rows become all blocks of the mix: dealt out first, by a number that is not merged again
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = shards.filter("n_blocks > 0").repartition(spread, "source", "shard").select("source", "shard", "quota", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     turn = F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "block"), "block")) - 1
     blocks = blocks.withColumn("times", F.floor((F.col("quota") - turn + F.col("n_blocks") - 1) / F.col("n_blocks"))).filter("times > 0").select("source", "shard", "block", "times")
     parts = known.filter("size > 0").select("row", "source", "shard", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
@@ -93,12 +100,14 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 
 def in_proportion(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, **how) -> DataFrame:
-    """Each row of docs as often as the mix takes it: taken / size times, rounded up or down by a seeded draw. Rows that are the same in doc_id and text share what is taken of them; rows without words are not in the mix."""
-    rate = mixed(docs, doc_id, text, seed=seed, **how).groupBy("draw").agg((F.sum("taken") / F.sum("size")).alias("_rate")).withColumnRenamed("draw", "_draw")
-    rows = docs.withColumn("_mark", F.xxhash64(F.lit(seed), F.col(doc_id), text_of(text))).join(rate, F.col("_mark") == F.col("_draw"))
-    chance = F.pmod(F.xxhash64(F.lit(seed + 3), "_mark"), F.lit(1 << 30)) / (1 << 30)
-    times = F.floor(F.coalesce("_rate", F.lit(0.0)) + chance).cast("int")
-    return rows.withColumn("_times", times).filter("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each row of docs as often as the mix takes it: taken / size times, rounded up or down by a seeded draw. Rows that are the same in doc_id and text share what is taken of them; rows without words are not in the mix. Columns stay as they are, whatever their names; an empty table gives no rows."""
+    rate = mixed(docs, doc_id, text, seed=seed, **how).groupBy("draw").agg((F.sum("taken") / F.sum("size")).alias("rate"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, drawn(doc_id, text, seed).alias("draw")).join(rate, "draw")
+    chance = F.pmod(F.xxhash64(F.lit(seed + 3), "draw"), F.lit(1 << 30)) / (1 << 30)
+    times = F.floor(F.coalesce("rate", F.lit(0.0)) + chance).cast("int")
+    again = rows.select("row", times.alias("times")).filter("times > 0")
+    return again.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -110,13 +110,26 @@ def certified(good: DataFrame, strata: DataFrame, rules: dict = RULES, alpha: fl
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """docs with the struct column _m of measures, and columns _base_failed and _kept.
+    """docs with the struct column _m of measures, and columns _base_failed and _kept; columns of docs that have these names give way.
 
     labels: doc_id, quality (1 good). All good labels count; null labels and ids count for nothing, a repeated label once per row of docs. A null stratum is one stratum. Without labels nothing is
     certified and only the base rule rejects. Every row of docs gives one row, repeated rows each; tables may be empty.
     """
-    m = measured(docs, text)
-    return ruled(m, stored(m.select(doc_id, stratum, "_m")), labels, doc_id, stratum, rules, alpha, delta)
+    own = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("_m", "_base_failed", "_kept")])
+    return whole(docs, labels, doc_id, text, stratum, rules, alpha, delta).select(*[F.col(f"row.`{c}`").alias(c) for c in own.columns], "_m", "_base_failed", "_kept")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
+    """The rows of docs that no rule rejects, as they are whatever their columns are called; cases as in judged()."""
+    kept = F.coalesce("_kept", F.lit(False))  # as one whole: the optimizer would work out a part of it twice
+    return whole(docs, labels, doc_id, text, stratum, **how).filter(kept).select("row.*")
+
+
+def whole(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, stratum: str, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """row (all columns of docs in one), doc_id, stratum, _m, _base_failed and _kept."""
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{stratum}`").alias("lang"))
+    m = measured(plain)
+    return ruled(m, stored(m.select("doc_id", "lang", "_m")), labels, rules=rules, alpha=alpha, delta=delta)
 
 
 def ruled(m: DataFrame, small: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "tie", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("tie"), text_of(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("tie"), text_of(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def bit(place: Column) -> Column:
@@ -140,9 +140,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Of each component the row of docs with the smallest doc_id, then the smallest hash of its text; of rows that are the same in both, one."""
     best = near_dedup(docs, doc_id, text, words).filter("stays").select(F.col("doc_id").alias("_best"), F.col("tie").alias("_best_tie")).distinct()
-    rows = docs.withColumn("_own", F.col(doc_id).cast("long")).withColumn("_tie", F.xxhash64(text_of(text)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{doc_id}`").cast("long").alias("_own"), F.xxhash64(text_of(text)).alias("_tie"))
     kept = rows.join(best, F.col("_own").eqNullSafe(F.col("_best")) & (F.col("_tie") == F.col("_best_tie")), "left_semi")
-    return kept.withColumn("_place", F.row_number().over(Window.partitionBy("_own", "_tie").orderBy(F.lit(0)))).filter("_place = 1").select(*docs.columns)
+    return kept.withColumn("_place", F.row_number().over(Window.partitionBy("_own", "_tie").orderBy(F.lit(0)))).filter("_place = 1").select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
