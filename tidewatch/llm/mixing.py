@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def in_proportion(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, **how) -> DataFrame:
     """Each row of docs as often as the mix takes it: taken / size times, rounded up or down by a seeded draw. Rows that are the same in doc_id and text share what is taken of them; rows without words are not in the mix. Columns stay as they are, whatever their names; an empty table gives no rows."""
-    rate = mixed(docs, doc_id, text, seed=seed, **how).groupBy("draw").agg((F.sum("taken") / F.sum("size")).alias("rate"))
+    rate = mixed(docs, doc_id, text, seed=seed, **how).filter("size > 0").groupBy("draw").agg((F.sum("taken") / F.sum("size")).alias("rate"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, drawn(doc_id, text, seed).alias("draw")).join(rate, "draw")
     chance = F.pmod(F.xxhash64(F.lit(seed + 3), "draw"), F.lit(1 << 30)) / (1 << 30)
