@@ -295,5 +295,5 @@ QUERIES = {
     "forensic_export": (lambda s, p: export_rows(fixture(s, p, A), ("event_id", "persons", "vessel_type", "status", "classification")), f"{ctes(A)} SELECT CAST(event_id AS STRING) AS event_id, coalesce(CAST(persons AS STRING), '') AS persons, coalesce(vessel_type, '') AS vessel_type, status, '' AS classification FROM alerts"),
     "ocean_nearest": (lambda s, p: grid_nearest(fixture(s, p, A), LATS, LONS), f"{ctes(A)} SELECT event_id, (SELECT arg_min(x, abs(x - lat) * 1000000 + x * 1e-6) FROM unnest([{', '.join(f'{x}e0' for x in LATS)}]) u(x)) AS grid_lat, (SELECT arg_min(x, abs(x - lon) * 1000000 + x * 1e-6) FROM unnest([{', '.join(f'{x}e0' for x in LONS)}]) u(x)) AS grid_lon FROM alerts"),
     "forecast_first": (lambda s, p: first_forecast(fixture(s, p, A), HOURS, "hours_elapsed"), f"{ctes(A)} SELECT event_id, CASE WHEN hours_elapsed <= 0 THEN 0e0 WHEN hours_elapsed <= 3 THEN 3e0 WHEN hours_elapsed <= 6 THEN 6e0 ELSE 0e0 END AS hour FROM alerts"),
-    "alerts_kml": (lambda s, p: kml(fixture(s, p, A).select("event_id", F.lit(35.5).alias("lat"), F.lit(12.25).alias("lon"))), f"{ctes(A)} SELECT event_id, '<Placemark><name>' || event_id || '</name><Point><coordinates>12.25,35.5</coordinates></Point></Placemark>' AS kml FROM alerts"),
+    "alerts_kml": (lambda s, p: kml(fixture(s, p, A)), f"{ctes(A)} SELECT event_id, '<Placemark><name>' || event_id || '</name><Point><coordinates>' || {R('lon', 5)} || ',' || {R('lat', 5)} || '</coordinates></Point></Placemark>' AS kml FROM alerts"),
 }

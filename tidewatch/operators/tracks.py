@@ -255,6 +255,6 @@ QUERIES = {
     "vessels_nearest_each": (lambda s, p: nearest_each(fixture(s, p, "alerts"), latest(fixture(s, p, P))), NEAREST_EACH),
     "chokepoint_counts": (lambda s, p: chokepoint_counts(latest(fixture(s, p, P)), dims.chokepoints(s)), CHOKE),
     "ship_labels": (lambda s, p: fixture(s, p, "vessel_static").select("mmsi", ship_label(F.col("ship_type")).alias("label")), f"{ctes('vessel_static')} SELECT mmsi, CASE " + " ".join(f"WHEN ship_type BETWEEN {a} AND {b} THEN '{c}'" for a, b, c in dims.SHIP_TYPES) + " ELSE 'UNKNOWN' END AS label FROM vessel_static"),
-    "vessel_features": (lambda s, p: geojson(latest(fixture(s, p, P)).filter("lat IS NOT NULL").select("mmsi", F.floor("lat").cast("long").alias("lat"), F.floor("lon").cast("long").alias("lon"))), f"""{ctes(P)}, {LATEST} SELECT mmsi, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(floor(lon) AS BIGINT) || ',' || CAST(floor(lat) AS BIGINT) || ']}},"properties":{{"mmsi":"' || mmsi || '"}}}}' AS feature FROM v"""),
+    "vessel_features": (lambda s, p: geojson(latest(fixture(s, p, P)).filter("lat IS NOT NULL").select("mmsi", "lat", "lon")), f"""{ctes(P)}, {LATEST} SELECT mmsi, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"mmsi":"' || mmsi || '"}}}}' AS feature FROM v"""),
     "positions_normalised": (lambda s, p: position_b(position_a(fixture(s, p, P).withColumn("meta_lat", F.col("lat") + 1).withColumn("meta_lon", F.col("lon") + 1).withColumn("lat", F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("lat"))))).select("event_id", "lat", "lon", "course", "speed", "heading"), f"{ctes(P)} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN lat + 1 ELSE lat END AS lat, lon, CASE WHEN course < 360 THEN course END AS course, CASE WHEN speed < 102.3 THEN speed END AS speed, CASE WHEN heading < 360 AND heading <> 511 THEN heading END AS heading FROM ais_positions"),
 }

@@ -134,6 +134,36 @@ SELECT l_orderkey % 20 AS run_id, l_linenumber AS step, l_partkey AS particle,
   14 + CAST((l_partkey * 7919 + l_linenumber * 131) % 1001 AS DOUBLE) / 10000 AS lon,
   35 + CAST((l_partkey * 104729 + l_linenumber * 17) % 1001 AS DOUBLE) / 10000 AS lat
 FROM lineitem
+""",
+    "alert_writes": r"""
+SELECT o_orderkey AS seq, o_custkey AS event_id, CASE o_orderkey % 4 WHEN 0 THEN 'processing' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'received' END AS status,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'note "' || CAST(o_orderkey AS STRING) || '"' END AS note, o_orderdate AS created_at
+FROM orders
+""",
+    "static_reports": r"""
+SELECT s_suppkey AS seq, CAST(247000000 + s_suppkey AS STRING) AS mmsi,
+  CASE s_suppkey % 4 WHEN 0 THEN '   ' WHEN 1 THEN NULL ELSE ' ' || s_name || '  ' END AS name, CASE WHEN s_suppkey % 4 < 2 THEN '  META ' || s_name ELSE NULL END AS meta_name,
+  CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 9000000 + s_suppkey END AS imo, CAST(20 + s_suppkey % 80 AS INT) AS ship_type,
+  CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE ' PORT ' || CAST(s_nationkey AS STRING) END AS destination
+FROM supplier
+""",
+    "radio_samples": r"""
+SELECT l_orderkey % 7 AS band_no, l_linenumber AS scan_no, CAST((l_partkey * 7919) % 2001 - 1000 AS DOUBLE) / 1000 AS re, CAST((l_partkey * 104729) % 2001 - 1000 AS DOUBLE) / 1000 AS im
+FROM lineitem
+""",
+    "ocean_grid": r"""
+SELECT 32 + CAST(p_partkey % 13 AS DOUBLE) / 2 AS grid_lat, 10 + CAST(floor(p_partkey / 13) % 15 AS DOUBLE) / 2 AS grid_lon, CAST(floor(p_partkey / 195) AS BIGINT) AS hour, CAST(p_partkey % 2 AS DOUBLE) * 0.5 AS depth_m,
+  CAST((p_partkey * 7919) % 201 - 100 AS DOUBLE) / 100 AS u, CAST((p_partkey * 104729) % 201 - 100 AS DOUBLE) / 100 AS v
+FROM part
+""",
+    "forecasts": r"""
+SELECT p_partkey % 10 AS cell_no, CAST(floor(p_partkey / 10) % 4 AS DOUBLE) * 3 + CAST(p_partkey % 10 AS DOUBLE) / 10 AS hour, CAST((p_partkey * 17) % 350 AS DOUBLE) / 10 AS wind_ms
+FROM part
+""",
+    "environment_rows": r"""
+SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE CAST((p_partkey * 7) % 320 AS DOUBLE) / 10 END AS water_temp_c, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST((p_partkey * 5) % 300 AS DOUBLE) / 10 END AS air_temp_c,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST((p_partkey * 17) % 350 AS DOUBLE) / 10 END AS wind_ms, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST((p_partkey * 11) % 70 AS DOUBLE) / 10 END AS wave_m
+FROM part
 """,
 }
 
