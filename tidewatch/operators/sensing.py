@@ -134,15 +134,40 @@ def weather_grid(spark, south: float, west: float, north: float, east: float, n:
     return ids.select("i", "j", axis(south, north, "i").alias("lat"), axis(west, east, "j").alias("lon"))
 
 
+#: Rows of a block of a series, and whole numbers of the order column that are counted together.
+BLOCK = 1 << 13
+
+
+def blocked(rows: DataFrame, key: str, order: str, halo: int, size: int = BLOCK) -> DataFrame:
+    """rows of each key in blocks of size by order, a whole number, each with the halo rows before it (own is false for these), so that no frame of halo rows needs a whole series in one task.
+
+    A row's rank is the count of the ranges of order before its own, which are few and small, and its place in its own.
+    """
+    if halo > size:
+        raise ValueError("a halo reaches into one block only")
+    ranged = rows.withColumn("range", F.floor(F.col(order) / size))
+    counts = ranged.groupBy(key, "range").agg(F.count(F.lit(1)).alias("n_range"))
+    before = F.sum("n_range").over(Window.partitionBy(key).orderBy("range")) - F.col("n_range")
+    starts = counts.select(key, "range", before.alias("n_before"))
+    place = F.row_number().over(Window.partitionBy(key, "range").orderBy(order)) - 1
+    ranked = ranged.withColumn("rank", place).join(starts, [key, "range"]).withColumn("rank", F.col("rank") + F.col("n_before"))
+    block = F.floor(F.col("rank") / size)
+    own, next_ = F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own"))
+    dealt = F.when(F.col("rank") % size >= size - halo, F.array(own, next_)).otherwise(F.array(own))
+    return ranked.select(*rows.columns, F.inline(dealt))
+
+
 def framed(key: str, order: str, first: int, last: int):
-    return Window.partitionBy(key).orderBy(order).rowsBetween(first, last)
+    """A frame within a block of a series."""
+    return Window.partitionBy(key, "block").orderBy(order).rowsBetween(first, last)
 
 
 def sta_lta(rows: DataFrame, short: int = 100, long: int = 3000, ratio: float = 3.5) -> DataFrame:
     """Samples at which the short energy stands out from that of a full long window."""
     x2 = F.col("value") * F.col("value")
-    at = rows.withColumn("sta", F.avg(x2).over(framed("sensor_id", "sample_no", 1 - short, 0))).withColumn("lta", F.avg(x2).over(framed("sensor_id", "sample_no", 1 - long, 0)) + F.lit(1e-10)).withColumn("n", F.count(F.lit(1)).over(framed("sensor_id", "sample_no", 1 - long, 0)))
-    return at.filter((F.col("n") == long) & (F.col("sta") / F.col("lta") >= ratio)).select("sensor_id", "sample_no", geo.rounded(F.col("sta") / F.col("lta"), 3).alias("ratio"))
+    few, many = framed("sensor_id", "sample_no", 1 - short, 0), framed("sensor_id", "sample_no", 1 - long, 0)
+    at = blocked(rows, "sensor_id", "sample_no", long - 1).select("sensor_id", "sample_no", "own", F.avg(x2).over(few).alias("sta"), (F.avg(x2).over(many) + F.lit(1e-10)).alias("lta"), F.count(F.lit(1)).over(many).alias("n"))
+    return at.filter(F.col("own") & (F.col("n") == long) & (F.col("sta") / F.col("lta") >= ratio)).select("sensor_id", "sample_no", geo.rounded(F.col("sta") / F.col("lta"), 3).alias("ratio"))
 
 
 STA = f"""{ctes("waveform_samples")}, w AS (SELECT sensor_id, sample_no, avg(value * value) OVER (PARTITION BY sensor_id ORDER BY sample_no ROWS 99 PRECEDING) AS sta, avg(value * value) OVER (PARTITION BY sensor_id ORDER BY sample_no ROWS 2999 PRECEDING) + 1e-10 AS lta,
@@ -165,7 +190,8 @@ def infrasound_class(seconds: Column, peak: Column) -> Column:
 def infrasound_events(rows: DataFrame, rate: int = 100, cooldown_s: int = 30, long: int = 3000) -> DataFrame:
     """Triggers after the cooldown, classified by their length, which is the window's, and their peak."""
     kept = spaced(sta_lta(rows, long=long), "sensor_id", "sample_no", cooldown_s * rate)
-    peaks = rows.withColumn("peak", F.max(F.abs("value")).over(framed("sensor_id", "sample_no", 1 - long, 0))).select("sensor_id", "sample_no", "peak")
+    peak = F.max(F.abs("value")).over(framed("sensor_id", "sample_no", 1 - long, 0))
+    peaks = blocked(rows, "sensor_id", "sample_no", long - 1).select("sensor_id", "sample_no", "own", peak.alias("peak")).filter("own")
     kind = infrasound_class(F.lit(long / rate), F.col("peak"))
     return kept.join(peaks, ["sensor_id", "sample_no"]).select("sensor_id", "sample_no", geo.rounded(F.col("peak"), 4).alias("peak"), kind["kind"].alias("kind"), kind["confidence"].alias("confidence"))
 
@@ -181,7 +207,7 @@ def seismic_ratio(rows: DataFrame, half: int = 500, least: float = 0.005, stride
     x2 = F.col("value") * F.col("value")
     p, s = F.sum(x2).over(framed("sensor_id", "sample_no", 1 - 2 * half, -half)), F.sum(x2).over(framed("sensor_id", "sample_no", 1 - half, 0))
     whole = framed("sensor_id", "sample_no", 1 - 2 * half, 0)
-    at = rows.withColumn("r", p / (s + F.lit(1e-10))).withColumn("peak", F.max(F.abs("value")).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole)).filter((F.col("n") == 2 * half) & (F.col("peak") >= least) & (F.col("sample_no") % stride == 0))
+    at = blocked(rows, "sensor_id", "sample_no", 2 * half - 1).withColumn("r", p / (s + F.lit(1e-10))).withColumn("peak", F.max(F.abs("value")).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole)).filter(F.col("own") & (F.col("n") == 2 * half) & (F.col("peak") >= least) & (F.col("sample_no") % stride == 0))
     kind = F.when(F.col("r") > 10, "tectonic").when(F.col("r").between(3, 8), "explosion").otherwise("noise")
     sure = F.when(F.col("r") > 10, F.least(F.lit(0.90), 0.5 + 0.02 * F.col("r"))).when(F.col("r").between(3, 8), F.least(F.lit(0.85), 0.4 + 0.05 * F.col("r"))).otherwise(0.10)
     return at.select("sensor_id", "sample_no", kind.alias("kind"), geo.rounded(sure, 3).alias("confidence"))
@@ -196,7 +222,7 @@ def tec_anomalies(rows: DataFrame, history: int = 864, key: str = "station") ->
     """z of a value against up to history - 1 before it, at least ten; a large one in calm conditions is a candidate."""
     rows = rows if key in rows.columns else rows.withColumn(key, F.lit("tec"))
     w = framed(key, "seq", 1 - history, -1)
-    z = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("z", (F.col("vtec") - F.avg("vtec").over(w)) / (F.stddev_samp("vtec").over(w) + 0.1)).filter("n >= 10").filter(F.abs("z") > 2.5)
+    z = blocked(rows, key, "seq", history - 1).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("z", (F.col("vtec") - F.avg("vtec").over(w)) / (F.stddev_samp("vtec").over(w) + 0.1)).filter("own AND n >= 10").filter(F.abs("z") > 2.5)
     sure = F.least(F.lit(0.90), 0.5 + F.abs("z") / 10)
     calm = (F.abs("z") > 4) & (F.col("kp") < 3)
     return z.select("seq", F.when(calm, "ballistic_candidate").otherwise("perturbation").alias("kind"), geo.rounded(F.col("z"), 3).alias("z"), geo.rounded(F.when(calm, F.least(F.lit(0.88), sure + 0.1)).otherwise(sure), 3).alias("confidence"))
