@@ -1,13 +1,17 @@
 """Literal cases, brute force and invariants where SQL has no say."""
 
+import hashlib
+import json
 import math
+import random
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, messages, sea
-from tidewatch.operators import ranges, rescue, sensing, signals, tracks
+from tidewatch.operators import ranges, records, rescue, sensing, signals, tracks
 from tidewatch.sources import dims
 from tidewatch.sources.fixtures import fixture
 from tidewatch.streaming import replay, stateful
@@ -67,20 +71,92 @@ def test_threats_are_those_of_a_plain_loop_and_of_the_stream(spark, small):
     pick = lambda df: {(r.platform_id, r.event_id, r.weight, r.sources) for r in df.collect()}
     assert pick(sensing.threats(rows)) == want
     assert pick(replay.stream_threats(spark, small)) == want
-    sliced = replay.replayed(rows.select("platform_id", "event_id", "t_s", "channel"), stateful.threats, files=1)
+    sliced = replay.replayed(rows.select("platform_id", "event_id", "t_s", "channel"), stateful.threats, batches=5, order="t_s")
     assert pick(sliced) == want
 
 
 def test_stream_windows_sessions_and_throttle(spark, small):
     rows = fixture(spark, small, "sensor_events").withColumn("ts", F.timestamp_seconds(F.col("t_s")))
-    out = replay.replayed(rows.select("event_id", "ts", "platform_id", "channel"), stateful.channel_counts, files=1)
-    assert 0 < out.agg(F.sum("n")).first()[0] <= rows.count()  # the last windows stay open
+    events = rows.select("event_id", "ts", "platform_id", "channel")
+    out = replay.replayed(events, stateful.channel_counts, batches=3)
+    # a window is out once the watermark is past its end
+    seen = rows.agg(F.max("t_s") - 600).first()[0]
+    want = rows.groupBy("platform_id", "channel", (F.floor(F.col("t_s") / 120) * 120).alias("start")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("start") + 120 <= seen)
+    assert {(r.platform_id, r.channel, int(r.start.timestamp()), r.n) for r in out.select("platform_id", "channel", F.col("start"), "n").collect()} == {tuple(r) for r in want.collect()}
     pos = fixture(spark, small, "ais_positions").withColumn("t_s", F.unix_seconds(F.col("ts").cast("timestamp")))
-    out = replay.replayed(pos.select("event_id", "mmsi", "t_s"), lambda r: stateful.throttled(r, 7200), files=1)
-    want = {r.event_id for r in tracks.throttled(pos, 7200.0).collect()}
-    assert {r.event_id for r in out.collect()} == want
-    out = replay.replayed(pos.select("event_id", "mmsi", F.col("ts").cast("timestamp").alias("ts")), lambda r: stateful.sessions(r, "1 hour"), files=1)
-    assert out.count() > 0
+    out = replay.replayed(pos.select("event_id", "mmsi", "t_s"), lambda r: stateful.throttled(r, 7200), batches=4, order="t_s")
+    assert {r.event_id for r in out.collect()} == {r.event_id for r in tracks.throttled(pos, 7200.0).collect()}
+    own = pos.select("event_id", "mmsi", "t_s", F.col("ts").cast("timestamp").alias("ts"))
+    out = replay.replayed(own, lambda r: stateful.sessions(r, "1 hour"), batches=4, order="t_s")
+    by, want, last = defaultdict(list), set(), pos.agg(F.max("ts")).first()[0]
+    for r in pos.select("mmsi", "ts").collect():
+        by[r.mmsi].append(r.ts)
+    for mmsi, times in by.items():
+        times.sort()
+        begin, n = times[0], 1
+        for before, at in [*zip(times, times[1:]), (times[-1], None)]:
+            if at is None or at - before >= timedelta(hours=1):
+                if before + timedelta(hours=1) <= last - timedelta(minutes=10):
+                    want.add((mmsi, begin.isoformat(), n))
+                begin, n = at, 0
+            n += 1
+    assert {(r.mmsi, r.first_seen, r.positions) for r in out.select("mmsi", F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("first_seen"), "positions").collect()} == {(m, b if "." in b else b + ".000000", n) for m, b, n in want}
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, small, tmp_path):
+    rows = fixture(spark, small, "sensor_events").select("platform_id", "event_id", "t_s", "channel")
+    root, half = f"file://{tmp_path}", rows.agg(F.max("t_s") / 2).first()[0]
+    for part in (rows.filter(F.col("t_s") <= half), rows.filter(F.col("t_s") > half)):
+        replay.arriving(part, f"{root}/in", 2, "t_s")
+        out = replay.drained(stateful.threats(replay.source(spark, rows, f"{root}/in")), root)
+    pick = lambda df: {(r.platform_id, r.event_id, r.weight, r.sources) for r in df.collect()}
+    assert pick(out) == pick(sensing.threats(fixture(spark, small, "sensor_events")))
+
+
+def test_last_values_of_a_stream(spark, small):
+    pos = fixture(spark, small, "ais_positions").select("event_id", "mmsi", "lat", "lon", "ts")
+    found = []
+    root = replay.shared_dir(spark) + "/last"
+    replay.arriving(pos, f"{root}/in", 3, "event_id")
+    keep = lambda batch, _: found.append({r.mmsi: (r.lat, r.lon) for r in batch.collect()})
+    stateful.last_values(replay.source(spark, pos, f"{root}/in")).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    assert found[-1] == {r.mmsi: (r.lat, r.lon) for r in tracks.latest(fixture(spark, small, "ais_positions")).collect()}
+
+
+def test_blocks_change_no_frame(spark):
+    r = random.Random(4)
+    rows = [(k, i * 3 + k, float(r.randrange(100))) for k in range(2) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, at long, x double")
+    from pyspark.sql import Window
+
+    for size, halo in ((40, 39), (64, 10), (1000, 39)):
+        b = sensing.blocked(df, "k", "at", halo, size)
+        own = b.select("k", "at", "own", F.sum("x").over(Window.partitionBy("k", "block").orderBy("at").rowsBetween(-halo, 0)).alias("s"), F.count("x").over(Window.partitionBy("k", "block").orderBy("at").rowsBetween(-halo, 0)).alias("n")).filter("own").drop("own")
+        w = Window.partitionBy("k").orderBy("at").rowsBetween(-halo, 0)
+        assert sorted(own.collect()) == sorted(df.select("k", "at", F.sum("x").over(w), F.count("x").over(w)).collect())
+    assert sensing.blocked(df.filter("false"), "k", "at", 5).collect() == []
+
+
+def test_alert_collections_are_geojson(spark, small):
+    alerts = fixture(spark, small, "alerts").limit(5)
+    got = {r.event_id: json.loads(r.geojson) for r in records.collection(alerts).collect()}
+    assert len(got) == 5
+    for c in got.values():
+        assert c["type"] == "FeatureCollection" and [f["properties"]["kind"] for f in c["features"]] == ["trajectory", "cone_6h", "cone_12h", "cone_24h", "impact"]
+        line, *cones, end = [f["geometry"] for f in c["features"]]
+        assert len(line["coordinates"]) == 25 and line["coordinates"][-1] == end["coordinates"]
+        assert all(ring["coordinates"][0][0] == ring["coordinates"][0][-1] for ring in cones)
+
+
+def test_packets_hold_odd_texts_and_nulls(spark):
+    df = spark.createDataFrame([(1, 'a "b" \\ c\n', None, True), (2, None, 5, False)], "event_id long, note string, persons int, open boolean")
+    p = records.packets(df, ("persons", "note", "event_id", "open"))
+    for r in p.collect():
+        assert json.loads(r.canonical) == {"event_id": r.event_id, "note": r.note, "open": r.open, "persons": r.persons}
+        assert list(json.loads(r.canonical)) == ["event_id", "note", "open", "persons"]
+        assert r.sha256 == hashlib.sha256(r.canonical.encode()).hexdigest()
+    assert all(r.hash_match for r in records.checked(p, ("persons", "note", "event_id", "open")).collect())
+    assert not any(r.hash_match for r in records.checked(p.withColumn("persons", F.lit(9)), ("persons", "note", "event_id", "open")).collect())
 
 
 def test_messages(spark):

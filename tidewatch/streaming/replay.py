@@ -13,36 +13,67 @@ from tidewatch.streaming import stateful
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where spark.checkpoint.dir is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, on a single machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def replayed(rows: DataFrame, stream, files: int = 4, mode: str = "append") -> DataFrame:  # noqa: ANN001
-    """What stream makes of rows that arrive file by file, in order of event_id, with a checkpoint."""
+def arriving(rows: DataFrame, path: str, batches: int, order: str) -> None:
+    """Writes rows as files that arrive one after another by order, a whole number: one file a batch."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        rows.write.parquet(path)
+        return
+    step = max(1, -(-(high - low + 1) // batches))
+    for start in range(low, high + 1, step):
+        rows.filter(F.col(order).between(start, start + step - 1)).coalesce(1).write.mode("append").parquet(path)
+
+
+def replayed(rows: DataFrame, stream, batches: int = 4, mode: str = "append", order: str = "event_id") -> DataFrame:  # noqa: ANN001
+    """What stream makes of rows that arrive in several batches, with state and a checkpoint carried from one to the next."""
     spark, root = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/replay-{uuid.uuid4().hex}"
-    rows.repartitionByRange(files, "event_id").write.parquet(f"{root}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = stream(source)
+    arriving(rows, f"{root}/in", batches, order)
+    return drained(stream(source(spark, rows, f"{root}/in")), root, mode)
+
+
+def source(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(out: DataFrame, root: str, mode: str = "append") -> DataFrame:
+    """Runs a stream until its input is read and gives what it has written so far; called again on the same root it goes on from its checkpoint."""
     query = out.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    return out.sparkSession.read.schema(out.schema).parquet(f"{root}/out")
 
 
 def stream_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replayed(fixture(spark, sf_dir, "sensor_events").select("platform_id", "event_id", "t_s", "channel"), stateful.threats, files=1)
+    return replayed(fixture(spark, sf_dir, "sensor_events").select("platform_id", "event_id", "t_s", "channel"), stateful.threats)
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every position twice in, once out."""
     rows = fixture(spark, sf_dir, "ais_positions").select("event_id", "mmsi", F.col("ts").cast("timestamp").alias("ts"))
-    return replayed(rows.unionByName(rows), stateful.deduplicated, files=1).select("event_id", "mmsi")
+    return replayed(rows.unionByName(rows), stateful.deduplicated).select("event_id", "mmsi")
+
+
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vessels that fall silent, by timers in event time."""
+    rows = fixture(spark, sf_dir, "ais_positions").select("mmsi", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"))
+    return replayed(rows, stateful.silences, order="t_ms")
 
 
 QUERIES = {
+    "stream_silences": (
+        stream_silences,
+        f"{ctes('ais_positions')}, g AS (SELECT mmsi, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY mmsi ORDER BY ts) AS n FROM ais_positions), m AS (SELECT max(t) - 600000 AS seen FROM g)"
+        " SELECT mmsi, t AS last_ms FROM g, m WHERE n - t > 1800000 OR n IS NULL AND t + 1800000 <= seen",
+    ),
     "stream_threats": (stream_threats, None),
     "stream_dedup": (stream_dedup, f"{ctes('ais_positions')} SELECT event_id, mmsi FROM ais_positions"),
 }

@@ -82,6 +82,34 @@ def throttled(rows: DataFrame, gap_s: int = 60) -> DataFrame:
     return rows.groupBy("mmsi").applyInPandasWithState(fold, "mmsi string, event_id long, t_s long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def silences(rows: DataFrame, after_ms: int = 1_800_000) -> DataFrame:
+    """The last time (last_ms) of each vessel before it was silent for longer than after_ms, of rows (mmsi, ts, t_ms).
+
+    A timer in event time speaks up while the vessel stays away; a row that comes after a longer gap does so where the watermark has not got there yet.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lost: list[int] = []
+        if state.hasTimedOut:
+            lost.append(state.get[0])
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else None
+            for t in sorted(int(t) for b in batches for t in b["t_ms"]):
+                if last is not None and t - last > after_ms:
+                    lost.append(last)
+                last = t
+            state.update((last,))
+            if last + after_ms <= state.getCurrentWatermarkMs():
+                lost.append(last)
+                state.remove()
+            else:
+                state.setTimeoutTimestamp(last + after_ms)
+        yield pd.DataFrame({"mmsi": [key[0]] * len(lost), "last_ms": lost}).astype({"mmsi": "object", "last_ms": "int64"})
+
+    return on_time(rows).groupBy("mmsi").applyInPandasWithState(fold, "mmsi string, last_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def last_values(rows: DataFrame, key: str = "mmsi") -> DataFrame:
     """The newest position of each key, for complete or update mode."""
     at = F.struct("ts", "event_id")
