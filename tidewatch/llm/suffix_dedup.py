@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.shared import documents, released, scratch, ship, stored, text_of
 
 DEPTH, GRAM = 50, 16
+#: Bytes of input up to which batches stay at BATCH, and of the largest batch.
+GIB, MOST = 1 << 30, 1 << 24
 #: Bytes of a batch of documents and of a bucket of the table; window starts that are hashed at a time.
 BATCH, BUCKET, SEGMENT = 1 << 20, 1 << 24, 1 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
@@ -313,7 +316,9 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    batches = max(1, -(-total // BATCH))
+    # a batch sends a row to each part, so batches grow with the root of the input: rows then grow with the input, until batches are MOST bytes
+    batch_bytes = min(MOST, max(BATCH, int(BATCH * math.sqrt(total / GIB))))
+    batches = max(1, -(-total // batch_bytes))
     parts = max(64, batches // 2)
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
