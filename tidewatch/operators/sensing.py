@@ -134,15 +134,12 @@ def weather_grid(spark, south: float, west: float, north: float, east: float, n:
     return ids.select("i", "j", axis(south, north, "i").alias("lat"), axis(west, east, "j").alias("lon"))
 
 
-#: Rows of a block of a series, and whole numbers of the order column that are counted together.
-BLOCK = 1 << 13
-
-
-def blocked(rows: DataFrame, key: str, order: str, halo: int, size: int = BLOCK) -> DataFrame:
+def blocked(rows: DataFrame, key: str, order: str, halo: int, size: int = 0) -> DataFrame:
     """rows of each key in blocks of size by order, a whole number, each with the halo rows before it (own is false for these), so that no frame of halo rows needs a whole series in one task.
 
-    A row's rank is the count of the ranges of order before its own, which are few and small, and its place in its own.
+    A block has four times the halo unless size says otherwise. A row's rank is the count of the ranges of order before its own, which are few and small, and its place in its own.
     """
+    size = size or max(1024, 4 * halo)
     if halo > size:
         raise ValueError("a halo reaches into one block only")
     ranged = rows.withColumn("range", F.floor(F.col(order) / size))
@@ -315,6 +312,19 @@ def threats(rows: DataFrame, window_s: int = 120) -> DataFrame:
     return out.select("platform_id", "event_id", "t_s", "weight", threat_kind(F.col("types"), F.col("weight")).alias("threat"), F.array_join("types", ",").alias("sources"), (F.col("weight") >= dims.URGENT).alias("urgent"))
 
 
+WEIGH = "CASE s " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.WEIGHT.items()) + " ELSE 0 END"
+HAS = "list_contains(types, '{}')".format
+THREATS = f"""{ctes("sensor_events").replace("WITH ", "WITH RECURSIVE ", 1)}, o AS (SELECT *, {KIND} AS sensor, row_number() OVER (PARTITION BY platform_id ORDER BY t_s, event_id) AS i FROM sensor_events),
+f AS (SELECT platform_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS t_s, CAST([] AS STRUCT(t BIGINT, s VARCHAR)[]) AS held, CAST([] AS VARCHAR[]) AS types, CAST(0 AS BIGINT) AS weight FROM (SELECT DISTINCT platform_id FROM o)
+ UNION ALL SELECT platform_id, i, event_id, t_s, CASE WHEN weight >= {dims.ALERT} THEN [] ELSE held END, types, weight FROM (
+  SELECT *, CAST(list_sum(list_transform(types, lambda s: {WEIGH})) AS BIGINT) AS weight FROM (SELECT *, list_sort(list_distinct(list_transform(held, lambda h: h.s))) AS types FROM (
+   SELECT o.platform_id, o.i, o.event_id, o.t_s, list_append(list_filter(f.held, lambda h: o.t_s - h.t < 120), {{'t': o.t_s, 's': o.sensor}}) AS held FROM f JOIN o ON o.platform_id = f.platform_id AND o.i = f.i + 1))))
+SELECT platform_id, event_id, t_s, CAST(weight AS INT) AS weight, array_to_string(types, ',') AS sources, weight >= {dims.URGENT} AS urgent,
+ CASE WHEN {HAS("ionospheric")} AND ({HAS("infrasound")} OR {HAS("seismic")}) AND weight >= {dims.URGENT} THEN 'ballistic_confirmed' WHEN {HAS("adsb")} AND {HAS("infrasound")} THEN 'drone_attack_candidate'
+  WHEN {HAS("ais_anomaly")} AND {HAS("gnss_spoof")} THEN 'vessel_spoofing_confirmed' ELSE 'physical_threat_candidate' END AS threat FROM f WHERE weight >= {dims.ALERT}"""
+GATED = f"""{ctes("sensor_events", "tec_series")}, k AS (SELECT seq * 6 AS k_t, kp FROM tec_series WHERE kp IS NOT NULL)
+SELECT event_id, channel FROM sensor_events ASOF LEFT JOIN k ON t_s >= k_t WHERE channel NOT IN ('sensors:ionospheric', 'ionosphere:anomalies') OR (confidence >= 0.5 AND NOT coalesce(kp > 4 AND t_s - k_t < {STORM_S}, false))"""
+
 one = lambda name, f: lambda s, p: f(fixture(s, p, name))
 QUERIES = {
     "adsb_rules": (one("aircraft", adsb_rules), ADSB),
@@ -332,6 +342,6 @@ QUERIES = {
     "kp_storms": (one("tec_series", lambda r: r.filter("kp > 4").select("seq", geo.rounded(F.least(F.lit(0.95), (F.col("kp") - 4) / 5 + 0.6), 4).alias("confidence"))), f"{ctes('tec_series')} SELECT seq, {R('least(0.95e0, (kp - 4) / 5 + 0.6e0)', 4)} AS confidence FROM tec_series WHERE kp > 4"),
     "rf_bursts": (one("rf_power", rf_bursts), RF),
     "correlation_scores": (one("sensor_events", scores), SCORES),
-    "correlation_threats": (one("sensor_events", threats), None),
-    "correlation_gated": (lambda s, p: gated(fixture(s, p, "sensor_events"), fixture(s, p, "tec_series").select((F.col("seq") * 6).alias("t_s"), "kp")).select("event_id", "channel"), None),
+    "correlation_threats": (one("sensor_events", threats), THREATS),
+    "correlation_gated": (lambda s, p: gated(fixture(s, p, "sensor_events"), fixture(s, p, "tec_series").select((F.col("seq") * 6).alias("t_s"), "kp")).select("event_id", "channel"), GATED),
 }

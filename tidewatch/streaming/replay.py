@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.sensing import THREATS
 from tidewatch.sources.fixtures import ctes, fixture
 from tidewatch.streaming import stateful
 
@@ -74,6 +75,6 @@ QUERIES = {
         f"{ctes('ais_positions')}, g AS (SELECT mmsi, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY mmsi ORDER BY ts) AS n FROM ais_positions), m AS (SELECT max(t) - 600000 AS seen FROM g)"
         " SELECT mmsi, t AS last_ms FROM g, m WHERE n - t > 1800000 OR n IS NULL AND t + 1800000 <= seen",
     ),
-    "stream_threats": (stream_threats, None),
+    "stream_threats": (stream_threats, f"SELECT platform_id, event_id, t_s, weight, sources, urgent FROM ({THREATS})"),
     "stream_dedup": (stream_dedup, f"{ctes('ais_positions')} SELECT event_id, mmsi FROM ais_positions"),
 }
