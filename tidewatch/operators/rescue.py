@@ -284,7 +284,7 @@ QUERIES = {
     "particle_nearest_step": (lambda s, p: nearest_step(fixture(s, p, "particles").select("run_id", "step", (F.col("step") * 4.5).alias("at_h")).distinct()), f"{ctes('particles')}, d AS (SELECT DISTINCT run_id, step FROM particles), h AS (SELECT *, unnest([6, 12, 24]) AS horizon FROM d) SELECT run_id, horizon, step FROM h QUALIFY row_number() OVER (PARTITION BY run_id, horizon ORDER BY abs(step * 4.5e0 - horizon), step) = 1"),
     "particle_hulls": (lambda s, p: hulls(fixture(s, p, "particles")), None),
     "ballistic_impacts": (lambda s, p: ballistic(fixture(s, p, A).select("event_id", "lat", "lon", (30.0 + F.col("event_id") % 40).alias("angle_deg"), (300.0 + F.col("event_id") % 500).alias("speed_ms"), F.lit(8000.0).alias("altitude_m"), F.lit(5.0).alias("wind_ms"), F.lit(225.0).alias("wind_deg"))), None),
-    "leeway_ensemble": (lambda s, p: mean_path(leeway(fixture(s, p, A), particles=32)), None),
+    "leeway_ensemble": (lambda s, p: mean_path(leeway(fixture(s, p, A), step_s=900)), None),
     "object_types": (lambda s, p: fixture(s, p, A).select("event_id", object_type(F.col("vessel_type"), F.col("persons")).alias("object_type")), f"{ctes(A)} SELECT event_id, CASE vessel_type WHEN 'life_raft' THEN CASE WHEN coalesce(persons, 1) <= 4 THEN 27 ELSE 29 END WHEN 'rubber_boat' THEN 38 WHEN 'wooden_boat' THEN 46 ELSE 26 END AS object_type FROM alerts"),
     "alerts_with_drift": (lambda s, p: alerts_with_drift(fixture(s, p, A)), f"{ctes(A)}, {RESULTS} SELECT event_id, lat, lon, status, d_lat, d_lon, drift_id FROM alerts LEFT JOIN dr USING (event_id)"),
     "alert_features": (lambda s, p: alerts_with_drift(fixture(s, p, A)).filter("status = 'completed'").select("event_id", "d_lat", "d_lon"), f"{ctes(A)}, {RESULTS} SELECT event_id, d_lat, d_lon FROM alerts JOIN dr USING (event_id) WHERE status = 'completed'"),
