@@ -94,7 +94,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     blocks = blocks.withColumn("times", F.floor((F.col("quota") - turn + F.col("n_blocks") - 1) / F.col("n_blocks"))).filter("times > 0").select("source", "shard", "block", "times")
     parts = known.filter("size > 0").select("row", "source", "shard", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     words = F.least(F.col("a.start") + F.col("a.size"), (F.col("a.block") + 1) * block) - F.greatest(F.col("a.start"), F.col("a.block") * block)
-    taken = parts.alias("a").join(blocks.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.shard") == F.col("b.shard")) & (F.col("a.block") == F.col("b.block")))
+    # the estimate of blocks is that of its shards, so Spark would broadcast them
+    taken = parts.alias("a").join(blocks.hint("merge").alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.shard") == F.col("b.shard")) & (F.col("a.block") == F.col("b.block")))
     taken = taken.groupBy(F.col("a.row").alias("row_taken")).agg(F.sum(words * F.col("times")).alias("taken"))
     return known.join(taken, F.col("row") == F.col("row_taken"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), (F.coalesce("taken", F.lit(0)) > 0).alias("in_mix"), "draw")
 
