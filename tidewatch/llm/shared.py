@@ -120,5 +120,12 @@ def near(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(10_001).count() <= 10_000 else rows
 
 
+def usable(df: DataFrame, vector: str) -> DataFrame:
+    """The rows of df whose vector is there and holds finite components only."""
+    v = F.col(f"`{vector}`")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return df.filter(v.isNotNull() & F.forall(v.cast("array<double>"), finite))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
