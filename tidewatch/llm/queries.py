@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, chat, exact_dedup, line_dedup, mixing, neighbours, quality, sharding, simhash, suffix_dedup, token_files, vector_codes
+from tidewatch.llm import bpe, chat, exact_dedup, line_dedup, mixing, neighbours, prefix_trie, quality, sharding, simhash, suffix_dedup, token_files, vector_codes
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_sharding": sharding.op10_sharding,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_nearest": neighbours.op13_nearest,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_formatting": chat.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_formatting": chat.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
