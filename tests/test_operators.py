@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, messages, sea
 from tidewatch.operators import ranges, records, rescue, sensing, signals, tracks
-from tidewatch.sources import dims
+from tidewatch.sources import dims, storage
 from tidewatch.sources.fixtures import fixture
 from tidewatch.streaming import replay, stateful
 
@@ -116,7 +116,7 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, small, tmp_path):
 def test_last_values_of_a_stream(spark, small):
     pos = fixture(spark, small, "ais_positions").select("event_id", "mmsi", "lat", "lon", "ts")
     found = []
-    root = replay.shared_dir(spark) + "/last"
+    root = storage.shared_dir(spark) + "/last"
     replay.arriving(pos, f"{root}/in", 3, "event_id")
     keep = lambda batch, _: found.append({r.mmsi: (r.lat, r.lon) for r in batch.collect()})
     stateful.last_values(replay.source(spark, pos, f"{root}/in")).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()

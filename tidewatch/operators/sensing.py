@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo, sea
+from tidewatch.operators import ordered
 from tidewatch.operators.ranges import near_join
 from tidewatch.operators.tracks import R
 from tidewatch.sources import dims
 from tidewatch.sources.fixtures import ctes, fixture
+from tidewatch.sources.storage import stored
 
 
 def emitted(rows: DataFrame, columns: list[str], rules: list[tuple[Column, str, Column]]) -> DataFrame:
@@ -172,12 +174,10 @@ STA = f"""{ctes("waveform_samples")}, w AS (SELECT sensor_id, sample_no, avg(val
 
 
 def spaced(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:
-    """Greedy cooldown over whole numbers: keeps a row, then drops until gap after the last kept one. Stretches between gaps that long are independent."""
-    w = Window.partitionBy(key).orderBy(at)
-    cut = rows.withColumn("_new", F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True)).cast("int")).withColumn("_stretch", F.sum("_new").over(w))
-    lists = cut.groupBy(key, "_stretch").agg(F.sort_array(F.collect_set(F.col(at).cast("long"))).alias("l"))
-    kept = F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.array(F.get("l", F.lit(0))), lambda a, x: F.when(x - F.element_at(a, -1) >= gap, F.concat(a, F.array(x))).otherwise(a))
-    return lists.select(key, F.explode(kept).alias(at))
+    """Greedy cooldown over whole numbers: keeps a row, then drops until gap after the last kept one. A fold by blocks; equal numbers of a key count once."""
+    timed = ordered.ranked(rows.select(key, at).distinct(), key, at)
+    kept = ordered.folded(ordered.apart(timed, key, at, gap), key).select(F.col(key).alias("_key"), F.col("rank").alias("_rank"))
+    return timed.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("rank") == F.col("_rank"))).select(key, at)
 
 
 def infrasound_class(seconds: Column, peak: Column) -> Column:
@@ -294,21 +294,26 @@ def threat_kind(types: Column, weight: Column) -> Column:
 
 
 def threats(rows: DataFrame, window_s: int = 120) -> DataFrame:
-    """Fused events: once the weight in the window reaches the alert level, an event goes out and the window starts empty. A silence as long as the window empties it too, so stretches between such silences are folded apart."""
-    w = Window.partitionBy("platform_id").orderBy("t_s", "event_id")
-    typed = rows.withColumn("sensor", dims.looked_up(F.col("channel"), dims.SENSOR))
-    cut = typed.withColumn("new", F.coalesce(F.col("t_s") - F.lag("t_s").over(w) >= window_s, F.lit(True)).cast("int")).withColumn("stretch", F.sum("new").over(w))
-    lists = cut.groupBy("platform_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("t_s", "event_id", "sensor"))).alias("l"))
-    weigh = lambda held: F.aggregate(F.array_distinct(F.transform(held, lambda h: h["sensor"])), F.lit(0), lambda a, s: a + dims.looked_up(s, dims.WEIGHT, 0))
-    event = "struct<t_s:bigint,event_id:bigint,sensor:string>"
-    empty = F.struct(F.array().cast(f"array<{event}>").alias("held"), F.array().cast("array<struct<event_id:bigint,t_s:bigint,weight:int,types:array<string>>>").alias("out"))
-
-    def step(a, x):
-        held = F.concat(F.filter(a["held"], lambda h: x["t_s"] - h["t_s"] < window_s), F.array(x))
-        fired = F.struct(F.array().cast(f"array<{event}>").alias("held"), F.concat(a["out"], F.array(F.struct(x["event_id"].alias("event_id"), x["t_s"].alias("t_s"), weigh(held).alias("weight"), F.sort_array(F.array_distinct(F.transform(held, lambda h: h["sensor"]))).alias("types")))).alias("out"))
-        return F.when(weigh(held) >= dims.ALERT, fired).otherwise(F.struct(held.alias("held"), a["out"].alias("out")))
-
-    out = lists.select("platform_id", F.inline(F.aggregate("l", empty, step)["out"]))
+    """Fused events: once the weight of the sensor types in the window reaches the alert level, an event goes out and the window starts empty.
+
+    Only the newest event of each type counts. With these by descending time, an event goes out if the last one that
+    did came before the one whose weight completes the alert level: a limit on the last rank kept, so that blocks of a
+    platform are folded apart (ordered.folded), however busy it is.
+    """
+    kinds = sorted(set(dims.SENSOR.values()))
+    typed = rows.withColumn("sensor", dims.looked_up(F.col("channel"), dims.SENSOR)).select("platform_id", "event_id", "t_s", "sensor")
+    at = ordered.ranked(typed, "platform_id", "t_s", "event_id")
+    newest = {f"{x}_{i}": F.when(F.col("sensor") == k, F.col(c)) for i, k in enumerate(kinds) for x, c in (("r", "rank"), ("t", "t_s"))}
+    last = F.array(*[F.struct(F.col(f"r_{i}").alias("rank"), F.col(f"t_{i}").alias("t"), F.lit(dims.WEIGHT.get(k, 0)).alias("weight"), F.lit(k).alias("sensor")) for i, k in enumerate(kinds)])
+    held = F.filter(last, lambda x: x["t"] > F.col("t_s") - window_s)
+    seen = stored(ordered.running_max(at, "platform_id", ("rank",), **newest).select("platform_id", "event_id", "t_s", "rank", F.sort_array(held, asc=False).alias("held")))
+    empty = F.struct(F.lit(0).alias("weight"), F.lit(None).cast("long").alias("rank"))
+    full = F.aggregate("held", empty, lambda a, x: F.when(a["weight"] >= dims.ALERT, a).otherwise(F.struct((a["weight"] + x["weight"]).alias("weight"), x["rank"].alias("rank"))))
+    kept = ordered.folded(seen.withColumn("f", full).select("platform_id", "rank", F.when(F.col("f.weight") >= dims.ALERT, F.col("f.rank") - 1).alias("limit")), "platform_id")
+    kept = kept.select(F.col("platform_id").alias("_key"), F.col("rank").alias("_rank"), "previous")
+    out = seen.join(kept, F.col("platform_id").eqNullSafe(F.col("_key")) & (F.col("rank") == F.col("_rank")))
+    out = out.withColumn("new", F.filter("held", lambda x: x["rank"] > F.col("previous")))
+    out = out.withColumn("types", F.sort_array(F.transform("new", lambda x: x["sensor"]))).withColumn("weight", F.aggregate("new", F.lit(0), lambda a, x: a + x["weight"]))
     return out.select("platform_id", "event_id", "t_s", "weight", threat_kind(F.col("types"), F.col("weight")).alias("threat"), F.array_join("types", ",").alias("sources"), (F.col("weight") >= dims.URGENT).alias("urgent"))
 
 

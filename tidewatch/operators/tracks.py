@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
+from tidewatch.operators import ordered
 from tidewatch.operators.ranges import near_join
 from tidewatch.sources import dims
 from tidewatch.sources.fixtures import ctes, fixture
@@ -92,17 +93,21 @@ SELECT event_id, anomaly_type, CASE anomaly_type WHEN 'position_jump' THEN 0.85e
 UNION ALL SELECT event_id, 'spoofing_zone', 0.75e0 FROM ais_positions p WHERE EXISTS (SELECT 1 FROM interference_features f WHERE geom_type = 'Point' AND sqrt((p.lat - f.lat) * (p.lat - f.lat) + (p.lon - f.lon) * (p.lon - f.lon)) * 111e0 < 500)"""
 
 
-def throttled(rows: DataFrame, gap_s: float = 60.0, key: str = "mmsi") -> DataFrame:
-    """Keeps a row, then drops until gap_s after the last kept one. A gap that long between neighbours starts anew whatever came before, so each stretch between such gaps is folded alone."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    apart = F.coalesce(seconds(F.lag("ts").over(w), F.col("ts")) >= gap_s, F.lit(True))
-    cut = rows.withColumn("_new", apart).withColumn("_stretch", F.sum(F.col("_new").cast("int")).over(w))
-    times = cut.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("l"))
-    first = F.get("l", F.lit(0))
-    start = F.struct(first["ts"].alias("last"), F.array(first["event_id"]).alias("kept"))
-    rest = F.slice("l", F.lit(2), F.size("l"))
-    step = lambda a, x: F.when(seconds(a["last"], x["ts"]) >= gap_s, F.struct(x["ts"].alias("last"), F.concat(a["kept"], F.array(x["event_id"])).alias("kept"))).otherwise(a)
-    return times.select(key, F.explode(F.aggregate(rest, start, step)["kept"]).alias("event_id"))
+def throttled(rows: DataFrame, gap_s: float = 60.0, key: str = "mmsi", at: str = "ts") -> DataFrame:
+    """key and event_id of the rows that are kept: the first, then each that comes gap_s or more after the last one kept. Rows without a time are left out.
+
+    A fold by blocks (ordered.folded), so that no vessel is one task however long and dense its track is. at is a
+    time or whole seconds; a row's limit is the last row that is gap_s or more before it.
+    """
+    t = F.col(at) * 1_000_000 if dict(rows.dtypes)[at] in ("int", "bigint") else micros(F.col(at), dict(rows.dtypes)[at])
+    timed = ordered.ranked(rows.filter(F.col(at).isNotNull()).select(key, "event_id", t.alias("_us")), key, "_us", "event_id")
+    kept = ordered.folded(ordered.apart(timed, key, "_us", round(gap_s * 1e6)), key).select(F.col(key).alias("_key"), F.col("rank").alias("_rank"))
+    return timed.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("rank") == F.col("_rank"))).select(key, "event_id")
+
+
+def micros(ts: Column, kind: str) -> Column:
+    """Microseconds since 1970 of a time with or without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(kind), ts)
 
 
 THROTTLE = f"""{ctes("ais_positions").replace("WITH ", "WITH RECURSIVE ", 1)}, k AS (SELECT mmsi, min(ts) AS ts FROM ais_positions GROUP BY mmsi
@@ -110,6 +115,11 @@ THROTTLE = f"""{ctes("ais_positions").replace("WITH ", "WITH RECURSIVE ", 1)}, k
 SELECT p.mmsi, p.event_id FROM ais_positions p JOIN k USING (mmsi, ts)"""
 
 
+THROTTLE_60 = f"""{ctes("ais_reports").replace("WITH ", "WITH RECURSIVE ", 1)}, k AS (SELECT mmsi, min(t_s) AS t_s FROM ais_reports GROUP BY mmsi
+  UNION ALL SELECT k.mmsi, (SELECT min(p.t_s) FROM ais_reports p WHERE p.mmsi = k.mmsi AND p.t_s >= k.t_s + 60) FROM k WHERE k.t_s IS NOT NULL)
+SELECT p.mmsi, min(p.event_id) AS event_id FROM ais_reports p JOIN k USING (mmsi, t_s) GROUP BY p.mmsi, t_s"""
+
+
 def tracks(rows: DataFrame, gap_s: float = 180.0) -> DataFrame:
     """Sessions of a vessel: a gap of gap_s or more starts another."""
     new = F.coalesce(seconds(F.lag("ts").over(track()), F.col("ts")) >= gap_s, F.lit(True))
@@ -245,6 +255,7 @@ QUERIES = {
     "ais_sanctions": (lambda s, p: sanctioned(fixture(s, p, P), fixture(s, p, "sanctioned_mmsi")), f"{ctes(P, 'sanctioned_mmsi')} SELECT event_id, mmsi, 0.95e0 AS confidence FROM ais_positions WHERE mmsi IN (SELECT mmsi FROM sanctioned_mmsi)"),
     "gnss_anomalies": (lambda s, p: gnss_anomalies(fixture(s, p, P), fixture(s, p, "interference_features")), GNSS),
     "ais_throttled": (ais(P)(lambda r: throttled(r, 7200.0)), THROTTLE),
+    "ais_throttled_60s": (ais("ais_reports")(lambda r: throttled(r, 60.0, at="t_s")), THROTTLE_60),
     "ais_tracks": (ais(P)(lambda r: tracks(r, 3600.0)), f"{ctes(P)}, n AS (SELECT *, CASE WHEN coalesce({GAP} >= 3600, true) THEN 1 ELSE 0 END AS new FROM ais_positions WINDOW w AS (PARTITION BY mmsi ORDER BY ts, event_id)), t AS (SELECT *, CAST(sum(new) OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS BIGINT) AS track FROM n) SELECT mmsi, track, count(*) AS positions, min(ts) AS first_seen, max(ts) AS last_seen FROM t GROUP BY ALL"),
     "vessel_state": (ais(V)(vessel_state), STATE),
     "vessel_summary": (ais(V)(lambda r: vessel_state(r).agg(F.count(F.lit(1)).alias("vessels"), F.count_if(F.col("lat").isNotNull()).alias("positioned"), F.sum(F.when(F.col("statuses").contains("raw_ais_received"), 1).otherwise(0)).alias("raw_ais"))), f"SELECT count(*) AS vessels, count(lat) AS positioned, CAST(count(*) FILTER (WHERE statuses LIKE '%raw_ais_received%') AS BIGINT) AS raw_ais FROM ({STATE})"),

@@ -17,6 +17,10 @@ SELECT event_id, CAST(247000000 + user_id AS STRING) AS mmsi, ts,
   CASE user_id % 7 WHEN 0 THEN 'cargo' WHEN 1 THEN 'tanker' WHEN 2 THEN 'passenger' WHEN 3 THEN 'fishing'
     WHEN 4 THEN 'tug' WHEN 5 THEN 'sailing' ELSE '' END AS vessel_type
 FROM events
+""",
+    "ais_reports": r"""
+SELECT event_id, CAST(247000000 + CASE WHEN event_id % 5 < 3 THEN 0 ELSE user_id % 40 END AS STRING) AS mmsi, event_id * 5 + CASE WHEN event_id % 1000 < 30 THEN -90 ELSE 0 END AS t_s
+FROM events
 """,
     "vessel_static": r"""
 SELECT CAST(247000000 + s_suppkey AS STRING) AS mmsi, s_name AS ship_name,

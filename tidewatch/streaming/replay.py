@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.sensing import THREATS
 from tidewatch.sources.fixtures import ctes, fixture
+from tidewatch.sources.storage import scratch
 from tidewatch.streaming import stateful
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, on a single machine only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def arriving(rows: DataFrame, path: str, batches: int, order: str) -> None:
     """Writes rows as files that arrive one after another by order, a whole number: one file a batch."""
     low, high = rows.agg(F.min(order), F.max(order)).first()
@@ -37,7 +24,7 @@ def arriving(rows: DataFrame, path: str, batches: int, order: str) -> None:
 
 def replayed(rows: DataFrame, stream, batches: int = 4, mode: str = "append", order: str = "event_id") -> DataFrame:  # noqa: ANN001
     """What stream makes of rows that arrive in several batches, with state and a checkpoint carried from one to the next."""
-    spark, root = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/replay-{uuid.uuid4().hex}"
+    spark, root = rows.sparkSession, scratch(rows.sparkSession)
     arriving(rows, f"{root}/in", batches, order)
     return drained(stream(source(spark, rows, f"{root}/in")), root, mode)
 
