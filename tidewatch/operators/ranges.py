@@ -1,25 +1,66 @@
-"""Joins by distance as equi joins on grid cells: the right side is dealt to its cell and the eight around it."""
+"""Joins by distance as equi joins on grid cells: the right side is dealt to its cell and the eight around it.
+
+A crowded cell is not one task: its left rows are dealt to as many shares as it takes for each to have ROOM rows, about,
+and the right rows of that cell go to every share.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROOM = 8192  # left rows of a share
+FEW = 100_000  # rows of a table that may be broadcast
+
+
+def cell(column: str, width: float) -> Column:
+    return F.floor(F.col(column) / F.lit(width)).cast("long")
+
+
+def crowded(left: DataFrame, keys: list[str]) -> DataFrame | None:
+    """keys and _shares of the cells with more than ROOM rows, broadcast if they are FEW at most; None if there is no such cell."""
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROOM).cast("int").alias("_shares")).filter("_shares > 1")
+    n = sizes.limit(FEW + 1).count()
+    return None if n == 0 else F.broadcast(sizes) if n <= FEW else sizes
+
+
+def dealt(left: DataFrame, crowds: DataFrame, keys: list[str]) -> DataFrame:
+    """left with _share, its share of a crowded cell, 0 elsewhere; crowds: keys and _shares."""
+    name = {k: f"_c{k}" for k in keys}
+    same = [F.col(k) == F.col(c) for k, c in name.items()]
+    draw = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_shares"))
+    return left.join(crowds.withColumnsRenamed(name), same, "left").withColumn("_share", F.coalesce(draw, F.lit(0))).drop("_shares", *name.values())
+
 
-def near_join(left: DataFrame, right: DataFrame, lat: tuple[str, str], lon: tuple[str, str], degrees: float, exact: Column, how: str = "inner", on: tuple[str, ...] = ()) -> DataFrame:
+def near_join(left: DataFrame, right: DataFrame, lat: tuple[str, str], lon: tuple[str, str], degrees: float, exact: Column, how: str = "inner", on: tuple[str, ...] = (), planar: bool = False) -> DataFrame:
     """Pairs whose planar distance is within degrees, then exact, without comparing all with all.
 
     The right side is multiplied by nine, so it should be the smaller one. how: inner or left_semi; on: further columns
     that must be equal. Rows without a position meet nothing. Columns of the two sides must differ in name, but for on.
+    planar: exact holds for any two points less than degrees apart; a semi join then answers a left row whose cell of
+    two thirds of that width holds a right row without looking at pairs.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(degrees)).cast("long")
-    around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
-    l_ = left.withColumn("_x", cell(lat[0])).withColumn("_y", cell(lon[0]))
-    r_ = right.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    r_ = r_.withColumn("_rx", cell(lat[1]) + F.col("_dx")).withColumn("_ry", cell(lon[1]) + F.col("_dy")).drop("_dx", "_dy")
-    for c in on:
-        r_ = r_.withColumnRenamed(c, f"_r_{c}")
-    same = (F.col("_x") == F.col("_rx")) & (F.col("_y") == F.col("_ry")) & exact
-    for c in on:
-        same = same & (F.col(c) == F.col(f"_r_{c}"))
-    return l_.join(r_, same, how).drop("_x", "_y", "_rx", "_ry", *[f"_r_{c}" for c in on])
+    if planar and how == "left_semi" and not on:
+        width = degrees / 1.5  # its diagonal is shorter than degrees
+        held = right.select(cell(lat[1], width).alias("_fx"), cell(lon[1], width).alias("_fy")).distinct().withColumn("_held", F.lit(True))
+        flagged = left.withColumn("_x", cell(lat[0], width)).withColumn("_y", cell(lon[0], width)).join(held, (F.col("_x") == F.col("_fx")) & (F.col("_y") == F.col("_fy")), "left")
+        rest = flagged.filter(F.col("_held").isNull()).select(*left.columns)
+        places = right.dropDuplicates([lat[1], lon[1]])
+        return flagged.filter("_held").select(*left.columns).unionByName(near_join(rest, places, lat, lon, degrees, exact, how))
+    keys = ["_x", "_y", *on]
+    l_ = left.withColumn("_x", cell(lat[0], degrees)).withColumn("_y", cell(lon[0], degrees))
+    offsets = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    r_ = right.withColumn("_dx", F.explode(offsets)).withColumn("_dy", F.explode(offsets))
+    r_ = r_.withColumn("_rx", cell(lat[1], degrees) + F.col("_dx")).withColumn("_ry", cell(lon[1], degrees) + F.col("_dy")).drop("_dx", "_dy")
+    r_ = r_.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    names = {"_x": "_rx", "_y": "_ry"} | {c: f"_r_{c}" for c in on}
+    same = exact
+    for k in keys:
+        same = same & (F.col(k) == F.col(names[k]))
+    crowds = crowded(l_, keys)
+    if crowds is not None:
+        l_, same = dealt(l_, crowds, keys), same & (F.col("_share") == F.col("_r_share"))
+        more = crowds.withColumnsRenamed({k: f"_c{k}" for k in keys})
+        each = F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1)).cast("long") - 1)
+        r_ = r_.join(more, [F.col(names[k]) == F.col(f"_c{k}") for k in keys], "left").withColumn("_r_share", F.explode(each)).drop("_shares", *[f"_c{k}" for k in keys])
+    return l_.join(r_, same, how).drop("_x", "_y", "_rx", "_ry", "_share", "_r_share", *[f"_r_{c}" for c in on])

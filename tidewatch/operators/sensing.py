@@ -156,17 +156,31 @@ def blocked(rows: DataFrame, key: str, order: str, halo: int, size: int = 0) ->
     return ranked.select(*rows.columns, F.inline(dealt))
 
 
-def framed(key: str, order: str, first: int, last: int):
-    """A frame within a block of a series."""
-    return Window.partitionBy(key, "block").orderBy(order).rowsBetween(first, last)
+def sliding(rows: DataFrame, key: str, order: str, frame: int, **values: tuple[str, Column]) -> DataFrame:
+    """rows of blocked() with each value ("sum" or "max", column) over the frame rows up to and including a row, or as many as its block has.
+
+    A block is cut into segments as long as the frame: what a frame covers is the end of one segment and the beginning
+    of the next, so running sums and maxima from both sides of a segment give it. The cost of a row does not depend on
+    the frame, and nothing is subtracted, so loud samples leave no error behind.
+    """
+    ahead = Window.partitionBy(key, "block").orderBy(order)
+    rows = rows.withColumn("_place", F.row_number().over(ahead) - 1).withColumn("_segment", F.floor(F.col("_place") / frame))
+    begun, ended = (Window.partitionBy(key, "block", "_segment").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(order), F.desc(order)))
+    made = {"sum": F.sum, "max": F.max}
+    rows = rows.withColumns({f"_end_{n}": made[f](v).over(ended) for n, (f, v) in values.items()}).withColumns({f"_begin_{n}": made[f](v).over(begun) for n, (f, v) in values.items()})
+    rows = rows.withColumns({f"_end_{n}": F.lag(f"_end_{n}", frame - 1).over(ahead) for n in values})
+    met = {"sum": lambda x, y: x + F.coalesce(y, F.lit(0.0)), "max": lambda x, y: F.greatest(x, y)}
+    whole = F.col("_place") % frame == frame - 1
+    return rows.withColumns({n: F.when(whole, F.col(f"_begin_{n}")).otherwise(met[f](F.col(f"_begin_{n}"), F.col(f"_end_{n}"))) for n, (f, _) in values.items()}).drop("_segment", *[f"_{x}_{n}" for n in values for x in ("begin", "end")])
 
 
 def sta_lta(rows: DataFrame, short: int = 100, long: int = 3000, ratio: float = 3.5) -> DataFrame:
-    """Samples at which the short energy stands out from that of a full long window."""
-    x2 = F.col("value") * F.col("value")
-    few, many = framed("sensor_id", "sample_no", 1 - short, 0), framed("sensor_id", "sample_no", 1 - long, 0)
-    at = blocked(rows, "sensor_id", "sample_no", long - 1).select("sensor_id", "sample_no", "own", F.avg(x2).over(few).alias("sta"), (F.avg(x2).over(many) + F.lit(1e-10)).alias("lta"), F.count(F.lit(1)).over(many).alias("n"))
-    return at.filter(F.col("own") & (F.col("n") == long) & (F.col("sta") / F.col("lta") >= ratio)).select("sensor_id", "sample_no", geo.rounded(F.col("sta") / F.col("lta"), 3).alias("ratio"))
+    """Samples at which the short energy stands out from that of a full long window. Samples without a value are left out, here and below."""
+    x2, rows = F.col("value") * F.col("value"), rows.filter(F.col("value").isNotNull())
+    at = blocked(rows.select("sensor_id", "sample_no", "value"), "sensor_id", "sample_no", long - 1)
+    at = sliding(sliding(at, "sensor_id", "sample_no", long, lta=("sum", x2)).drop("_place"), "sensor_id", "sample_no", short, sta=("sum", x2))
+    r = (F.col("sta") / short) / (F.col("lta") / long + F.lit(1e-10))
+    return at.filter(F.col("own") & (F.col("_place") >= long - 1) & (r >= ratio)).select("sensor_id", "sample_no", geo.rounded(r, 3).alias("ratio"))
 
 
 STA = f"""{ctes("waveform_samples")}, w AS (SELECT sensor_id, sample_no, avg(value * value) OVER (PARTITION BY sensor_id ORDER BY sample_no ROWS 99 PRECEDING) AS sta, avg(value * value) OVER (PARTITION BY sensor_id ORDER BY sample_no ROWS 2999 PRECEDING) + 1e-10 AS lta,
@@ -187,8 +201,8 @@ def infrasound_class(seconds: Column, peak: Column) -> Column:
 def infrasound_events(rows: DataFrame, rate: int = 100, cooldown_s: int = 30, long: int = 3000) -> DataFrame:
     """Triggers after the cooldown, classified by their length, which is the window's, and their peak."""
     kept = spaced(sta_lta(rows, long=long), "sensor_id", "sample_no", cooldown_s * rate)
-    peak = F.max(F.abs("value")).over(framed("sensor_id", "sample_no", 1 - long, 0))
-    peaks = blocked(rows, "sensor_id", "sample_no", long - 1).select("sensor_id", "sample_no", "own", peak.alias("peak")).filter("own")
+    at = blocked(rows.filter(F.col("value").isNotNull()).select("sensor_id", "sample_no", "value"), "sensor_id", "sample_no", long - 1)
+    peaks = sliding(at, "sensor_id", "sample_no", long, peak=("max", F.abs("value"))).filter("own").select("sensor_id", "sample_no", "peak")
     kind = infrasound_class(F.lit(long / rate), F.col("peak"))
     return kept.join(peaks, ["sensor_id", "sample_no"]).select("sensor_id", "sample_no", geo.rounded(F.col("peak"), 4).alias("peak"), kind["kind"].alias("kind"), kind["confidence"].alias("confidence"))
 
@@ -202,9 +216,10 @@ SELECT sensor_id, sample_no, {R("peak", 4)} AS peak, CASE WHEN peak > 0.5 THEN '
 def seismic_ratio(rows: DataFrame, half: int = 500, least: float = 0.005, stride: int = 1) -> DataFrame:
     """Energy of the first half of a window against the second."""
     x2 = F.col("value") * F.col("value")
-    p, s = F.sum(x2).over(framed("sensor_id", "sample_no", 1 - 2 * half, -half)), F.sum(x2).over(framed("sensor_id", "sample_no", 1 - half, 0))
-    whole = framed("sensor_id", "sample_no", 1 - 2 * half, 0)
-    at = blocked(rows, "sensor_id", "sample_no", 2 * half - 1).withColumn("r", p / (s + F.lit(1e-10))).withColumn("peak", F.max(F.abs("value")).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole)).filter(F.col("own") & (F.col("n") == 2 * half) & (F.col("peak") >= least) & (F.col("sample_no") % stride == 0))
+    at = blocked(rows.filter(F.col("value").isNotNull()).select("sensor_id", "sample_no", "value"), "sensor_id", "sample_no", 2 * half - 1)
+    at = sliding(sliding(at, "sensor_id", "sample_no", half, s=("sum", x2)).drop("_place"), "sensor_id", "sample_no", 2 * half, peak=("max", F.abs("value")))
+    before = F.lag("s", half).over(Window.partitionBy("sensor_id", "block").orderBy("sample_no"))
+    at = at.withColumn("r", before / (F.col("s") + F.lit(1e-10))).filter(F.col("own") & (F.col("_place") >= 2 * half - 1) & (F.col("peak") >= least) & (F.col("sample_no") % stride == 0))
     kind = F.when(F.col("r") > 10, "tectonic").when(F.col("r").between(3, 8), "explosion").otherwise("noise")
     sure = F.when(F.col("r") > 10, F.least(F.lit(0.90), 0.5 + 0.02 * F.col("r"))).when(F.col("r").between(3, 8), F.least(F.lit(0.85), 0.4 + 0.05 * F.col("r"))).otherwise(0.10)
     return at.select("sensor_id", "sample_no", kind.alias("kind"), geo.rounded(sure, 3).alias("confidence"))
@@ -218,8 +233,13 @@ SELECT sensor_id, sample_no, CASE WHEN r > 10 THEN 'tectonic' WHEN r BETWEEN 3 A
 def tec_anomalies(rows: DataFrame, history: int = 864, key: str = "station") -> DataFrame:
     """z of a value against up to history - 1 before it, at least ten; a large one in calm conditions is a candidate."""
     rows = rows if key in rows.columns else rows.withColumn(key, F.lit("tec"))
-    w = framed(key, "seq", 1 - history, -1)
-    z = blocked(rows, key, "seq", history - 1).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("z", (F.col("vtec") - F.avg("vtec").over(w)) / (F.stddev_samp("vtec").over(w) + 0.1)).filter("own AND n >= 10").filter(F.abs("z") > 2.5)
+    block = Window.partitionBy(key, "block")
+    at = blocked(rows.filter(F.col("vtec").isNotNull()).select(key, "seq", "vtec", "kp"), key, "seq", history - 1).withColumn("off", F.col("vtec") - F.avg("vtec").over(block))  # from the block's mean, so that squares stay small
+    at = sliding(at, key, "seq", history - 1, one=("sum", F.col("off")), two=("sum", F.col("off") * F.col("off")))
+    n, earlier = F.least(F.col("_place"), F.lit(history - 1)), block.orderBy("seq")
+    at = at.withColumn("n", n).withColumns({c: F.lag(c).over(earlier) for c in ("one", "two")}).filter("own AND n >= 10")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("two") - F.col("one") * F.col("one") / F.col("n")) / (F.col("n") - 1))
+    z = at.withColumn("z", (F.col("off") - F.col("one") / F.col("n")) / (spread + 0.1)).filter(F.abs("z") > 2.5)
     sure = F.least(F.lit(0.90), 0.5 + F.abs("z") / 10)
     calm = (F.abs("z") > 4) & (F.col("kp") < 3)
     return z.select("seq", F.when(calm, "ballistic_candidate").otherwise("perturbation").alias("kind"), geo.rounded(F.col("z"), 3).alias("z"), geo.rounded(F.when(calm, F.least(F.lit(0.88), sure + 0.1)).otherwise(sure), 3).alias("confidence"))

@@ -11,6 +11,7 @@ from tidewatch.operators import ordered
 from tidewatch.operators.ranges import near_join
 from tidewatch.sources import dims
 from tidewatch.sources.fixtures import ctes, fixture
+from tidewatch.sources.storage import stored
 
 R = lambda x, n: f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"  # noqa: E731  the oracle's rounding
 GAP = "date_diff('microsecond', lag(ts) OVER w, ts) / 1e6"
@@ -83,7 +84,7 @@ def gnss_anomalies(rows: DataFrame, features: DataFrame, within_km: float = 500.
     moved = s.withColumn("anomaly_type", kind).filter("anomaly_type IS NOT NULL").select("event_id", "anomaly_type", F.when(F.col("anomaly_type") == "position_jump", 0.85).otherwise(0.80).alias("confidence"))
     points = features.filter(F.col("geom_type") == "Point").select(F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
     close = geo.planar(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon"), 111.0) < within_km
-    zone = near_join(rows, points, ("lat", "f_lat"), ("lon", "f_lon"), within_km / 111.0, close, "left_semi").select("event_id", F.lit("spoofing_zone").alias("anomaly_type"), F.lit(0.75).alias("confidence"))
+    zone = near_join(rows, points, ("lat", "f_lat"), ("lon", "f_lon"), within_km / 111.0, close, "left_semi", planar=True).select("event_id", F.lit("spoofing_zone").alias("anomaly_type"), F.lit(0.75).alias("confidence"))
     return moved.unionByName(zone)
 
 
@@ -181,22 +182,41 @@ def nearest(vessels: DataFrame, lat: float, lon: float, k: int = 5) -> DataFrame
     return near.select(F.row_number().over(Window.orderBy("km", "mmsi")).alias("rank"), "mmsi", geo.rounded(F.col("km"), 3).alias("km"))
 
 
-def nearest_each(points: DataFrame, vessels: DataFrame, k: int = 3, degrees: float = 0.5) -> DataFrame:
-    """The k nearest vessels of every point by planar degrees, exactly: cells double until each point's k-th is nearer than a cell is wide, or a cell covers the world."""
+#: Widths of cells in degrees, each a quarter of the one before; the first is wider than the world.
+CELLS = tuple(720.0 / 4**level for level in range(13))
+
+
+def cells(lat: Column, lon: Column) -> Column:
+    """(level, x, y) of the cell that a point is in, for every width."""
+    at = lambda v, w: F.floor(v / F.lit(w)).cast("long")
+    return F.array(*[F.struct(F.lit(i).alias("level"), at(lat, w).alias("x"), at(lon, w).alias("y")) for i, w in enumerate(CELLS)])
+
+
+def around(rows: DataFrame, cell: str) -> DataFrame:
+    """rows for the cell in a column and for the eight around it."""
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    c = F.col(cell)
+    return rows.withColumn("_o", F.explode(steps)).withColumn(cell, F.struct(c["level"].alias("level"), (c["x"] + F.col("_o.i")).alias("x"), (c["y"] + F.col("_o.j")).alias("y"))).drop("_o")
+
+
+def nearest_each(points: DataFrame, vessels: DataFrame, k: int = 3) -> DataFrame:
+    """The k nearest vessels of every point by planar degrees, exactly; ties by mmsi.
+
+    Vessels are counted by cells of all widths in one pass. A point takes the narrowest width at which its cell and the
+    eight around it hold k vessels: these lie within 2.83 widths, so the cells four times as wide are sure to have the
+    nearest, and one join by equal cells and one ranking verify them. Of vessels at one place the first k are enough.
+    """
+    place = Window.partitionBy("v_lat", "v_lon").orderBy("mmsi")
     v = vessels.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("mmsi", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"))
-    left, out = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("event_id", "lat", "lon"), None
-    rank = Window.partitionBy("event_id").orderBy("deg", "mmsi")
-    while True:
-        met = near_join(left, v, ("lat", "v_lat"), ("lon", "v_lon"), degrees, F.lit(True)).withColumn("deg", geo.planar(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"), 1.0))
-        top = met.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-        last = degrees >= 720
-        done = top.groupBy("event_id").agg(F.max("deg").alias("worst"), F.count(F.lit(1)).alias("n")).filter(F.lit(last) | ((F.col("n") == k) & (F.col("worst") <= degrees))).select("event_id")
-        found = top.join(done, "event_id", "left_semi").select("event_id", "rank", "mmsi", geo.rounded(F.col("deg"), 6).alias("deg"))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(done, "event_id", "left_anti")
-        if last or left.isEmpty():
-            return out
-        degrees *= 2
+    v = stored(v.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k).select("mmsi", "v_lat", "v_lon", F.explode(cells(F.col("v_lat"), F.col("v_lon"))).alias("cell")))
+    held = around(v.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
+    p = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("event_id", "lat", "lon").withColumn("_row", F.struct("event_id", "lat", "lon"))
+    fine = p.select("_row", F.explode(cells(F.col("lat"), F.col("lon"))).alias("cell")).join(held, "cell").groupBy("_row").agg(F.max("cell.level").alias("level"))
+    level = F.greatest(F.coalesce("level", F.lit(0)) - 1, F.lit(0))  # with fewer than k vessels in all, everywhere
+    asks = p.join(fine, "_row", "left").select("event_id", "lat", "lon", F.get(cells(F.col("lat"), F.col("lon")), level).alias("cell"))
+    met = around(asks, "cell").join(v, "cell").withColumn("deg", geo.planar(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"), 1.0))
+    rank = F.row_number().over(Window.partitionBy("event_id", "lat", "lon").orderBy("deg", "mmsi"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("event_id", "rank", "mmsi", geo.rounded(F.col("deg"), 6).alias("deg"))
 
 
 NEAREST_EACH = f"""{ctes("ais_positions", "alerts")}, {LATEST}, d AS (SELECT a.event_id, v.mmsi, sqrt((a.lat - v.lat) * (a.lat - v.lat) + (a.lon - v.lon) * (a.lon - v.lon)) AS deg FROM alerts a, v),
