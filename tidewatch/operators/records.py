@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
-from tidewatch.operators.rescue import CONE, PATH, drift_cones, drift_path
+from tidewatch.operators.rescue import CONE, PATH, drift_cones, drift_path, intercept_rows, scored, scored_sql
 from tidewatch.operators.tracks import R
+from tidewatch.sources import dims
 from tidewatch.sources.fixtures import ctes, fixture
 
 
@@ -128,11 +129,14 @@ def zipped(points: DataFrame, rows: DataFrame) -> DataFrame:
     return points.join(rows, "place", "left")
 
 
+#: The environment where nothing is given.
+DEFAULTS = {"water_temp_c": 18.0, "air_temp_c": 20.0, "wind_ms": 5.0, "wave_m": 1.0}
+
+
 def environment(rows: DataFrame, order: str = "seq") -> DataFrame:
     """The environment that holds: the last row, with defaults for what it leaves out."""
     last = rows.agg(F.max_by(F.struct("water_temp_c", "air_temp_c", "wind_ms", "wave_m"), order).alias("e"))
-    defaults = {"water_temp_c": 18.0, "air_temp_c": 20.0, "wind_ms": 5.0, "wave_m": 1.0}
-    return last.select(*[F.coalesce(F.col("e")[c], F.lit(d)).alias(c) for c, d in defaults.items()])
+    return last.select(*[F.coalesce(F.col("e")[c], F.lit(d)).alias(c) for c, d in DEFAULTS.items()])
 
 
 def mock_environment(rows: DataFrame, second: Column) -> DataFrame:
@@ -142,10 +146,17 @@ def mock_environment(rows: DataFrame, second: Column) -> DataFrame:
     return rows.select("seq", wave(18.0, 2.0, 3600).alias("water_temp_c"), wave(20.0, 3.0, 7200).alias("air_temp_c"), rising(5.0, 3.0, 1800).alias("wind_ms"), rising(0.8, 0.4, 2400).alias("wave_m"))
 
 
-def engine_state(signals: DataFrame, resolved: DataFrame, env: DataFrame) -> DataFrame:
-    """Signals that are open, each as last written and with the environment that holds, surest first."""
+def held_environment(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """The environment after all updates: of each field the last value given, or its default if none was."""
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) for c in DEFAULTS}
+    return rows.agg(*[F.coalesce(v, F.lit(DEFAULTS[c])).alias(c) for c, v in last.items()])
+
+
+def engine_state(signals: DataFrame, resolved: DataFrame, env: DataFrame, assets: DataFrame) -> DataFrame:
+    """Open signals, each as last written, scored under the environment that holds, highest priority first."""
     open_ = current(signals).join(resolved.select("event_id").distinct(), "event_id", "left_anti")
-    return open_.crossJoin(F.broadcast(environment(env))).orderBy("event_id")  # one row
+    met = open_.crossJoin(F.broadcast(held_environment(env)))  # one row
+    return scored(met, assets, F.col("water_temp_c"), F.col("wind_ms"), F.col("wave_m"), "seq", "status", "water_temp_c", "wind_ms")
 
 
 def hours_since(rows: DataFrame, as_of: Column, time: str) -> DataFrame:
@@ -335,8 +346,10 @@ QUERIES = {
         f"{ctes(E)} SELECT seq, {R('18 + 2e0 * sin(seq * 60e0 / 3600)', 2)} AS water_temp_c, {R('20 + 3e0 * sin(seq * 60e0 / 7200)', 2)} AS air_temp_c, {R('5 + 3e0 * abs(sin(seq * 60e0 / 1800))', 2)} AS wind_ms, {R('0.8e0 + 0.4e0 * abs(sin(seq * 60e0 / 2400))', 2)} AS wave_m FROM environment_rows",
     ),
     "engine_state": (
-        lambda s, p: engine_state(fixture(s, p, W), fixture(s, p, A).filter("event_id % 4 = 1"), fixture(s, p, E)).select("event_id", "seq", "status", "water_temp_c", "wind_ms"),
-        f"{LAST.replace(ctes(W), ctes(W, A, E))} SELECT event_id, seq, l.status, (SELECT coalesce(arg_max_null(water_temp_c, seq), 18e0) FROM environment_rows) AS water_temp_c, (SELECT coalesce(arg_max_null(wind_ms, seq), 5e0) FROM environment_rows) AS wind_ms FROM l WHERE event_id NOT IN (SELECT event_id FROM alerts WHERE event_id % 4 = 1)",
+        lambda s, p: engine_state(fixture(s, p, W).select("event_id", "seq", "status").join(fixture(s, p, A).drop("status"), "event_id"), fixture(s, p, A).filter("event_id % 4 = 1"), fixture(s, p, E), dims.assets(s)),
+        f"""{ctes(W, A, E).replace("WITH ", "WITH RECURSIVE ", 1)}, e AS (SELECT coalesce(arg_max(water_temp_c, seq), 18e0) AS water_temp_c, coalesce(arg_max(wind_ms, seq), 5e0) AS wind_ms, coalesce(arg_max(wave_m, seq), 1e0) AS wave_m FROM environment_rows),
+        o AS (SELECT a.* EXCLUDE (status), w.seq, w.status, e.* FROM alerts a JOIN (SELECT event_id, max(seq) AS seq, arg_max(status, seq) AS status FROM alert_writes GROUP BY event_id) w USING (event_id), e WHERE event_id % 4 <> 1),
+        {intercept_rows("o", "(SELECT water_temp_c FROM e)")}, {scored_sql("o", ("water_temp_c", "wind_ms", "wave_m"), "seq, status, water_temp_c, wind_ms,")}""",
     ),
     "hours_elapsed": (
         lambda s, p: hours_since(fixture(s, p, W), F.expr("timestamp_ntz'1997-01-01 00:00:00'"), "created_at").select("seq", geo.rounded(F.col("hours_elapsed"), 3).alias("hours_elapsed")),

@@ -21,8 +21,12 @@ DRIFT_KN, DRIFT_DEG, WINDOW = 1.5, 0.0, 1.5
 CONES = ((6, 10.0), (12, 18.0), (24, 28.0))  # hours, half angle
 
 
-def with_survival(alerts: DataFrame, water: float = WATER, wind: float = WIND, wave: float = WAVE) -> DataFrame:
-    p = sea.survival_probability(F.col("hours_elapsed"), F.lit(water), F.lit(wind), F.lit(wave), F.col("vessel_condition"), F.coalesce("medical_emergency", F.lit(False)), F.coalesce("children_aboard", F.lit(False)))
+def column(v: float | Column) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
+
+
+def with_survival(alerts: DataFrame, water: float | Column = WATER, wind: float | Column = WIND, wave: float | Column = WAVE) -> DataFrame:
+    p = sea.survival_probability(F.col("hours_elapsed"), column(water), column(wind), column(wave), F.col("vessel_condition"), F.coalesce("medical_emergency", F.lit(False)), F.coalesce("children_aboard", F.lit(False)))
     return alerts.withColumn("p", p)
 
 
@@ -30,14 +34,26 @@ def survival(alerts: DataFrame, **env: float) -> DataFrame:
     return with_survival(alerts, **env).select("event_id", geo.rounded(F.col("p"), 4).alias("survival_prob"), sea.urgency(F.col("p")).alias("urgency"))
 
 
-EFF = f"{survival_sql(f'{WATER}e0')} * greatest(0.5e0, 1 - 0.05e0 * {WAVE}) / greatest(0.1e0, 1 + 0.25e0 * (37 - {WATER}e0) * (1 + 0.03e0 * {WIND}) / 10) * CASE vessel_condition WHEN 'sinking' THEN 0.4e0 WHEN 'taking_water' THEN 0.65e0 WHEN 'engine_failure' THEN 0.85e0 ELSE 1e0 END * CASE WHEN medical_emergency THEN 0.7e0 ELSE 1e0 END * CASE WHEN children_aboard THEN 0.8e0 ELSE 1e0 END"
-SURVIVAL = f"sv AS (SELECT *, greatest(0e0, least(1e0, exp(-hours_elapsed / ({EFF})))) AS p FROM alerts)"
+def effective_sql(water: str, wind: str, wave: str) -> str:
+    """Effective survival hours."""
+    condition = "CASE vessel_condition " + " ".join(f"WHEN '{c}' THEN {x}e0" for c, x in sea.CONDITIONS) + " ELSE 1e0 END"
+    return f"{survival_sql(water)} * greatest(0.5e0, 1 - 0.05e0 * {wave}) / greatest(0.1e0, 1 + 0.25e0 * (37 - {water}) * (1 + 0.03e0 * {wind}) / 10) * {condition} * CASE WHEN medical_emergency THEN 0.7e0 ELSE 1e0 END * CASE WHEN children_aboard THEN 0.8e0 ELSE 1e0 END"
+
+
+GIVEN = (f"{WATER}e0", f"{WIND}e0", f"{WAVE}e0")
+
+
+def survival_rows(rows: str = "alerts", env: tuple[str, str, str] = GIVEN) -> str:
+    return f"sv AS (SELECT *, greatest(0e0, least(1e0, exp(-hours_elapsed / ({effective_sql(*env)})))) AS p FROM {rows})"
+
+
+SURVIVAL = survival_rows()
 URGENCY = "CASE WHEN p >= 0.8 THEN 'ROUTINE' WHEN p >= 0.5 THEN 'ELEVATED' WHEN p >= 0.2 THEN 'URGENT' ELSE 'IMMEDIATE' END"
 
 
-def interceptions(alerts: DataFrame, assets: DataFrame, drift_kn: float = DRIFT_KN, drift_deg: float = DRIFT_DEG, water: float = WATER) -> DataFrame:
+def interceptions(alerts: DataFrame, assets: DataFrame, drift_kn: float = DRIFT_KN, drift_deg: float = DRIFT_DEG, water: float | Column = WATER) -> DataFrame:
     """Each alert with each asset: the time at which the asset meets what drifts, as a fixed point of at most 50 steps. Assets are a handful and broadcast."""
-    both = alerts.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("event_id", "lat", "lon").crossJoin(F.broadcast(assets))
+    both = alerts.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("event_id", "lat", "lon", column(water).alias("_water")).crossJoin(F.broadcast(assets))
     lat, lon = F.col("lat"), F.col("lon")
 
     def met(t: Column) -> tuple[Column, Column, Column]:
@@ -52,7 +68,7 @@ def interceptions(alerts: DataFrame, assets: DataFrame, drift_kn: float = DRIFT_
     t = both.withColumn("t", F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, step)["t"])
     a, b, d = met(F.col("t"))
     t = t.withColumn("i_lat", a).withColumn("i_lon", b).withColumn("d", d)
-    feasible = (F.col("t") <= F.col("endurance_h")) & (F.col("t") <= WINDOW * sea.survival_hours(F.lit(water)))
+    feasible = (F.col("t") <= F.col("endurance_h")) & (F.col("t") <= WINDOW * sea.survival_hours(F.col("_water")))
     return t.select(
         "event_id", "asset_id", geo.rounded(F.col("d"), 2).alias("distance_nm"), geo.rounded(F.col("t"), 3).alias("hours"), geo.rounded(F.col("i_lat"), 5).alias("intercept_lat"), geo.rounded(F.col("i_lon"), 5).alias("intercept_lon"),
         geo.rounded(geo.bearing(F.col("a_lat"), F.col("a_lon"), F.col("i_lat"), F.col("i_lon")), 1).alias("heading"), feasible.alias("feasible"), F.col("t").alias("exact_h"),
@@ -63,25 +79,38 @@ HAV = "2 * 3440.065e0 * asin(sqrt(sin((radians({c}) - radians({a})) / 2) ** 2 +
 DLAT = f"(lat + {DRIFT_KN}e0 * t * cos(radians({DRIFT_DEG}e0)) / 60)"
 DLON = f"(lon + {DRIFT_KN}e0 * t * sin(radians({DRIFT_DEG}e0)) / (60 * cos(radians(lat)) + 1e-9))"
 HAV_T = HAV.format(a="a_lat", b="a_lon", c=DLAT, d=DLON)
-INTERCEPT = f"""{ctes("alerts").replace("WITH ", "WITH RECURSIVE ", 1)}, x AS (SELECT event_id, lat, lon, v.* FROM alerts, {dims.values(dims.ASSETS, "asset_id, a_lat, a_lon, speed_kn, endurance_h, asset_type")}),
+def intercept_rows(rows: str = "alerts", water: str = GIVEN[0]) -> str:
+    return f"""x AS (SELECT event_id, lat, lon, v.* FROM {rows}, {dims.values(dims.ASSETS, "asset_id, a_lat, a_lon, speed_kn, endurance_h, asset_type")}),
 i AS (SELECT *, 0e0 AS t, false AS done, 0 AS k FROM x UNION ALL SELECT * EXCLUDE (t, done, k, n), n, abs(n - t) < 1e-4, k + 1 FROM (SELECT *, {HAV_T} / greatest(0.1e0, speed_kn) AS n FROM i WHERE NOT done AND k < 50)),
 l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY event_id, asset_id ORDER BY k DESC) = 1),
-r AS (SELECT event_id, asset_id, {HAV_T} AS d, t, {DLAT} AS i_lat, {DLON} AS i_lon, a_lat, a_lon, t <= endurance_h AND t <= {WINDOW} * {survival_sql(f"{WATER}e0")} AS feasible FROM l)"""
+r AS (SELECT event_id, asset_id, {HAV_T} AS d, t, {DLAT} AS i_lat, {DLON} AS i_lon, a_lat, a_lon, t <= endurance_h AND t <= {WINDOW} * {survival_sql(water)} AS feasible FROM l)"""
+
+
+INTERCEPT = f"{ctes('alerts').replace('WITH ', 'WITH RECURSIVE ', 1)}, {intercept_rows()}"
 BEARING = "fmod(degrees(atan2(sin(radians(i_lon - a_lon)) * cos(radians(i_lat)), cos(radians(a_lat)) * sin(radians(i_lat)) - sin(radians(a_lat)) * cos(radians(i_lat)) * cos(radians(i_lon - a_lon)))) + 360, 360e0)"
 
 
-def priorities(alerts: DataFrame, assets: DataFrame) -> DataFrame:
-    """Alerts that are not completed by priority: confidence, danger, and a bonus where an asset can be there in half the survival window."""
-    active = with_survival(alerts.filter(F.col("status") != "completed"))
-    near = interceptions(active, assets).filter("feasible").groupBy("event_id").agg(F.min("exact_h").alias("h"))
-    bonus = F.when(F.col("h") <= WINDOW * sea.survival_hours(F.lit(WATER)) * 0.5, 0.10).otherwise(0.0)
+def scored(active: DataFrame, assets: DataFrame, water: float | Column = WATER, wind: float | Column = WIND, wave: float | Column = WAVE, *keep: str) -> DataFrame:
+    """Signals by priority: confidence, danger, and a bonus where an asset can be there in half the survival window. The environment is given by numbers or by columns of the signals."""
+    active = with_survival(active, water, wind, wave).withColumn("_water", column(water))
+    near = interceptions(active, assets, water=F.col("_water")).filter("feasible").groupBy("event_id").agg(F.min("exact_h").alias("h"))
+    bonus = F.when(F.col("h") <= WINDOW * sea.survival_hours(F.col("_water")) * 0.5, 0.10).otherwise(0.0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.35 * F.col("extraction_confidence") + 0.50 * (1 - F.col("p")) + 0.15 * bonus))
-    out = active.join(near, "event_id", "left").select("event_id", geo.rounded(F.col("p"), 4).alias("survival_prob"), sea.urgency(F.col("p")).alias("urgency"), geo.rounded(score, 4).alias("priority"), geo.rounded(F.col("h"), 2).alias("nearest_h"))
+    out = active.join(near, "event_id", "left").select("event_id", *keep, geo.rounded(F.col("p"), 4).alias("survival_prob"), sea.urgency(F.col("p")).alias("urgency"), geo.rounded(score, 4).alias("priority"), geo.rounded(F.col("h"), 2).alias("nearest_h"))
     return out.orderBy(F.desc("priority"), "event_id")
 
 
-PRIORITY = f"""{INTERCEPT}, {SURVIVAL}, n AS (SELECT event_id, min(t) AS h FROM r WHERE feasible GROUP BY event_id)
-SELECT event_id, {R("p", 4)} AS survival_prob, {URGENCY} AS urgency, {R(f"greatest(0e0, least(1e0, 0.35e0 * extraction_confidence + 0.5e0 * (1 - p) + 0.15e0 * CASE WHEN h <= {WINDOW} * {survival_sql(f'{WATER}e0')} * 0.5e0 THEN 0.1e0 ELSE 0e0 END))", 4)} AS priority, {R("h", 2)} AS nearest_h FROM sv LEFT JOIN n USING (event_id) WHERE status <> 'completed'"""
+def priorities(alerts: DataFrame, assets: DataFrame) -> DataFrame:
+    """Alerts that are not completed, by priority."""
+    return scored(alerts.filter(F.col("status") != "completed"), assets)
+
+
+def scored_sql(rows: str = "alerts", env: tuple[str, str, str] = GIVEN, keep: str = "", where: str = "true") -> str:
+    return f"""{survival_rows(rows, env)}, n AS (SELECT event_id, min(t) AS h FROM r WHERE feasible GROUP BY event_id)
+SELECT event_id, {keep} {R("p", 4)} AS survival_prob, {URGENCY} AS urgency, {R(f"greatest(0e0, least(1e0, 0.35e0 * extraction_confidence + 0.5e0 * (1 - p) + 0.15e0 * CASE WHEN h <= {WINDOW} * {survival_sql(env[0])} * 0.5e0 THEN 0.1e0 ELSE 0e0 END))", 4)} AS priority, {R("h", 2)} AS nearest_h FROM sv LEFT JOIN n USING (event_id) WHERE {where}"""
+
+
+PRIORITY = f"{INTERCEPT}, {scored_sql(where=chr(39).join(('status <> ', 'completed', '')))}"
 
 
 def drift_speed(wind: Column) -> Column:

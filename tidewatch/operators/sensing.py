@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -250,19 +251,29 @@ SELECT seq, CASE WHEN calm THEN 'ballistic_candidate' ELSE 'perturbation' END AS
 
 
 def rf_bursts(rows: DataFrame, keep: float = 0.99, block: int = 512, least: float = 10.0) -> DataFrame:
-    """Excess over each band's exponential mean before the sample. Blocks of a band are summed apart and carried on from block to block, of which the last few matter to the last bit, so no band is folded in one go."""
-    w = Window.partitionBy("band_no").orderBy("seq")
-    n = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("block", F.floor(F.col("i") / block)).withColumn("j", F.col("i") % block)
+    """Excess over each band's exponential mean before the sample; the mean starts at the band's first sample. Samples without a power are left out.
+
+    A block of samples turns the mean before it into keep ** samples times that plus a sum. These maps are composed by
+    doubling: after k steps a block's stands for 2 ** k blocks, until what is left of an earlier mean is below a
+    double's precision. So no band is folded in one go, whatever keep is.
+    """
+    if not 0 < keep < 1:
+        raise ValueError("keep is between 0 and 1")
+    n = ordered.ranked(rows.filter(F.col("power_db").isNotNull()).select("event_id", "band_no", "seq", "power_db"), "band_no", "seq", "event_id")
+    n = n.withColumn("block", F.floor(F.col("rank") / block)).withColumn("j", F.col("rank") % block)
     inner = Window.partitionBy("band_no", "block").orderBy("j")
-    decay = F.pow(F.lit(keep), -1 - F.col("j"))
-    run = F.sum((1 - keep) * F.col("power_db") * decay).over(inner)
-    n = n.withColumn("after", run * F.pow(F.lit(keep), F.col("j") + 1)).withColumn("before", F.coalesce(F.lag(run).over(inner), F.lit(0.0)) * F.pow(F.lit(keep), F.col("j")))
-    blocks = n.groupBy("band_no", "block").agg(F.max_by("after", "j").alias("b"), F.count(F.lit(1)).alias("m"), F.min_by("power_db", "j").alias("first"))
+    run = F.sum((1 - keep) * F.col("power_db") * F.pow(F.lit(keep), -1 - F.col("j"))).over(inner)
+    n = n.withColumn("run", run).withColumn("after", F.col("run") * F.pow(F.lit(keep), F.col("j") + 1)).withColumn("before", F.coalesce(F.lag("run").over(inner), F.lit(0.0)) * F.pow(F.lit(keep), F.col("j")))
+    maps = n.groupBy("band_no", "block").agg(F.max_by("after", "j").alias("b"), F.pow(F.lit(keep), F.max("j") + 1).alias("a"), F.min_by("power_db", "j").alias("first"))
     order = Window.partitionBy("band_no").orderBy("block")
-    start = F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), F.col("block") * block)
-    for k in range(1, 9):
-        start = start + F.coalesce(F.lag("b", k).over(order), F.lit(0.0)) * F.pow(F.lit(keep), F.lit((k - 1) * block))
-    out = n.join(blocks.withColumn("start", start).select("band_no", "block", "start"), ["band_no", "block"]).withColumn("excess", F.col("power_db") - (F.col("start") * F.pow(F.lit(keep), F.col("j")) + F.col("before")))
+    reach = math.ceil(50 / (block * -math.log(keep)))  # exp(-50) is less than a double's last digit
+    for k in range(reach.bit_length()):
+        maps = maps.withColumns({"a_": F.lag("a", 2**k).over(order), "b_": F.lag("b", 2**k).over(order)})
+        maps = maps.select("band_no", "block", "first", (F.col("a") * F.coalesce("b_", F.lit(0.0)) + F.col("b")).alias("b"), (F.col("a") * F.coalesce("a_", F.lit(1.0))).alias("a"))
+    started = F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.coalesce(F.lag("a").over(order), F.lit(1.0)) * started + F.coalesce(F.lag("b").over(order), F.lit(0.0))
+    maps = maps.select(F.col("band_no").alias("_band"), F.col("block").alias("_block"), start.alias("start"))
+    out = n.join(maps, F.col("band_no").eqNullSafe(F.col("_band")) & (F.col("block") == F.col("_block"))).withColumn("excess", F.col("power_db") - (F.col("start") * F.pow(F.lit(keep), F.col("j")) + F.col("before")))
     band = F.get(F.array(*[F.lit(b[2]) for b in dims.RF_BANDS]), F.col("band_no").cast("int"))
     kind = F.when(band.contains("drone_control") | band.contains("wifi_drone"), "drone_control").when(F.col("excess") > 20, "jamming").otherwise("unknown_burst")
     return out.filter(F.col("excess") >= least).select("event_id", band.alias("band"), kind.alias("kind"), geo.rounded(F.col("excess"), 4).alias("excess_db"), geo.rounded(F.least(F.lit(0.95), 0.5 + F.col("excess") / 30), 4).alias("confidence"))
@@ -278,19 +289,18 @@ STORM_S = 10_800  # how long a storm report holds
 
 
 def gated(rows: DataFrame, kp: DataFrame | None = None, least: float = 0.50) -> DataFrame:
-    """Events that count: all but ionospheric ones that are not confident or come while a storm (kp over 4 at the last report, less than three hours old) is on. kp: t_s, kp."""
+    """Events that count: all but ionospheric ones that are not confident or come while a storm (kp over 4 at the last report, less than three hours old) is on. kp: t_s, kp. Only ionospheric events are sorted by time, in pieces."""
     ionospheric = F.col("channel").isin("sensors:ionospheric", "ionosphere:anomalies")
     rows = rows.filter(~F.coalesce(ionospheric, F.lit(False)) | (F.coalesce("confidence", F.lit(0.0)) >= least))
     if kp is None:
         return rows
-    # a report counts in its own block of three hours and in the next
-    block = F.floor(F.col("t_s") / STORM_S)
-    reports = kp.filter("kp IS NOT NULL").select("t_s", F.struct(F.col("t_s").alias("t"), F.col("kp").cast("double").alias("kp")).alias("_kp"), F.explode(F.array(block, block + 1)).alias("_block"))
-    both = rows.withColumn("_block", block).withColumn("_event", F.lit(True)).unionByName(reports, allowMissingColumns=True)
-    so_far = Window.partitionBy("_block").orderBy("t_s", F.col("_event").isNotNull(), "_kp.kp").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("_kp", True).over(so_far)
-    storm = F.coalesce((F.col("_last.kp") > 4) & (F.col("t_s") - F.col("_last.t") < STORM_S), F.lit(False))
-    return both.withColumn("_last", last).filter(F.col("_event") & ~(F.coalesce(ionospheric, F.lit(False)) & storm)).select(*rows.columns)
+    other, asked = rows.filter(~F.coalesce(ionospheric, F.lit(False))), rows.filter(ionospheric)
+    reports = kp.filter("kp IS NOT NULL AND t_s IS NOT NULL").select(F.col("t_s").alias("_t"), F.lit(0).alias("_asks"), F.col("kp").cast("double").alias("_kp"))
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    both = asked.select(F.col("t_s").alias("_t"), F.lit(1).alias("_asks"), row.alias("_row")).unionByName(reports, allowMissingColumns=True).withColumn("_all", F.lit(0))
+    last = ordered.running_max(both, "_all", ("_t", "_asks", "_kp"), _last=F.when(F.col("_asks") == 0, F.struct("_t", "_kp")))
+    storm = F.coalesce((F.col("_last._kp") > 4) & (F.col("_t") - F.col("_last._t") < STORM_S), F.lit(False))
+    return last.filter((F.col("_asks") == 1) & ~storm).select("_row.*").unionByName(other)
 
 
 def scores(rows: DataFrame, window_s: int = 120) -> DataFrame:

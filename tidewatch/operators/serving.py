@@ -9,7 +9,6 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
 from tidewatch.operators.tracks import LATEST, R, latest, nearest
@@ -56,11 +55,18 @@ def listed(text: Column) -> Column:
     return F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def with_count(rows: DataFrame, order: str, most: int = 10_000) -> DataFrame:
-    """One JSON document {count, events} of the first rows by order, most at most."""
-    some = rows.orderBy(order).limit(most).withColumn("_n", F.row_number().over(Window.orderBy(order)))
-    event = F.to_json(F.struct(*rows.columns))
-    return some.agg(F.sort_array(F.collect_list(F.struct("_n", event.alias("e")))).alias("l")).select(F.concat(F.lit('{"count":'), F.size("l"), F.lit(',"events":['), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("]}")).alias("json"))
+def with_count(rows: DataFrame) -> DataFrame:
+    """rows, each as JSON too, with the count of all of them. A row for each event, so that an export has no largest size."""
+    total = rows.agg(F.count(F.lit(1)).alias("count"))
+    return rows.withColumn("event", F.to_json(F.struct(*rows.columns))).crossJoin(F.broadcast(total))  # one row
+
+
+def export_with_count(rows: DataFrame, path: str) -> int:
+    """Writes rows as JSON lines under path/events and their count as path/count, in this order; gives the count."""
+    rows.write.mode("overwrite").json(f"{path}/events")
+    n = rows.sparkSession.read.schema(rows.schema).json(f"{path}/events").count()
+    rows.sparkSession.range(1).select(F.lit(n).cast("long").alias("count")).write.mode("overwrite").json(f"{path}/count")
+    return n
 
 
 def base64(binary: Column) -> Column:
@@ -110,7 +116,7 @@ QUERIES = {
     "grid_cells": (lambda s, p: grid_cells(fixture(s, p, P)), f"{ctes(P)} SELECT {R('lat', 1)} AS cell_lat, {R('lon', 1)} AS cell_lon, count(*) AS n FROM ais_positions GROUP BY ALL"),
     "mock_wind": (lambda s, p: mock_wind(fixture(s, p, "alerts"), 86_400.0), f"{ctes('alerts')}, s AS (SELECT *, CAST(trunc(abs(lat) * 100 + abs(lon) * 10) AS BIGINT) % 997 AS seed FROM alerts) SELECT event_id, {R('5 + 4 * abs(sin(86400e0 / 1800 + seed))', 2)} AS wind_ms, {R('fmod(200 + 80 * sin(86400e0 / 3600 + seed), 360e0)', 1)} AS wind_deg FROM s"),
     "proximity_ranked": (lambda s, p: proximity(latest(fixture(s, p, P)), 35.5, 12.6).select("rank", "mmsi"), f"{ctes(P)}, {LATEST}, d AS (SELECT mmsi, asin(sqrt(sin(radians(lat - 35.5e0) / 2) ** 2 + cos(radians(35.5e0)) * cos(radians(lat)) * sin(radians(lon - 12.6e0) / 2) ** 2)) AS d FROM v) SELECT CAST(row_number() OVER (ORDER BY d, mmsi) AS INT) AS rank, mmsi FROM d ORDER BY d, mmsi LIMIT 5"),
-    "events_with_count": (lambda s, p: with_count(fixture(s, p, "alerts").select("event_id", "status"), "event_id", 500), f"""{ctes('alerts')}, t AS (SELECT event_id, status FROM alerts ORDER BY event_id LIMIT 500) SELECT '{{"count":' || count(*) || ',"events":[' || string_agg('{{"event_id":' || event_id || ',"status":"' || status || '"}}', ',' ORDER BY event_id) || ']}}' AS json FROM t"""),
+    "events_with_count": (lambda s, p: with_count(fixture(s, p, "alerts").select("event_id", "status")), f"""{ctes('alerts')} SELECT event_id, status, '{{"event_id":' || event_id || ',"status":"' || status || '"}}' AS event, (SELECT count(*) FROM alerts) AS count FROM alerts"""),
     "waveform_base64": (lambda s, p: fixture(s, p, "nmea_lines").select("seq", base64(F.col("sentence").cast("binary")).alias("b64"), F.unbase64(base64(F.col("sentence").cast("binary"))).cast("string").alias("back")), f"{ctes('nmea_lines')} SELECT seq, to_base64(encode(sentence)) AS b64, sentence AS back FROM nmea_lines"),
     "sealed_packets": (lambda s, p: sealed(fixture(s, p, "nmea_lines").select("seq", F.col("sentence").alias("canonical")), b"test key").select("seq", "hmac"), None),
 }

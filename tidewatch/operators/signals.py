@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
 from tidewatch.functions import messages as m
+from tidewatch.operators import ordered
 from tidewatch.operators.tracks import R
 from tidewatch.sources.dims import LANDMARKS
 from tidewatch.sources.fixtures import ctes, fixture
@@ -168,8 +168,9 @@ def nmea_state(rows: DataFrame, span: int = 1000) -> DataFrame:
     r = rows.filter(F.col("sentence").startswith("$")).select("seq", heading.alias("heading"), speed.alias("speed"), F.floor(F.col("seq") / span).alias("span"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     ends = r.groupBy("span").agg(last("heading").alias("heading"), last("speed").alias("speed"))
-    w = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)  # a row per span
-    return ends.select("span", F.last("heading", True).over(w).alias("heading"), geo.rounded(F.last("speed", True).over(w), 4).alias("speed_kn"))
+    newest = {c: F.when(F.col(c).isNotNull(), F.struct("span", c)) for c in ("heading", "speed")}
+    held = ordered.running_max(ends.withColumn("feed", F.lit(0)), "feed", ("span",), last_heading=newest["heading"], last_speed=newest["speed"])
+    return held.select("span", F.col("last_heading.heading").alias("heading"), geo.rounded(F.col("last_speed.speed"), 4).alias("speed_kn"))
 
 
 STATE = f"""{ctes("nmea_lines")}, r AS (SELECT seq, seq // 1000 AS span, CASE WHEN sentence LIKE '$GPVTG%' THEN try_cast(split_part(sentence, ',', 2) AS DOUBLE) END AS heading, CASE WHEN sentence LIKE '$GPVTG%' THEN try_cast(split_part(sentence, ',', 8) AS DOUBLE) / 1.852e0 END AS speed FROM nmea_lines WHERE sentence LIKE '$%')

@@ -128,25 +128,56 @@ def tracks(rows: DataFrame, gap_s: float = 180.0) -> DataFrame:
     return numbered.groupBy("mmsi", "track").agg(F.count(F.lit(1)).alias("positions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
+def merged_payload(log: DataFrame, key: str, payload: str, order: str = "seq") -> DataFrame:
+    """key and payload, the last value of every field that the key's payloads ever had, as JSON by name.
+
+    A field is one aggregation over all its values; only the few fields of a key are brought together. A null value
+    overwrites like any other; an empty or null payload changes nothing.
+    """
+    fields = log.select(key, order, F.explode(payload).alias("field", "value"))
+    last = fields.groupBy(key, "field").agg(F.max_by(F.struct("value"), order).alias("last"))
+    named = F.array_sort(F.collect_list(F.struct("field", "last.value")))
+    return last.groupBy(key).agg(F.to_json(F.map_from_entries(named), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def vessel_state(log: DataFrame) -> DataFrame:
-    """State by vessel from a log in order of seq; lists are distinct in order of first sight."""
-    log = log.withColumn("vessel", F.coalesce("vessel_id", F.lit("ownship")))
+    """State by vessel from a log in order of seq: counts, the last position with its course, speed and heading, and the payloads merged field by field. Lists are distinct in order of first sight.
+
+    A vessel is its id, else its device, else the own ship. The name is the last one that is not empty.
+    """
+    log = log.withColumn("vessel", F.coalesce(F.nullif("vessel_id", F.lit("")), F.nullif("device_id", F.lit("")), F.lit("ownship")))
 
     def seen(column: str) -> DataFrame:
-        firsts = log.filter(F.col(column).isNotNull()).groupBy("vessel", column).agg(F.min("seq").alias("at"))
+        firsts = log.filter(F.col(column) != "").groupBy("vessel", column).agg(F.min("seq").alias("at"))
         return firsts.groupBy("vessel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", column))), lambda x: x[column]), ",").alias(column))
 
-    fix = F.when(F.col("event_kind") == "position_fix", F.col("seq"))
-    named = F.when(F.col("ship_name").isNotNull(), F.col("seq"))
-    state = log.groupBy("vessel").agg(F.count(F.lit(1)).alias("events"), F.max_by("ts", "seq").alias("last_seen"), F.max_by("ship_name", named).alias("name"), F.max_by("lat", fix).alias("lat"), F.max_by("lon", fix).alias("lon"))
-    return state.join(seen("adapter").withColumnRenamed("adapter", "sources"), "vessel", "left").join(seen("status").withColumnRenamed("status", "statuses"), "vessel", "left")
+    fix = F.when((F.col("event_kind") == "position_fix") & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("seq"))
+    name = F.nullif(F.col("payload")["ship_name"], F.lit(""))
+    at = F.max_by(F.struct("lat", "lon", "course", "speed", "heading"), fix).alias("at")
+    state = log.groupBy("vessel").agg(F.count(F.lit(1)).alias("events"), F.max_by("ts", "seq").alias("last_seen"), F.max_by(name, F.when(name.isNotNull(), F.col("seq"))).alias("name"), at)
+    state = state.select("vessel", "events", "last_seen", "name", "at.*")
+    for more in (seen("adapter").withColumnRenamed("adapter", "sources"), seen("status").withColumnRenamed("status", "statuses"), merged_payload(log, "vessel", "payload")):
+        state = state.join(more, "vessel", "left")
+    return state.withColumn("payload", F.coalesce("payload", F.lit("{}")))
+
+
+PAYLOAD = ("class", "destination", "ship_name")
+
+
+def vessel_log(spark, d: str) -> DataFrame:
+    """The log with its payload, a map of the fields that an event has."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in PAYLOAD]), lambda x: x["value"].isNotNull())
+    return fixture(spark, d, "vessel_events").withColumn("payload", F.map_from_entries(pairs))
 
 
-STATE = f"""{ctes("vessel_events")}, l AS (SELECT *, coalesce(vessel_id, 'ownship') AS vessel FROM vessel_events),
+STATE = f"""{ctes("vessel_events")}, l AS (SELECT *, coalesce(vessel_id, device_id, 'ownship') AS vessel FROM vessel_events),
 a AS (SELECT vessel, string_agg(adapter, ',' ORDER BY place) AS sources FROM (SELECT vessel, adapter, min(seq) AS place FROM l GROUP BY ALL) GROUP BY vessel),
 s AS (SELECT vessel, string_agg(status, ',' ORDER BY place) AS statuses FROM (SELECT vessel, status, min(seq) AS place FROM l GROUP BY ALL) GROUP BY vessel),
-g AS (SELECT vessel, count(*) AS events, arg_max(ts, seq) AS last_seen, arg_max(ship_name, seq) FILTER (WHERE ship_name IS NOT NULL) AS name, arg_max(lat, seq) FILTER (WHERE event_kind = 'position_fix') AS lat, arg_max(lon, seq) FILTER (WHERE event_kind = 'position_fix') AS lon FROM l GROUP BY vessel)
-SELECT * FROM g LEFT JOIN a USING (vessel) LEFT JOIN s USING (vessel)"""
+p AS (SELECT vessel, '{{' || string_agg('"' || field || '":' || CAST(to_json(value) AS VARCHAR), ',' ORDER BY field) || '}}' AS payload FROM (SELECT vessel, field, arg_max(value, seq) AS value FROM (UNPIVOT (SELECT vessel, seq, {", ".join(PAYLOAD)} FROM l) ON {", ".join(PAYLOAD)} INTO NAME field VALUE value) GROUP BY ALL) GROUP BY vessel),
+f AS (SELECT * FROM l WHERE event_kind = 'position_fix' AND lat IS NOT NULL),
+n AS (SELECT vessel, lat, lon, course, speed, heading FROM f QUALIFY row_number() OVER (PARTITION BY vessel ORDER BY seq DESC) = 1),
+g AS (SELECT vessel, count(*) AS events, arg_max(ts, seq) AS last_seen, arg_max(ship_name, seq) FILTER (WHERE ship_name <> '') AS name FROM l GROUP BY vessel)
+SELECT g.*, lat, lon, course, speed, heading, sources, statuses, coalesce(payload, '{{}}') AS payload FROM g LEFT JOIN n USING (vessel) LEFT JOIN a USING (vessel) LEFT JOIN s USING (vessel) LEFT JOIN p USING (vessel)"""
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -277,8 +308,8 @@ QUERIES = {
     "ais_throttled": (ais(P)(lambda r: throttled(r, 7200.0)), THROTTLE),
     "ais_throttled_60s": (ais("ais_reports")(lambda r: throttled(r, 60.0, at="t_s")), THROTTLE_60),
     "ais_tracks": (ais(P)(lambda r: tracks(r, 3600.0)), f"{ctes(P)}, n AS (SELECT *, CASE WHEN coalesce({GAP} >= 3600, true) THEN 1 ELSE 0 END AS new FROM ais_positions WINDOW w AS (PARTITION BY mmsi ORDER BY ts, event_id)), t AS (SELECT *, CAST(sum(new) OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS BIGINT) AS track FROM n) SELECT mmsi, track, count(*) AS positions, min(ts) AS first_seen, max(ts) AS last_seen FROM t GROUP BY ALL"),
-    "vessel_state": (ais(V)(vessel_state), STATE),
-    "vessel_summary": (ais(V)(lambda r: vessel_state(r).agg(F.count(F.lit(1)).alias("vessels"), F.count_if(F.col("lat").isNotNull()).alias("positioned"), F.sum(F.when(F.col("statuses").contains("raw_ais_received"), 1).otherwise(0)).alias("raw_ais"))), f"SELECT count(*) AS vessels, count(lat) AS positioned, CAST(count(*) FILTER (WHERE statuses LIKE '%raw_ais_received%') AS BIGINT) AS raw_ais FROM ({STATE})"),
+    "vessel_state": (lambda s, p: vessel_state(vessel_log(s, p)), STATE),
+    "vessel_summary": (lambda s, p: vessel_state(vessel_log(s, p)).agg(F.count(F.lit(1)).alias("vessels"), F.count_if(F.col("lat").isNotNull()).alias("positioned"), F.sum(F.when(F.col("statuses").contains("raw_ais_received"), 1).otherwise(0)).alias("raw_ais")), f"SELECT count(*) AS vessels, count(lat) AS positioned, CAST(count(*) FILTER (WHERE statuses LIKE '%raw_ais_received%') AS BIGINT) AS raw_ais FROM ({STATE})"),
     "vessel_upsert": (vessel_table, f"{ctes(P, 'vessel_static')}, {LATEST} SELECT coalesce(s.mmsi, v.mmsi) AS mmsi, lat, lon, speed, course, heading, last_seen, ship_name, imo, ship_type, ais_class FROM v FULL JOIN vessel_static s ON v.mmsi = s.mmsi"),
     "vessel_stats": (lambda s, p: vessel_stats(vessel_table(s, p)), f"{ctes(P, 'vessel_static')}, {LATEST}, t AS (SELECT lat, last_seen FROM v FULL JOIN vessel_static s ON v.mmsi = s.mmsi) SELECT count(*) AS total, count(lat) AS positioned, count(*) FILTER (WHERE last_seen >= (SELECT max(last_seen) FROM t) - INTERVAL 30 MINUTE) AS active FROM t"),
     "vessels_since": (lambda s, p: latest(fixture(s, p, P)).filter(F.col("last_seen") >= F.expr("timestamp_ntz'2024-01-29 00:00:00'")).select("mmsi", "last_seen").orderBy(F.desc("last_seen")), f"{ctes(P)}, {LATEST} SELECT mmsi, last_seen FROM v WHERE last_seen >= TIMESTAMP '2024-01-29 00:00:00'"),

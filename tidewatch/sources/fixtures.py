@@ -111,7 +111,7 @@ SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'sms' ELSE 'te
    WHEN 6 THEN CAST(10 + doc_id % 40 AS STRING) || ' miles north of Lampedusa, medical emergency'
    WHEN 7 THEN 'قارب مطاطي ٤٥ شخص يغرق 34.5123, 13.4567'
    WHEN 8 THEN '[TRANSCRIPT] we are near Malta, about 20 people'
-   ELSE substring(text, 1, 200) END AS body
+   ELSE text END AS body
 FROM documents
 """,
     "nmea_lines": r"""
@@ -129,6 +129,9 @@ SELECT event_id AS seq, ts, CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(2470
   CASE event_id % 3 WHEN 0 THEN 'aisstream' WHEN 1 THEN 'nmea0183' ELSE 'ais' END AS adapter,
   CASE WHEN event_id % 4 = 0 THEN 'raw_ais_received' WHEN event_id % 6 = 1 THEN 'fix' ELSE 'valid' END AS status,
   CASE WHEN event_id % 9 = 0 THEN 'SHIP ' || CAST(user_id AS STRING) ELSE NULL END AS ship_name,
+  CASE WHEN event_id % 26 = 0 THEN 'unit-' || CAST(user_id % 5 AS STRING) ELSE NULL END AS device_id, CASE WHEN event_id % 5 = 0 THEN 'PORT "' || CAST(event_id % 50 AS STRING) || '"' ELSE NULL END AS destination,
+  CASE event_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN '' ELSE NULL END AS class,
+  CASE WHEN event_id % 8 = 1 THEN NULL ELSE CAST((event_id * 37) % 360 AS DOUBLE) END AS course, CAST((event_id * 13) % 250 AS DOUBLE) / 10 AS speed, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST((event_id * 41) % 360 AS DOUBLE) END AS heading,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE 32 + CAST((event_id * 7919) % 6001 AS DOUBLE) / 1000 END AS lat,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE 10 + CAST((event_id * 104729) % 8001 AS DOUBLE) / 1000 END AS lon
 FROM events
