@@ -40,14 +40,3 @@ def test_lists_scripts_and_exports(spark, tmp_path):
     assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == [("1", None)]
     w = spark.createDataFrame([([[1.0, 2.0], [3.0]],)], "c array<array<double>>").select(serving.waypoints(F.col("c"))).first()[0]
     assert w == [[2.0, 1.0]]
-
-
-def test_stream_upserts(spark, small, tmp_path):
-    pos = fixture(spark, small, "ais_positions").select("event_id", "mmsi", "ts", "lat", "lon")
-    pos.repartitionByRange(3, "event_id").write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(pos.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = source.writeStream.foreachBatch(serving.merge_into(str(tmp_path / "table"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert len(q.exception() or "") == 0
-    got = spark.read.parquet(str(tmp_path / "table" / "v=2"))
-    assert got.count() == tracks.latest(fixture(spark, small, "ais_positions")).count()

@@ -8,13 +8,14 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from plain import Fusion
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, messages, sea
 from tidewatch.operators import ranges, records, rescue, sensing, signals, tracks
 from tidewatch.sources import dims, storage
 from tidewatch.sources.fixtures import fixture
-from tidewatch.streaming import replay, stateful
+from tidewatch.streaming import keyed, replay, stateful
 
 POS = "event_id long, mmsi string, ts timestamp_ntz, lat double, lon double, vessel_type string"
 T0 = datetime(2024, 1, 1)
@@ -64,14 +65,14 @@ def test_threats_are_those_of_a_plain_loop_and_of_the_stream(spark, small):
     rows = fixture(spark, small, "sensor_events")
     want = set()
     for p in {r.platform_id for r in rows.collect()}:
-        fusion = stateful.Fusion([])
+        fusion = Fusion([])
         for r in sorted((r for r in rows.collect() if r.platform_id == p), key=lambda r: (r.t_s, r.event_id)):
             if (f := fusion.add(r.t_s, dims.SENSOR.get(r.channel, ""))) is not None:
                 want.add((p, r.event_id, f["weight"], f["sources"]))
     pick = lambda df: {(r.platform_id, r.event_id, r.weight, r.sources) for r in df.collect()}
     assert pick(sensing.threats(rows)) == want
     assert pick(replay.stream_threats(spark, small)) == want
-    sliced = replay.replayed(rows.select("platform_id", "event_id", "t_s", "channel"), stateful.threats, batches=5, order="t_s")
+    sliced = replay.replayed(rows.select("platform_id", "event_id", "t_s", "channel"), keyed.threats, batches=5, order="t_s")
     assert pick(sliced) == want
 
 
@@ -108,7 +109,7 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, small, tmp_path):
     root, half = f"file://{tmp_path}", rows.agg(F.max("t_s") / 2).first()[0]
     for part in (rows.filter(F.col("t_s") <= half), rows.filter(F.col("t_s") > half)):
         replay.arriving(part, f"{root}/in", 2, "t_s")
-        out = replay.drained(stateful.threats(replay.source(spark, rows, f"{root}/in")), root)
+        out = replay.drained(keyed.threats(replay.source(spark, rows, f"{root}/in")), root)
     pick = lambda df: {(r.platform_id, r.event_id, r.weight, r.sources) for r in df.collect()}
     assert pick(out) == pick(sensing.threats(fixture(spark, small, "sensor_events")))
 

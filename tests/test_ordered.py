@@ -4,10 +4,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from plain import Fusion
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ordered, sensing, tracks
-from tidewatch.streaming.stateful import Fusion
 
 
 def fold(limits):

@@ -95,20 +95,6 @@ def language(text: Column) -> Column:
     return F.when(share("[Ͱ-Ͽ]") * 2 > F.length(text), "el").when(share("[؀-ۿ]") * 2 > F.length(text), "ar")
 
 
-def merge_into(path: str, key: str = "mmsi"):  # noqa: ANN201
-    """For foreachBatch: upserts each batch into a table kept as numbered versions, so a batch that comes again changes nothing."""
-    from tidewatch.operators.tracks import upserted
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/v={number - 1}"
-        newest = batch.groupBy(key).agg(*[F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in batch.columns if c != key])
-        out = upserted(spark.read.parquet(before), newest, key) if number else newest
-        out.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return merge
-
-
 P = "ais_positions"
 QUERIES = {
     "wind_lines": (lambda s, p: wind_lines(fixture(s, p, "weather_obs")), f"{ctes('weather_obs')}, s AS (SELECT *, greatest(0.12e0, least(0.36e0, 0.08e0 + 0.018e0 * wind_ms)) AS k, radians(wind_dir_deg) AS a FROM weather_obs) SELECT obs_id, {R('lat + k * cos(a)', 5)} AS end_lat, {R('lon + k * sin(a)', 5)} AS end_lon FROM s"),

@@ -1,8 +1,7 @@
-"""Streams: watermarks, windows, sessions, throttles, and threats with keyed state."""
+"""Streams: watermarks, windows, sessions, throttles and silences."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.sources.dims import ALERT, SENSOR, URGENT, WEIGHT
-
 
 def on_time(rows: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """rows with ts as an instant and a watermark."""
@@ -33,40 +30,6 @@ def deduplicated(rows: DataFrame, key: str = "event_id") -> DataFrame:
     return on_time(rows).dropDuplicatesWithinWatermark([key])
 
 
-class Fusion:
-    """The window of one platform: events of less than window_s ago; empty again once an event went out."""
-
-    def __init__(self, held: list, window_s: int = 120):
-        self.held, self.window_s = held, window_s
-
-    def add(self, t: int, sensor: str) -> dict | None:
-        self.held = [h for h in self.held if t - h[0] < self.window_s] + [(t, sensor)]
-        types = sorted({s for _, s in self.held})
-        weight = sum(WEIGHT.get(s, 0) for s in types)
-        if weight < ALERT:
-            return None
-        self.held = []
-        return {"weight": weight, "sources": ",".join(types), "urgent": weight >= URGENT}
-
-
-THREAT = "platform_id long, event_id long, t_s long, weight int, sources string, urgent boolean"
-
-
-def threats(rows: DataFrame, window_s: int = 120) -> DataFrame:
-    """Fused events of a stream of (platform_id, event_id, t_s, channel): the window of each platform is kept as state between batches, a batch's rows go in order of time."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fusion = Fusion([tuple(x) for x in json.loads(state.get[0])] if state.exists else [], window_s)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["t_s", "event_id"]).itertuples():
-            if (found := fusion.add(int(r.t_s), SENSOR.get(r.channel))) is not None:
-                out.append({"platform_id": key[0], "event_id": r.event_id, "t_s": r.t_s, **found})
-        state.update((json.dumps(fusion.held),))
-        yield pd.DataFrame(out, columns=["platform_id", "event_id", "t_s", "weight", "sources", "urgent"])
-
-    return rows.filter(F.col("channel").isin(*SENSOR)).groupBy("platform_id").applyInPandasWithState(fold, THREAT, "held string", "append", GroupStateTimeout.NoTimeout)
-
-
 def throttled(rows: DataFrame, gap_s: int = 60) -> DataFrame:
     """Keeps a position (mmsi, event_id, t_s), then drops until gap_s after the last kept one."""
 
