@@ -129,7 +129,7 @@ QUERIES = {
     "stream_channels": (
         stream_channels,
         f"""{ctes("ais_positions", "vessel_events", "sensor_events")}, c AS (SELECT 'ais' AS channel, ts FROM ais_positions UNION ALL SELECT 'log', ts FROM vessel_events UNION ALL SELECT 'sensors', TIMESTAMP '2024-01-01 00:00:00' + to_seconds(t_s) FROM sensor_events),
-        w AS (SELECT min(m) - 600 AS seen FROM (SELECT channel, epoch(max(ts)) AS m FROM c GROUP BY channel)) SELECT channel, {HOUR} AS start_s, count(*) AS n FROM c GROUP BY ALL HAVING start_s + 3600 <= (SELECT seen FROM w)""",
+        w AS (SELECT min(m) - 600 AS seen FROM (SELECT channel, epoch(max(ts)) AS m FROM c GROUP BY channel)) SELECT channel, start_s, count(*) AS n FROM (SELECT channel, {HOUR} AS start_s FROM c) WHERE start_s + 3600 <= (SELECT seen FROM w) GROUP BY channel, start_s""",
     ),
     "stream_feed": (stream_feed, f"{ctes('ais_positions')} SELECT mmsi, 'A' AS class, lat, lon, course, speed, heading FROM ais_positions WHERE lat BETWEEN 34 AND 36 AND lon BETWEEN 12 AND 16"),
     "stream_silences": (
