@@ -90,3 +90,11 @@ def longest(sizes, shards):
     for k, s in enumerate(sizes):
         load[place[k]] += s
     return load
+
+
+def test_exact_dedup_at_the_ends_of_the_longs(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "a b", None), (high, "ab", None), (None, "a b", None), (5, "x", None), (None, "", None), (high, None, None), (low, " ", None)]
+    df = spark.createDataFrame(rows, "`a.id` long, `a.text` string, recipe string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, "a.id", "a.text").collect()}
+    assert got == {(low, low, 3, True), (high, low, 3, False), (None, low, 3, False), (5, 5, 1, True), (None, low, 3, False), (high, low, 3, False), (low, low, 3, True)}

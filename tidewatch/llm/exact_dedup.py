@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.shared import SPACE, documents, let, stored, text_of
 
-MIN, MAX = 64, 2048
+MIN, MAX, SHARES = 64, 2048, 64
 #: A chunk ends with a mark after one of a few letters and digits, or with one of the rarer marks: seldom enough that chunks find the same ends again after a change before them.
 ENDS = "[dfgrty0379][.!?;:…]|[。！？؟।]"
 
@@ -40,10 +40,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
     Texts are equal if they are the same after all white space is deleted. Of equal texts the one with most code
     points stays, then the smallest doc_id (null counts as largest); of rows that are the same in both, exactly
     one stays. Null texts count as empty, and all texts without a word form one group. An empty table gives no
-    rows. Other columns of docs are ignored whatever their names. key gives a chunk's first identifier.
+    rows. Texts of any length are cut whole, and move as chunks. Other columns of docs are ignored whatever their names. key gives a chunk's first identifier.
     """
     norm = F.regexp_replace(text_of(text), SPACE, "")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.length(text_of(text)).alias("n_code"), norm.alias("norm"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.length(text_of(text)).alias("n_code"), norm.alias("norm"))
     cut = rows.select(F.explode(chunks_of(F.col("norm"))).alias("chunk")).select(key("chunk").cast("long").alias("key"), "chunk")
     clash = clashes(cut)
     digest = stored(
@@ -58,10 +58,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
         met = digest.select("row", F.posexplode("chunks").alias("at", "chunk")).withColumn("key", key("chunk").cast("long"))
         fixed = met.join(clash, ["key", "chunk"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "place"))).alias("places"))
         digest = stored(digest.drop("chunks").join(fixed, "row", "left").withColumn("recipe", F.concat("recipe", F.coalesce(F.transform("places", lambda x: x["at"].cast("long") * 4294967296 + x["place"]), F.array().cast("array<long>")))).drop("places"))
-    best = F.max(F.struct("n_code", (-F.col("doc_id")).alias("d"), (-F.col("row")).alias("r")))
-    groups = digest.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return digest.join(groups, "recipe").select(
-        "doc_id", (-F.col("best.d")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.r")).alias("kept"), "text_sha256"
+    # a recipe's rows are dealt to SHARES, reduced there, and only then brought together, so that no recipe is one task
+    digest = digest.withColumn("share", F.pmod("row", F.lit(SHARES)))
+    best = F.min(F.struct((-F.col("n_code")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    shares = digest.groupBy("recipe", "share").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
+    recipe = Window.partitionBy("recipe")
+    groups = shares.select(F.col("recipe").alias("_recipe"), F.col("share").alias("_share"), F.min("best").over(recipe).alias("best"), F.sum("n").over(recipe).alias("group_size"))
+    return digest.join(groups, (F.col("recipe") == F.col("_recipe")) & (F.col("share") == F.col("_share"))).select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
     )
 
 
