@@ -137,3 +137,10 @@ def test_links_join_what_all_pairs_join(spark, room):
 def test_near_dedup_of_nothing(empty):
     assert simhash.near_dedup(empty).collect() == []
     assert simhash.one_of_each(empty).collect() == []
+
+
+def test_suffix_dedup_at_the_ends_of_the_longs(spark):
+    low, high, text = -(2**63), 2**63 - 1, "x" * 30 + "y" * 30
+    df = spark.createDataFrame([(high, text), (low, text), (None, text), (3, "z" * 49)], "`a.id` long, `a.text` string")
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.repeats_removed(df, "a.id", "a.text").collect()}
+    assert got == {(low, 60, 0), (high, 60, 60), (None, 60, 60), (3, 49, 0)}

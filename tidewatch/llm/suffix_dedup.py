@@ -32,7 +32,7 @@ DEPTH, GRAM = 50, 16
 GIB, MOST = 1 << 30, 1 << 24
 #: Bytes of a batch of documents and of a bucket of the table; window starts that are hashed at a time.
 BATCH, BUCKET, SEGMENT = 1 << 20, 1 << 24, 1 << 20
-LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
+LAST = np.iinfo(np.int64).max  # a null doc_id is compared as this one
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]  # odd multipliers
 
 
@@ -263,7 +263,7 @@ def strip(docs: pa.Table, marks: pa.Table, text: bool = False) -> pa.Table:
     """From a batch and its marks: each document without the bytes that a repeated window covers."""
     if not docs.num_rows:
         return _table([], RESULT)
-    data, ends, ids = loaded(docs)
+    data, ends, _ = loaded(docs)
     first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     begins = np.zeros(data.size + 1, np.int32)
     for m in marks.to_pylist():
@@ -274,11 +274,11 @@ def strip(docs: pa.Table, marks: pa.Table, text: bool = False) -> pa.Table:
     total = np.cumsum(begins[: data.size])
     gone = total - np.concatenate([np.zeros(min(DEPTH, data.size), np.int64), total[:-DEPTH]])[: data.size] > 0
     out = []
-    for i, s, e in zip(ids.tolist(), first.tolist(), ends.tolist(), strict=True):
+    for i, s, e in zip(docs.sort_by("row").column("doc_id").to_pylist(), first.tolist(), ends.tolist(), strict=True):
         g = gone[s:e]
         kept = data[s:e][~g].tobytes()
         n_spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-        out.append((None if i == LAST else i, e - s, int(g.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if text else None))
+        out.append((i, e - s, int(g.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if text else None))
     return _table(out, RESULT)
 
 
@@ -309,12 +309,12 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if kept_text.
 
     A byte goes if a string of 50 bytes that covers it also starts in a row with a smaller doc_id. Null doc_ids count
-    as after all others; rows of one doc_id remove nothing from each other. Null and empty texts have no bytes. Other
+    as the largest long, after all others; rows of one doc_id remove nothing from each other. Null and empty texts have no bytes. Other
     columns are ignored; an empty table gives no rows. Texts of any length are hashed in segments.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     # a batch sends a row to each part, so batches grow with the root of the input: rows then grow with the input, until batches are MOST bytes
     batch_bytes = min(MOST, max(BATCH, int(BATCH * math.sqrt(total / GIB))))
