@@ -158,40 +158,62 @@ def nearest_step(steps: DataFrame, horizons: tuple[int, ...] = (6, 12, 24)) -> D
     return h.groupBy("run_id", "horizon").agg(F.min(F.struct(F.abs(F.col("at_h") - F.col("horizon")), "step")).alias("m")).select("run_id", "horizon", "m.step")
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """The convex hull of points (lon, lat) in order, without points on its edges."""
-    p = np.unique(points, axis=0)
-    if len(p) <= 2:
-        return p
-    out: list[np.ndarray] = []
-    for side in (p, p[::-1]):
-        chain: list[np.ndarray] = []
-        for q in side:
-            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (q[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (q[0] - chain[-2][0]) <= 0:
-                chain.pop()
-            chain.append(q)
-        out += chain[:-1]
-    return np.array(out)
+def cross(a: Column, b: Column, q: Column) -> Column:
+    """Above 0 if q lies to the left of the way from a to b."""
+    return (b["lon"] - a["lon"]) * (q["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (q["lon"] - a["lon"])
 
 
-def hulls(particles: DataFrame, salts: int = 16) -> DataFrame:
-    """The closed hull of each run and step, a row per vertex. Hulls of parts come first, so that a large cloud is never in one task whole; a single point becomes a small square."""
-    schema = "run_id long, step int, lon double, lat double"
+def chain(points: Column) -> Column:
+    """The lower half of the hull of points in order of longitude and latitude, or the upper half if they come in reverse."""
+
+    def add(held: Column, q: Column) -> Column:
+        turns = F.filter(F.sequence(F.lit(2), F.size(held)), lambda i: cross(F.element_at(held, i - 1), F.element_at(held, i), q) > 0)
+        return F.when(F.size(held) < 2, F.concat(held, F.array(q))).otherwise(F.concat(F.slice(held, F.lit(1), F.coalesce(F.array_max(turns), F.lit(1))), F.array(q)))
+
+    return F.aggregate(points, F.array().cast("array<struct<lon:double,lat:double>>"), add)
+
 
-    def part(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf[["lon", "lat"]].to_numpy())
-        return pd.DataFrame({"run_id": key[0], "step": key[1], "lon": h[:, 0], "lat": h[:, 1]})
+def hull(points: Column) -> Column:
+    """The convex hull of distinct points in order, counterclockwise from the first, without points on its edges."""
+    low, high = chain(points), chain(F.reverse(points))
+    return F.when(F.size(points) <= 2, points).otherwise(F.concat(F.slice(low, F.lit(1), F.size(low) - 1), F.slice(high, F.lit(1), F.size(high) - 1)))
 
-    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf[["lon", "lat"]].to_numpy())
-        if len(h) == 1:
-            h = h[0] + 0.01 * np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]])
-        h = np.concatenate([h, h[:1]])
-        return pd.DataFrame({"run_id": key[0], "step": key[1], "vertex": range(len(h)), "lon": h[:, 0], "lat": h[:, 1]})
 
-    p = particles.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("int").alias("step"), "lon", "lat").dropna()
-    salted = p.groupBy("run_id", "step", F.pmod(F.xxhash64("lon", "lat"), F.lit(salts)).alias("salt")).applyInPandas(part, schema)
-    return salted.groupBy("run_id", "step").applyInPandas(whole, "run_id long, step int, vertex int, lon double, lat double")
+#: The eight directions in which a cloud's farthest points are taken, counterclockwise: parts of longitude and latitude.
+DIRECTIONS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+
+
+def hulls(particles: DataFrame, salts: int = 16) -> DataFrame:
+    """The closed hull of each run and step, a row per vertex; a single point becomes a small square.
+
+    Points inside the polygon of the farthest ones in eight directions go first. What is left is dealt to salts parts;
+    their hulls are folded apart and then once more together, so that a large cloud is never in one task whole. Points
+    without a position are left out.
+    """
+    p = particles.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat"))
+    p = p.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("int").alias("step"), F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).alias("q"))
+    far = [F.max_by("q", F.struct(x * F.col("q.lon") + y * F.col("q.lat"), "q")) for x, y in DIRECTIONS]
+    shares = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    frame = p.groupBy("run_id", "step").agg(F.array(*far).alias("frame")).withColumn("salt", F.explode(shares))
+    at = lambda i: F.get("frame", F.lit(i % len(DIRECTIONS)))
+    inside = ~F.array_contains("frame", F.col("q"))
+    for i in range(len(DIRECTIONS)):
+        inside = inside & ((at(i) == at(i + 1)) | (cross(at(i), at(i + 1), F.col("q")) > 1e-12))  # by more than rounding
+    outer = p.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(salts))).join(frame, ["run_id", "step", "salt"]).filter(~inside)
+    part = outer.groupBy("run_id", "step", "salt").agg(hull(F.sort_array(F.collect_set("q"))).alias("h"))
+    whole = part.groupBy("run_id", "step").agg(hull(F.sort_array(F.array_distinct(F.flatten(F.collect_list("h"))))).alias("h"))
+    corner = lambda x, y: F.struct((F.get("h", F.lit(0))["lon"] + 0.01 * x).alias("lon"), (F.get("h", F.lit(0))["lat"] + 0.01 * y).alias("lat"))
+    ring = F.when(F.size("h") == 1, F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))).otherwise(F.col("h"))
+    closed = whole.withColumn("h", ring).withColumn("h", F.concat("h", F.slice("h", 1, 1)))
+    return closed.select("run_id", "step", F.posexplode("h").alias("vertex", "q")).select("run_id", "step", "vertex", "q.lon", "q.lat")
+
+
+TURN = "(s[i].lon - s[i - 1].lon) * (q[1].lat - s[i - 1].lat) - (s[i].lat - s[i - 1].lat) * (q[1].lon - s[i - 1].lon) > 0"
+CHAIN = f"list_reduce(list_transform({{}}, lambda x: [x]), lambda s, q: list_concat(s[1:coalesce(list_max(list_filter(range(2, len(s) + 1), lambda i: {TURN})), 1)], q))"
+HULLS = f"""{ctes("particles")}, g AS (SELECT run_id, step, list(DISTINCT struct_pack(lon := CAST(lon AS DOUBLE), lat := CAST(lat AS DOUBLE)) ORDER BY struct_pack(lon := CAST(lon AS DOUBLE), lat := CAST(lat AS DOUBLE))) AS p FROM particles GROUP BY ALL),
+h AS (SELECT run_id, step, {CHAIN.format("p")} AS low, {CHAIN.format("list_reverse(p)")} AS high, p FROM g),
+r AS (SELECT run_id, step, CASE WHEN len(p) = 1 THEN list_transform([[-1, -1], [1, -1], [1, 1], [-1, 1]], lambda c: struct_pack(lon := p[1].lon + 0.01e0 * c[1], lat := p[1].lat + 0.01e0 * c[2])) WHEN len(p) = 2 THEN p ELSE list_concat(low[:-2], high[:-2]) END AS h FROM h)
+SELECT run_id, step, CAST(i AS INT) AS vertex, h[i % len(h) + 1].lon AS lon, h[i % len(h) + 1].lat AS lat FROM (SELECT *, unnest(range(len(h) + 1)) AS i FROM r)"""
 
 
 def ballistic(rows: DataFrame) -> DataFrame:
@@ -311,7 +333,7 @@ QUERIES = {
     "drift_cones": (lambda s, p: drift_cones(fixture(s, p, A)), CONE),
     "particle_mean_path": (lambda s, p: mean_path(fixture(s, p, "particles")), f"{ctes('particles')} SELECT run_id, step, {R('avg(lon)', 6)} AS lon, {R('avg(lat)', 6)} AS lat, count(*) AS n FROM particles GROUP BY run_id, step"),
     "particle_nearest_step": (lambda s, p: nearest_step(fixture(s, p, "particles").select("run_id", "step", (F.col("step") * 4.5).alias("at_h")).distinct()), f"{ctes('particles')}, d AS (SELECT DISTINCT run_id, step FROM particles), h AS (SELECT *, unnest([6, 12, 24]) AS horizon FROM d) SELECT run_id, horizon, step FROM h QUALIFY row_number() OVER (PARTITION BY run_id, horizon ORDER BY abs(step * 4.5e0 - horizon), step) = 1"),
-    "particle_hulls": (lambda s, p: hulls(fixture(s, p, "particles")), None),
+    "particle_hulls": (lambda s, p: hulls(fixture(s, p, "particles")), HULLS),
     "ballistic_impacts": (lambda s, p: ballistic(fixture(s, p, A).select("event_id", "lat", "lon", (30.0 + F.col("event_id") % 40).alias("angle_deg"), (300.0 + F.col("event_id") % 500).alias("speed_ms"), F.lit(8000.0).alias("altitude_m"), F.lit(5.0).alias("wind_ms"), F.lit(225.0).alias("wind_deg"))), None),
     "leeway_ensemble": (lambda s, p: mean_path(leeway(fixture(s, p, A), step_s=900)), None),
     "object_types": (lambda s, p: fixture(s, p, A).select("event_id", object_type(F.col("vessel_type"), F.col("persons")).alias("object_type")), f"{ctes(A)} SELECT event_id, CASE vessel_type WHEN 'life_raft' THEN CASE WHEN coalesce(persons, 1) <= 4 THEN 27 ELSE 29 END WHEN 'rubber_boat' THEN 38 WHEN 'wooden_boat' THEN 46 ELSE 26 END AS object_type FROM alerts"),
