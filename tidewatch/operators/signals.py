@@ -21,10 +21,10 @@ def extracted(rows: DataFrame, body: str = "body") -> DataFrame:
     return rows.withColumns({"c": m.coordinates(t), "persons": m.persons(t), "vessel_type": m.keyword(t, m.VESSELS), "vessel_condition": m.keyword(t, m.CONDITIONS), "medical_emergency": m.says(t, m.MEDICAL), "children_aboard": m.says(t, m.CHILDREN)})
 
 
-def signal(rows: DataFrame, lat: Column, lon: Column, sure: Column, method: Column, persons: Column | None = None, vessel: Column | None = None) -> DataFrame:
+def signal(rows: DataFrame, lat: Column, lon: Column, sure: Column, method: Column, persons: Column | None = None, vessel: Column | None = None, *keep: str) -> DataFrame:
     return rows.select(
         "doc_id", "channel", geo.rounded(lat, 5).alias("lat"), geo.rounded(lon, 5).alias("lon"), geo.rounded(sure, 4).alias("confidence"), method.alias("method"), (F.col("persons") if persons is None else persons).alias("persons"),
-        (F.col("vessel_type") if vessel is None else vessel).alias("vessel_type"), "vessel_condition", "medical_emergency", "children_aboard", (geo.rounded(sure, 4) < 0.70).alias("review"),
+        (F.col("vessel_type") if vessel is None else vessel).alias("vessel_type"), "vessel_condition", "medical_emergency", "children_aboard", (geo.rounded(sure, 4) < 0.70).alias("review"), *keep,
     )
 
 
@@ -77,19 +77,38 @@ def from_microblog(rows: DataFrame) -> DataFrame:
     return signal(e, keep(F.col("c.lat")), keep(F.col("c.lon")), F.when(void, 0.0).otherwise(sure), F.when(void, "none").otherwise(F.col("c.method")))
 
 
-def from_webhook(rows: DataFrame) -> DataFrame:
-    """Explicit fields (lat, lon, e_persons, e_vessel) go before what the text says."""
-    e = extracted(rows)
-    given = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+def from_webhook(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """Signals of JSON payloads (doc_id, channel, payload, received_at): the position as lat and lon, in an object named position, or as the text says.
+
+    Numbers may be strings. A position that is given but is none falls back to the text. Fields that are given go before
+    what the text says; medical_emergency and children_aboard hold if either says so. A time without a zone is UTC; one
+    that does not parse gives way to received_at.
+    """
+    j = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(payload, f"$.{n}"), F.lit("")) for n in names])
+    here, text = F.col(payload).isNotNull(), F.coalesce(j("text", "message", "body", "raw_text"), F.lit(""))
+    flat = F.coalesce(F.array_contains(F.json_object_keys(payload), "lat") & F.array_contains(F.json_object_keys(payload), "lon"), F.lit(False))
+    number = lambda a, *b: F.when(flat, j(a).try_cast("double")).otherwise(j(*b).try_cast("double"))
+    lat, lon = number("lat", "position.latitude", "position.lat"), number("lon", "position.longitude", "position.lon")
+    given = here & lat.isNotNull() & lon.isNotNull()
+    iso = j("timestamp_utc", "timestamp")
+    at = F.coalesce(F.try_to_timestamp(F.when(iso.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))), F.col("received_at"))
+    true = lambda name: ~F.coalesce(j(name), F.lit("false")).isin("false", "0", "0.0", "[]", "{}")
+    e = extracted(rows.withColumns({"body": text, "channel": F.coalesce(j("source_channel", "source"), F.lit("webhook")), "at": at}))
+    e = e.withColumns({"vessel_condition": F.coalesce(j("vessel_condition"), "vessel_condition"), "medical_emergency": true("medical_emergency") | F.col("medical_emergency"), "children_aboard": true("children_aboard") | F.col("children_aboard")})
     pick = lambda a, b: F.when(given, a).otherwise(b)
-    return signal(e, pick(F.col("lat"), F.col("c.lat")), pick(F.col("lon"), F.col("c.lon")), pick(F.lit(0.95), F.col("c.confidence")), pick(F.lit("explicit"), F.col("c.method")), F.coalesce("e_persons", "persons"), F.coalesce("e_vessel", "vessel_type"))
+    return signal(e, pick(lat, F.col("c.lat")), pick(lon, F.col("c.lon")), pick(F.lit(0.95), F.col("c.confidence")), pick(F.lit("webhook_explicit"), F.col("c.method")), F.coalesce(j("persons").try_cast("double").cast("int"), "persons"), F.coalesce(j("vessel_type"), "vessel_type"), "at")
 
 
 def q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-def _oracle() -> str:
+kw_sql = lambda table: "CASE " + " ".join(f"WHEN regexp_matches(body, {q('(?i)' + p)}) THEN '{k}'" for k, p in table) + " END"
+says_sql = lambda p: f"regexp_matches(body, {q('(?i)' + p)})"
+
+
+def _extracted_sql(rows: str) -> str:
+    """c: what the bodies of rows (doc_id, channel, body and further columns) say, columns ending in 0."""
     ex = lambda p, g: f"try_cast(nullif(regexp_extract(body, {q(p)}, {g}), '') AS DOUBLE)"
     tries = [(ex(("(?i)" if f else "") + p, 1), ex(("(?i)" if f else "") + p, 2), s, h) for p, f, s, h in m.PAIRS]
     sg = lambda p, g, x: f"CASE WHEN upper(regexp_extract(body, {q('(?i)' + p)}, {g})) = '{x}' THEN -1 ELSE 1 END"
@@ -105,17 +124,61 @@ def _oracle() -> str:
     off = f"(try_cast(nullif(regexp_extract(lower(body), {q(m.DISTANCE)}, 1), '') AS DOUBLE) * 1.852e0 / 111.32e0)"
     pos = lambda f, last: "CASE " + " ".join(f"WHEN {ok(i)} THEN {f(i)}" for i in range(len(tries))) + f" {last} END"
     persons = f"try_cast(nullif(translate(regexp_extract(body, {q('(?i)' + m.PERSONS)}, 1), '٠١٢٣٤٥٦٧٨٩', '0123456789'), '') AS INT)"
-    kw = lambda table: "CASE " + " ".join(f"WHEN regexp_matches(body, {q('(?i)' + p)}) THEN '{k}'" for k, p in table) + " END"
-    says = lambda p: f"regexp_matches(body, {q('(?i)' + p)})"
-    sat = lambda g: f"regexp_extract(body, {q('(?i)' + m.SATELLITE)}, {g})"
-    return f"""{ctes("distress_messages")}, t AS (SELECT *, {cols}, CASE {marks} END AS mark, {angle} AS th, {off} AS far FROM distress_messages),
+    kw, says = kw_sql, says_sql
+    return f"""t AS (SELECT *, {cols}, CASE {marks} END AS mark, {angle} AS th, {off} AS far FROM {rows}),
 c AS (SELECT *, {pos(lambda i: f"a{i}", "WHEN mark IS NOT NULL THEN la + coalesce(far * cos(th), 0)")} AS lat0, {pos(lambda i: f"b{i}", "WHEN mark IS NOT NULL THEN lo + coalesce(far * sin(th) / cos(radians(la)), 0)")} AS lon0,
  {pos(lambda i: f"{tries[i][2]}e0", "WHEN mark IS NOT NULL THEN CASE WHEN far IS NULL THEN 0.55e0 ELSE 0.6e0 END ELSE 0e0")} AS sure0, {pos(lambda i: f"'{tries[i][3]}'", "WHEN mark IS NOT NULL THEN 'natural_language' ELSE 'none'")} AS method0, {persons} AS persons0, {kw(m.VESSELS)} AS vessel0,
- channel = 'sms' AND {says(m.SATELLITE)} AS sat FROM t {land}),
+ {kw(m.CONDITIONS)} AS condition0, {says(m.MEDICAL)} AS medical0, {says(m.CHILDREN)} AS children0, channel = 'sms' AND {says(m.SATELLITE)} AS sat FROM t {land})"""
+
+
+def _oracle() -> str:
+    sat = lambda g: f"regexp_extract(body, {q('(?i)' + m.SATELLITE)}, {g})"
+    return f"""{ctes("distress_messages")}, {_extracted_sql("distress_messages")},
 f AS (SELECT *, CASE WHEN sat THEN 0.97e0 WHEN channel = 'sms' THEN greatest(0e0, sure0 - CASE WHEN regexp_matches(body, '(?i)^\\[TRANSCRIPT\\]') THEN 0.1e0 ELSE 0e0 END) WHEN channel = 'whatsapp' AND persons0 > 0 AND vessel0 IS NOT NULL THEN least(1e0, sure0 + 0.05e0) ELSE sure0 END AS sure FROM c)
 SELECT doc_id, channel, {R(f"CASE WHEN sat THEN CAST({sat(1)} AS DOUBLE) ELSE lat0 END", 5)} AS lat, {R(f"CASE WHEN sat THEN CAST({sat(2)} AS DOUBLE) ELSE lon0 END", 5)} AS lon, {R("sure", 4)} AS confidence, CASE WHEN sat THEN 'iridium' ELSE method0 END AS method,
  CASE WHEN sat THEN try_cast(nullif({sat(3)}, '') AS INT) ELSE persons0 END AS persons, CASE WHEN sat THEN CASE upper({sat(4)}) WHEN 'RB' THEN 'rubber_boat' WHEN 'WB' THEN 'wooden_boat' WHEN 'SB' THEN 'sailboat' END ELSE vessel0 END AS vessel_type,
- {kw(m.CONDITIONS)} AS vessel_condition, {says(m.MEDICAL)} AS medical_emergency, {says(m.CHILDREN)} AS children_aboard, {R("sure", 4)} < 0.7 AS review FROM f"""
+ condition0 AS vessel_condition, medical0 AS medical_emergency, children0 AS children_aboard, {R("sure", 4)} < 0.7 AS review FROM f"""
+
+
+BLOG = {"body": "CASE WHEN doc_id % 15 = 0 THEN 'RT @Alarm_Phone ' || body WHEN doc_id % 5 = 0 THEN 'RT @someone ' || body ELSE body || ' #MedRescue #boatpeople #x #medrescue' END", "author": "CASE WHEN doc_id % 4 = 0 THEN 'alarm_phone' WHEN doc_id % 7 = 0 THEN NULL ELSE 'someone' END"}
+
+
+def blog(s, p: str) -> DataFrame:
+    """The messages as posts: reposts of trusted and other authors, hashtags, own authors."""
+    return fixture(s, p, "distress_messages").withColumns({c: F.expr(x) for c, x in BLOG.items()})
+
+
+def _microblog_oracle() -> str:
+    names = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    keep = lambda c: f"CASE WHEN NOT void THEN {c} END"
+    return f"""{ctes("distress_messages")}, b AS (SELECT doc_id, channel, {BLOG["body"]} AS body, {BLOG["author"]} AS author FROM distress_messages), {_extracted_sql("b")},
+w AS (SELECT *, list_contains({names(m.TRUSTED_ACCOUNTS)}, lower(coalesce(author, ''))) AS trusted, list_contains({names(m.TRUSTED_ACCOUNTS)}, lower(regexp_extract(body, '^RT @([A-Za-z0-9_]+)', 1))) AS of_trusted,
+ len(list_intersect(list_distinct(list_transform(regexp_extract_all(body, '#([A-Za-z0-9_]+)', 1), lambda x: lower(x))), {names(m.TRUSTED_HASHTAGS)})) AS tags FROM c),
+v AS (SELECT *, body LIKE 'RT @%' AND NOT of_trusted AND NOT trusted AS void, least(0.8e0, sure0 + CASE WHEN trusted THEN 0.1e0 ELSE 0e0 END + least(0.15e0, tags * 0.05e0)) AS sure1 FROM w),
+s AS (SELECT *, CASE WHEN void THEN 0e0 ELSE sure1 END AS sure FROM v)
+SELECT doc_id, channel, {R(keep("lat0"), 5)} AS lat, {R(keep("lon0"), 5)} AS lon, {R("sure", 4)} AS confidence, CASE WHEN void THEN 'none' ELSE method0 END AS method, {keep("persons0")} AS persons, {keep("vessel0")} AS vessel_type, {keep("condition0")} AS vessel_condition,
+ NOT void AND medical0 AS medical_emergency, NOT void AND children0 AS children_aboard, {R("sure", 4)} < 0.7 AS review FROM s"""
+
+
+def posted(s, p: str) -> DataFrame:
+    """The messages as payloads of a webhook, in the shapes that it takes and with fields that are none."""
+    rows, kind = fixture(s, p, "distress_messages"), F.col("doc_id") % 5
+    body = F.col("body")
+    flat = F.struct(F.lit(35.5).alias("lat"), F.lit("12.5").alias("lon"), body.alias("text"), F.lit("ngocall").alias("source"), F.lit("2024-01-01T10:00:00").alias("timestamp"))
+    nested = F.struct(F.struct(F.lit("36.25").alias("latitude"), F.lit(13.75).alias("longitude")).alias("position"), body.alias("message"), F.lit(True).alias("medical_emergency"), F.lit("2024-01-01T10:00:00+02:00").alias("timestamp_utc"))
+    free = F.struct(F.lit("").alias("text"), body.alias("body"), F.lit("7").alias("persons"), F.lit("yacht").alias("vessel_type"), F.lit("sinking").alias("vessel_condition"), F.lit(False).alias("children_aboard"))
+    odd = F.struct(F.lit("north").alias("lat"), F.lit(12).alias("lon"), body.alias("raw_text"), F.lit("soon").alias("timestamp"))
+    payload = F.when(kind == 0, F.to_json(flat)).when(kind == 1, F.to_json(nested)).when(kind == 2, F.to_json(free)).when(kind == 3, F.to_json(odd))
+    return rows.select("doc_id", "channel", payload.alias("payload"), F.expr("timestamp'2024-02-02 00:00:00Z'").alias("received_at"))
+
+
+def _webhook_oracle() -> str:
+    given = "k IN (0, 1)"
+    return f"""{ctes("distress_messages")}, b AS (SELECT doc_id, 'webhook' AS channel, CASE WHEN doc_id % 5 = 4 THEN '' ELSE body END AS body, doc_id % 5 AS k FROM distress_messages), {_extracted_sql("b")},
+v AS (SELECT *, CASE WHEN {given} THEN 0.95e0 ELSE sure0 END AS sure FROM c)
+SELECT doc_id, CASE WHEN k = 0 THEN 'ngocall' ELSE 'webhook' END AS channel, {R("CASE k WHEN 0 THEN 35.5e0 WHEN 1 THEN 36.25e0 ELSE lat0 END", 5)} AS lat, {R("CASE k WHEN 0 THEN 12.5e0 WHEN 1 THEN 13.75e0 ELSE lon0 END", 5)} AS lon, {R("sure", 4)} AS confidence,
+ CASE WHEN {given} THEN 'webhook_explicit' ELSE method0 END AS method, CASE WHEN k = 2 THEN 7 ELSE persons0 END AS persons, CASE WHEN k = 2 THEN 'yacht' ELSE vessel0 END AS vessel_type, CASE WHEN k = 2 THEN 'sinking' ELSE condition0 END AS vessel_condition,
+ medical0 OR k = 1 AS medical_emergency, children0 AS children_aboard, {R("sure", 4)} < 0.7 AS review, CASE k WHEN 0 THEN 1704103200 WHEN 1 THEN 1704096000 ELSE 1706832000 END AS at_s FROM v"""
 
 
 def signals(rows: DataFrame) -> DataFrame:
@@ -183,11 +246,10 @@ def tail(rows: DataFrame, n: int = 50, newest_first: bool = True, most: int = 50
     return last if newest_first else last.orderBy("seq")
 
 
-blog = lambda s, p: fixture(s, p, "distress_messages").withColumn("author", F.when(F.col("doc_id") % 4 == 0, "alarm_phone").otherwise("someone")).withColumn("body", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("RT @someone "), "body")).otherwise(F.concat("body", F.lit(" #MedRescue #boatpeople #x"))))
 QUERIES = {
     "signals": (lambda s, p: signals(fixture(s, p, "distress_messages")), _oracle()),
-    "signals_microblog": (lambda s, p: from_microblog(blog(s, p)), None),
-    "signals_webhook": (lambda s, p: from_webhook(fixture(s, p, "distress_messages").withColumns({"lat": F.when(F.col("doc_id") % 2 == 0, 35.5), "lon": F.lit(12.5), "e_persons": F.when(F.col("doc_id") % 3 == 0, 7), "e_vessel": F.lit(None).cast("string")})), None),
+    "signals_microblog": (lambda s, p: from_microblog(blog(s, p)), _microblog_oracle()),
+    "signals_webhook": (lambda s, p: from_webhook(posted(s, p)).withColumn("at_s", F.unix_seconds("at")).drop("at"), _webhook_oracle()),
     "nmea_events": (lambda s, p: nmea_events(fixture(s, p, "nmea_lines")), NMEA),
     "nmea_state": (lambda s, p: nmea_state(fixture(s, p, "nmea_lines")), STATE),
     "log_tail": (lambda s, p: tail(fixture(s, p, "vessel_events"), 50).select("seq", "vessel_id", "event_kind"), f"{ctes('vessel_events')} SELECT seq, vessel_id, event_kind FROM vessel_events ORDER BY seq DESC LIMIT 50"),
