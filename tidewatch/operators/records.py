@@ -234,6 +234,46 @@ def chart_objects(alerts: DataFrame) -> DataFrame:
     return f.select("event_id", kind.alias("object"), F.concat_ws("-", F.lit("SAR"), F.col("event_id"), F.col("kind")).alias("name"), "points")
 
 
+#: Fixed values of a drift's document: a style for each cone (id, colour) and its label.
+CONE_STYLES = {6: ("amber", "7f00a5ff", "Amber 6h"), 12: ("orange_", "7f0055ff", "Orange 12h"), 24: ("red_", "7f0000ff", "Red 24h")}
+KML_HEAD = "<?xml version='1.0' encoding='UTF-8'?>\n<kml xmlns=\"http://www.opengis.net/kml/2.2\">\n  <Document>\n    <name>Drift "
+KML_STYLES = "</name>\n" + "".join(
+    f'    <Style id="{i}">\n      <PolyStyle>\n        <color>{c}</color>\n        <fill>1</fill>\n        <outline>1</outline>\n      </PolyStyle>\n      <LineStyle>\n        <color>{c}</color>\n        <width>2</width>\n      </LineStyle>\n    </Style>\n'
+    for i, c, _ in CONE_STYLES.values()
+)
+MARK = ("    <Placemark>\n      <name>", "</name>\n")
+POINT = ("      <Point>\n        <coordinates>", "</coordinates>\n      </Point>\n    </Placemark>\n")
+LINE = ("      <LineString>\n        <coordinates>", "</coordinates>\n      </LineString>\n    </Placemark>\n")
+ZONE = ("      <Polygon>\n        <outerBoundaryIs>\n          <LinearRing>\n            <coordinates>", "</coordinates>\n          </LinearRing>\n        </outerBoundaryIs>\n      </Polygon>\n    </Placemark>\n")
+KML_TAIL = "  </Document>\n</kml>"
+
+
+def kml_documents(alerts: DataFrame) -> DataFrame:
+    """A document for each alert with a position: styles, the datum, the path as a line and a zone for each cone."""
+    at = lambda lon, lat: F.concat(lon.cast("string"), F.lit(","), lat.cast("string"), F.lit(",0"))
+    line = lambda rows, order, *key: rows.groupBy("event_id", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, at(F.col("lon"), F.col("lat")).alias("at")))), lambda x: x["at"]), " ").alias("line"))
+    path = line(drift_path(alerts), "step")
+    zones = line(drift_cones(alerts), "vertex", "hours")
+    style = lambda i: reduce(lambda c, h: c.when(F.col("hours") == h, CONE_STYLES[h][i]), CONE_STYLES, F)
+    zone = F.concat(F.lit(MARK[0]), style(2), F.lit(MARK[1] + "      <styleUrl>#"), style(0), F.lit("</styleUrl>\n" + ZONE[0]), F.col("line"), F.lit(ZONE[1]))
+    cones = zones.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hours", zone.alias("z")))), lambda x: x["z"]), "").alias("zones"))
+    met = alerts.select("event_id", "lat", "lon").join(path, "event_id").join(cones, "event_id")
+    name = F.substring(F.col("event_id").cast("string"), 1, 8)
+    datum = F.concat(F.lit(MARK[0] + "DATUM" + MARK[1] + POINT[0]), at(F.col("lon"), F.col("lat")), F.lit(POINT[1]))
+    track = F.concat(F.lit(MARK[0] + "Trajectory" + MARK[1] + LINE[0]), F.col("line"), F.lit(LINE[1]))
+    return met.select("event_id", F.concat(F.lit(KML_HEAD), name, F.lit(KML_STYLES), datum, track, F.col("zones"), F.lit(KML_TAIL)).alias("kml"))
+
+
+def _kml_sql() -> str:
+    t = lambda x: "'" + x.replace("'", "''") + "'"
+    style = lambda i: "CASE hours " + " ".join(f"WHEN {h} THEN {t(v[i])}" for h, v in CONE_STYLES.items()) + " END"
+    return f"""{ctes("alerts")}, p AS (SELECT event_id, string_agg(lon || ',' || lat || ',0', ' ' ORDER BY step) AS line FROM ({PATH}) GROUP BY event_id),
+    z AS (SELECT event_id, hours, string_agg(lon || ',' || lat || ',0', ' ' ORDER BY vertex) AS line FROM ({CONE}) GROUP BY ALL),
+    c AS (SELECT event_id, string_agg({t(MARK[0])} || {style(2)} || {t(MARK[1] + "      <styleUrl>#")} || {style(0)} || {t("</styleUrl>" + chr(10) + ZONE[0])} || line || {t(ZONE[1])}, '' ORDER BY hours) AS zones FROM z GROUP BY event_id)
+    SELECT event_id, {t(KML_HEAD)} || substring(CAST(event_id AS VARCHAR), 1, 8) || {t(KML_STYLES + MARK[0] + "DATUM" + MARK[1] + POINT[0])} || a.lon || ',' || a.lat || ',0' || {t(POINT[1] + MARK[0] + "Trajectory" + MARK[1] + LINE[0])} || p.line || {t(LINE[1])} || zones || {t(KML_TAIL)} AS kml
+    FROM alerts a JOIN p USING (event_id) JOIN c USING (event_id)"""
+
+
 def shortened(rows: DataFrame, key: str, item: str, most: int) -> DataFrame:
     """The first items of each key, at most so many, and how many there are."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(item))
@@ -345,6 +385,7 @@ QUERIES = {
         lambda s, p: mock_environment(fixture(s, p, E), F.col("seq") * 60),
         f"{ctes(E)} SELECT seq, {R('18 + 2e0 * sin(seq * 60e0 / 3600)', 2)} AS water_temp_c, {R('20 + 3e0 * sin(seq * 60e0 / 7200)', 2)} AS air_temp_c, {R('5 + 3e0 * abs(sin(seq * 60e0 / 1800))', 2)} AS wind_ms, {R('0.8e0 + 0.4e0 * abs(sin(seq * 60e0 / 2400))', 2)} AS wave_m FROM environment_rows",
     ),
+    "alert_kml_documents": (lambda s, p: kml_documents(fixture(s, p, A)), _kml_sql()),
     "engine_state": (
         lambda s, p: engine_state(fixture(s, p, W).select("event_id", "seq", "status").join(fixture(s, p, A).drop("status"), "event_id"), fixture(s, p, A).filter("event_id % 4 = 1"), fixture(s, p, E), dims.assets(s)),
         f"""{ctes(W, A, E).replace("WITH ", "WITH RECURSIVE ", 1)}, e AS (SELECT coalesce(arg_max(water_temp_c, seq), 18e0) AS water_temp_c, coalesce(arg_max(wind_ms, seq), 5e0) AS wind_ms, coalesce(arg_max(wave_m, seq), 1e0) AS wave_m FROM environment_rows),

@@ -89,19 +89,13 @@ def sealed(rows: DataFrame, key: bytes, column: str = "canonical") -> DataFrame:
     return rows.withColumn("_s", seal(column)).select(*rows.columns, "_s.packed", "_s.hmac")
 
 
-def language(text: Column) -> Column:
-    """The script a text is mostly in, where no language library is on hand: el, ar, or null."""
-    share = lambda p: F.length(text) - F.length(F.regexp_replace(text, p, ""))
-    return F.when(share("[Ͱ-Ͽ]") * 2 > F.length(text), "el").when(share("[؀-ۿ]") * 2 > F.length(text), "ar")
-
-
 P = "ais_positions"
 QUERIES = {
     "wind_lines": (lambda s, p: wind_lines(fixture(s, p, "weather_obs")), f"{ctes('weather_obs')}, s AS (SELECT *, greatest(0.12e0, least(0.36e0, 0.08e0 + 0.018e0 * wind_ms)) AS k, radians(wind_dir_deg) AS a FROM weather_obs) SELECT obs_id, {R('lat + k * cos(a)', 5)} AS end_lat, {R('lon + k * sin(a)', 5)} AS end_lon FROM s"),
     "bounding_box": (lambda s, p: bounding_box(fixture(s, p, "alerts")), f"{ctes('alerts')} SELECT min(lat) - 0.2e0 AS south, max(lat) + 0.2e0 AS north, min(lon) - 0.2e0 AS west, max(lon) + 0.2e0 AS east FROM alerts"),
     "grid_cells": (lambda s, p: grid_cells(fixture(s, p, P)), f"{ctes(P)} SELECT {R('lat', 1)} AS cell_lat, {R('lon', 1)} AS cell_lon, count(*) AS n FROM ais_positions GROUP BY ALL"),
     "mock_wind": (lambda s, p: mock_wind(fixture(s, p, "alerts"), 86_400.0), f"{ctes('alerts')}, s AS (SELECT *, CAST(trunc(abs(lat) * 100 + abs(lon) * 10) AS BIGINT) % 997 AS seed FROM alerts) SELECT event_id, {R('5 + 4 * abs(sin(86400e0 / 1800 + seed))', 2)} AS wind_ms, {R('fmod(200 + 80 * sin(86400e0 / 3600 + seed), 360e0)', 1)} AS wind_deg FROM s"),
-    "proximity_ranked": (lambda s, p: proximity(latest(fixture(s, p, P)), 35.5, 12.6).select("rank", "mmsi"), f"{ctes(P)}, {LATEST}, d AS (SELECT mmsi, asin(sqrt(sin(radians(lat - 35.5e0) / 2) ** 2 + cos(radians(35.5e0)) * cos(radians(lat)) * sin(radians(lon - 12.6e0) / 2) ** 2)) AS d FROM v) SELECT CAST(row_number() OVER (ORDER BY d, mmsi) AS INT) AS rank, mmsi FROM d ORDER BY d, mmsi LIMIT 5"),
+    "proximity_ranked": (lambda s, p: proximity(latest(fixture(s, p, P)), 35.5, 12.6), f"""{ctes(P)}, {LATEST}, d AS (SELECT mmsi, lat, lon, asin(sqrt(sin(radians(lat - 35.5e0) / 2) ** 2 + cos(radians(35.5e0)) * cos(radians(lat)) * sin(radians(lon - 12.6e0) / 2) ** 2)) AS d FROM v) SELECT CAST(row_number() OVER (ORDER BY d, mmsi) AS INT) AS rank, mmsi, '{{"type":"LineString","coordinates":[[12.6,35.5],[' || lon || ',' || lat || ']]}}' AS geometry FROM d ORDER BY d, mmsi LIMIT 5"""),
     "events_with_count": (lambda s, p: with_count(fixture(s, p, "alerts").select("event_id", "status")), f"""{ctes('alerts')} SELECT event_id, status, '{{"event_id":' || event_id || ',"status":"' || status || '"}}' AS event, (SELECT count(*) FROM alerts) AS count FROM alerts"""),
     "waveform_base64": (lambda s, p: fixture(s, p, "nmea_lines").select("seq", base64(F.col("sentence").cast("binary")).alias("b64"), F.unbase64(base64(F.col("sentence").cast("binary"))).cast("string").alias("back")), f"{ctes('nmea_lines')} SELECT seq, to_base64(encode(sentence)) AS b64, sentence AS back FROM nmea_lines"),
     "sealed_packets": (lambda s, p: sealed(fixture(s, p, "nmea_lines").select("seq", F.col("sentence").alias("canonical")), b"test key").select("seq", "hmac"), None),

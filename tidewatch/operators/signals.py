@@ -55,13 +55,17 @@ def from_sms(rows: DataFrame, signed: bool = False) -> DataFrame:
 
 
 def from_bot(rows: DataFrame) -> DataFrame:
-    """As the text says; forwarded from a trusted channel (column forwarded), a little surer."""
+    """As the text says, or a shared position (share_lat, share_lon); forwarded from a trusted channel (column forwarded, its name or title), a little surer."""
     e = extracted(rows)
     trusted = F.lit(False)
     if "forwarded" in rows.columns:
         for name in m.TRUSTED_ACCOUNTS:
             trusted = trusted | F.coalesce(F.lower("forwarded").contains(name), F.lit(False))
-    return signal(e, F.col("c.lat"), F.col("c.lon"), F.least(F.lit(1.0), F.col("c.confidence") + F.when(trusted, 0.05).otherwise(0.0)), F.col("c.method"))
+    lat, lon, sure, method = F.col("c.lat"), F.col("c.lon"), F.col("c.confidence"), F.col("c.method")
+    if "share_lat" in rows.columns:
+        shared = F.col("share_lat").isNotNull() & F.col("share_lon").isNotNull()
+        lat, lon, sure, method = (F.when(shared, x).otherwise(y) for x, y in ((F.col("share_lat"), lat), (F.col("share_lon"), lon), (F.lit(0.98), sure), (F.lit("shared_location"), method)))
+    return signal(e, lat, lon, F.least(F.lit(1.0), sure + F.when(trusted, 0.05).otherwise(0.0)), method)
 
 
 def from_microblog(rows: DataFrame) -> DataFrame:
@@ -160,6 +164,25 @@ SELECT doc_id, channel, {R(keep("lat0"), 5)} AS lat, {R(keep("lon0"), 5)} AS lon
  NOT void AND medical0 AS medical_emergency, NOT void AND children0 AS children_aboard, {R("sure", 4)} < 0.7 AS review FROM s"""
 
 
+SHARED = {"share_lat": "CASE WHEN doc_id % 4 = 1 THEN 35.125D END", "share_lon": "CASE WHEN doc_id % 8 IN (1, 3) THEN 14.25D END", "forwarded": "CASE doc_id % 5 WHEN 0 THEN 'Alarm_Phone updates' WHEN 1 THEN 'somebody' END"}
+
+
+def signals_shared(s, p: str) -> DataFrame:
+    """Chat and bot messages with shared positions and channels they were forwarded from."""
+    rows = fixture(s, p, "distress_messages").withColumns({c: F.expr(x) for c, x in SHARED.items()})
+    return from_chat(rows.filter("channel = 'whatsapp'")).unionByName(from_bot(rows.filter("channel = 'telegram'")))
+
+
+def _shared_oracle() -> str:
+    columns = ", ".join(f"{x.replace('D END', 'e0 END')} AS {c}" for c, x in SHARED.items())
+    trusted = " OR ".join(f"coalesce(lower(forwarded) LIKE '%{n.replace('_', chr(92) + '_')}%' ESCAPE '{chr(92)}', false)" for n in m.TRUSTED_ACCOUNTS)
+    return f"""{ctes("distress_messages")}, b AS (SELECT *, {columns} FROM distress_messages WHERE channel <> 'sms'), {_extracted_sql("b")},
+g AS (SELECT *, share_lat IS NOT NULL AND share_lon IS NOT NULL AS shared FROM c),
+f AS (SELECT *, CASE WHEN channel = 'telegram' THEN least(1e0, CASE WHEN shared THEN 0.98e0 ELSE sure0 END + CASE WHEN {trusted} THEN 0.05e0 ELSE 0e0 END) WHEN shared THEN 0.98e0 WHEN persons0 > 0 AND vessel0 IS NOT NULL THEN least(1e0, sure0 + 0.05e0) ELSE sure0 END AS sure FROM g)
+SELECT doc_id, channel, {R("CASE WHEN shared THEN share_lat ELSE lat0 END", 5)} AS lat, {R("CASE WHEN shared THEN share_lon ELSE lon0 END", 5)} AS lon, {R("sure", 4)} AS confidence, CASE WHEN shared THEN 'shared_location' ELSE method0 END AS method,
+ persons0 AS persons, vessel0 AS vessel_type, condition0 AS vessel_condition, medical0 AS medical_emergency, children0 AS children_aboard, {R("sure", 4)} < 0.7 AS review FROM f"""
+
+
 def posted(s, p: str) -> DataFrame:
     """The messages as payloads of a webhook, in the shapes that it takes and with fields that are none."""
     rows, kind = fixture(s, p, "distress_messages"), F.col("doc_id") % 5
@@ -248,6 +271,7 @@ def tail(rows: DataFrame, n: int = 50, newest_first: bool = True, most: int = 50
 
 QUERIES = {
     "signals": (lambda s, p: signals(fixture(s, p, "distress_messages")), _oracle()),
+    "signals_shared": (signals_shared, _shared_oracle()),
     "signals_microblog": (lambda s, p: from_microblog(blog(s, p)), _microblog_oracle()),
     "signals_webhook": (lambda s, p: from_webhook(posted(s, p)).withColumn("at_s", F.unix_seconds("at")).drop("at"), _webhook_oracle()),
     "nmea_events": (lambda s, p: nmea_events(fixture(s, p, "nmea_lines")), NMEA),
