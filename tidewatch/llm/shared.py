@@ -44,19 +44,21 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Spark's own switch by which a finished query's shuffle files are removed with it.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own switches inside released(): a finished query's shuffle files are removed with it, and what the driver keeps of its plan's text is short (a table of 1 MiB in it would be two million characters, at every step of the query).
+WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("true", "false"), "spark.sql.maxPlanStringLength": ("20000", str(2**31 - 16))}
 
 
 @contextmanager
 def released(spark: SparkSession):
-    """Queries that run inside leave no shuffle files behind."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Queries that run inside leave no shuffle files and no long texts behind."""
+    before = {k: spark.conf.get(k, default) for k, (_, default) in WHILE_STORING.items()}
+    for k, (value, _) in WHILE_STORING.items():
+        spark.conf.set(k, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, value in before.items():
+            spark.conf.set(k, value)
 
 
 def stored(df: DataFrame) -> DataFrame:
