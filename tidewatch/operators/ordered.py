@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.sources.storage import ship, stored
 
-BLOCK, FAN = 8192, 256  # rows of a block; blocks of a block of blocks
+BLOCK, FAN = 32768, 256  # rows of a block; blocks of a block of blocks
 NONE = -1  # no row was kept yet
 
 
@@ -39,18 +39,19 @@ def joined_by_piece(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(facts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_its"))).drop("_key", "_its")
 
 
-def ranked(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """rows with rank, from 0, in each key's order; ties must be broken by order."""
+def ranked(rows: DataFrame, key: str, *order: str, sorted_too: bool = False) -> DataFrame:
+    """rows with rank, from 0, in each key's order; ties must be broken by order. sorted_too keeps _at and _piece, so that running_max() need not sort again."""
     rows = pieces(rows, key, *order)
     sizes = rows.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_piece")) - F.col("_n")
     out = joined_by_piece(rows, sizes.select(key, "_piece", (before - F.col("_first")).alias("_shift")), key)
-    return out.withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_piece", "_shift")
+    return out.withColumn("rank", F.col("_at") + F.col("_shift")).drop("_shift", *([] if sorted_too else ["_at", "_piece"]))
 
 
 def running_max(rows: DataFrame, key: str, order: tuple[str, ...], **values: Column) -> DataFrame:
-    """rows with the greatest of each value so far, the row's own included; null as long as there is none."""
-    rows = pieces(rows.withColumns({f"_v_{n}": v for n, v in values.items()}), key, *order)
+    """rows with the greatest of each value so far, the row's own included; null as long as there is none. Rows that ranked() has sorted by this order are taken as they are."""
+    rows = rows.withColumns({f"_v_{n}": v for n, v in values.items()})
+    rows = rows if {"_at", "_piece"} <= set(rows.columns) else pieces(rows, key, *order)
     inner = Window.partitionBy(key, "_piece").orderBy("_at")
     ends = rows.groupBy(key, "_piece").agg(*[F.max(f"_v_{n}").alias(f"_m_{n}") for n in values])
     earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -332,7 +332,7 @@ def threats(rows: DataFrame, window_s: int = 120) -> DataFrame:
     """
     kinds = sorted(set(dims.SENSOR.values()))
     typed = rows.withColumn("sensor", dims.looked_up(F.col("channel"), dims.SENSOR)).select("platform_id", "event_id", "t_s", "sensor")
-    at = ordered.ranked(typed, "platform_id", "t_s", "event_id")
+    at = ordered.ranked(typed, "platform_id", "t_s", "event_id", sorted_too=True)
     newest = {f"{x}_{i}": F.when(F.col("sensor") == k, F.col(c)) for i, k in enumerate(kinds) for x, c in (("r", "rank"), ("t", "t_s"))}
     last = F.array(*[F.struct(F.col(f"r_{i}").alias("rank"), F.col(f"t_{i}").alias("t"), F.lit(dims.WEIGHT.get(k, 0)).alias("weight"), F.lit(k).alias("sensor")) for i, k in enumerate(kinds)])
     held = F.filter(last, lambda x: x["t"] > F.col("t_s") - window_s)
