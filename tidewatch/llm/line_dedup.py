@@ -35,6 +35,7 @@ CLASSES, ROOM, WIDE, HEADS, DEEP = 1 << 20, 256, 1024, 8, 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = " \t\n\x0b\x0c\r"
 LEVEL = 1 << 56  # a token is its class's level times this, plus 56 bits of its hash
+ALONE = 5  # the level from which a class occurs twice or more, see level_of(): a token of a lower one is in no second line
 
 
 def units(line: Column, shingle: int = 0) -> Column:
@@ -175,13 +176,46 @@ def open_pairs(rows: DataFrame, level: int) -> DataFrame:
     return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("least"))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
-    """id of the later line of each pair that shares enough words (or shingles)."""
-    x = lines.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("first").alias("fx"))
-    y = lines.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("first").alias("fy"))
+def numbers(units: Column) -> Column:
+    """n, how many distinct words (or shingles) there are, and codes, their distinct hashes of 32 bits."""
+    return let(F.array_distinct(units), lambda d: F.struct(F.size(d).alias("n"), F.array_distinct(F.transform(d, lambda u: F.hash(u))).alias("codes")))
+
+
+def agreeing(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """late of each pair (late, early, least) that shares enough words (or shingles); a late line may come more than once.
+
+    Sets that share so many words share as many codes, but for words of one of them whose codes are equal. So codes, of
+    one size and made once for each text, sort out most pairs; the rest is verified on the words.
+    """
+    x, y = ([F.col("id").alias(k), F.col("numbers").alias(v)] for k, v in (("late", "x"), ("early", "y")))
+    codes = F.size(F.array_intersect("x.codes", "y.codes")) + F.col("x.n") - F.size("x.codes")
+    likely = pairs.join(texts.select(*x), "late").join(texts.select(*y), "early").filter(codes >= F.col("least")).select("late", "early", "least")
+    x, y = ([F.col("id").alias(k), F.col("line").alias(v)] for k, v in (("late", "x"), ("early", "y")))
     shared = F.size(F.array_intersect(units(F.col("x"), shingle), units(F.col("y"), shingle)))
-    met = pairs.join(x, "a").join(y, "b").filter(shared >= F.col("least"))
-    return met.select(F.when(F.col("fx") < F.col("fy"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    return likely.join(texts.select(*x), "late").join(texts.select(*y), "early").filter(shared >= F.col("least")).select("late")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
+    """id of the later line of each pair that shares enough words (or shingles), stored.
+
+    Only texts that are in a pair move. As one similar earlier line is enough, each line is first held against its
+    earliest partner; all other pairs are verified for the lines that this does not settle.
+    """
+    both = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stored(lines.select("id", "first", "line").join(near(both), "id", "left_semi").withColumn("numbers", numbers(units(F.col("line"), shingle))))
+    x = texts.select(F.col("id").alias("a"), F.col("first").alias("fx"))
+    y = texts.select(F.col("id").alias("b"), F.col("first").alias("fy"))
+    after = F.col("fx") < F.col("fy")
+    later, earlier = F.when(after, F.col("b")).otherwise(F.col("a")), F.when(after, F.col("a")).otherwise(F.col("b"))
+    turned = stored(pairs.join(x, "a").join(y, "b").select(later.alias("late"), earlier.alias("early"), "least", F.least("fx", "fy").alias("since")))
+    head = turned.groupBy("late").agg(F.min(F.struct("since", "early", "least")).alias("e")).select("late", "e.since", "e.early", "e.least")
+    heads = stored(head)
+    found = stored(agreeing(heads, texts, shingle))
+    rest = turned.join(found, "late", "left_anti").join(heads.select("late", "early"), ["late", "early"], "left_anti")
+    out = stored(found.unionByName(agreeing(rest, texts, shingle).distinct()).select(F.col("late").alias("id")))
+    for done in (texts, turned, heads, found):
+        drop(done)
+    return out
 
 
 def crowded(posts: DataFrame, room: int) -> DataFrame:
@@ -206,12 +240,13 @@ def late_lines(lines: DataFrame, levels: bytes, room: int, wide: int, heads: int
     # made from an array of one, as the optimizer would work the tokens out for each column
     sets = stored(with_tokens.select("id", "first", F.inline(F.array(F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))))))
     posts = sets.select("id", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), reach(F.col("n")))).alias("i", "key")).select(*POST)
+    posts = posts.filter(F.col("key") >= ALONE * LEVEL)
     # a key is in no more lines than its class in all texts, so rarer classes need no count
     enough = min(127, 1 + int(3 * math.log2(1 + room)))
     hot = crowded(posts.filter(F.col("key") >= enough * LEVEL), room)
     busy = stored(posts.join(hot, "key", "left_semi").join(sets.select("id", "first"), "id").select(*POST, "first"))
     pairs = stored(calm_pairs(posts.join(hot, "key", "left_anti"), 1).unionByName(head_pairs(busy, 1, heads)).distinct())
-    late = stored(verified(pairs, lines, shingle))
+    late = verified(pairs, lines, shingle)
     level = 1
     while not busy.isEmpty():
         known = late.select("id", F.lit(False).alias("open"))
