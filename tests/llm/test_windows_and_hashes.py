@@ -144,3 +144,15 @@ def test_suffix_dedup_at_the_ends_of_the_longs(spark):
     df = spark.createDataFrame([(high, text), (low, text), (None, text), (3, "z" * 49)], "`a.id` long, `a.text` string")
     got = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.repeats_removed(df, "a.id", "a.text").collect()}
     assert got == {(low, 60, 0), (high, 60, 60), (None, 60, 60), (3, 49, 0)}
+
+
+def test_near_dedup_broadcasts_no_table(spark, docs, monkeypatch):
+    plans, stored = [], simhash.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    seen(simhash.near_dedup(docs))
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)

@@ -122,6 +122,11 @@ def near(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(10_001).count() <= 10_000 else rows
 
 
+def sorted_too(rows: DataFrame) -> DataFrame:
+    """For joins: rows, never broadcast. Spark takes a table that was exploded or packed well for much smaller than it is, and would build it whole in the driver."""
+    return rows.hint("merge")
+
+
 def usable(df: DataFrame, vector: str) -> DataFrame:
     """The rows of df whose vector is there and holds finite components only."""
     v = F.col(f"`{vector}`")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.shared import documents, ship, stored, text_of
+from tidewatch.llm.shared import documents, ship, sorted_too, stored, text_of
 
 WORDS, NEAR, ROOM, SEED, SEGMENT = 3, 2, 128, 42, 32
 LOW = (1 << SEGMENT) - 1
@@ -87,13 +87,13 @@ def links(fps: DataFrame, near: int = NEAR, room: int = ROOM) -> DataFrame:
         raise ValueError("two segments with one wildcard serve a distance of 2")
     index = segment_variants(fps)
     sized = index.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stored(index.join(sized, ["place", "key"]))
+    met = stored(index.join(sorted_too(sized), ["place", "key"]))
     a, b = F.col("a"), F.col("b")
     differ = a.bitwiseXOR(b)
     low = differ.bitwiseAND(F.lit(LOW))
     own = F.when(low == 0, 0).when(F.bit_count(low) == 1, F.bit_count(low - 1)).otherwise(SEGMENT)
     few = met.filter(F.col("n") <= room)
-    pairs = few.select("place", "key", F.col("fp").alias("a")).join(few.select("place", "key", F.col("fp").alias("b")), ["place", "key"]).filter((a < b) & (F.bit_count(differ) <= near) & (F.col("place") == own)).select("a", "b")
+    pairs = few.select("place", "key", F.col("fp").alias("a")).join(sorted_too(few.select("place", "key", F.col("fp").alias("b"))), ["place", "key"]).filter((a < b) & (F.bit_count(differ) <= near) & (F.col("place") == own)).select("a", "b")
     many = met.filter(F.col("n") > room)
     # one bit of each segment open: a group has four members at most
     one = many.filter(F.col("place") < SEGMENT).select("fp", "place", F.explode(F.sequence(F.lit(SEGMENT), F.lit(63))).alias("q")).select("fp", "place", "q", without(F.col("fp"), F.col("place"), F.col("q")).alias("key"))
@@ -112,9 +112,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(sorted_too(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        small = large.join(sorted_too(low), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = stored(small)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -131,10 +131,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     rows = stored(fingerprints(docs, doc_id, text, words))
     classes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least")))
     roots = components(links(classes.select("fp")))
-    joined = stored(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("best")), "root").select(F.col("fp").alias("_fp"), "best")
+    joined = stored(classes.join(sorted_too(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = joined.join(sorted_too(joined.groupBy("root").agg(F.min("least").alias("best"))), "root").select(F.col("fp").alias("_fp"), "best")
     stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.tie") == F.col("tie"))
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "tie", stays.alias("stays"))
+    return rows.join(sorted_too(named), F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "tie", stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -142,7 +142,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     best = near_dedup(docs, doc_id, text, words).filter("stays").select(F.col("doc_id").alias("_best"), F.col("tie").alias("_best_tie")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(f"`{doc_id}`").cast("long").alias("_own"), F.xxhash64(text_of(text)).alias("_tie"))
-    kept = rows.join(best, F.col("_own").eqNullSafe(F.col("_best")) & (F.col("_tie") == F.col("_best_tie")), "left_semi")
+    kept = rows.join(sorted_too(best), F.col("_own").eqNullSafe(F.col("_best")) & (F.col("_tie") == F.col("_best_tie")), "left_semi")
     return kept.withColumn("_place", F.row_number().over(Window.partitionBy("_own", "_tie").orderBy(F.lit(0)))).filter("_place = 1").select("row.*")
 
 
