@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, messages, sea
 from tidewatch.operators import ranges, records, rescue, sensing, signals, tracks
+from tidewatch.plans.queries import QUERIES
 from tidewatch.sources import dims, storage
 from tidewatch.sources.fixtures import fixture
 from tidewatch.streaming import keyed, replay, stateful
@@ -212,6 +213,15 @@ def test_leeway_is_closed_form_and_tracks_back(spark):
     assert there.lon > 12 > back.lon and there.lat > 35 > back.lat and there.n == 64
 
 
+def test_mean_of_leeway_is_the_mean_of_all_particles_without_a_row_for_each_step_of_one(spark, small):
+    a = spark.createDataFrame([(1, 35.0, 12.0), (2, -60.0, 179.0), (2, 10.0, 5.0), (3, None, 1.0), (4, float("nan"), 1.0), (5, 1.0, None)], "event_id long, lat double, lon double")
+    forcing = {"wind_u": -7.0, "current_v": 0.3, "sign": -1.0}
+    got = rescue.leeway_mean_path(a, 33, 5, 900, **forcing)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in rescue.mean_path(rescue.leeway(a, 33, 5, 900, **forcing)).collect()} and got.count() == 42
+    plan = QUERIES["leeway_ensemble"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("step") < plan.index("Aggregate")  # steps are made of means
+
+
 def test_upsert_keeps_old_values_where_new_ones_are_null(spark):
     old = spark.createDataFrame([("a", "X", 1.0), ("b", "Y", 2.0)], "mmsi string, ship_name string, lat double")
     new = spark.createDataFrame([("a", None, 9.0), ("c", "Z", None)], "mmsi string, ship_name string, lat double")

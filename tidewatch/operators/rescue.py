@@ -237,16 +237,31 @@ def ballistic(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "event_id long, impact_lat double, impact_lon double, range_m double, fragment_radius_m double")
 
 
-def leeway(alerts: DataFrame, particles: int = 128, hours: int = 24, wind_u: float = 4.0, wind_v: float = 3.0, current_u: float = 0.1, current_v: float = 0.05, downwind: float = 0.035, crosswind: float = 0.01, radius_m: float = 150.0, step_s: int = 3600, sign: float = 1.0) -> DataFrame:
-    """An ensemble under constant forcing in closed form: particles seeded on a disc by a hash, half drifting to each side of the wind. run_id, step, particle, lon, lat. sign -1 tracks back. Leeway per cent are arguments, by the published tables of the object's type."""
+def leeway_lines(alerts: DataFrame, particles: int = 128, wind_u: float = 4.0, wind_v: float = 3.0, current_u: float = 0.1, current_v: float = 0.05, downwind: float = 0.035, crosswind: float = 0.01, radius_m: float = 150.0, step_s: int = 3600, sign: float = 1.0) -> DataFrame:
+    """The particles of leeway(), each as the line it moves along: run_id, particle, lon0, lat0 and by_lon, by_lat, the way of a step."""
     p = alerts.select(F.col("event_id").alias("run_id"), "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))).alias("particle"))
     draw = lambda k: F.pmod(F.xxhash64(F.lit(k), "run_id", "particle"), F.lit(1 << 30)) / (1 << 30)
     r, a, side = F.sqrt(draw(1)) * radius_m, draw(2) * 2 * np.pi, F.when(F.col("particle") % 2 == 0, 1.0).otherwise(-1.0)
     u = sign * (F.lit(current_u) + downwind * wind_u - side * crosswind * wind_v)
     v = sign * (F.lit(current_v) + downwind * wind_v + side * crosswind * wind_u)
-    p = p.withColumn("x0", r * F.cos(a)).withColumn("y0", r * F.sin(a)).withColumn("u", u).withColumn("v", v).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(hours * 3600 // step_s))))
-    x, y = F.col("x0") + F.col("u") * F.col("step") * step_s, F.col("y0") + F.col("v") * F.col("step") * step_s
-    return p.select("run_id", "step", "particle", (F.col("lon") + x / (111_320 * F.cos(F.radians("lat")))).alias("lon"), (F.col("lat") + y / 111_320).alias("lat"))
+    east = 111_320 * F.cos(F.radians("lat"))
+    return p.select("run_id", "particle", (F.col("lon") + r * F.cos(a) / east).alias("lon0"), (F.col("lat") + r * F.sin(a) / 111_320).alias("lat0"), (u * step_s / east).alias("by_lon"), (v * step_s / 111_320).alias("by_lat"))
+
+
+def leeway(alerts: DataFrame, particles: int = 128, hours: int = 24, step_s: int = 3600, **forcing: float) -> DataFrame:
+    """An ensemble under constant forcing in closed form: particles seeded on a disc by a hash, half drifting to each side of the wind. run_id, step, particle, lon, lat. sign -1 tracks back. Leeway per cent are arguments, by the published tables of the object's type."""
+    p = leeway_lines(alerts, particles, step_s=step_s, **forcing).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(hours * 3600 // step_s))))
+    return p.select("run_id", "step", "particle", (F.col("lon0") + F.col("by_lon") * F.col("step")).alias("lon"), (F.col("lat0") + F.col("by_lat") * F.col("step")).alias("lat"))
+
+
+def leeway_mean_path(alerts: DataFrame, particles: int = 128, hours: int = 24, step_s: int = 3600, **forcing: float) -> DataFrame:
+    """mean_path(leeway(...)), all particles counted: as they move along lines, their mean moves along the mean of the lines, and steps are made of one row for each run instead of one for each particle."""
+    p = leeway_lines(alerts, particles, step_s=step_s, **forcing)
+    p = p.filter(~F.isnan("lon0") & ~F.isnan("lat0") & F.col("lon0").isNotNull() & F.col("lat0").isNotNull())
+    mean = p.groupBy("run_id").agg(*[F.avg(c).alias(c) for c in ("lon0", "lat0", "by_lon", "by_lat")], F.count(F.lit(1)).alias("n"))
+    steps = mean.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(hours * 3600 // step_s))))
+    at = lambda c: geo.rounded(F.col(f"{c}0") + F.col(f"by_{c}") * F.col("step"), 6).alias(c)
+    return steps.select("run_id", "step", at("lon"), at("lat"), "n")
 
 
 def object_type(vessel: Column, persons: Column) -> Column:
@@ -335,7 +350,7 @@ QUERIES = {
     "particle_nearest_step": (lambda s, p: nearest_step(fixture(s, p, "particles").select("run_id", "step", (F.col("step") * 4.5).alias("at_h")).distinct()), f"{ctes('particles')}, d AS (SELECT DISTINCT run_id, step FROM particles), h AS (SELECT *, unnest([6, 12, 24]) AS horizon FROM d) SELECT run_id, horizon, step FROM h QUALIFY row_number() OVER (PARTITION BY run_id, horizon ORDER BY abs(step * 4.5e0 - horizon), step) = 1"),
     "particle_hulls": (lambda s, p: hulls(fixture(s, p, "particles")), HULLS),
     "ballistic_impacts": (lambda s, p: ballistic(fixture(s, p, A).select("event_id", "lat", "lon", (30.0 + F.col("event_id") % 40).alias("angle_deg"), (300.0 + F.col("event_id") % 500).alias("speed_ms"), F.lit(8000.0).alias("altitude_m"), F.lit(5.0).alias("wind_ms"), F.lit(225.0).alias("wind_deg"))), None),
-    "leeway_ensemble": (lambda s, p: mean_path(leeway(fixture(s, p, A), step_s=900)), None),
+    "leeway_ensemble": (lambda s, p: leeway_mean_path(fixture(s, p, A), step_s=900), None),
     "object_types": (lambda s, p: fixture(s, p, A).select("event_id", object_type(F.col("vessel_type"), F.col("persons")).alias("object_type")), f"{ctes(A)} SELECT event_id, CASE vessel_type WHEN 'life_raft' THEN CASE WHEN coalesce(persons, 1) <= 4 THEN 27 ELSE 29 END WHEN 'rubber_boat' THEN 38 WHEN 'wooden_boat' THEN 46 ELSE 26 END AS object_type FROM alerts"),
     "alerts_with_drift": (lambda s, p: alerts_with_drift(fixture(s, p, A)), f"{ctes(A)}, {RESULTS} SELECT event_id, lat, lon, status, d_lat, d_lon, drift_id FROM alerts LEFT JOIN dr USING (event_id)"),
     "alert_features": (lambda s, p: alerts_with_drift(fixture(s, p, A)).filter("status = 'completed'").select("event_id", "d_lat", "d_lon"), f"{ctes(A)}, {RESULTS} SELECT event_id, d_lat, d_lon FROM alerts JOIN dr USING (event_id) WHERE status = 'completed'"),
