@@ -97,3 +97,20 @@ def test_sliding_is_a_loop(spark, frame):
         part = xs[max(0, i - frame + 1) : i + 1]
         assert got[i][1] == max(map(abs, part))
         assert math.isclose(got[i][0], sum(x * x for x in part), rel_tol=1e-12)
+
+
+def aircraft(spark, n):
+    i = F.col("id")
+    return spark.range(n).select(i.alias("rec_id"), (i % 2).alias("poll_no"), (34 + i * 37 % 11 / 300).alias("lat"), (12 + i * 53 % 13 / 300).alias("lon"), F.when(i % 17 > 0, (i * 29 % 400 - 20) / 1.0).alias("track"))
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_formations_are_all_pairs_and_broadcast_nothing(spark, wrap):
+    a = aircraft(spark, 300)
+    found = sensing.formations(a, wrap=wrap)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [r for r in a.collect() if r.track is not None]
+    off = lambda x, y: min(abs(x - y), 360 - abs(x - y)) if wrap else abs(x - y)
+    want = {(x.rec_id, y.rec_id, x.poll_no) for x in rows for y in rows if x.poll_no == y.poll_no and x.rec_id < y.rec_id and math.sqrt((x.lat - y.lat) ** 2 + (x.lon - y.lon) ** 2) * 60 < 1 and off(x.track, y.track) < 5}
+    got = [tuple(x) for x in found.collect()]
+    assert want and set(got) == want and len(got) == len(want)

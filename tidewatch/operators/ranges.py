@@ -1,7 +1,8 @@
 """Joins by distance as equi joins on grid cells: the right side is dealt to its cell and the eight around it.
 
 A crowded cell is not one task: its left rows are dealt to as many shares as it takes for each to have ROOM rows, about,
-and the right rows of that cell go to every share.
+and the right rows of that cell go to every share. The pairs are found by sorting: Spark does not see that the right
+side was multiplied, and would broadcast it.
 """
 
 from __future__ import annotations
@@ -63,4 +64,4 @@ def near_join(left: DataFrame, right: DataFrame, lat: tuple[str, str], lon: tupl
         more = crowds.withColumnsRenamed({k: f"_c{k}" for k in keys})
         each = F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1)).cast("long") - 1)
         r_ = r_.join(more, [F.col(names[k]) == F.col(f"_c{k}") for k in keys], "left").withColumn("_r_share", F.explode(each)).drop("_shares", *[f"_c{k}" for k in keys])
-    return l_.join(r_, same, how).drop("_x", "_y", "_rx", "_ry", "_share", "_r_share", *[f"_r_{c}" for c in on])
+    return l_.join(r_.hint("merge"), same, how).drop("_x", "_y", "_rx", "_ry", "_share", "_r_share", *[f"_r_{c}" for c in on])

@@ -63,12 +63,20 @@ CONFLICTS = """c AS (SELECT a.rec_id, f.conflict_id, CAST(row_number() OVER (PAR
 
 
 def formations(rows: DataFrame, nm: float = 1.0, turn: float = 5.0, wrap: bool = False) -> DataFrame:
-    """Pairs of a poll within nm of each other and on like tracks; wrap compares tracks across north."""
+    """Pairs of a poll within nm of each other and on like tracks; wrap compares tracks across north.
+
+    Without wrap, rows also meet by bands of tracks, six turns wide; the other of a pair is in the bands that it is within a turn of.
+    """
     other = rows.select(F.col("rec_id").alias("other_id"), "poll_no", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("track").alias("o_track"))
     off = F.abs(F.col("track") - F.col("o_track"))
     off = F.least(off, 360 - off) if wrap else off
     exact = (F.col("rec_id") < F.col("other_id")) & (geo.planar(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"), 60.0) < nm) & (off < turn)
-    return near_join(rows.select("rec_id", "poll_no", "lat", "lon", "track"), other, ("lat", "o_lat"), ("lon", "o_lon"), nm / 60.0, exact, on=("poll_no",)).select("rec_id", "other_id", "poll_no")
+    own, on = rows.select("rec_id", "poll_no", "lat", "lon", "track"), ("poll_no",)
+    if not wrap:
+        band = lambda track: F.floor(track / (6 * turn))
+        own, on = own.withColumn("_band", band(F.col("track"))), ("poll_no", "_band")
+        other = other.withColumn("_band", F.explode(F.sequence(band(F.col("o_track") - turn), band(F.col("o_track") + turn))))
+    return near_join(own, other, ("lat", "o_lat"), ("lon", "o_lon"), nm / 60.0, exact, on=on).select("rec_id", "other_id", "poll_no")
 
 
 FORMATION = "p AS (SELECT a.rec_id, b.rec_id AS other_id, a.poll_no FROM aircraft a JOIN aircraft b ON a.poll_no = b.poll_no AND a.rec_id < b.rec_id WHERE sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) * 60e0 < 1 AND abs(a.track - b.track) < 5)"
