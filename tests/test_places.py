@@ -114,3 +114,11 @@ def test_formations_are_all_pairs_and_broadcast_nothing(spark, wrap):
     want = {(x.rec_id, y.rec_id, x.poll_no) for x in rows for y in rows if x.poll_no == y.poll_no and x.rec_id < y.rec_id and math.sqrt((x.lat - y.lat) ** 2 + (x.lon - y.lon) ** 2) * 60 < 1 and off(x.track, y.track) < 5}
     got = [tuple(x) for x in found.collect()]
     assert want and set(got) == want and len(got) == len(want)
+
+
+def test_traffic_rules_broadcast_nothing(spark):
+    a = aircraft(spark, 50).select("*", F.lit("abc").alias("icao"), F.lit("x").alias("callsign"), F.lit("").alias("squawk"), F.lit(400.0).alias("alt_ft"))
+    c = spark.range(9).select(F.col("id").alias("conflict_id"), (34 + F.col("id") / 1000).alias("latitude"), (12 + F.col("id") / 1000).alias("longitude"))
+    rules = sensing.traffic_rules(a, c)
+    assert "Broadcast" not in rules._jdf.queryExecution().executedPlan().toString()
+    assert {(r.rec_id, r.confidence) for r in rules.filter("anomaly_type = 'low_altitude'").collect()} == {(i, 0.9) for i in range(50)}

@@ -85,7 +85,7 @@ FORMATION = "p AS (SELECT a.rec_id, b.rec_id AS other_id, a.poll_no FROM aircraf
 def traffic_rules(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     n = low_conflicts(rows, conflicts).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"))
     pairs = formations(rows).select(F.explode(F.array("rec_id", "other_id")).alias("rec_id")).distinct().withColumn("paired", F.lit(True))
-    r = rows.join(n, "rec_id", "left").join(pairs, "rec_id", "left")
+    r = rows.join(n.hint("merge"), "rec_id", "left").join(pairs.hint("merge"), "rec_id", "left")
     low = (F.col("alt_ft") > 0) & (F.col("alt_ft") < 500)
     sure = 0.75 + F.least(F.lit(0.15), 0.03 * F.coalesce("n", F.lit(0)))
     rules = [(low, "low_altitude", geo.rounded(sure, 4)), (military(F.col("icao"), dims.MILITARY[:2]), "military_pattern", F.lit(0.75)), (no_squawk() & (F.col("alt_ft") < 5000), "no_transponder", F.lit(0.60)), (F.coalesce("paired", F.lit(False)), "formation", F.lit(0.70))]
