@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, line_dedup, mixing, quality
+from tidewatch.llm import bpe, line_dedup, mixing, quality, simhash
 from tidewatch.llm.shared import WORD, stored
 
 
@@ -25,11 +25,13 @@ def line_level(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose shingles of five words are not similar, at a Jaccard similarity of 0.8 or more, to those of an earlier one by doc_id (null first, ties by a hash of the text).
+    """The documents that are the first of those their SimHash links them to, by doc_id (null first, ties by a hash of the text), and whose shingles of five words are not similar to an earlier one's, at a Jaccard similarity of 0.8 or more.
 
-    Fingerprints miss most such pairs, so shingles are joined. Empty and null texts are copies of each other; of rows that are the same in id and text one stays.
+    Fingerprints of shingles of five words link at two different bits or fewer. They miss most pairs at 0.8, so an exact
+    join of shingles follows, over all documents: what one of the two finds goes. Empty and null texts are copies of
+    each other; of rows that are the same in id and text one stays.
     """
-    return line_dedup.one_of_each(docs, words=5)
+    return simhash.one_of_each(docs, words=5, among=stored(line_dedup.one_of_each(docs, words=5)))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import chat, line_dedup
+from tidewatch.llm import chat, line_dedup, simhash
 
 
 def split(t):
@@ -166,6 +166,18 @@ def test_near_copies_at_four_fifths(spark, how):
     assert sorted(r.doc_id for r in again) == got
 
 
+def test_near_copies_are_linked_by_simhash_and_by_shingles(spark, monkeypatch):
+    r = random.Random(12)
+    long = [f"w{r.randrange(10**6)}" for _ in range(900)]
+    rows = [(1, " ".join(long)), (2, " ".join(long).upper()), (3, " ".join(f"v{r.randrange(10**6)}" for _ in range(40))), (4, " ".join([*long[:100], *long[820:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda: sorted(x.doc_id for x in corpus_pipeline.near_copies(spark, df, "").collect())
+    assert kept() == [1, 3, 4]
+    monkeypatch.setattr(corpus_pipeline.line_dedup, "one_of_each", lambda docs, **_: docs)
+    near = {x.doc_id: x.component_id for x in simhash.near_dedup(df, words=5).collect()}
+    assert kept() == sorted(i for i, c in near.items() if i == c) == [1, 3, 4]
+
+
 def test_short_lines_go_too(spark):
     short = ["Read more", "read more", "all rights are reserved", "reserved are rights all", "all rights are reserved here", "こんにちは世界。", "", " ", "x", "x x", "a b c", "a b c d"]
     r = random.Random(6)

@@ -137,11 +137,12 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return rows.join(sorted_too(named), F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), "tie", stays.alias("stays"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Of each component the row of docs with the smallest doc_id, then the smallest hash of its text; of rows that are the same in both, one."""
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, among: DataFrame | None = None) -> DataFrame:
+    """Of each component the row of docs with the smallest doc_id, then the smallest hash of its text; of rows that are the same in both, one. among: rows of docs, of which these are taken."""
+    among = docs if among is None else among
     best = near_dedup(docs, doc_id, text, words).filter("stays").select(F.col("doc_id").alias("_best"), F.col("tie").alias("_best_tie")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(f"`{doc_id}`").cast("long").alias("_own"), F.xxhash64(text_of(text)).alias("_tie"))
+    row = F.struct(*[F.col(f"`{c}`") for c in among.columns]).alias("row")
+    rows = among.select(row, F.col(f"`{doc_id}`").cast("long").alias("_own"), F.xxhash64(text_of(text)).alias("_tie"))
     kept = rows.join(sorted_too(best), F.col("_own").eqNullSafe(F.col("_best")) & (F.col("_tie") == F.col("_best_tie")), "left_semi")
     return kept.withColumn("_place", F.row_number().over(Window.partitionBy("_own", "_tie").orderBy(F.lit(0)))).filter("_place = 1").select("row.*")
 
