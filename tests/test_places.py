@@ -122,3 +122,19 @@ def test_traffic_rules_broadcast_nothing(spark):
     rules = sensing.traffic_rules(a, c)
     assert "Broadcast" not in rules._jdf.queryExecution().executedPlan().toString()
     assert {(r.rec_id, r.confidence) for r in rules.filter("anomaly_type = 'low_altitude'").collect()} == {(i, 0.9) for i in range(50)}
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_first_within_is_all_pairs_and_meets_few(spark, most, monkeypatch):
+    r = random.Random(most)
+    at = town(r, 12, 0, 0, 1.5) + [(0.0, 0.0), (0.125, 0.125), (50.0, 50.0), (float("nan"), 1.0), (None, 1.0)]
+    rows = [(k - 300, *p) for k, p in enumerate(town(r, 1500, 0, 0, 2.0) + [(1.0, 0.0), (0.0, 1.0), (float("nan"), 0.0), (None, 0.0), (50.0, 51.0), (50.5, 50.0)])]
+    tables, stored = [], ranges.stored
+    monkeypatch.setattr(ranges, "stored", lambda df: tables.append(stored(df)) or tables[-1])
+    places, others = spark.createDataFrame(at, "lat double, lon double"), spark.createDataFrame(rows, "k long, b_lat double, b_lon double")
+    close = geo.planar(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"), 1.0) <= 1.0
+    got = [tuple(x) for x in ranges.first_within(places, others, ("lat", "lon"), ("b_lat", "b_lon"), "k", 1.0, close, most).collect()]
+    pairs = {(a, b, k) for a, b in at if a is not None and a == a for k, x, y in rows if x is not None and math.sqrt((a - x) ** 2 + (b - y) ** 2) <= 1.0}
+    want = {(a, b, k) for a, b in at for k in sorted(k for x, y, k in pairs if (x, y) == (a, b))[:most]}
+    assert set(got) == want and len(got) == len(want)
+    assert tables[-1].count() <= most * len(at) < len(pairs)

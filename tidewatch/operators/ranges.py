@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewatch.sources.storage import stored
 
 ROOM = 8192  # left rows of a share
 FEW = 100_000  # rows of a table that may be broadcast
+PARTS = 8  # cells of first_within() along a distance
 
 
 def cell(column: str, width: float) -> Column:
@@ -65,3 +69,31 @@ def near_join(left: DataFrame, right: DataFrame, lat: tuple[str, str], lon: tupl
         each = F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1)).cast("long") - 1)
         r_ = r_.join(more, [F.col(names[k]) == F.col(f"_c{k}") for k in keys], "left").withColumn("_r_share", F.explode(each)).drop("_shares", *[f"_c{k}" for k in keys])
     return l_.join(r_.hint("merge"), same, how).drop("_x", "_y", "_rx", "_ry", "_share", "_r_share", *[f"_r_{c}" for c in on])
+
+
+def first_within(places: DataFrame, rows: DataFrame, at: tuple[str, str], to: tuple[str, str], key: str, degrees: float, exact: Column, most: int) -> DataFrame:
+    """at and key: for each place, the rows with the smallest whole numbers as key, most at most, that are near. exact says what is near and holds for any two points less than degrees apart.
+
+    A cell that lies near whole gives its own smallest keys, and these a bound on the keys sought. Cells on the edge are
+    met by levels of the key, each twice as long as the one before, up to the bound's. So what a place meets goes by how
+    many keys come before its bound, not by how many rows are near.
+    """
+    width, keys = degrees / PARTS, ["_x", "_y"]
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    k = F.col(key).cast("long")
+    level = F.when(k < 0, -F.length(F.bin(F.bitwise_not(k)))).otherwise(F.length(F.bin(k)))
+    r = stored(rows.filter(there(to[0]) & there(to[1]) & k.isNotNull()).select(*to, key, cell(to[0], width).alias("_x"), cell(to[1], width).alias("_y"), level.alias("_level")))
+    reach = F.sequence(F.lit(-PARTS - 1).cast("long"), F.lit(PARTS + 1).cast("long"))
+    x, y = (F.col(c) / F.lit(width) for c in at)
+    p = places.select(*at).distinct().filter(there(at[0]) & there(at[1])).withColumn("_x", F.explode(reach)).withColumn("_y", F.explode(reach))
+    p = p.withColumns({"_x": F.floor(x).cast("long") + F.col("_x"), "_y": F.floor(y).cast("long") + F.col("_y")})
+    near = F.hypot(*[F.greatest(F.lit(0.0), F.col(c) - v, v - F.col(c) - 1) for c, v in (("_x", x), ("_y", y))])
+    far = F.hypot(*[F.greatest(F.abs(v - F.col(c)), F.abs(v - F.col(c) - 1)) for c, v in (("_x", x), ("_y", y))])
+    p = stored(p.filter(near < PARTS + 1e-6).withColumn("_whole", far < PARTS - 1e-6))
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(key))).filter(F.col("_n") <= most)
+    inner = stored(first(p.filter("_whole").join(first(r, *keys).drop("_n").hint("merge"), keys).filter(exact), *at).select(*at, key, "_n", "_level"))
+    bound = inner.filter(F.col("_n") == most).select(F.col(at[0]).alias("_a"), F.col(at[1]).alias("_b"), F.col("_level").alias("_most"))
+    edge = p.filter("NOT _whole").join(bound.hint("merge"), (F.col(at[0]) == F.col("_a")) & (F.col(at[1]) == F.col("_b")), "left").select(*at, *keys, F.coalesce("_most", F.lit(64)).alias("_most"))
+    asks = edge.join(r.select(*keys, "_level").distinct().hint("merge"), keys).filter("_level <= _most").select(*at, *keys, "_level")
+    outer = asks.join(r.hint("merge"), [*keys, "_level"]).filter(exact).select(*at, key)
+    return first(inner.select(*at, key).unionByName(outer), *at).drop("_n")

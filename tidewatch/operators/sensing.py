@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import geo, sea
 from tidewatch.operators import ordered
-from tidewatch.operators.ranges import near_join
+from tidewatch.operators.ranges import first_within, near_join
 from tidewatch.operators.tracks import R
 from tidewatch.sources import dims
 from tidewatch.sources.fixtures import ctes, fixture
@@ -51,10 +51,11 @@ UNION ALL SELECT rec_id, 'no_transponder', 0.6e0 FROM aircraft WHERE squawk = ''
 
 
 def low_conflicts(rows: DataFrame, conflicts: DataFrame, km: float = 200.0, most: int = 5) -> DataFrame:
-    """Low aircraft with up to five conflicts within km, smallest ids first."""
+    """Low aircraft with up to five conflicts within km, smallest ids first. Aircraft at one place meet the same ones."""
     low = rows.filter((F.col("alt_ft") > 0) & (F.col("alt_ft") < 500)).select("rec_id", "lat", "lon")
     close = geo.planar(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"), 111.0) <= km
-    met = near_join(conflicts.select("conflict_id", "latitude", "longitude"), low, ("latitude", "lat"), ("longitude", "lon"), km / 111.0, close)
+    met = first_within(low, conflicts, ("lat", "lon"), ("latitude", "longitude"), "conflict_id", km / 111.0, close, most)
+    met = low.join(met.hint("merge"), ["lat", "lon"])
     return met.withColumn("n", F.row_number().over(Window.partitionBy("rec_id").orderBy("conflict_id"))).filter(F.col("n") <= most).select("rec_id", "conflict_id", "n")
 
 
