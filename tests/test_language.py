@@ -74,3 +74,11 @@ def test_hulls(spark):
             assert len(got[k]) == 5 and got[k][0] == got[k][-1] == (0.99, 1.99)
         else:
             assert got[k] == [*want, want[0]]
+
+
+def test_only_texts_move_to_be_scored(spark):
+    rows = spark.createDataFrame([(1, "the sea the ship", "en"), (2, "das meer das schiff", "de"), (3, "the ship", None), (4, None, None), (5, "xq", None)], "doc_id long, text string, lang string")
+    out = language.identified(rows, language.fitted(rows))
+    assert {x.doc_id: x.language for x in out.select("doc_id", "language").collect()} == {1: "en", 2: "de", 3: "en", 4: None, 5: None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "word" not in plan

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.sources.fixtures import fixture, table
+from tidewatch.sources.storage import stored
 
 ROWS, GRAMS = 500, 40_000  # labelled rows of a language; runs of the model, the most frequent ones
 MARGIN = 0.05  # by which the best language must beat the next, in nats a run
@@ -56,11 +57,18 @@ def identified(rows: DataFrame, model: DataFrame, key: str = "doc_id", margin: f
     """key, language and margin of each row of (key, text): the likeliest language, null where it does not beat the next by margin, or where no run of the text is known.
 
     Keys are unique. Null and empty texts have no language; texts of any length count whole. A model of one language
-    gives that one wherever a run is known.
+    gives that one wherever a run is known. Texts are dealt by key and move once; their runs are
+    added up where they are cut out.
     """
-    met = counted(rows, key).join(F.broadcast(model), "gram")  # GRAMS rows at most
-    sums = met.select(key, "n", F.explode("scores").alias("lang", "score")).groupBy(key, "lang").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("score"))
-    best = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("score", "lang")), asc=False).alias("l"))  # a struct for each language
+    model = stored(model)
+    some = model.select(F.map_keys("scores").alias("langs")).first()
+    langs = some.langs if some else []
+    score = [F.get(F.map_values("scores"), F.lit(i)) for i in range(len(langs))]  # every run has the same languages, in order
+    runs = rows.select(key, "text").repartition(key).select(key, F.explode(F.flatten(F.transform(words(F.col("text")), grams))).alias("gram"))
+    met = runs.join(F.broadcast(model.select("gram", *[x.alias(f"_{i}") for i, x in enumerate(score)])), "gram")  # GRAMS rows at most
+    sums = met.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(langs))])
+    each = F.array(*[F.struct((F.col(f"_{i}") / F.col("n")).alias("score"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]) if langs else F.array().cast("array<struct<score:double,lang:string>>")
+    best = sums.select(key, F.sort_array(each, asc=False).alias("l"))  # a struct for each language
     first, second = F.get("l", F.lit(0)), F.get("l", F.lit(1))
     ahead = F.coalesce(first["score"] - second["score"], F.lit(math.inf))
     found = best.select(key, F.when(ahead >= margin, first["lang"]).alias("language"), ahead.alias("margin"))
