@@ -168,3 +168,16 @@ def test_polls_of_a_growing_feed_lose_and_double_nothing(spark, tmp_path):
     p.done()
     p = poll.Poll(stream(), root)
     assert take(p) == seen == []
+
+
+def test_gated_comes_in_batches_of_one_size(spark, small, monkeypatch):
+    want, files, written = sorted(map(tuple, replay.stream_gated(spark, small).collect())), [], replay.drained
+    monkeypatch.setattr(replay, "BATCH", 400)
+
+    def seen(out, root, *more):
+        files.extend(spark.read.parquet(f"{root}/{name}").groupBy(F.input_file_name()).count().collect() for name in ("events", "reports"))
+        return written(out, root, *more)
+
+    monkeypatch.setattr(replay, "drained", seen)
+    assert want and sorted(map(tuple, replay.stream_gated(spark, small).collect())) == want
+    assert len(files[1]) > 1 and max(x["count"] for f in files for x in f) <= 500

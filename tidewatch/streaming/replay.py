@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from tidewatch.sources.storage import scratch
 from tidewatch.streaming import channels, keyed, merge, stateful
 
 
+BATCH = 1_000_000  # rows of a batch that every share of a flag gets
+
+
 def arriving(rows: DataFrame, path: str, batches: int, order: str) -> None:
     """Writes rows as files that arrive one after another by order, a whole number: one file a batch."""
     low, high = rows.agg(F.min(order), F.max(order)).first()
@@ -24,6 +29,20 @@ def arriving(rows: DataFrame, path: str, batches: int, order: str) -> None:
         rows.filter(F.col(order).between(start, start + step - 1)).coalesce(1).write.mode("append").parquet(path)
 
 
+def arriving_together(rows: dict[str, DataFrame], root: str, order: str, most: int) -> None:
+    """Writes several streams as files that arrive one after another: a file of each a batch, cut at the same places of order into batches of most rows, about, so that what a batch brings does not grow with the streams."""
+    ats = reduce(DataFrame.unionByName, [r.select(order) for r in rows.values()])
+    batches = -(-ats.count() // most)
+    cuts = ats.agg(F.percentile_approx(order, [k / batches for k in range(1, batches)], 10 * batches)).first()[0] if batches > 1 else []
+    for name, r in rows.items():  # one pass over the rows, whatever the number of batches
+        number = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+        r.withColumn("_batch", number).write.partitionBy("_batch").parquet(f"{root}/cut/{name}")
+    for k in range(len(set(cuts)) + 1):
+        for name, r in rows.items():
+            part = r.sparkSession.read.schema(r.withColumn("_batch", F.lit(0)).schema).parquet(f"{root}/cut/{name}")
+            part.filter(F.col("_batch") == k).select(*r.columns).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+
+
 def replayed(rows: DataFrame, stream, batches: int = 4, mode: str = "append", order: str = "event_id") -> DataFrame:  # noqa: ANN001
     """What stream makes of rows that arrive in several batches, with state and a checkpoint carried from one to the next."""
     spark, root = rows.sparkSession, scratch(rows.sparkSession)
@@ -65,8 +84,7 @@ def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = fixture(spark, sf_dir, "tec_series").filter("kp IS NOT NULL").select(F.timestamp_seconds(F.col("seq") * 6).alias("ts"), (F.col("seq") * 6).alias("t_s"), "kp")
     end = events.agg(F.max("t_s")).first()[0]
     both = {"events": events, "reports": reports.filter(F.col("t_s") <= (end or 0))}
-    for name, rows in both.items():
-        arriving(rows, f"{root}/{name}", 1, "t_s")
+    arriving_together(both, root, "t_s", BATCH)
     out = keyed.gated(*(source(spark, rows, f"{root}/{name}") for name, rows in both.items()))
     return drained(out, root).select("event_id", "channel")
 
