@@ -235,17 +235,17 @@ def nearest_each(points: DataFrame, vessels: DataFrame, k: int = 3) -> DataFrame
 
     Vessels are counted by cells of all widths in one pass. A point takes the narrowest width at which its cell and the
     eight around it hold k vessels: these lie within 2.83 widths, so the cells four times as wide are sure to have the
-    nearest, and one join by equal cells and one ranking verify them. Of vessels at one place the first k are enough.
+    nearest, and one join by equal cells and one ranking, of what lies within 2.83 widths, verify them. Of vessels at one place the first k are enough.
     """
     place = Window.partitionBy("v_lat", "v_lon").orderBy("mmsi")
     v = vessels.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("mmsi", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"))
     v = stored(v.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k).select("mmsi", "v_lat", "v_lon", F.explode(cells(F.col("v_lat"), F.col("v_lon"))).alias("cell")))
     held = around(v.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
     p = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("event_id", "lat", "lon").withColumn("_row", F.struct("event_id", "lat", "lon"))
-    fine = p.select("_row", F.explode(cells(F.col("lat"), F.col("lon"))).alias("cell")).join(held, "cell").groupBy("_row").agg(F.max("cell.level").alias("level"))
+    fine = p.select("_row", F.explode(cells(F.col("lat"), F.col("lon"))).alias("cell")).join(held.hint("merge"), "cell").groupBy("_row").agg(F.max("cell.level").alias("level"))
     level = F.greatest(F.coalesce("level", F.lit(0)) - 1, F.lit(0))  # with fewer than k vessels in all, everywhere
-    asks = p.join(fine, "_row", "left").select("event_id", "lat", "lon", F.get(cells(F.col("lat"), F.col("lon")), level).alias("cell"))
-    met = around(asks, "cell").join(v, "cell").withColumn("deg", geo.planar(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"), 1.0))
+    asks = p.join(fine.hint("merge"), "_row", "left").select("event_id", "lat", "lon", F.get(cells(F.col("lat"), F.col("lon")), level).alias("cell"), (F.pow(F.lit(0.25), "level") * CELLS[0] * 2.83).alias("bound"))
+    met = around(asks, "cell").join(v.hint("merge"), "cell").withColumn("deg", geo.planar(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"), 1.0)).filter(F.col("bound").isNull() | (F.col("deg") <= F.col("bound")))
     rank = F.row_number().over(Window.partitionBy("event_id", "lat", "lon").orderBy("deg", "mmsi"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("event_id", "rank", "mmsi", geo.rounded(F.col("deg"), 6).alias("deg"))
 
