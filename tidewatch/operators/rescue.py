@@ -186,12 +186,13 @@ DIRECTIONS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -
 def hulls(particles: DataFrame, salts: int = 16) -> DataFrame:
     """The closed hull of each run and step, a row per vertex; a single point becomes a small square.
 
-    Points inside the polygon of the farthest ones in eight directions go first. What is left is dealt to salts parts;
+    Of equal points one is looked at. Points inside the polygon of the farthest ones in eight directions go first. What is left is dealt to salts parts;
     their hulls are folded apart and then once more together, so that a large cloud is never in one task whole. Points
     without a position are left out.
     """
     p = particles.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat"))
-    p = p.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("int").alias("step"), F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).alias("q"))
+    p = p.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("int").alias("step"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).distinct()
+    p = p.select("run_id", "step", F.struct("lon", "lat").alias("q"))
     far = [F.max_by("q", F.struct(x * F.col("q.lon") + y * F.col("q.lat"), "q")) for x, y in DIRECTIONS]
     shares = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
     frame = p.groupBy("run_id", "step").agg(F.array(*far).alias("frame")).withColumn("salt", F.explode(shares))
@@ -217,7 +218,7 @@ SELECT run_id, step, CAST(i AS INT) AS vertex, h[i % len(h) + 1].lon AS lon, h[i
 
 
 def ballistic(rows: DataFrame) -> DataFrame:
-    """Impact of what falls (event_id, lat, lon, angle_deg, speed_ms, altitude_m, wind_ms, wind_deg): Euler steps of 0.01 s with quadratic drag, a batch of rows at a time."""
+    """Impact of what falls (event_id, lat, lon, angle_deg, speed_ms, altitude_m, wind_ms, wind_deg): Euler steps of 0.01 s with quadratic drag, a batch of rows at a time, dealt by event_id as a small file is much work."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -234,7 +235,7 @@ def ballistic(rows: DataFrame) -> DataFrame:
             lat, lon = b.lat.to_numpy(float), b.lon.to_numpy(float)
             yield pd.DataFrame({"event_id": b.event_id, "impact_lat": lat + x * np.cos(w) / 111_320, "impact_lon": lon + x * np.sin(w) / (111_320 * np.cos(np.radians(lat))), "range_m": np.rint(x), "fragment_radius_m": np.rint(np.maximum(50.0, x * 0.02))})
 
-    return rows.mapInPandas(run, "event_id long, impact_lat double, impact_lon double, range_m double, fragment_radius_m double")
+    return rows.repartition("event_id").mapInPandas(run, "event_id long, impact_lat double, impact_lon double, range_m double, fragment_radius_m double")
 
 
 def leeway_lines(alerts: DataFrame, particles: int = 128, wind_u: float = 4.0, wind_v: float = 3.0, current_u: float = 0.1, current_v: float = 0.05, downwind: float = 0.035, crosswind: float = 0.01, radius_m: float = 150.0, step_s: int = 3600, sign: float = 1.0) -> DataFrame:
