@@ -89,3 +89,13 @@ def test_threats_of_a_busy_platform(spark, block, monkeypatch):
                 want[(p, e, t, found["weight"], found["sources"])] += 1
     df = spark.createDataFrame(rows, "platform_id long, event_id long, t_s long, channel string")
     assert Counter((x.platform_id, x.event_id, x.t_s, x.weight, x.sources) for x in sensing.threats(df).collect()) == want
+
+
+def test_python_is_given_few_blocks_at_a_time(spark, monkeypatch):
+    seen, conf = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    stored, before = ordered.stored, spark.conf.get(conf)
+    monkeypatch.setattr(ordered, "stored", lambda df: seen.append((spark.conf.get(conf), "EvalPython" in df._jdf.queryExecution().executedPlan().toString())) or stored(df))
+    rows = spark.range(100).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("rank"), (F.floor(F.col("id") / 2) - 3).alias("limit"))
+    kept = ordered.folded(rows, "k", 4)
+    assert {tuple(x) for x in kept.collect()} == {(k, r, r - 3 if r > 2 else -1) for k in (0, 1) for r in range(2, 50, 3)}
+    assert {n for n, python in seen if python} == {str(ordered.AT_ONCE)} and spark.conf.get(conf) == before

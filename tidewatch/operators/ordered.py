@@ -12,6 +12,7 @@ block is folded apart from all others.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 from tidewatch.sources.storage import ship, stored
 
 BLOCK, FAN = 32768, 256  # rows of a block; blocks of a block of blocks
+AT_ONCE = 32  # blocks that Python is given at a time
 NONE = -1  # no row was kept yet
 
 
@@ -157,17 +159,18 @@ def folded(rows: DataFrame, key: str, block: int = 0) -> DataFrame:
             found.append(each)
         return pd.Series(found)
 
-    @F.pandas_udf("array<struct<rank:long,previous:long>>")
+    @F.pandas_udf("array<long>")
     def kept_in(number: pd.Series, limits: pd.Series, kept: pd.Series) -> pd.Series:
+        """The ranks kept in each block."""
         found = []
         for b, x, k in zip(number, limits, kept):
-            each, last = [], int(k)
-            for rank, limit in enumerate(x.tolist(), int(b) * size):
+            each, last = array("q"), int(k)
+            for rank, limit in enumerate(x, int(b) * size):
                 if last <= limit:
-                    each.append({"rank": rank, "previous": last})
+                    each.append(rank)
                     last = rank
-            found.append(each)
-        return pd.Series(found)
+            found.append(np.frombuffer(each, np.int64))
+        return pd.Series(found, dtype=object)
 
     name = F.col(key).alias("_key")
     lists = rows.select(name, F.floor(F.col("rank") / size).alias("_block"), F.struct("rank", F.coalesce("limit", F.lit(NONE - 1)).alias("limit")).alias("_r"))
@@ -177,19 +180,32 @@ def folded(rows: DataFrame, key: str, block: int = 0) -> DataFrame:
         many = blocks.select("_key", "_block").filter("_block > 0").select("_key").distinct()
         long = blocks.join(many, blocks["_key"].eqNullSafe(many["_key"]), "left_semi")
         s = first_steps("_block", "_limits")
-        levels = [stored(long.select("_key", "_block", s["at"].alias("at"), s["out"].alias("out")))]
+        levels = [slim(long.select("_key", "_block", s["at"].alias("at"), s["out"].alias("out")))]
         span = size
         while top:
             top, span = top // FAN, span * FAN
             group = levels[-1].groupBy("_key", F.floor(F.col("_block") / FAN).alias("_up")).agg(F.array_sort(F.collect_list(F.struct("_block", "at", "out"))).alias("_c"))
             group = group.select("_key", F.col("_up").alias("_block"), F.transform("_c", lambda c: c["_block"]).alias("_of"), F.transform("_c", lambda c: c["at"]).alias("ats"), F.transform("_c", lambda c: c["out"]).alias("outs"))
             s = next_steps(F.col("_block") * span, "ats", "outs")
-            levels.append(stored(group.select("*", s["at"].alias("at"), s["out"].alias("out"))))
+            levels.append(slim(group.select("*", s["at"].alias("at"), s["out"].alias("out"))))
         known = levels[-1].select("_key", "_block", F.lit(NONE).cast("long").alias("_kept"))
         for level in reversed(levels[1:]):
             down = level.join(known.withColumnsRenamed({"_key": "_k", "_block": "_b"}), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")))
             given = down.select("_key", "_of", handed("_kept", "ats", "outs").alias("_given"))
-            known = stored(given.select("_key", F.explode(F.arrays_zip("_of", "_given")).alias("z")).select("_key", F.col("z._of").alias("_block"), F.col("z._given").alias("_kept")))
+            known = slim(given.select("_key", F.explode(F.arrays_zip("_of", "_given")).alias("z")).select("_key", F.col("z._of").alias("_block"), F.col("z._given").alias("_kept")))
         of = known.withColumnsRenamed({"_key": "_k", "_block": "_b"})
         start = blocks.join(of, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left").select("_key", "_block", "_limits", F.coalesce("_kept", F.lit(NONE)).alias("_kept"))
-    return start.select(F.col("_key").alias(key), F.inline(kept_in("_block", "_limits", "_kept")))
+    ranks = slim(start.select("_key", "_kept", kept_in("_block", "_limits", "_kept").alias("_ranks")))
+    each = ranks.select("_key", "_kept", "_ranks", F.posexplode("_ranks").alias("_i", "rank"))
+    return each.select(F.col("_key").alias(key), "rank", F.coalesce(F.get("_ranks", F.col("_i") - 1), "_kept").alias("previous"))
+
+
+def slim(rows: DataFrame) -> DataFrame:
+    """rows, stored, their Python given a few rows at a time: one of these is as long as a block."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(AT_ONCE))
+    try:
+        return stored(rows)
+    finally:
+        conf.set(name, before)
