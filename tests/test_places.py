@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo
-from tidewatch.operators import ranges, sensing, tracks
+from tidewatch.operators import ranges, records, rescue, sensing, tracks
 
 V = "mmsi string, lat double, lon double"
 
@@ -138,3 +138,27 @@ def test_first_within_is_all_pairs_and_meets_few(spark, most, monkeypatch):
     want = {(a, b, k) for a, b in at for k in sorted(k for x, y, k in pairs if (x, y) == (a, b))[:most]}
     assert set(got) == want and len(got) == len(want)
     assert tables[-1].count() <= most * len(at) < len(pairs)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_each_ranks_only_what_lies_within_its_bound(spark):
+    p = spark.range(20).select(F.col("id").alias("event_id"), (F.col("id") / 10).alias("lat"), (F.col("id") / 7).alias("lon"))
+    plan = plan_of(tracks.nearest_each(p, p.select(F.col("event_id").cast("string").alias("mmsi"), "lat", "lon")))
+    assert "bound" in plan and "Broadcast" not in plan
+
+
+def test_few_bytes_of_much_work_are_dealt(spark):
+    a = spark.range(20).select(F.col("id").alias("event_id"), (33 + F.col("id") / 10).alias("lat"), (11 + F.col("id") / 7).alias("lon"), *[(F.col("id") * 1.0).alias(c) for c in ("angle_deg", "speed_ms", "altitude_m", "wind_ms", "wind_deg")])
+    assert "Exchange hashpartitioning(event_id" in plan_of(rescue.ballistic(a))
+    plan = plan_of(records.kml_documents(a))
+    assert plan.count("REPARTITION_BY_COL") == plan.count("Exchange") >= 1  # documents' parts are put together where alerts are
+
+
+def test_hulls_look_at_a_place_once(spark):
+    at = spark.range(200).select((F.col("id") % 2).alias("run_id"), F.lit(1).alias("step"), (F.col("id") % 5 / 1.0).alias("lon"), (F.col("id") % 7 / 1.0).alias("lat"))
+    plan = rescue.hulls(at)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [run_id") >= 1 and all(x in plan for x in ("lon#", "lat#"))
+    assert [x for x in plan.splitlines() if "Aggregate [" in x][-1].count("max_by") == 0

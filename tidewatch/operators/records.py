@@ -249,7 +249,8 @@ KML_TAIL = "  </Document>\n</kml>"
 
 
 def kml_documents(alerts: DataFrame) -> DataFrame:
-    """A document for each alert with a position: styles, the datum, the path as a line and a zone for each cone."""
+    """A document for each alert with a position: styles, the datum, the path as a line and a zone for each cone. Alerts are dealt once, before they grow to documents."""
+    alerts = alerts.repartition("event_id")
     at = lambda lon, lat: F.concat(lon.cast("string"), F.lit(","), lat.cast("string"), F.lit(",0"))
     line = lambda rows, order, *key: rows.groupBy("event_id", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, at(F.col("lon"), F.col("lat")).alias("at")))), lambda x: x["at"]), " ").alias("line"))
     path = line(drift_path(alerts), "step")
@@ -257,7 +258,7 @@ def kml_documents(alerts: DataFrame) -> DataFrame:
     style = lambda i: reduce(lambda c, h: c.when(F.col("hours") == h, CONE_STYLES[h][i]), CONE_STYLES, F)
     zone = F.concat(F.lit(MARK[0]), style(2), F.lit(MARK[1] + "      <styleUrl>#"), style(0), F.lit("</styleUrl>\n" + ZONE[0]), F.col("line"), F.lit(ZONE[1]))
     cones = zones.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hours", zone.alias("z")))), lambda x: x["z"]), "").alias("zones"))
-    met = alerts.select("event_id", "lat", "lon").join(path, "event_id").join(cones, "event_id")
+    met = alerts.select("event_id", "lat", "lon").join(path.hint("merge"), "event_id").join(cones.hint("merge"), "event_id")
     name = F.substring(F.col("event_id").cast("string"), 1, 8)
     datum = F.concat(F.lit(MARK[0] + "DATUM" + MARK[1] + POINT[0]), at(F.col("lon"), F.col("lat")), F.lit(POINT[1]))
     track = F.concat(F.lit(MARK[0] + "Trajectory" + MARK[1] + LINE[0]), F.col("line"), F.lit(LINE[1]))
