@@ -4,6 +4,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import bpe, token_files
@@ -97,6 +98,30 @@ def test_encoder_spells_as_the_library(library, odd):
     assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_encoder_asks_once_for_each_distinct_piece():
+    asked = []
+
+    class Asked(token_files.Table):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    coder = token_files.Encoder(None)
+    coder.known = Asked(1000)
+    got = coder.encode([b"the sea, THE sea. the\n"] * 200)
+    assert sorted(asked) == [b"", b"sea,", b"sea.", b"the"] or sorted(asked) == [b"sea,", b"sea.", b"the"]
+    assert len({i.tobytes() for i in got}) == 1 and len(got) == 200
+
+
+def test_portions_spell_as_the_library(library, odd):
+    coder = token_files.Encoder(None)
+    texts = [t.encode() for t in odd] + [b"", b"x" * 5000, b""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    parts = list(token_files.portions(batch, 1000))
+    assert len(parts) > 10 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [x.tolist() for p in parts for x in coder.encode(p.column(1))] == [library.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("vocab", [2, 7, 70_000])
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 500])
 def test_repair_and_random_access(n, vocab):

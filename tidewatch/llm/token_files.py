@@ -16,10 +16,12 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,10 +35,12 @@ from tidewatch.llm.shared import documents, scratch, ship, text_of
 BLOCK, PAIRS, LEAST, ROUNDS, SHARD_ROWS, END_ID = 1 << 20, 2048, 16, 7, 8000, 1
 #: Entries of a worker's tables of chunks and of words; they bound memory and change no result.
 CHUNKS, WORDS = 1_000_000, 600_000
+#: Bytes of text that are encoded at once, whole texts each; marks that the vocabulary file makes words of by themselves.
+AT_ONCE, MARKS = 4 << 20, '.,;:!?)"'
 
 
 class Encoder:
-    """The ids of texts by the tokenizers library. What stands between ASCII white space is looked up; what is new is cut into words as the vocabulary file says, and words that are new are encoded by the library, many at once, and told apart by their end marks."""
+    """The ids of texts by the tokenizers library. What stands between ASCII white space is numbered by Arrow, and each distinct piece is looked up once; what is new is cut into words as the vocabulary file says, and words that are new are encoded by the library, many at once, and told apart by their end marks."""
 
     def __init__(self, path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,7 +54,8 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.pattern = regex.compile(rf"\n|{PATTERN}")
+        self.pattern = regex.compile(PATTERN)
+        self.marks = {m: self.alone(m) for m in MARKS}
         self.known, self.words = Table(CHUNKS), Table(WORDS)
 
     def alone(self, text: str) -> bytes:
@@ -66,45 +71,69 @@ class Encoder:
         flat, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
         return {w: flat[a:b] for w, a, b in zip(words, [0, *stops], stops)}
 
-    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new chunks; none holds a line end, so one stands between them while they are cut into words."""
-        found = {c: self.alone(c.decode("utf-8", "replace")) for c in chunks if b"<|" in c}  # may hold a special token
-        plain = [c for c in chunks if c not in found]
-        words = self.pattern.findall(lowered(b"\n".join(plain).decode("utf-8", "replace")))
+    def learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of new chunks; none holds a line end, so one stands between them while they are normalised. Most are letters, with one mark after them at most."""
+        plain = [c for c in chunks if b"<|" not in c]
+        texts = lowered(b"\n".join(plain).decode("utf-8", "replace")).split("\n") if plain else []
+        bodies, tails, odd, marks = [], [], {}, self.marks
+        for t in texts:
+            if t.isalpha():
+                bodies.append(t)
+                tails.append(b"")
+            elif t[-1:] in marks and t[:-1].isalpha():
+                bodies.append(t[:-1])
+                tails.append(marks[t[-1]])
+            else:
+                odd[len(bodies)] = self.pattern.findall(t)
+                bodies.append("")
+                tails.append(b"")
         known, recent = self.words, self.words.recent
-        new = [w for w in set(words) if w not in known and w not in recent and w != "\n"]
-        fresh = self.spelled(new) if new else {}
-        ids = list(map(known.get, words))
-        for i in [i for i, own in enumerate(ids) if own is None]:
-            w = words[i]
-            ids[i] = fresh[w] if w in fresh else recent.get(w)  # None for a line end
-        at = 0
-        for c, end in zip(plain, [*[i for i, own in enumerate(ids) if own is None], len(ids)], strict=bool(plain)):
-            found[c] = b"".join(ids[at:end])
-            at = end + 1
+        met = set(bodies).union(*odd.values()) - {""}
+        new = met.difference(known).difference(recent)
+        fresh = self.spelled(list(new)) if new else {}
+        own = {w: known.get(w) or recent[w] for w in met.difference(new)}
+        own.update(fresh)
+        own[""] = b""
+        found = list(map(add, map(own.__getitem__, bodies), tails))
+        for i, words in odd.items():
+            found[i] = b"".join(map(own.__getitem__, words))
         known.put_all(fresh)
-        return found
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        known, recent = self.known, self.known.recent
+        if len(plain) == len(chunks):
+            return found
+        rest = iter(found)
+        return [self.alone(c.decode("utf-8", "replace")) if b"<|" in c else next(rest) for c in chunks]  # may hold a special token
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary())
+        if not len(texts):
+            return []
+        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy, as ascii_lower() is wrong on slices
+        texts = pc.cast(texts, options=pc.CastOptions(target_type=pa.large_string(), allow_invalid_utf8=True))  # learn() takes any bytes
         # ASCII letters are lowered here already, which spares chunks; not where there may be special tokens
-        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        flat = list(chain.from_iterable(cut))
-        got = list(map(known.get, flat))
+        special = pc.match_substring(texts, "<|")
+        rows = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)) if special.true_count else pc.ascii_lower(texts))
+        coded = rows.values.dictionary_encode()
+        names, places = coded.dictionary.buffers()[2], np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+        names = names.to_pybytes() if names else b""
+        chunks = [names[a:b] for a, b in pairwise(places)]
+        known, recent = self.known, self.known.recent
+        got = list(map(known.get, chunks))
         open_ = [i for i, ids in enumerate(got) if ids is None]
+        if recent:
+            for i in open_:
+                got[i] = recent.get(chunks[i])
+            open_ = [i for i in open_ if got[i] is None]
         if open_:
-            left = list(map(flat.__getitem__, open_))
-            new = set(left).difference(recent)
-            fresh = self.learn(list(new)) if new else {}
-            fresh.update({c: recent[c] for c in set(left).intersection(recent)})
-            for i, ids in zip(open_, map(fresh.__getitem__, left), strict=True):
+            new = [chunks[i] for i in open_]
+            fresh = self.learn(new)
+            for i, ids in zip(open_, fresh, strict=True):
                 got[i] = ids
-            known.put_all({c: fresh[c] for c in new} if len(new) < len(fresh) else fresh)
-        out, at = [], 0
-        for row in cut:
-            out.append(np.frombuffer(b"".join(got[at : at + len(row)]), self.kind).astype(np.uint32))
-            at += len(row)
-        return out
+            known.put_all(dict(zip(new, fresh, strict=True)))
+        flat = pa.array(got, pa.large_binary()).take(coded.indices)
+        size = self.kind.itemsize
+        ids = np.frombuffer(flat.buffers()[2] or b"", self.kind)
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[rows.offsets.to_numpy()] // size
+        return [ids[a:b] for a, b in pairwise(ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -112,6 +141,15 @@ def encoder(path: str | None = None) -> Encoder:
     return Encoder(path)
 
 
+def portions(batch: pa.RecordBatch, room: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes of text (the second column), of whole rows."""
+    number = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // room
+    edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for a, b in pairwise(edges):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def frequent(symbols: np.ndarray, least: int, most: int) -> np.ndarray:
     """The most frequent neighbouring pairs (left << 32 | right) that occur at least so often; ties go to smaller pairs."""
     pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:] if symbols.size and symbols.max() >= 1 << 16 else symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:].astype(np.uint32)
@@ -141,7 +179,7 @@ def compress(ids: np.ndarray, vocab: int, least: int = LEAST, pairs: int = PAIRS
         starts, ends = np.unique(left), np.unique(right)
         l_[starts], r_[ends] = np.arange(1, starts.size + 1), np.arange(1, ends.size + 1)
         width = ends.size + 1
-        which = np.zeros((starts.size + 1) * width, np.int32)
+        which = np.zeros((starts.size + 1) * width, np.int16 if keys.size < 1 << 15 else np.int32)
         which[l_[left] * width + r_[right]] = np.arange(1, keys.size + 1)
         own = np.take(which, np.take(l_ * width, body[:-1]) + np.take(r_, body[1:]))
         at = np.flatnonzero(own)
@@ -221,9 +259,8 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         coder, shard, number, doc_ids, rows, held = encoder(vocabulary), TaskContext.get().partitionId(), 0, [], [], 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
+            for part in portions(batch):
+                for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
                     doc_ids.append(i)
                     rows.append(np.concatenate([ids, end]))
                     held += len(ids) + 1
