@@ -190,6 +190,17 @@ def test_short_lines_go_too(spark):
     assert sum(set(x.split()) == {"x"} for r in line_dedup.deduplicated(df).collect() for x in r.text.split("\n")) == 1
 
 
+def test_tokens_hash_each_word_once(spark):
+    df = spark.createDataFrame([("a b c a  d\tb",), ("",), ("x",)], "line string")
+    lines = df.select("line", F.lit(0).alias("id"))
+    levels = line_dedup.rarity(lines, classes=1 << 10)
+    out = df.select(line_dedup.tokens(F.col("line"), levels).alias("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    got = [r.t for r in out.collect()]
+    assert [len(t) for t in got] == [4, 0, 1] and all(t == sorted(set(t)) for t in got)
+    assert all(levels[x & 1023] == x >> 56 for t in got for x in t)
+
+
 OWN = "_m string, _w string, _kept string, _base_failed string, _mark string, _rate string, _times string, _own string, _tie string, row string, place string, gone string, draw string, removed string, `a.b` string"
 
 

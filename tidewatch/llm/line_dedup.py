@@ -86,13 +86,14 @@ def tokens(line: Column, levels: bytes, shingle: int = 0) -> Column:
     """The line's distinct words or shingles as sorted numbers, rarest first: the class's level, then 56 bits of the hash."""
     table = F.lit(bytearray(levels))
 
-    def code(u: Column) -> Column:
-        h = u if shingle else F.xxhash64(u)  # of words, in the same pass
+    def code(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(len(levels) - 1)).cast("int") + 1
         level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so plain numbers are sorted
         return h.bitwiseAND(F.lit(LEVEL - 1)).bitwiseOR(F.call_function("shiftleft", level, F.lit(56)))
 
-    return F.array_distinct(F.sort_array(F.transform(hashed(line, shingle) if shingle else words_of(line), code)))
+    # each word is hashed once, and each distinct hash is looked up once
+    hashes = hashed(line, shingle) if shingle else F.transform(words_of(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.transform(F.array_distinct(hashes), code))
 
 
 def signature(tokens: Column) -> Column:
