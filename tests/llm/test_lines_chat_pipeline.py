@@ -201,6 +201,31 @@ def test_tokens_hash_each_word_once(spark):
     assert all(levels[x & 1023] == x >> 56 for t in got for x in t)
 
 
+def test_pairs_are_sieved_by_stored_tokens(spark, monkeypatch):
+    r = random.Random(9)
+    common, rows = [f"c{k}" for k in range(400)], []
+    for i in range(80):  # long lines that have a rare word in common, some of them near copies, and short lines
+        if i % 4 == 1:
+            line = [w if r.random() > 0.02 * (i % 11) else f"y{r.randrange(10**6)}" for w in rows[-1][1].split(" ")]
+        else:
+            line = [f"r{i // 8}", *r.sample(common, 150), *(f"u{r.randrange(10**6)}" for _ in range(60))] if i % 4 else r.sample(common[:9], r.randrange(1, 9))
+        rows.append((i, " ".join(line)))
+    sets = [split(t) for _, t in rows]
+    pairs = [(a, b, -(-4 * (len(sets[a]) + len(sets[b])) // 9)) for a in range(80) for b in range(a)]
+    similar = {(a, b) for a, b, least in pairs if len(sets[a] & sets[b]) >= least}
+    lines = spark.createDataFrame(rows, "id long, line string").withColumn("first", F.col("id"))
+    t = line_dedup.tokens(F.col("line"), line_dedup.rarity(lines))
+    n = F.size("t")
+    stored = lines.select("id", t.alias("t")).select("id", n.alias("n"), F.slice("t", F.lit(1), line_dedup.reach(n) + line_dedup.DEEP - 1).alias("prefix"))
+    left = {(x.a, x.b) for x in line_dedup.sieved(spark.createDataFrame(pairs, "a long, b long, least long"), stored).collect()}
+    assert similar and similar <= left
+    assert not [(a, b) for a, b in left - similar if min(len(sets[a]), len(sets[b])) > 100 and len(sets[a] & sets[b]) < 120]
+    texts = []  # of pairs that only a rare word brings together, no text is read
+    monkeypatch.setattr(line_dedup, "agreeing", lambda pairs, lines, shingle: texts.append(lines.count()) or pairs.select("late"))
+    far = spark.createDataFrame([p for p in pairs if (p[0], p[1]) not in left], "a long, b long, least long")
+    assert line_dedup.verified(far, lines, stored, 0).count() == 0 and set(texts) == {0}
+
+
 OWN = "_m string, _w string, _kept string, _base_failed string, _mark string, _rate string, _times string, _own string, _tie string, row string, place string, gone string, draw string, removed string, `a.b` string"
 
 

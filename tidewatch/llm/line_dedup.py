@@ -4,7 +4,8 @@ A line's tokens are its distinct words, ordered by rarity: how often the word's
 CLASSES classes, so that the table every task reads has one size whatever the corpus. Lines are similar at a Jaccard
 similarity of 4/5 or more. Similar lines share a token among the first n - ceil(4n/5) + 1 of each (prefix filter); at
 the first one they share, enough tokens must be left (positional filter), and their sizes must be near (length
-filter). What is left is verified on the words themselves. A line goes if an earlier one, by doc_id and place, is
+filter). A pair's
+first tokens, which are stored, must then not differ too often, and what is left is verified on the words themselves. A line goes if an earlier one, by doc_id and place, is
 similar to it.
 
 Equal lines are one row from the start. A key with up to ROOM lines gives its pairs; one with more is handled so that
@@ -82,18 +83,26 @@ def rarity(lines: DataFrame, classes: int = CLASSES, shingle: int = 0) -> bytes:
     return "".join(r["levels"] for r in sorted(rows, key=lambda r: r["run"])).encode("ascii")
 
 
-def tokens(line: Column, levels: bytes, shingle: int = 0) -> Column:
-    """The line's distinct words or shingles as sorted numbers, rarest first: the class's level, then 56 bits of the hash."""
+def distinct_hashes(line: Column, shingle: int = 0) -> Column:
+    """A hash of 64 bits for each distinct word or shingle of the line, each word hashed once."""
+    return F.array_distinct(hashed(line, shingle) if shingle else F.transform(words_of(line), lambda w: F.xxhash64(w)))
+
+
+def ranked(hashes: Column, levels: bytes) -> Column:
+    """Distinct hashes as sorted numbers, rarest first: the class's level, then 56 bits of the hash."""
     table = F.lit(bytearray(levels))
 
     def code(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit(len(levels) - 1)).cast("int") + 1
-        level = F.coalesce(F.ascii(F.substr(table, at, F.lit(1)).cast("string")), F.lit(0)).cast("long")  # never null, so plain numbers are sorted
+        at = h.bitwiseOR(F.lit(-len(levels))).cast("int")  # counted from the table's end, which takes no addition
+        level = F.ascii(F.substr(table, at, F.lit(1)).cast("string")).cast("long")
         return h.bitwiseAND(F.lit(LEVEL - 1)).bitwiseOR(F.call_function("shiftleft", level, F.lit(56)))
 
-    # each word is hashed once, and each distinct hash is looked up once
-    hashes = hashed(line, shingle) if shingle else F.transform(words_of(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(F.array_distinct(hashes), code))
+    return F.sort_array(F.transform(hashes, code))
+
+
+def tokens(line: Column, levels: bytes, shingle: int = 0) -> Column:
+    """The line's distinct words or shingles as sorted numbers, each looked up once."""
+    return ranked(distinct_hashes(line, shingle), levels)
 
 
 def signature(tokens: Column) -> Column:
@@ -177,44 +186,53 @@ def open_pairs(rows: DataFrame, level: int) -> DataFrame:
     return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("least"))
 
 
-def numbers(units: Column) -> Column:
-    """n, how many distinct words (or shingles) there are, and codes, their distinct hashes of 32 bits."""
-    return let(F.array_distinct(units), lambda d: F.struct(F.size(d).alias("n"), F.array_distinct(F.transform(d, lambda u: F.hash(u))).alias("codes")))
+def sieved(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose stored tokens do not differ too often already.
 
+    Up to the lesser of the last ones that are stored, all tokens of both sets are known. Where they differ there, the
+    whole sets do, and similar sets of n and m differ in n + m - 2 * least tokens at most.
+    """
+    x, y = (sets.select(F.col("id").alias(k), F.col("n").alias(n), F.col("prefix").alias(p)) for k, n, p in (("a", "n", "p"), ("b", "m", "q")))
+    last = lambda p, n: F.when(F.col(n) > F.size(p), F.element_at(p, -1)).otherwise(F.lit((1 << 63) - 1))
+    known = lambda p, cut: F.size(F.filter(p, lambda t: t <= cut))
+    differ = let(F.least(last("p", "n"), last("q", "m")), lambda cut: known("p", cut) + known("q", cut)) - 2 * F.size(F.array_intersect("p", "q"))
+    return pairs.join(x, "a").join(y, "b").filter(differ <= F.col("n") + F.col("m") - 2 * F.col("least")).select("a", "b", "least")
 
-def agreeing(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """late of each pair (late, early, least) that shares enough words (or shingles); a late line may come more than once.
 
-    Sets that share so many words share as many codes, but for words of one of them whose codes are equal. So codes, of
-    one size and made once for each text, sort out most pairs; the rest is verified on the words.
-    """
-    x, y = ([F.col("id").alias(k), F.col("numbers").alias(v)] for k, v in (("late", "x"), ("early", "y")))
-    codes = F.size(F.array_intersect("x.codes", "y.codes")) + F.col("x.n") - F.size("x.codes")
-    likely = pairs.join(texts.select(*x), "late").join(texts.select(*y), "early").filter(codes >= F.col("least")).select("late", "early", "least")
+def agreeing(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """late of each pair (late, early, least) that shares enough words (or shingles); a late line may come more than once."""
     x, y = ([F.col("id").alias(k), F.col("line").alias(v)] for k, v in (("late", "x"), ("early", "y")))
     shared = F.size(F.array_intersect(units(F.col("x"), shingle), units(F.col("y"), shingle)))
-    return likely.join(texts.select(*x), "late").join(texts.select(*y), "early").filter(shared >= F.col("least")).select("late")
+    return pairs.join(texts.select(*x), "late").join(texts.select(*y), "early").filter(shared >= F.col("least")).select("late")
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    """id of each line that is in a pair."""
+    return near(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
 
-def verified(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
     """id of the later line of each pair that shares enough words (or shingles), stored.
 
-    Only texts that are in a pair move. As one similar earlier line is enough, each line is first held against its
-    earliest partner; all other pairs are verified for the lines that this does not settle.
+    Pairs are sieved by the tokens that are stored, and only texts that are still in a pair move. As one similar
+    earlier line is enough, each line is first held against its earliest partner; all other pairs are verified for the
+    lines that this does not settle.
     """
-    both = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(lines.select("id", "first", "line").join(near(both), "id", "left_semi").withColumn("numbers", numbers(units(F.col("line"), shingle))))
+    few = stored(sets.select("id", "n", "prefix").join(members(pairs), "id", "left_semi"))
+    likely = stored(sieved(pairs, few))
+    drop(few)
+    texts = stored(lines.select("id", "first", "line").join(members(likely), "id", "left_semi"))
     x = texts.select(F.col("id").alias("a"), F.col("first").alias("fx"))
     y = texts.select(F.col("id").alias("b"), F.col("first").alias("fy"))
     after = F.col("fx") < F.col("fy")
     later, earlier = F.when(after, F.col("b")).otherwise(F.col("a")), F.when(after, F.col("a")).otherwise(F.col("b"))
-    turned = stored(pairs.join(x, "a").join(y, "b").select(later.alias("late"), earlier.alias("early"), "least", F.least("fx", "fy").alias("since")))
+    turned = stored(likely.join(x, "a").join(y, "b").select(later.alias("late"), earlier.alias("early"), "least", F.least("fx", "fy").alias("since")))
     head = turned.groupBy("late").agg(F.min(F.struct("since", "early", "least")).alias("e")).select("late", "e.since", "e.early", "e.least")
     heads = stored(head)
     found = stored(agreeing(heads, texts, shingle))
     rest = turned.join(found, "late", "left_anti").join(heads.select("late", "early"), ["late", "early"], "left_anti")
     out = stored(found.unionByName(agreeing(rest, texts, shingle).distinct()).select(F.col("late").alias("id")))
-    for done in (texts, turned, heads, found):
+    for done in (likely, texts, turned, heads, found):
         drop(done)
     return out
 
@@ -234,12 +252,12 @@ def extended(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 
 def late_lines(lines: DataFrame, levels: bytes, room: int, wide: int, heads: int, shingle: int) -> DataFrame:
     """id of each of the distinct lines (id, line, first) that is similar to an earlier one."""
-    n = F.size("t")
-    bits = F.lit(0).cast("long") if shingle else signature(F.col("t"))  # a text has so many shingles that 64 bits tell nothing
-    with_tokens = lines.select("id", "first", tokens(F.col("line"), levels, shingle).alias("t"))
-    prefix = F.slice("t", F.lit(1), reach(n) + DEEP - 1)
-    # made from an array of one, as the optimizer would work the tokens out for each column
-    sets = stored(with_tokens.select("id", "first", F.inline(F.array(F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))))))
+    n = F.size("h")
+    bits = F.lit(0).cast("long") if shingle else signature(F.col("h"))  # a text has so many shingles that 64 bits tell nothing
+    with_hashes = lines.select("id", "first", distinct_hashes(F.col("line"), shingle).alias("h"))
+    prefix = F.slice(ranked(F.col("h"), levels), F.lit(1), reach(n) + DEEP - 1)
+    # made from an array of one, as the optimizer would work the hashes out for each column
+    sets = stored(with_hashes.select("id", "first", F.inline(F.array(F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))))))
     posts = sets.select("id", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), reach(F.col("n")))).alias("i", "key")).select(*POST)
     posts = posts.filter(F.col("key") >= ALONE * LEVEL)
     # a key is in no more lines than its class in all texts, so rarer classes need no count
@@ -247,7 +265,7 @@ def late_lines(lines: DataFrame, levels: bytes, room: int, wide: int, heads: int
     hot = crowded(posts.filter(F.col("key") >= enough * LEVEL), room)
     busy = stored(posts.join(hot, "key", "left_semi").join(sets.select("id", "first"), "id").select(*POST, "first"))
     pairs = stored(calm_pairs(posts.join(hot, "key", "left_anti"), 1).unionByName(head_pairs(busy, 1, heads)).distinct())
-    late = verified(pairs, lines, shingle)
+    late = verified(pairs, lines, sets, shingle)
     level = 1
     while not busy.isEmpty():
         known = late.select("id", F.lit(False).alias("open"))
@@ -265,7 +283,7 @@ def late_lines(lines: DataFrame, levels: bytes, room: int, wide: int, heads: int
             busy = busy.filter("false")
         pairs = stored(pairs.distinct())
         if not pairs.isEmpty():
-            late = stored(late.unionByName(verified(pairs, lines, shingle)).distinct())
+            late = stored(late.unionByName(verified(pairs, lines, sets, shingle)).distinct())
         level += 1
     drop(sets)
     return late
