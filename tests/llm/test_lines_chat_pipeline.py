@@ -226,6 +226,51 @@ def test_pairs_are_sieved_by_stored_tokens(spark, monkeypatch):
     assert line_dedup.verified(far, lines, stored, 0).count() == 0 and set(texts) == {0}
 
 
+def test_smaller_sets_meet_others_with_a_shorter_prefix(spark, monkeypatch):
+    r = random.Random(5)
+    sizes = [r.randrange(4, 60) for _ in range(300)]
+    posts = [(k, a, n, i, 0) for a, n in enumerate(sizes) for i, k in enumerate(sorted(r.sample(range(200), min(n, 99))[: n // 5 + 1]))]
+    df = spark.createDataFrame(posts, "key long, id long, n int, i int, bits long")
+    need = lambda n, m: -(-4 * (n + m) // 9)
+    want = {
+        (a, b, need(n, m))
+        for k, a, n, i, _ in posts
+        for l, b, m, j, _ in posts
+        if k == l and (n, a) < (m, b) and 5 * n >= 4 * m and min(n - i, m - j) >= need(n, m)
+    }
+    mode, smallest = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(mode, -1)
+    try:
+        out = line_dedup.calm_pairs(df, 1)
+        assert {tuple(x) for x in out.collect()} == want
+    finally:
+        spark.conf.set(mode, smallest)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1  # both sides are dealt once, and only then is the smaller one cut
+    short = sum(i <= n // 9 for _, _, n, i, _ in posts)
+    monkeypatch.setattr(line_dedup, "may_be", lambda x, y, level: F.lit(True))
+    met = line_dedup.calm_pairs(df, 1).select("a").distinct().count()
+    assert short < len(posts) and met <= len({a for _, a, n, i, _ in posts if i <= n // 9})
+    every = [(k, a, n, i, b, m) for k, a, n, i, _ in posts for l, b, m, _, _ in posts if k == l and (n, a) < (m, b)]
+    assert line_dedup.calm_pairs(df, 1).count() == sum(i <= n // 9 for _, _, n, i, _, _ in every) < len(every)
+
+
+def test_filters_in_whole_numbers_are_those_of_need(spark):
+    for s in range(2, 3000):
+        least = -(-4 * s // 9)
+        assert all((9 * left >= 4 * s) == (left >= least) for left in (least - 1, least, least + 1))
+        assert all((9 * bits <= s) == (bits <= s - 2 * least) for bits in range(s % 2, s // 4 + 3, 2))
+
+
+def test_texts_are_split_into_lines_once(spark):
+    df = spark.createDataFrame([(1, "a b\n \n\nc"), (2, None), (3, "")], "doc_id long, text string")
+    out = line_dedup.placed(df, "doc_id", "text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((x.doc_id, x["at"], x.line) for x in out.collect()) == [(1, 0, "a b"), (1, 3, "c")]
+    whole = line_dedup.placed(df, "doc_id", "text", whole=True)
+    assert sorted((x.doc_id, x.line) for x in whole.collect()) == [(1, "a b\n \n\nc"), (2, ""), (3, "")]
+
+
 OWN = "_m string, _w string, _kept string, _base_failed string, _mark string, _rate string, _times string, _own string, _tie string, row string, place string, gone string, draw string, removed string, `a.b` string"
 
 

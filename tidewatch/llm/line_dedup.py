@@ -24,6 +24,7 @@ Whole documents go the same way through one_of_each(): a document is one line, a
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -123,7 +124,8 @@ def placed(docs: DataFrame, doc_id: str, text: str, whole: bool = False) -> Data
     begin = F.coalesce(own.cast("decimal(20,0)"), number(NO_ID)) * number(ID_UNIT) + tie.bitwiseAND(F.lit(TIE_UNIT - 1)) * F.lit(TIE_UNIT)
     lines = F.array(t) if whole else F.split(t, "\n", -1)
     rows = docs.select(own.alias("doc_id"), tie.alias("tie"), begin.cast("decimal(38,0)").alias("begin"), lines.alias("lines"))
-    each = rows.select("doc_id", "tie", "begin", F.posexplode("lines").alias("at", "line"))
+    # outer, as Spark would else split each text once more, to see whether it has lines; each has one at least
+    each = rows.select("doc_id", "tie", "begin", F.posexplode_outer("lines").alias("at", "line"))
     if not whole:
         each = each.filter(F.length(F.btrim("line", F.lit(BLANK))) > 0)
     return each.select("doc_id", "tie", "at", "line", (F.col("begin") + F.col("at")).cast("decimal(38,0)").alias("place"))
@@ -140,20 +142,30 @@ def reach(n: Column) -> Column:
 
 
 def may_be(x: str, y: str, level: int) -> Column:
-    """Length and positional filter, and that of the 64 bits, for sets x and y (n, i, bits) whose level-th common token stands at i."""
+    """Length and positional filter, and that of the 64 bits, for sets x and y (n, i, bits) whose level-th common token stands at i.
+
+    All in whole numbers, as this is asked for every two sets that meet: shared >= need is 9 * shared >= 4 * (n + m), and
+    bits that differ are odd in number if n + m is, so they are n + m - 2 * need at most if 9 times them are at most n + m.
+    """
     n, i, m, j = (F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{y}.n"), F.col(f"{y}.i"))
-    least = need(n, m)
     near_size = F.least(n, m) * 5 >= F.greatest(n, m) * 4
-    enough_left = F.least(n - i, m - j) + (level - 1) >= least
-    return near_size & enough_left & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m - 2 * least)
+    enough_left = 9 * (F.least(n - i, m - j) + (level - 1)) >= 4 * (n + m)
+    return near_size & enough_left & (9 * F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m)
 
 
 POST = ("key", "id", "n", "i", "bits")
 
 
 def calm_pairs(posts: DataFrame, level: int) -> DataFrame:
-    """Pairs (a, b, and how many tokens they share at least if they are similar) of the sets that meet at keys of few sets and pass the filters."""
-    x, y = posts.select(*POST).alias("x"), posts.select(*POST).alias("y")
+    """Pairs (a, b, and how many tokens they share at least if they are similar) of the sets that meet at keys of few sets and pass the filters.
+
+    x is the smaller set of a pair. It shares 8/9 of its n tokens at least, so one beyond its first n - ceil(8n/9) + level
+    is not where the positional filter lets a pair pass, and x is left out there before it meets others.
+    """
+    there = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in POST])  # always so; Spark asks for it on both sides, and not in the same place
+    dealt = posts.select(*POST).filter(there).repartition("key")
+    # tied to where a row is, or Spark would leave rows out before they are dealt, and deal them to x and y apart
+    x, y = dealt.filter(F.when(F.spark_partition_id() >= 0, F.col("i") < F.floor(F.col("n") / 9) + level)).alias("x"), dealt.alias("y")
     once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & once & may_be("x", "y", level))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("least"))
@@ -256,8 +268,7 @@ def late_lines(lines: DataFrame, levels: bytes, room: int, wide: int, heads: int
     bits = F.lit(0).cast("long") if shingle else signature(F.col("h"))  # a text has so many shingles that 64 bits tell nothing
     with_hashes = lines.select("id", "first", distinct_hashes(F.col("line"), shingle).alias("h"))
     prefix = F.slice(ranked(F.col("h"), levels), F.lit(1), reach(n) + DEEP - 1)
-    # made from an array of one, as the optimizer would work the hashes out for each column
-    sets = stored(with_hashes.select("id", "first", F.inline(F.array(F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))))))
+    sets = stored(with_hashes.select("id", "first", n.alias("n"), bits.alias("bits"), prefix.alias("prefix")))
     posts = sets.select("id", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), reach(F.col("n")))).alias("i", "key")).select(*POST)
     posts = posts.filter(F.col("key") >= ALONE * LEVEL)
     # a key is in no more lines than its class in all texts, so rarer classes need no count
