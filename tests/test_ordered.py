@@ -1,6 +1,7 @@
 """Folds, ranks and running maxima of long series against plain loops."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -99,3 +100,13 @@ def test_python_is_given_few_blocks_at_a_time(spark, monkeypatch):
     kept = ordered.folded(rows, "k", 4)
     assert {tuple(x) for x in kept.collect()} == {(k, r, r - 3 if r > 2 else -1) for k in (0, 1) for r in range(2, 50, 3)}
     assert {n for n, python in seen if python} == {str(ordered.AT_ONCE)} and spark.conf.get(conf) == before
+
+
+def test_what_a_fold_keeps_is_not_broadcast(spark):
+    """Every row stays: the kept ranks are as many as the rows, and their files are a small part of that."""
+    rows = spark.range(200_000).select((F.col("id") % 50).cast("string").alias("mmsi"), F.col("id").alias("event_id"), (F.col("id") * 60).alias("t_s"))
+    events = rows.select((F.col("event_id") % 2).alias("platform_id"), "event_id", "t_s", F.lit("seismic:events").alias("channel"))
+    found = tracks.throttled(rows, 60.0, at="t_s")
+    for out in (found, sensing.spaced(rows, "mmsi", "t_s", 60), sensing.threats(events)):
+        assert re.search(r"\w+Join", out._jdf.queryExecution().executedPlan().toString())[0] == "SortMergeJoin"
+    assert found.distinct().count() == 200_000

@@ -135,7 +135,8 @@ def folded(rows: DataFrame, key: str, block: int = 0) -> DataFrame:
     """key, rank and previous (the rank kept before, -1 for none) of the rows that a greedy fold keeps, of rows (key, rank, limit).
 
     Row by row in order of rank, one is kept if the last rank kept, at first -1, is its limit or less; a null limit
-    keeps none. No task holds more than a block of rows or the steps of FAN blocks, however long a key is.
+    keeps none. No task holds more than a block of rows or the steps of FAN blocks, however long a key is. What comes
+    out can be as many rows as went in, and is never broadcast: its ranks pack so well that Spark takes it for small.
     """
     size = block or BLOCK
     ship(rows.sparkSession)
@@ -197,7 +198,7 @@ def folded(rows: DataFrame, key: str, block: int = 0) -> DataFrame:
         start = blocks.join(of, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left").select("_key", "_block", "_limits", F.coalesce("_kept", F.lit(NONE)).alias("_kept"))
     ranks = slim(start.select("_key", "_kept", kept_in("_block", "_limits", "_kept").alias("_ranks")))
     each = ranks.select("_key", "_kept", "_ranks", F.posexplode("_ranks").alias("_i", "rank"))
-    return each.select(F.col("_key").alias(key), "rank", F.coalesce(F.get("_ranks", F.col("_i") - 1), "_kept").alias("previous"))
+    return each.select(F.col("_key").alias(key), "rank", F.coalesce(F.get("_ranks", F.col("_i") - 1), "_kept").alias("previous")).hint("merge")
 
 
 def slim(rows: DataFrame) -> DataFrame:
