@@ -82,3 +82,47 @@ def test_only_texts_move_to_be_scored(spark):
     assert {x.doc_id: x.language for x in out.select("doc_id", "language").collect()} == {1: "en", 2: "de", 3: "en", 4: None, 5: None}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 and "word" not in plan
+
+
+def counts(rows):
+    n = defaultdict(lambda: defaultdict(int))
+    for _, t, lang in rows:
+        for w in t.split():
+            for i in range(len(w)):
+                n[lang][f" {w} "[i : i + 3]] += 1
+    return n
+
+
+def test_every_labelled_row_counts(spark):
+    """More rows than were once drawn of a language, each with a word of its own."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, f"sea {word(i)}x", "x") for i in range(1300)] + [(i, f"mer {word(i)}y", "y") for i in range(1300, 1400)]
+    model = {r.gram: r.scores for r in language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    n = counts(rows)
+    assert set(model) == {g for c in n.values() for g in c}
+    for g, scores in model.items():
+        for lang, c in n.items():
+            assert math.isclose(scores[lang], math.log((c[g] + 1) / (sum(c.values()) + language.GRAMS)))
+
+
+def test_runs_that_are_not_broadcast_count_too(spark, monkeypatch):
+    monkeypatch.setattr(language, "GRAMS", 7)
+    r = random.Random(3)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(1, 30)))
+    rows = [(i, text("abcd" if i % 2 else "cdef"), "x" if i % 2 else "y") for i in range(60)]
+    asks = [(i, text(r.choice(["abcd", "cdef", "abef", "qz", "efqz"]))) for i in range(80)] + [(80, ""), (81, None), (82, "q")]
+    n = counts(rows)
+    known = {g for c in n.values() for g in c}
+    assert len(known) > 7
+    want = {}
+    for i, t in asks:
+        runs = [f" {w} "[j : j + 3] for w in (t or "").split() for j in range(len(w))]
+        runs = [g for g in runs if g in known]
+        best = sorted(((sum(math.log((c[g] + 1) / (sum(c.values()) + len(known))) for g in runs) / len(runs), lang) for lang, c in n.items()), reverse=True) if runs else []
+        want[i] = (best[0][1] if best[0][0] - best[1][0] >= language.MARGIN else None, best[0][0] - best[1][0]) if runs else (None, None)
+    model = language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {x.gram for x in model.collect()} == known
+    got = {x.doc_id: (x.language, x.margin) for x in language.identified(spark.createDataFrame(asks, "doc_id long, text string"), model).collect()}
+    assert set(got) == set(want)
+    for i, (lang, ahead) in want.items():
+        assert got[i][0] == lang and (got[i][1] is None if ahead is None else math.isclose(got[i][1], ahead, abs_tol=1e-9))

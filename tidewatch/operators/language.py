@@ -1,8 +1,8 @@
 """Which language a text is in, by the likelihood of its letters in runs of three.
 
-A model is fitted on labelled rows, at most ROWS of each language, and has at most GRAMS runs of letters, so it is small
-whatever the corpus and can be broadcast. Scoring takes whole texts: their runs are met with the model by one join and
-added up by text.
+A model is fitted on all labelled rows and holds every run in their texts. Scoring takes whole texts: their runs are met
+with the model and added up by text. The GRAMS most frequent runs are broadcast; a model with more has the rest joined by
+sorting, where only what is left of the texts, counted by text and run, moves.
 """
 
 from __future__ import annotations
@@ -11,20 +11,23 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.sources.fixtures import fixture, table
 from tidewatch.sources.storage import stored
 
-ROWS, GRAMS = 500, 40_000  # labelled rows of a language; runs of the model, the most frequent ones
+GRAMS = 40_000  # runs of a model that are broadcast, the most frequent ones; the least number of runs that smoothing reckons with
 MARGIN = 0.05  # by which the best language must beat the next, in nats a run
 N = 3
 
 
+def parted(text: Column) -> Column:
+    """Words in small letters, and perhaps empty ones at the ends; what is no letter parts words."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+")
+
+
 def words(text: Column) -> Column:
-    """Words in small letters, each between spaces; what is no letter parts words."""
-    plain = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.split(plain, r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    """Words in small letters."""
+    return F.filter(parted(text), lambda w: w != "")
 
 
 def grams(word: Column) -> Column:
@@ -35,22 +38,19 @@ def grams(word: Column) -> Column:
 
 def counted(rows: DataFrame, *key: str) -> DataFrame:
     """key, gram, n: how often each run is in the texts of a key. Words are counted first, so that a run is cut out of a word once for each key."""
-    each = rows.select(*key, F.explode(words(F.col("text"))).alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+    each = rows.select(*key, F.explode(parted(F.col("text"))).alias("word")).filter("word <> ''").groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
     return each.select(*key, "n", F.explode(grams(F.col("word"))).alias("gram")).groupBy(*key, "gram").agg(F.sum("n").alias("n"))
 
 
-def fitted(labelled: DataFrame, key: str = "doc_id", rows: int = ROWS, most: int = GRAMS) -> DataFrame:
-    """gram and scores, a map of language to log likelihood: of labelled (key, text, lang), the rows of each language with the smallest hashes. Rows without a text or a language are left out."""
-    draw = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(key), key))
-    some = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(key, "text", "lang").withColumn("_draw", draw).filter(F.col("_draw") <= rows)
-    n = counted(some, "lang")
-    held = n.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(most).select("gram")
-    n = n.join(F.broadcast(held), "gram")
-    totals = n.groupBy("lang").agg((F.sum("n") + most).alias("total"))  # a row for each language
-    langs = F.broadcast(totals)
-    seen = held.crossJoin(langs).join(n, ["gram", "lang"], "left")  # at most GRAMS rows for each language
-    score = F.log((F.coalesce("n", F.lit(0)) + 1) / F.col("total"))
-    return seen.groupBy("gram").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", score.alias("score"))))).alias("scores"))
+def fitted(labelled: DataFrame) -> DataFrame:
+    """gram, n and scores, how often a run occurs and a map of language to log likelihood: of all rows of labelled (text, lang). Rows without a text or a language are left out."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    by = stored(counted(rows, "lang").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n")))  # an entry for each language
+    places = max(GRAMS, by.count())
+    totals = by.select(F.explode("by").alias("lang", "m")).groupBy("lang").agg((F.sum("m") + places).alias("total"))  # a row for each language
+    langs = totals.agg(F.array_sort(F.collect_list(F.struct("lang", "total"))).alias("langs"))
+    score = F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), F.log((F.coalesce(F.try_element_at("by", x["lang"]), F.lit(0)) + 1) / x["total"]).alias("score")))
+    return by.crossJoin(F.broadcast(langs)).select("gram", "n", F.map_from_entries(score).alias("scores"))
 
 
 def identified(rows: DataFrame, model: DataFrame, key: str = "doc_id", margin: float = MARGIN) -> DataFrame:
@@ -63,11 +63,21 @@ def identified(rows: DataFrame, model: DataFrame, key: str = "doc_id", margin: f
     model = stored(model)
     some = model.select(F.map_keys("scores").alias("langs")).first()
     langs = some.langs if some else []
-    score = [F.get(F.map_values("scores"), F.lit(i)) for i in range(len(langs))]  # every run has the same languages, in order
+    names = [f"_{i}" for i in range(len(langs))]
+    flat = model.select("gram", "n", *[F.get(F.map_values("scores"), F.lit(i)).alias(x) for i, x in enumerate(names)])  # every run has the same languages, in order
     runs = rows.select(key, "text").repartition(key).select(key, F.explode(F.flatten(F.transform(words(F.col("text")), grams))).alias("gram"))
-    met = runs.join(F.broadcast(model.select("gram", *[x.alias(f"_{i}") for i, x in enumerate(score)])), "gram")  # GRAMS rows at most
-    sums = met.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_{i}").alias(f"_{i}") for i in range(len(langs))])
-    each = F.array(*[F.struct((F.col(f"_{i}") / F.col("n")).alias("score"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]) if langs else F.array().cast("array<struct<score:double,lang:string>>")
+    if model.count() <= GRAMS:
+        met = runs.join(F.broadcast(flat.drop("n")), "gram")
+        sums = met.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in names])
+    else:
+        often = stored(flat.orderBy(F.desc("n"), "gram").limit(GRAMS)).drop("n")
+        rare = flat.drop("n").join(F.broadcast(often.select("gram")), "gram", "left_anti")
+        asked = runs.join(F.broadcast(often.withColumn("_often", F.lit(True))), "gram", "left").withColumn("_rare", F.when(F.col("_often").isNull(), F.col("gram")))
+        parts = stored(asked.groupBy(key, "_rare").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in names]))  # a row for each text, and for each of its runs that is not broadcast
+        late = parts.filter("_rare IS NOT NULL").select(key, F.col("_rare").alias("gram"), "n").join(rare.hint("merge"), "gram")
+        both = parts.filter("_rare IS NULL").select(key, "n", *names).unionByName(late.select(key, "n", *[(F.col(x) * F.col("n")).alias(x) for x in names]))
+        sums = both.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+    each = F.array(*[F.struct((F.col(x) / F.col("n")).alias("score"), F.lit(lang).alias("lang")) for x, lang in zip(names, langs)]) if langs else F.array().cast("array<struct<score:double,lang:string>>")
     best = sums.select(key, F.sort_array(each, asc=False).alias("l"))  # a struct for each language
     first, second = F.get("l", F.lit(0)), F.get("l", F.lit(1))
     ahead = F.coalesce(first["score"] - second["score"], F.lit(math.inf))
@@ -76,7 +86,7 @@ def identified(rows: DataFrame, model: DataFrame, key: str = "doc_id", margin: f
 
 
 def document_languages(spark, d: str) -> DataFrame:
-    """The language of every document by a model of the labelled ones."""
+    """The language of every document by a model of all labelled ones."""
     docs = table(spark, d, "documents")
     return identified(docs, fitted(docs)).select("doc_id", "language")
 
